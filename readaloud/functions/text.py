@@ -144,8 +144,9 @@ def format_for_speech(c: Column) -> Column:
 
 
 def prefix_title(title: Column, text: Column) -> Column:
-    return let(title, lambda t: F.when(t.isNotNull() & (t != ""),
-                                       F.concat(t, F.lit(".\n\n"), text)).otherwise(text))
+    return let(F.struct(title.alias("t"), text.alias("x")),
+               lambda s: F.when(s["t"].isNotNull() & (s["t"] != ""),
+                                F.concat(s["t"], F.lit(".\n\n"), s["x"])).otherwise(s["x"]))
 
 
 def word_count(c: Column) -> Column:

@@ -41,19 +41,29 @@ def seconds(words: Column) -> Column:
 
 
 def explode_chunks(df: DataFrame, key: str, chunks: str = "chunks",
-                   text: str | None = "processed_text", keep: tuple[str, ...] = ()) -> DataFrame:
+                   text: str | None = "processed_text", keep: tuple[str, ...] = (),
+                   valid: Column | None = None) -> DataFrame:
     """One row per chunk with position, size, words and start offset.
 
+    The outer explode plus a filter keeps the optimizer from inferring a
+    non-empty-array filter and pushing the whole text pipeline below the
+    scan-side exchange, where it would run twice and on the coarse splits.
+    For the same reason rows are excluded by ``valid`` (their chunk list is
+    nulled before the explode) rather than by a filter on computed columns.
+
     When a document has exactly one chunk, the synthesis input is the whole
     processed text (the single-chunk path), otherwise the chunk itself.
     """
-    words = df.select("*", F.transform(F.col(chunks), lambda c: word_count(c)).alias("_w"))
+    arr_col = F.col(chunks) if valid is None else F.when(valid, F.col(chunks))
+    words = df.select("*", arr_col.alias("_c")).drop(chunks).withColumnRenamed("_c", chunks)
+    words = words.select("*", F.transform(F.col(chunks), lambda c: word_count(c)).alias("_w"))
     arr = F.arrays_zip(F.col(chunks).alias("chunk"), F.col("_w").alias("w"), _prefix_sums(F.col("_w")).alias("w0"))
     single = F.size(F.col(chunks)) == 1
     out = words.select(F.col(key), *[F.col(k) for k in keep],
                        (single.alias("single")),
                        *([F.col(text).alias("_full")] if text else []),
-                       F.posexplode(arr).alias("chunk_index", "c"))
+                       F.posexplode_outer(arr).alias("chunk_index", "c"))
+    out = out.where(F.col("chunk_index").isNotNull())
     inp = F.when(F.col("single"), F.col("_full")).otherwise(F.col("c.chunk")) if text else F.col("c.chunk")
     return out.select(
         F.col(key), *[F.col(k) for k in keep],
@@ -66,9 +76,10 @@ def explode_chunks(df: DataFrame, key: str, chunks: str = "chunks",
     )
 
 
-def synthesis_manifest(df: DataFrame, key: str = "content_id", voice: str = "voice") -> DataFrame:
+def synthesis_manifest(df: DataFrame, key: str = "content_id", voice: str = "voice",
+                       valid: Column | None = None) -> DataFrame:
     """Ordered synthesis requests: model, requested and effective voice, input."""
-    rows = explode_chunks(df, key, keep=(voice,))
+    rows = explode_chunks(df, key, keep=(voice,), valid=valid)
     return rows.select(
         F.col(key), "chunk_index", F.lit(SYNTHESIS_MODEL).alias("model"),
         F.col(voice).alias("voice_requested"), effective_voice(F.col(voice)).alias("voice_effective"),

@@ -31,8 +31,8 @@ def page_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ordered synthesis manifest for every page that yields text."""
-    jobs = page_jobs(spark, sf_dir).where(F.col("error").isNull())
-    return synthesis_manifest(jobs)
+    jobs = page_jobs(spark, sf_dir)
+    return synthesis_manifest(jobs, valid=F.col("error").isNull())
 
 
 def page_title_q(spark: SparkSession, sf_dir: str) -> DataFrame:

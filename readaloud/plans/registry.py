@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pages, pages_sql
+from . import docs, docs_sql, pages, pages_sql
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,25 @@ REGISTRY: dict[str, tuple[Builder, Callable[[], str] | None]] = {
     "page_strip_boilerplate": (pages.page_strip_boilerplate, pages_sql.page_strip_boilerplate),
     "page_main_text": (pages.page_main_text, pages_sql.page_main_text),
     "page_body_text": (pages.page_body_text, pages_sql.page_body_text),
+    "doc_collapse_blank_lines": (docs.doc_collapse_blank_lines, docs_sql.doc_collapse_blank_lines),
+    "doc_redact_emails": (docs.doc_redact_emails, docs_sql.doc_redact_emails),
+    "doc_paragraphs": (docs.doc_paragraphs, docs_sql.doc_paragraphs),
+    "doc_clean_content": (docs.doc_clean_content, docs_sql.doc_clean_content),
+    "content_hash": (docs.content_hash_q, docs_sql.content_hash),
+    "content_hash_violations": (docs.content_hash_violations, docs_sql.content_hash_violations),
+    "doc_strip_urls": (docs.doc_strip_urls, docs_sql.doc_strip_urls),
+    "doc_basic_clean": (docs.doc_basic_clean, docs_sql.doc_basic_clean),
+    "doc_expand_abbreviations": (docs.doc_expand_abbreviations, docs_sql.doc_expand_abbreviations),
+    "doc_speak_dates_times": (docs.doc_speak_dates_times, docs_sql.doc_speak_dates_times),
+    "doc_insert_pauses": (docs.doc_insert_pauses, docs_sql.doc_insert_pauses),
+    "doc_format_for_speech": (docs.doc_format_for_speech, docs_sql.doc_format_for_speech),
+    "doc_word_count": (docs.doc_word_count, docs_sql.doc_word_count),
+    "doc_sentences": (docs.doc_sentences, docs_sql.doc_sentences),
+    "doc_chunks": (docs.doc_chunks, docs_sql.doc_chunks),
+    "doc_chunk_distribution": (docs.doc_chunk_distribution, docs_sql.doc_chunk_distribution),
+    "doc_reassemble": (docs.doc_reassemble, docs_sql.doc_reassemble),
+    "chunk_timeline": (docs.chunk_timeline, docs_sql.chunk_timeline),
+    "synthesis_manifest": (docs.doc_synthesis_manifest, docs_sql.doc_synthesis_manifest),
 }
 
 
