@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import docs, docs_sql, pages, pages_sql
+from . import docs, docs_sql, jobs, jobs_sql, pages, pages_sql
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
@@ -35,6 +35,23 @@ REGISTRY: dict[str, tuple[Builder, Callable[[], str] | None]] = {
     "doc_reassemble": (docs.doc_reassemble, docs_sql.doc_reassemble),
     "chunk_timeline": (docs.chunk_timeline, docs_sql.chunk_timeline),
     "synthesis_manifest": (docs.doc_synthesis_manifest, docs_sql.doc_synthesis_manifest),
+    "content_status_counts": (jobs.content_status_counts, jobs_sql.content_status_counts),
+    "content_next_view": (jobs.content_next_view, jobs_sql.content_next_view),
+    "content_downloadable": (jobs.content_downloadable, jobs_sql.content_downloadable),
+    "request_cache_web": (jobs.request_cache_web, jobs_sql.request_cache_web),
+    "request_cache_api": (jobs.request_cache_api, jobs_sql.request_cache_api),
+    "request_admission": (jobs.request_admission, jobs_sql.request_admission),
+    "guest_quota": (jobs.guest_quota, jobs_sql.guest_quota),
+    "user_conversions": (jobs.user_conversions, jobs_sql.user_conversions),
+    "voice_resolve": (jobs.voice_resolve, jobs_sql.voice_resolve),
+    "share_links": (jobs.share_links, jobs_sql.share_links),
+    "result_card": (jobs.result_card, jobs_sql.result_card),
+    "status_json": (jobs.status_json_q, jobs_sql.status_json),
+    "output_paths": (jobs.output_paths, jobs_sql.output_paths),
+    "job_outcomes": (jobs.job_outcomes, jobs_sql.job_outcomes),
+    "request_parse": (jobs.request_parse, jobs_sql.request_parse),
+    "url_domain_counts": (jobs.url_domain_counts, jobs_sql.url_domain_counts),
+    "url_validate": (jobs.url_validate, jobs_sql.url_validate),
 }
 
 
