@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import docs, docs_sql, jobs, jobs_sql, pages, pages_sql
+from . import docs, docs_sql, feeds, feeds_sql, jobs, jobs_sql, pages, pages_sql
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
@@ -52,6 +52,20 @@ REGISTRY: dict[str, tuple[Builder, Callable[[], str] | None]] = {
     "request_parse": (jobs.request_parse, jobs_sql.request_parse),
     "url_domain_counts": (jobs.url_domain_counts, jobs_sql.url_domain_counts),
     "url_validate": (jobs.url_validate, jobs_sql.url_validate),
+    "feed_top_entries": (feeds.feed_top_entries, feeds_sql.feed_top_entries),
+    "feed_due": (feeds.feed_due, feeds_sql.feed_due),
+    "feed_new_entries": (feeds.feed_new_entries, feeds_sql.feed_new_entries),
+    "feed_refresh_all": (feeds.feed_refresh_all, feeds_sql.feed_refresh_all),
+    "feed_refresh_one": (feeds.feed_refresh_one, feeds_sql.feed_refresh_one),
+    "feed_add": (feeds.feed_add, feeds_sql.feed_add),
+    "feed_metadata_upsert": (feeds.feed_metadata_upsert, feeds_sql.feed_metadata_upsert),
+    "feed_error_streak": (feeds.feed_error_streak, feeds_sql.feed_error_streak),
+    "feed_toggle": (feeds.feed_toggle, feeds_sql.feed_toggle),
+    "feed_delete": (feeds.feed_delete, feeds_sql.feed_delete),
+    "feed_listing": (feeds.feed_listing, feeds_sql.feed_listing),
+    "feed_content_listing": (feeds.feed_content_listing, feeds_sql.feed_content_listing),
+    "feed_updated_at": (feeds.feed_updated_at, feeds_sql.feed_updated_at),
+    "feed_xml_entries": (feeds.feed_xml_entries, None),
 }
 
 
