@@ -5,7 +5,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import docs, docs_sql, feeds, feeds_sql, jobs, jobs_sql, pages, pages_sql
+from . import (checks, checks_sql, docs, docs_sql, feeds, feeds_sql, jobs, jobs_sql, language, language_sql, pages,
+               pages_sql)
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
@@ -66,6 +67,12 @@ REGISTRY: dict[str, tuple[Builder, Callable[[], str] | None]] = {
     "feed_content_listing": (feeds.feed_content_listing, feeds_sql.feed_content_listing),
     "feed_updated_at": (feeds.feed_updated_at, feeds_sql.feed_updated_at),
     "feed_xml_entries": (feeds.feed_xml_entries, None),
+    "fk_orphans": (checks.fk_orphans, checks_sql.fk_orphans),
+    "length_violations": (checks.length_violations, checks_sql.length_violations),
+    "null_url": (checks.null_url, checks_sql.null_url),
+    "schema_evolve": (checks.schema_evolve, checks_sql.schema_evolve),
+    "language_detect": (language.language_detect, language_sql.language_detect),
+    "language_accuracy": (language.language_accuracy, language_sql.language_accuracy),
 }
 
 
