@@ -11,9 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import EXTRACT_ERROR
-from ..functions.html import (body_html, drop_elements, html_to_text, page_title,
+from ..functions.html import (TAG_RUN, body_html, drop_elements, html_to_text, page_title,
                               structural_main_html)
-from ..functions.text import clean_content
+from ..functions.regex import let
+from ..functions.text import clean_content, collapse_whitespace, strip_ws
 
 
 def structural_text(html_col: Column) -> Column:
@@ -40,3 +41,76 @@ def structural_extract(pages: DataFrame, key: str = "page_id") -> DataFrame:
     out = out.withColumn("original_text", clean_content(F.col("raw_text")))
     return out.withColumn(
         "error", F.when(F.coalesce(F.col("original_text"), F.lit("")) == "", F.lit(EXTRACT_ERROR)))
+
+
+# --- extraction cascade -------------------------------------------------------
+
+BLOCK_START = r"(?i)<(?:p|div|li|h[1-6]|td|br)(?![A-Za-z0-9])[^>]*>"
+ANCHOR = r"(?is)<a(?![A-Za-z0-9])[^>]*>(.*?)</a\s*>"
+MIN_BLOCK_CHARS = 25
+MAX_LINK_DENSITY = 0.5
+METHODS = ("dense_blocks", "largest_run", "structural", "body")
+
+
+def _block_items(stripped: Column) -> Column:
+    """Blocks of the page with their text, text length, and keep flag.
+
+    A block runs from one block-level start tag to the next. Its text is the
+    whitespace-normalised text content; it is kept when it has at least
+    MIN_BLOCK_CHARS characters and less than half of them inside links.
+    """
+    def item(b):
+        t = strip_ws(collapse_whitespace(html_to_text(b)))
+        anchor = F.regexp_replace(F.array_join(F.regexp_extract_all(b, F.lit(ANCHOR), 1), ""), TAG_RUN, "")
+        return let(t, lambda tt: F.struct(
+            tt.alias("t"),
+            ((F.length(tt) >= MIN_BLOCK_CHARS) &
+             (F.length(anchor) < F.length(tt) * MAX_LINK_DENSITY)).alias("keep")))
+    return F.transform(F.split(stripped, BLOCK_START, -1), item)
+
+
+def _dense_text(items: Column) -> Column:
+    return F.array_join(F.transform(F.filter(items, lambda x: x["keep"]), lambda x: x["t"]), "\n")
+
+
+def _largest_run_text(items: Column) -> Column:
+    """Text of the contiguous run of kept blocks with the most characters (first on ties)."""
+    init = F.struct(F.lit(0).alias("i"), F.lit(0).alias("start"), F.lit(0).cast("bigint").alias("len"),
+                    F.lit(0).alias("bstart"), F.lit(0).alias("bcount"), F.lit(0).cast("bigint").alias("blen"))
+
+    def step(s, x):
+        i = s["i"] + 1
+        start = F.when(x["keep"], F.when(s["len"] == 0, i).otherwise(s["start"])).otherwise(F.lit(0))
+        ln = F.when(x["keep"], s["len"] + F.length(x["t"])).otherwise(F.lit(0).cast("bigint"))
+        better = ln > s["blen"]
+        return F.struct(i.alias("i"), start.alias("start"), ln.alias("len"),
+                        F.when(better, start).otherwise(s["bstart"]).alias("bstart"),
+                        F.when(better, i - start + 1).otherwise(s["bcount"]).alias("bcount"),
+                        F.when(better, ln).otherwise(s["blen"]).alias("blen"))
+
+    st = F.aggregate(items, init, step)
+    run = F.when(st["bcount"] > 0, F.slice(items, st["bstart"], st["bcount"]))
+    return F.array_join(F.transform(run, lambda x: x["t"]), "\n")
+
+
+def cascade_extract(pages: DataFrame, key: str = "page_id") -> DataFrame:
+    """Ordered candidates, first non-empty wins; the winner's name is kept.
+
+    Candidates: kept blocks in order, the largest contiguous run of kept
+    blocks, the structural pick, and the body text. A page where all are empty
+    becomes an error row.
+    """
+    stripped = pages.select(key, "url", drop_elements(F.col("html")).alias("_s"),
+                            body_text(F.col("html")).alias("_body"))
+    c = stripped.select(key, "url", "_s", "_body", _block_items(F.col("_s")).alias("_items"))
+    c = c.select(key, "url", "_body", page_title(F.col("_s")).alias("title"),
+                 _dense_text(F.col("_items")).alias("_dense"),
+                 _largest_run_text(F.col("_items")).alias("_run"),
+                 html_to_text(structural_main_html(F.col("_s"))).alias("_struct"))
+    cands = [F.col("_dense"), F.col("_run"), F.col("_struct"), F.col("_body")]
+    text = F.coalesce(*[F.when(x != "", x) for x in cands])
+    method = F.coalesce(*[F.when(x != "", F.lit(m)) for x, m in zip(cands, METHODS)])
+    out = c.select(key, "url", "title", method.alias("method"), text.alias("raw_text"))
+    out = out.withColumn("original_text", clean_content(F.col("raw_text")))
+    return out.withColumn(
+        "error", F.when(F.coalesce(F.col("original_text"), F.lit("")) == "", F.lit(EXTRACT_ERROR)))

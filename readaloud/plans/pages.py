@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..constants import NO_TEXT_ERROR
 from ..functions.html import drop_elements, page_title
 from ..operators.chunks import synthesis_manifest
-from ..operators.extract import body_text, structural_extract, structural_text
+from ..operators.extract import body_text, cascade_extract, structural_extract, structural_text
 from ..operators.speech import prepare_speech
 from ..sources.fixtures import voice_by
 from ..sources.tables import read_table, spread
@@ -54,3 +54,7 @@ def page_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_body_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _pages(spark, sf_dir, "page_id", "html")
     return p.select("page_id", body_text(F.col("html")).alias("body_text"))
+
+
+def page_extract_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cascade_extract(_pages(spark, sf_dir, "page_id", "url", "html"))

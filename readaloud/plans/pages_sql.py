@@ -78,3 +78,45 @@ def page_body_text() -> str:
         f"b1 AS (SELECT page_id, {d.body_inner('html')} AS b FROM pages)",
         f"b2 AS (SELECT page_id, {d.markup_to_lines('b')} AS l FROM b1)",
     ) + f"SELECT page_id, {d.decode_entities('l')} AS body_text FROM b2"
+
+
+def page_extract_cascade() -> str:
+    block_start = r"(?i)<(?:p|div|li|h[1-6]|td|br)\b[^>]*>"
+    anchor = r"(?is)<a\b[^>]*>(.*?)</a\s*>"
+    bt = d.strip_ws(rf"regexp_replace({d.decode_entities(d.markup_to_lines('b'))}, '\s+', ' ', 'g')")
+    anc = f"regexp_replace(array_to_string(regexp_extract_all(b, {d.q(anchor)}, 1), ''), {d.q(d.TAG_RUN)}, '', 'g')"
+    items = (f"list_transform(regexp_split_to_array(stripped, {d.q(block_start)}), lambda b: "
+             f"{{'t': {bt}, 'a': length({anc})}})")
+    keep = "x.t IS NOT NULL AND length(x.t) >= 25 AND x.a < length(x.t) * 0.5"
+    kept = f"list_transform(items, lambda x: {{'t': x.t, 'keep': {keep}}})"
+    st = ("list_reduce(kept, lambda s, x: {'i': s.i + 1, "
+          "'start': CASE WHEN x.keep THEN CASE WHEN s.len = 0 THEN s.i + 1 ELSE s.start END ELSE 0 END, "
+          "'len': CASE WHEN x.keep THEN s.len + length(x.t) ELSE 0 END, "
+          "'bstart': CASE WHEN (CASE WHEN x.keep THEN s.len + length(x.t) ELSE 0 END) > s.blen "
+          "THEN CASE WHEN s.len = 0 THEN s.i + 1 ELSE s.start END ELSE s.bstart END, "
+          "'bcount': CASE WHEN (CASE WHEN x.keep THEN s.len + length(x.t) ELSE 0 END) > s.blen "
+          "THEN s.i + 1 - CASE WHEN s.len = 0 THEN s.i + 1 ELSE s.start END + 1 ELSE s.bcount END, "
+          "'blen': CASE WHEN (CASE WHEN x.keep THEN s.len + length(x.t) ELSE 0 END) > s.blen "
+          "THEN s.len + length(x.t) ELSE s.blen END}, "
+          "{'i': 0, 'start': 0, 'len': 0::BIGINT, 'bstart': 0, 'bcount': 0, 'blen': 0::BIGINT})")
+    ctes = [
+        f"s1 AS (SELECT page_id, url, html, {d.drop_elements('html')} AS stripped FROM pages)",
+        f"s2 AS (SELECT page_id, url, stripped, {d.title_inner('stripped')} AS t_inner, {items} AS items, "
+        f"{d.structural_main('stripped')} AS main_html, {d.body_inner('html')} AS body_html FROM s1)",
+        f"s3 AS (SELECT page_id, url, {d.title_from('stripped', 't_inner')} AS title, {kept} AS kept, "
+        f"{d.markup_to_lines('main_html')} AS l1, {d.markup_to_lines('body_html')} AS l2 FROM s2)",
+        f"s4 AS (SELECT page_id, url, title, kept, {st} AS st, {d.decode_entities('l1')} AS struct_text, "
+        f"{d.decode_entities('l2')} AS body_text FROM s3)",
+        "s5 AS (SELECT page_id, url, title, "
+        "array_to_string(list_transform(list_filter(kept, lambda x: x.keep), lambda x: x.t), chr(10)) AS dense, "
+        "CASE WHEN st.bcount > 0 THEN array_to_string(list_transform(list_slice(kept, st.bstart, st.bstart + st.bcount - 1), "
+        "lambda x: x.t), chr(10)) ELSE '' END AS run, struct_text, body_text FROM s4)",
+        "s6 AS (SELECT page_id, url, title, "
+        "coalesce(nullif(dense, ''), nullif(run, ''), nullif(struct_text, ''), nullif(body_text, '')) AS raw_text, "
+        "CASE WHEN dense <> '' THEN 'dense_blocks' WHEN run <> '' THEN 'largest_run' WHEN struct_text <> '' THEN 'structural' "
+        "WHEN body_text <> '' THEN 'body' END AS method FROM s5)",
+        f"s7 AS (SELECT *, {d.clean_content('raw_text')} AS original_text FROM s6)",
+    ]
+    return d.with_ctes(*ctes) + (
+        "SELECT page_id, url, title, method, raw_text, original_text, "
+        "CASE WHEN coalesce(original_text, '') = '' THEN 'Could not extract content from the URL' END AS error FROM s7")

@@ -17,6 +17,7 @@ REGISTRY: dict[str, tuple[Builder, Callable[[], str] | None]] = {
     "page_strip_boilerplate": (pages.page_strip_boilerplate, pages_sql.page_strip_boilerplate),
     "page_main_text": (pages.page_main_text, pages_sql.page_main_text),
     "page_body_text": (pages.page_body_text, pages_sql.page_body_text),
+    "page_extract_cascade": (pages.page_extract_cascade, pages_sql.page_extract_cascade),
     "doc_collapse_blank_lines": (docs.doc_collapse_blank_lines, docs_sql.doc_collapse_blank_lines),
     "doc_redact_emails": (docs.doc_redact_emails, docs_sql.doc_redact_emails),
     "doc_paragraphs": (docs.doc_paragraphs, docs_sql.doc_paragraphs),
