@@ -5,8 +5,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..streaming import jobs as streams
 from . import (checks, checks_sql, docs, docs_sql, feeds, feeds_sql, jobs, jobs_sql, language, language_sql, pages,
-               pages_sql)
+               pages_sql, streaming_sql)
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
@@ -74,6 +75,10 @@ REGISTRY: dict[str, tuple[Builder, Callable[[], str] | None]] = {
     "schema_evolve": (checks.schema_evolve, checks_sql.schema_evolve),
     "language_detect": (language.language_detect, language_sql.language_detect),
     "language_accuracy": (language.language_accuracy, language_sql.language_accuracy),
+    "stream_dedupe_submissions": (streams.stream_dedupe_submissions, streaming_sql.stream_dedupe_submissions),
+    "stream_quota_windows": (streams.stream_quota_windows, streaming_sql.stream_quota_windows),
+    "stream_latest_status": (streams.stream_latest_status, streaming_sql.stream_latest_status),
+    "stream_feed_poll": (streams.stream_feed_poll, streaming_sql.stream_feed_poll),
 }
 
 
