@@ -30,38 +30,59 @@ def sample(text: Column) -> Column:
 
 
 def trigrams(s: Column) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - 2, F.lit(1))), lambda i: F.substring(s, i, 3))
+    """All overlapping 3-character windows, in one regex pass (a look-ahead capture)."""
+    return F.regexp_extract_all(s, F.lit("(?s)(?=(.{3}))"), 1)
 
 
 def _explode_trigrams(df: DataFrame, key: list[str], text: str) -> DataFrame:
-    s = df.select(*key, sample(F.col(text)).alias("_s"))
-    s = s.where(F.length("_s") >= 3)
-    return s.select(*key, F.explode(trigrams(F.col("_s"))).alias("tri"))
+    """(key..., tri) rows. The outer explode plus a filter on its output keeps the
+    optimizer from pushing an inferred non-empty filter (and with it the whole
+    cleaning expression) below the projection, where it would run twice."""
+    s = df.select(*key, F.explode_outer(trigrams(sample(F.col(text)))).alias("tri"))
+    return s.where(F.col("tri").isNotNull())
+
+
+# A pivoted profile up to this many trigrams is broadcast to the scoring join;
+# a larger one is shuffle-joined (its size is known exactly after training).
+BROADCAST_MAX_TRIGRAMS = 500_000
 
 
 class LanguageModel:
-    """Trigram profile (a DataFrame) plus the per-language constants.
+    """Pivoted trigram profile plus the per-language constants.
 
-    The constants are one row per language, collected once after training;
-    their number is bounded by the label set, not by the data.
+    ``profile`` has one row per trigram and one delta column per language
+    (0 where the trigram was never seen with that language), so the scoring
+    join emits one row per document trigram regardless of the number of
+    languages. ``bases`` and ``n_trigrams`` are collected once after training;
+    their size is bounded by the label set.
     """
 
-    def __init__(self, profile: DataFrame, bases: dict[str, int]):
+    def __init__(self, profile: DataFrame, langs: list[str], bases: dict[str, int], n_trigrams: int):
         self.profile = profile
+        self.langs = langs
         self.bases = bases
+        self.n_trigrams = n_trigrams
+
+
+def _col(lang: str) -> str:
+    return "d_" + "".join(ch if ch.isalnum() else "_" for ch in lang)
 
 
 def train(labelled: DataFrame, text: str = "text", label: str = "lang") -> LanguageModel:
+    """Count trigrams per language in one pass; the counts are small and checkpointed."""
     tri = _explode_trigrams(labelled.where(F.col(label).isNotNull()), [label], text).withColumnRenamed(label, "lang")
-    counts = tri.groupBy("tri", "lang").agg(F.count(F.lit(1)).alias("c"))
+    counts = tri.groupBy("tri", "lang").agg(F.count(F.lit(1)).alias("c")).checkpoint()
     totals = {r["lang"]: r["total"] for r in counts.groupBy("lang").agg(F.sum("c").alias("total")).collect()}
     v = counts.select("tri").distinct().count()
-    bases = {lang: int(_round_half_away(math.log(1.0 / (t + v)) * SCALE)) for lang, t in totals.items()}
-    total_of = F.create_map(*[x for k, t in sorted(totals.items()) for x in (F.lit(k), F.lit(t))])
-    base_of = F.create_map(*[x for k, b in sorted(bases.items()) for x in (F.lit(k), F.lit(b))])
+    langs = sorted(totals)
+    bases = {lang: int(_round_half_away(math.log(1.0 / (totals[lang] + v)) * SCALE)) for lang in langs}
+    total_of = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(totals[k]))])
+    base_of = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(bases[k]))])
     w = F.round(F.log((F.col("c") + 1.0) / (F.element_at(total_of, F.col("lang")) + F.lit(v))) * SCALE).cast("bigint")
-    profile = counts.select("tri", "lang", (w - F.element_at(base_of, F.col("lang"))).alias("delta"))
-    return LanguageModel(profile, bases)
+    deltas = counts.select("tri", "lang", (w - F.element_at(base_of, F.col("lang"))).alias("delta"))
+    profile = (deltas.groupBy("tri").pivot("lang", langs).agg(F.first("delta"))
+               .select("tri", *[F.coalesce(F.col(k), F.lit(0).cast("bigint")).alias(_col(k)) for k in langs]))
+    return LanguageModel(profile, langs, bases, v)
 
 
 def _round_half_away(x: float) -> float:
@@ -69,19 +90,21 @@ def _round_half_away(x: float) -> float:
 
 
 def detect(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, detected) for every row; rows with no trigram get the default language.
+    """(key, detected) for every row; rows without a trigram get the default language.
 
-    score(lang) = n_trigrams * base(lang) + sum of deltas of the matched
-    trigrams; the best score wins, ties to the greater language code.
+    score(lang) = n_trigrams * base(lang) + sum of the matched deltas; the
+    best score wins, ties to the greater language code. One pass: every
+    trigram row (a document without any keeps one NULL row) is left-joined to
+    the profile and summed per document as a partial aggregate.
     """
-    tri = _explode_trigrams(docs, [key], text)
-    hits = tri.join(model.profile, "tri").groupBy(key, "lang").agg(F.sum("delta").alias("s"))
-    per_doc = hits.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("lang", "s"))).alias("hit"))
-    n = tri.groupBy(key).agg(F.count(F.lit(1)).alias("n_tri"))
-    langs = sorted(model.bases)
-    j = docs.select(key).join(n, key, "left").join(per_doc, key, "left")
-    scores = F.array(*[F.struct((F.col("n_tri") * F.lit(model.bases[l]) +
-                                 F.coalesce(F.try_element_at(F.col("hit"), F.lit(l)), F.lit(0))).alias("score"),
-                                F.lit(l).alias("lang")) for l in langs])
+    tri = docs.select(key, F.explode_outer(trigrams(sample(F.col(text)))).alias("tri"))
+    prof = model.profile
+    if model.n_trigrams <= BROADCAST_MAX_TRIGRAMS:
+        prof = F.broadcast(prof)  # size checked: one row per trigram, known after training
+    sums = tri.join(prof, "tri", "left").groupBy(key).agg(
+        F.count("tri").alias("n_tri"), *[F.sum(_col(k)).alias(_col(k)) for k in model.langs])
+    scores = F.array(*[F.struct((F.col("n_tri") * F.lit(model.bases[k]) +
+                                 F.coalesce(F.col(_col(k)), F.lit(0).cast("bigint"))).alias("score"),
+                                F.lit(k).alias("lang")) for k in model.langs])
     best = F.array_max(scores)["lang"]
-    return j.select(key, F.when(F.col("n_tri").isNull(), F.lit(DEFAULT_LANGUAGE)).otherwise(best).alias("detected"))
+    return sums.select(key, F.when(F.col("n_tri") == 0, F.lit(DEFAULT_LANGUAGE)).otherwise(best).alias("detected"))

@@ -15,7 +15,7 @@ def language_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     clean = d.select("doc_id", "lang", basic_clean(F.col("text")).alias("text"))
     model = train(clean)
     out = detect(clean, model)
-    return clean.select("doc_id", "lang").join(out, "doc_id")
+    return d.select("doc_id", "lang").join(out, "doc_id")
 
 
 def language_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
