@@ -12,7 +12,7 @@ from ..functions.urls import domain, is_http_url, is_valid_url, matches_url_patt
 from ..operators.chunks import effective_voice, seconds
 from ..operators.jobs import admit, cache_lookup, first_per_key, status_json
 from ..sources import fixtures as X
-from ..sources.tables import read_table
+from ..sources.tables import filter_computed, read_table
 from .pages import page_jobs
 
 BASE_URL = "http://localhost"
@@ -112,7 +112,7 @@ def share_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def result_card(spark: SparkSession, sf_dir: str) -> DataFrame:
-    j = page_jobs(spark, sf_dir).where(F.col("error").isNull())
+    j = filter_computed(page_jobs(spark, sf_dir), F.col("error").isNull())
     dur = seconds(F.col("word_count"))
     preview = F.when(S.truthy(F.col("processed_text")), F.col("processed_text")).otherwise(F.col("original_text"))
     return j.select(
@@ -204,3 +204,33 @@ def url_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 __all__ = ["EXTRACT_ERROR"]
+
+
+def content_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status requests by content id, in bulk: found flag, status, or not-found.
+
+    Request ids come from events (``event_id % 300``), so some name rows that
+    do not exist; those answer ``not_found`` instead of failing the batch.
+    """
+    e = read_table(spark, sf_dir, "events", "event_id")
+    req = e.select(F.col("event_id").alias("request_id"), (F.col("event_id") % 300).alias("content_id"))
+    c = X.content_jobs(spark, sf_dir).select(F.col("id").alias("content_id"), "is_processed", "is_processing", "error")
+    j = req.join(c, "content_id", "left")
+    found = F.col("is_processed").isNotNull()
+    st = S.content_status(F.col("is_processed"), F.col("is_processing"), F.col("error"))
+    return j.select("request_id", "content_id", found.alias("found"),
+                    F.when(found, st).otherwise(F.lit("not_found")).alias("status"))
+
+
+def user_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per user: content rows, completed ones and subscribed feeds (both one-to-many sides)."""
+    c = X.content_jobs(spark, sf_dir).where(F.col("user_id").isNotNull())
+    per_c = c.groupBy("user_id").agg(
+        F.count(F.lit(1)).alias("n_contents"),
+        F.count(F.when(F.col("is_processed") & ~S.truthy(F.col("error")), 1)).alias("n_completed"))
+    per_f = X.feeds(spark, sf_dir).groupBy("user_id").agg(F.count(F.lit(1)).alias("n_feeds"))
+    u = X.users(spark, sf_dir).select(F.col("id").alias("user_id"), "username")
+    j = u.join(per_c, "user_id", "left").join(per_f, "user_id", "left")
+    zero = F.lit(0).cast("bigint")
+    return j.select("user_id", "username", F.coalesce("n_contents", zero).alias("n_contents"),
+                    F.coalesce("n_completed", zero).alias("n_completed"), F.coalesce("n_feeds", zero).alias("n_feeds"))

@@ -229,3 +229,20 @@ def status_json() -> str:
         f"'word_count', word_count)::VARCHAR "
         f"WHEN is_processed AND {truthy('error')} THEN json_object('status', st, 'content_id', id, 'error', error)::VARCHAR "
         "ELSE json_object('status', st, 'content_id', id)::VARCHAR END AS json FROM c")
+
+
+def content_lookup() -> str:
+    return d.with_ctes(d.CONTENT_JOBS, "r AS (SELECT event_id AS request_id, event_id % 300 AS content_id FROM events)") + (
+        "SELECT r.request_id, r.content_id, c.id IS NOT NULL AS found, "
+        f"CASE WHEN c.id IS NOT NULL THEN {STATUS} ELSE 'not_found' END AS status "
+        "FROM r LEFT JOIN content_jobs c ON r.content_id = c.id")
+
+
+def user_overview() -> str:
+    return d.with_ctes(d.CONTENT_JOBS, d.FEEDS, d.USERS,
+                       f"pc AS (SELECT user_id, count(*) AS n_contents, count(CASE WHEN is_processed AND NOT {truthy('error')} "
+                       "THEN 1 END) AS n_completed FROM content_jobs WHERE user_id IS NOT NULL GROUP BY user_id)",
+                       "pf AS (SELECT user_id, count(*) AS n_feeds FROM feeds GROUP BY user_id)") + (
+        "SELECT u.id AS user_id, u.username, coalesce(pc.n_contents, 0) AS n_contents, "
+        "coalesce(pc.n_completed, 0) AS n_completed, coalesce(pf.n_feeds, 0) AS n_feeds "
+        "FROM users u LEFT JOIN pc ON u.id = pc.user_id LEFT JOIN pf ON u.id = pf.user_id")

@@ -55,6 +55,8 @@ REGISTRY: dict[str, tuple[Builder, Callable[[], str] | None]] = {
     "request_parse": (jobs.request_parse, jobs_sql.request_parse),
     "url_domain_counts": (jobs.url_domain_counts, jobs_sql.url_domain_counts),
     "url_validate": (jobs.url_validate, jobs_sql.url_validate),
+    "content_lookup": (jobs.content_lookup, jobs_sql.content_lookup),
+    "user_overview": (jobs.user_overview, jobs_sql.user_overview),
     "feed_top_entries": (feeds.feed_top_entries, feeds_sql.feed_top_entries),
     "feed_due": (feeds.feed_due, feeds_sql.feed_due),
     "feed_new_entries": (feeds.feed_new_entries, feeds_sql.feed_new_entries),

@@ -35,3 +35,17 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     if df.rdd.getNumPartitions() >= target:
         return df
     return df.repartition(target)
+
+
+def filter_computed(df: DataFrame, cond) -> DataFrame:
+    """Keep rows where ``cond`` holds, with ``cond`` evaluated after the projection.
+
+    A plain filter on a computed column is pushed by the optimizer below the
+    projection that computes it, so an expensive expression (a whole text
+    pipeline) would run twice. Routing the condition through an outer explode
+    of a one-element array yields exactly one row per input row and a
+    predicate on generator output, which stays where it is.
+    """
+    from pyspark.sql import functions as F
+    gate = F.explode_outer(F.when(cond, F.array(F.lit(True))))
+    return df.select("*", gate.alias("_keep")).where(F.col("_keep")).drop("_keep")
