@@ -86,11 +86,13 @@ def drop_elements(html_col: Column, tags=BOILERPLATE_TAGS) -> Column:
 
 def html_to_text(html_col: Column) -> Column:
     """Text nodes joined by a newline; raw-text elements contribute nothing."""
-    s = drop_elements(html_col, _RAW_TEXT)
-    s = F.regexp_replace(s, TAG_RUN, SEP)
-    s = F.regexp_replace(s, f"^{SEP}|{SEP}$", "")
-    s = F.translate(s, SEP, "\n")
-    return decode_entities(s)
+    def markup(x):
+        s = drop_elements(x, _RAW_TEXT)
+        s = F.regexp_replace(s, TAG_RUN, SEP)
+        s = F.regexp_replace(s, f"^{SEP}|{SEP}$", "")
+        return F.translate(s, SEP, "\n")
+    # text without '<' has no markup: only the character references remain
+    return decode_entities(let(html_col, lambda x: F.when(F.instr(x, "<") > 0, markup(x)).otherwise(x)))
 
 
 def page_title(html_col: Column) -> Column:

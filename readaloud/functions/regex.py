@@ -23,3 +23,14 @@ def let(value, body):
     """
     from pyspark.sql import functions as F
     return F.transform(F.array(value), body)[0]
+
+
+def guarded_replace(value, needle: str, pattern: str, replacement: str):
+    """``regexp_replace`` that only runs when ``needle`` occurs in the value.
+
+    ``needle`` must be a substring of every possible match, so the result is
+    unchanged; rows without it skip the regex scan (a plain substring search).
+    """
+    from pyspark.sql import functions as F
+    return let(value, lambda x: F.when(F.instr(x, needle) > 0, F.regexp_replace(x, pattern, replacement))
+               .otherwise(x))

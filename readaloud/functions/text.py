@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..constants import (ABBREVIATIONS, EMAIL_PLACEHOLDER, HASH_PREFIX_CHARS,
                          PARAGRAPH_SPLIT_CHARS, WORDS_PER_MINUTE)
 from .html import html_to_text
-from .regex import DIGIT, NOT_AFTER_WORD, NOT_BEFORE_WORD, NWS, WORD, WS, let
+from .regex import DIGIT, NOT_AFTER_WORD, NOT_BEFORE_WORD, NWS, WORD, WS, guarded_replace, let
 
 SENTENCE_BREAK = rf"(?<=[.!?]){WS}+"
 
@@ -24,11 +24,11 @@ def strip_ws(c: Column) -> Column:
 
 def collapse_blank_lines(c: Column) -> Column:
     """A newline, optional whitespace and a newline become one blank line."""
-    return F.regexp_replace(c, rf"\n{WS}*\n", "\n\n")
+    return guarded_replace(c, "\n", rf"\n{WS}*\n", "\n\n")
 
 
 def redact_emails(c: Column) -> Column:
-    return F.regexp_replace(c, rf"[\p{{L}}\p{{N}}_.-]+@[\p{{L}}\p{{N}}_.-]+\.{WORD}+", EMAIL_PLACEHOLDER)
+    return guarded_replace(c, "@", rf"[\p{{L}}\p{{N}}_.-]+@[\p{{L}}\p{{N}}_.-]+\.{WORD}+", EMAIL_PLACEHOLDER)
 
 
 def paragraphs(c: Column) -> Column:
@@ -95,7 +95,7 @@ def content_hash(url: Column, content: Column) -> Column:
 
 
 def strip_urls(c: Column) -> Column:
-    return F.regexp_replace(c, rf"https?://{NWS}+", "")
+    return guarded_replace(c, "http", rf"https?://{NWS}+", "")
 
 
 def collapse_whitespace(c: Column) -> Column:
@@ -118,21 +118,28 @@ def basic_clean(c: Column) -> Column:
 
 
 def expand_abbreviations(c: Column) -> Column:
+    """Each abbreviation, not preceded by a word character, becomes its spoken form.
+
+    The pattern starts with the abbreviation's first letter and checks the
+    character before it with a look-behind, which lets the regex engine skip
+    quickly to candidate positions.
+    """
     out = c
     for abbr, spoken in ABBREVIATIONS:
-        pat = NOT_AFTER_WORD + abbr.replace(".", r"\.")
-        out = F.regexp_replace(out, pat, spoken)
+        first, rest = abbr[0], abbr[1:].replace(".", r"\.")
+        pat = rf"{first}(?<![\p{{L}}\p{{N}}_]{first}){rest}"
+        out = guarded_replace(out, abbr, pat, spoken)
     return out
 
 
 def speak_dates(c: Column) -> Column:
-    return F.regexp_replace(
-        c, rf"{NOT_AFTER_WORD}({DIGIT}{{1,2}})/({DIGIT}{{1,2}})/({DIGIT}{{4}}){NOT_BEFORE_WORD}", "$1 $2 $3")
+    return guarded_replace(
+        c, "/", rf"{NOT_AFTER_WORD}({DIGIT}{{1,2}})/({DIGIT}{{1,2}})/({DIGIT}{{4}}){NOT_BEFORE_WORD}", "$1 $2 $3")
 
 
 def speak_times(c: Column) -> Column:
-    return F.regexp_replace(
-        c, rf"{NOT_AFTER_WORD}({DIGIT}{{1,2}}):({DIGIT}{{2}}){NOT_BEFORE_WORD}", "$1 $2")
+    return guarded_replace(
+        c, ":", rf"{NOT_AFTER_WORD}({DIGIT}{{1,2}}):({DIGIT}{{2}}){NOT_BEFORE_WORD}", "$1 $2")
 
 
 def insert_pauses(c: Column) -> Column:
