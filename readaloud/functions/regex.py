@@ -12,6 +12,8 @@ WORD = r"[\p{L}\p{N}_]"              # word character, Unicode meaning
 NOT_AFTER_WORD = r"(?<![\p{L}\p{N}_])"
 NOT_BEFORE_WORD = r"(?![\p{L}\p{N}_])"
 DIGIT = r"\p{Nd}"
+# Every whitespace character (the Unicode rule: str.isspace), for plain trims.
+WS_CHARS = "".join(ch for ch in map(chr, range(0x3001)) if ch.isspace())
 
 
 def let(value, body):

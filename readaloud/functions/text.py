@@ -12,14 +12,14 @@ from pyspark.sql import functions as F
 from ..constants import (ABBREVIATIONS, EMAIL_PLACEHOLDER, HASH_PREFIX_CHARS,
                          PARAGRAPH_SPLIT_CHARS, WORDS_PER_MINUTE)
 from .html import html_to_text
-from .regex import DIGIT, NOT_AFTER_WORD, NOT_BEFORE_WORD, NWS, WORD, WS, guarded_replace, let
+from .regex import DIGIT, NOT_AFTER_WORD, NOT_BEFORE_WORD, NWS, WORD, WS, WS_CHARS, guarded_replace, let
 
 SENTENCE_BREAK = rf"(?<=[.!?]){WS}+"
 
 
 def strip_ws(c: Column) -> Column:
-    """Remove leading and trailing whitespace of any kind."""
-    return F.regexp_replace(c, rf"^{WS}+|{WS}+$", "")
+    """Remove leading and trailing whitespace of any kind (a character-set trim, no regex)."""
+    return F.btrim(c, F.lit(WS_CHARS))
 
 
 def collapse_blank_lines(c: Column) -> Column:
@@ -99,7 +99,8 @@ def strip_urls(c: Column) -> Column:
 
 
 def collapse_whitespace(c: Column) -> Column:
-    return F.regexp_replace(c, rf"{WS}+", " ")
+    """Every whitespace run becomes one space; runs that already are one space are not matched."""
+    return F.regexp_replace(c, rf" {WS}+|[\s\x1c-\x1f\x85\p{{Z}}&&[^ ]]{WS}*", " ")
 
 
 def space_after_punctuation(c: Column) -> Column:
