@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import DEFAULT_LANGUAGE, LANGUAGE_SAMPLE_CHARS
+from ..session import ensure_checkpoint_dir
 
 SCALE = 1000.0
 
@@ -70,6 +71,7 @@ def _col(lang: str) -> str:
 
 def train(labelled: DataFrame, text: str = "text", label: str = "lang") -> LanguageModel:
     """Count trigrams per language in one pass; the counts are small and checkpointed."""
+    ensure_checkpoint_dir(labelled.sparkSession)
     tri = _explode_trigrams(labelled.where(F.col(label).isNotNull()), [label], text).withColumnRenamed(label, "lang")
     counts = tri.groupBy("tri", "lang").agg(F.count(F.lit(1)).alias("c")).checkpoint()
     totals = {r["lang"]: r["total"] for r in counts.groupBy("lang").agg(F.sum("c").alias("total")).collect()}

@@ -28,10 +28,11 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
 
     A large input already arrives in many splits and is returned unchanged (no
     shuffle). A small file read as one or two splits would run every regex
-    on one core, so it is round-robin repartitioned to the default parallelism.
+    on one core, so it is round-robin repartitioned to three tasks per core
+    (smaller tasks even out the uneven cost of long and short texts).
     """
     spark = df.sparkSession
-    target = min_partitions or spark.sparkContext.defaultParallelism
+    target = min_partitions or spark.sparkContext.defaultParallelism * 3
     if df.rdd.getNumPartitions() >= target:
         return df
     return df.repartition(target)
