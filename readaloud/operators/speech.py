@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..constants import NO_TEXT_ERROR
 from ..functions.text import basic_clean, format_for_speech, prefix_title, word_count
 from .chunks import chunk_text
 
@@ -29,3 +30,10 @@ def prepare_speech(df: DataFrame, text: str = "original_text", title: str = "tit
     out = out.withColumn("word_count", F.when(empty, F.lit(None)).otherwise(word_count(F.col("processed_text"))))
     out = out.withColumn("chunks", F.when(empty, F.lit(None)).otherwise(chunk_text(F.col("processed_text"))))
     return out if keep_clean else out.drop("clean_text")
+
+
+def with_synthesis_error(jobs: DataFrame) -> DataFrame:
+    """Keep an extraction error; otherwise a job whose speech text is empty fails
+    at synthesis ("no text"). Jobs with ``error`` NULL have synthesis input."""
+    empty = F.coalesce(F.col("processed_text"), F.lit("")) == ""
+    return jobs.withColumn("error", F.coalesce(F.col("error"), F.when(empty, F.lit(NO_TEXT_ERROR))))

@@ -4,11 +4,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..constants import NO_TEXT_ERROR
 from ..functions.html import drop_elements, page_title
 from ..operators.chunks import synthesis_manifest
 from ..operators.extract import body_text, cascade_extract, structural_extract, structural_text
-from ..operators.speech import prepare_speech
+from ..operators.speech import prepare_speech, with_synthesis_error
 from ..sources.fixtures import voice_by
 from ..sources.tables import read_table, spread
 
@@ -22,11 +21,7 @@ def page_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     ext = structural_extract(_pages(spark, sf_dir, "page_id", "url", "html"))
     jobs = ext.select(F.col("page_id").alias("content_id"), "url", "title", "original_text", "error",
                       voice_by(F.col("page_id")).alias("voice"))
-    jobs = prepare_speech(jobs)
-    # an extracted text that cleans down to nothing has no synthesis input
-    return jobs.withColumn(
-        "error", F.coalesce(F.col("error"),
-                            F.when(F.coalesce(F.col("processed_text"), F.lit("")) == "", F.lit(NO_TEXT_ERROR))))
+    return with_synthesis_error(prepare_speech(jobs))
 
 
 def page_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
