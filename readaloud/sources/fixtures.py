@@ -115,8 +115,12 @@ def feed_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     a hot feed in one task. Operators that need positions take the first N
     per feed, which Spark plans as a partial (map-side) group limit.
     """
-    d = read_table(spark, sf_dir, "documents", "doc_id", "source", "text")
-    return d.select(
+    return entries_of(read_table(spark, sf_dir, "documents", "doc_id", "source", "text"))
+
+
+def entries_of(documents: DataFrame) -> DataFrame:
+    """Feed entries from document rows (batch or one streaming micro-batch)."""
+    return documents.select(
         feed_number(F.col("source")).alias("feed_id"),
         F.col("doc_id").alias("entry_order"),
         F.when(F.col("doc_id") % 97 == 0, F.lit("")).otherwise(F.md5("text")).alias("link"),

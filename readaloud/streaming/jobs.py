@@ -13,6 +13,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.errors import AnalysisException
 from pyspark.sql.streaming import DataStreamWriter
 
 from ..constants import RATE_API_SUBMIT
@@ -125,10 +126,13 @@ def stream_latest_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_feed_poll(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Feed polling as a stream of arriving entries; each micro-batch runs one refresh.
+    """Feed polling as a stream of fetched feed snapshots; each micro-batch runs one refresh.
 
-    In production the trigger would be ``processingTime='30 minutes'``; the
-    batch function is the same due-feeds / top-N / anti-join / first-wins job.
+    Each micro-batch holds whole feed documents (a poll's snapshot), so top-N
+    is taken within the batch; links are checked against the stored content
+    plus everything earlier polls ingested. In production the trigger would be
+    ``processingTime='30 minutes'``; the batch function is the same
+    due-feeds / top-N / anti-join / first-wins job as the batch refresh.
     """
     work = _workdir(spark, "feedpoll")
     sink = os.path.join(work, "out")
@@ -137,12 +141,15 @@ def stream_feed_poll(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = stream_table(spark, sf_dir, "documents")
 
     def poll(batch: DataFrame, batch_id: int) -> None:
-        entries = batch.select(X.feed_number(F.col("source")).alias("feed_id"), F.col("doc_id").alias("entry_order"),
-                               F.when(F.col("doc_id") % 97 == 0, F.lit("")).otherwise(F.md5("text")).alias("link"),
-                               F.substring("text", 1, 40).alias("title"))
+        # the content table as it stands: stored URLs plus what earlier polls ingested
+        try:
+            seen = known.unionByName(spark.read.parquet(sink).select("url"))
+        except AnalysisException:  # no poll has written yet
+            seen = known
+        entries = X.entries_of(batch)
         due = FO.due_feeds(feeds, X.now_ts()).select(F.col("id").alias("feed_id"))
         top = FO.top_entries(entries.join(due, "feed_id", "left_semi"))
-        FO.new_entries(top, known, feeds).write.mode("append").parquet(sink)
+        FO.new_entries(top, seen, feeds).write.mode("append").parquet(sink)
 
     q = (docs.writeStream.foreachBatch(poll).option("checkpointLocation", os.path.join(work, "checkpoint"))
          .trigger(availableNow=True).start())
