@@ -9,6 +9,7 @@ per function.
 from __future__ import annotations
 
 import html.entities
+import json
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -25,9 +26,14 @@ _TAG = (r"<(?:[A-Za-z][^\s/>]*(?:\"[^\"]*\"|'[^']*'|[^'\">])*"
         r"|/[A-Za-z][^>]*|!--.*?--|![^>]*|\?[^>]*)>")
 TAG_RUN = "(?s)(?:" + _TAG + ")+"
 
-# Character references: numeric (decimal / hex) and named, ';' optional.
+# Character references: numeric (decimal / hex) and named, ';' optional. Named
+# ones use the HTML5 table; numeric 128-159 follow Windows-1252.
 ENTITY = r"&(?:#[0-9]{1,8}|#[xX][0-9a-fA-F]{1,8}|[A-Za-z][A-Za-z0-9]*);?"
 
+# Names looked up in a small table before the full one.
+COMMON_ENTITIES = ("hellip", "mdash", "ndash", "rsquo", "lsquo", "ldquo", "rdquo", "middot", "copy",
+                   "nbsp", "apos", "quot", "gt", "lt", "amp")
+
 # Elements whose content is not text (raw-text elements).
 _RAW_TEXT = ("script", "style", "template")
 _VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link",
@@ -36,15 +42,38 @@ _VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link",
 
 @lru_cache(maxsize=1)
 def _entity_pairs() -> tuple[tuple[str, str], ...]:
-    # The named set is the standard HTML 4 table shipped with Python.
-    return tuple(sorted((k, chr(v)) for k, v in html.entities.name2codepoint.items()))
+    """Named references: the HTML5 table shipped with Python, names without ';'."""
+    names: dict[str, str] = {}
+    for key, value in html.entities.html5.items():
+        names.setdefault(key[:-1] if key.endswith(";") else key, value)
+    return tuple(sorted(names.items()))
+
+
+@lru_cache(maxsize=1)
+def _cp1252_pairs() -> tuple[tuple[int, str], ...]:
+    """Numeric references 128-159 name Windows-1252 characters in practice (by codec rule)."""
+    out = []
+    for n in range(128, 160):
+        try:
+            out.append((n, bytes([n]).decode("cp1252")))
+        except UnicodeDecodeError:
+            pass
+    return tuple(out)
 
 
 def _entity_map() -> Column:
-    args = []
-    for k, v in _entity_pairs():
-        args += [F.lit(k), F.lit(v)]
-    return F.create_map(*args)
+    # One JSON literal parsed into a map (folded to a constant by the optimizer):
+    # a 2k-entry map built from literals would put 4k nodes into every plan.
+    return F.from_json(F.lit(json.dumps(dict(_entity_pairs()))), "map<string,string>")
+
+
+def _cp1252_map() -> Column:
+    return F.from_json(F.lit(json.dumps({str(k): v for k, v in _cp1252_pairs()})), "map<string,string>")
+
+
+def _common_map() -> Column:
+    table = dict(_entity_pairs())
+    return F.from_json(F.lit(json.dumps({k: table[k] for k in COMMON_ENTITIES})), "map<string,string>")
 
 
 def _decode_one(e: Column) -> Column:
@@ -55,9 +84,11 @@ def _decode_one(e: Column) -> Column:
     cp = F.when(hexd != "", F.conv(hexd, 16, 10).cast("bigint")).otherwise(decd.cast("bigint"))
     valid = (cp > 0) & (cp <= 0x10FFFF) & ~cp.between(0xD800, 0xDFFF)
     as_char = F.decode(F.unhex(F.lpad(F.hex(cp), 8, "0")), "UTF-32")
-    numeric = F.when(valid, as_char).otherwise(F.lit("�"))
-    return (F.when(name != "", F.coalesce(F.try_element_at(_entity_map(), name), e))
-            .otherwise(numeric))
+    numeric = F.coalesce(F.try_element_at(_cp1252_map(), cp.cast("string")),
+                         F.when(valid, as_char).otherwise(F.lit("\ufffd")))
+    # frequent names first in a small table: a map literal lookup is a linear scan
+    named = F.coalesce(F.try_element_at(_common_map(), name), F.try_element_at(_entity_map(), name), e)
+    return F.when(name != "", named).otherwise(numeric)
 
 
 def decode_entities(c: Column) -> Column:

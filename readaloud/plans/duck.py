@@ -7,7 +7,6 @@ on the test data (ASCII whitespace only).
 """
 from __future__ import annotations
 
-import html.entities
 
 from ..constants import (ABBREVIATIONS, BOILERPLATE_TAGS, DEFAULT_VOICE, EMAIL_PLACEHOLDER,
                          EXTRACT_ERROR, FIXTURE_EPOCH, FIXTURE_NOW, MAX_CHUNK_CHARS,
@@ -26,15 +25,20 @@ ATTRS = r"(?:" + '"[^"]*"' + r"|'[^']*'|[^'" + '"' + r">])*"
 
 
 def _entity_map() -> str:
-    pairs = sorted((k, chr(v)) for k, v in html.entities.name2codepoint.items())
-    return "MAP {" + ", ".join(f"{q(k)}: {q(v)}" for k, v in pairs) + "}"
+    from ..functions.html import _entity_pairs
+    return "MAP {" + ", ".join(f"{q(k)}: {q(v)}" for k, v in _entity_pairs()) + "}"
+
+
+def _cp1252_map() -> str:
+    from ..functions.html import _cp1252_pairs
+    return "MAP {" + ", ".join(f"{k}: {q(v)}" for k, v in _cp1252_pairs()) + "}"
 
 
 def decode_one(e: str) -> str:
     hexd = f"regexp_extract({e}, '^&#[xX]([0-9a-fA-F]+);?$', 1)"
     decd = f"regexp_extract({e}, '^&#([0-9]+);?$', 1)"
     cp = f"(CASE WHEN {hexd} <> '' THEN ('0x' || {hexd})::BIGINT ELSE TRY_CAST({decd} AS BIGINT) END)"
-    num = (f"(CASE WHEN {cp} > 0 AND {cp} <= 1114111 AND NOT ({cp} BETWEEN 55296 AND 57343) "
+    num = (f"coalesce(({_cp1252_map()})[{cp}], CASE WHEN {cp} > 0 AND {cp} <= 1114111 AND NOT ({cp} BETWEEN 55296 AND 57343) "
            f"THEN chr({cp}::INTEGER) ELSE chr(65533) END)")
     name = f"regexp_extract({e}, '^&([A-Za-z][A-Za-z0-9]*);?$', 1)"
     return f"(CASE WHEN {name} <> '' THEN coalesce(({_entity_map()})[{name}], {e}) ELSE {num} END)"
