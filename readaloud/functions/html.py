@@ -16,7 +16,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..constants import BOILERPLATE_TAGS, MAIN_ID_PATTERN
-from .regex import let
+from .regex import let, reuse
 
 SEP = "\x02"  # stands for one run of markup between two text nodes
 CUT = "\x03"  # marks a cut point before a tag
@@ -91,6 +91,7 @@ def _decode_one(e: Column) -> Column:
     return F.when(name != "", named).otherwise(numeric)
 
 
+@reuse
 def decode_entities(c: Column) -> Column:
     """Single-pass character-reference decoding (``&amp;lt;`` -> ``&lt;``)."""
     def body(x):
@@ -102,6 +103,7 @@ def decode_entities(c: Column) -> Column:
     return let(c, body)
 
 
+@reuse
 def drop_elements(html_col: Column, tags=BOILERPLATE_TAGS) -> Column:
     """Remove whole elements (start tag .. matching end tag) for each tag.
 
@@ -115,6 +117,7 @@ def drop_elements(html_col: Column, tags=BOILERPLATE_TAGS) -> Column:
     return out
 
 
+@reuse
 def html_to_text(html_col: Column) -> Column:
     """Text nodes joined by a newline; raw-text elements contribute nothing."""
     def markup(x):
@@ -126,6 +129,7 @@ def html_to_text(html_col: Column) -> Column:
     return decode_entities(let(html_col, lambda x: F.when(F.instr(x, "<") > 0, markup(x)).otherwise(x)))
 
 
+@reuse
 def page_title(html_col: Column) -> Column:
     """Text of the first <title>; NULL when absent, empty or not a single string."""
     def body(h):
@@ -192,6 +196,7 @@ def element_by_id_inner(html_col: Column, id_pattern: str = MAIN_ID_PATTERN) ->
     return let(html_col, body)
 
 
+@reuse
 def structural_main_html(stripped: Column) -> Column:
     """<article>, else <main>, else the element with a content-like id, else all."""
     return let(stripped, lambda s: F.coalesce(element_inner(s, "article"),
@@ -200,6 +205,7 @@ def structural_main_html(stripped: Column) -> Column:
                                               s))
 
 
+@reuse
 def body_html(html_col: Column) -> Column:
     """Inner markup of <body>, or the whole document when it has none."""
     return let(html_col, lambda h: F.coalesce(element_inner(h, "body"), h))

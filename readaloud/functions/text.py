@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..constants import (ABBREVIATIONS, EMAIL_PLACEHOLDER, HASH_PREFIX_CHARS,
                          PARAGRAPH_SPLIT_CHARS, WORDS_PER_MINUTE)
 from .html import html_to_text
-from .regex import DIGIT, NOT_AFTER_WORD, NOT_BEFORE_WORD, NWS, WORD, WS, WS_CHARS, guarded_replace, let
+from .regex import DIGIT, NOT_AFTER_WORD, NOT_BEFORE_WORD, NWS, WORD, WS, WS_CHARS, guarded_replace, let, reuse
 
 SENTENCE_BREAK = rf"(?<=[.!?]){WS}+"
 
@@ -79,6 +79,7 @@ def resplit_long_paragraphs(paras: Column, limit: int = PARAGRAPH_SPLIT_CHARS) -
         .otherwise(F.array(p))))
 
 
+@reuse
 def clean_content(c: Column) -> Column:
     """Blank-line collapse, e-mail redaction, long-paragraph re-packing."""
     def body(x):
@@ -108,6 +109,7 @@ def space_after_punctuation(c: Column) -> Column:
     return F.regexp_replace(c, rf"([.!?]){WS}*", "$1 ")
 
 
+@reuse
 def basic_clean(c: Column) -> Column:
     """Markup to text, URLs removed, whitespace normalised, punctuation spaced."""
     t = html_to_text(c)
@@ -118,6 +120,7 @@ def basic_clean(c: Column) -> Column:
     return strip_ws(t)
 
 
+@reuse
 def expand_abbreviations(c: Column) -> Column:
     """Each abbreviation, not preceded by a word character, becomes its spoken form.
 
@@ -153,6 +156,7 @@ def insert_pauses(c: Column) -> Column:
     return F.regexp_replace(c, "\n\n", ".\n\n")
 
 
+@reuse
 def format_for_speech(c: Column) -> Column:
     return insert_pauses(speak_times(speak_dates(expand_abbreviations(c))))
 
@@ -163,6 +167,7 @@ def prefix_title(title: Column, text: Column) -> Column:
                                 F.concat(s["t"], F.lit(".\n\n"), s["x"])).otherwise(s["x"]))
 
 
+@reuse
 def word_count(c: Column) -> Column:
     """Number of whitespace-separated tokens."""
     return F.coalesce(F.regexp_count(c, F.lit(f"{NWS}+")), F.lit(0)).cast("bigint")

@@ -10,10 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import DEFAULT_VOICE, MAX_CHUNK_CHARS, SYNTHESIS_MODEL, VOICES, WORDS_PER_MINUTE
-from ..functions.regex import let
+from ..functions.regex import let, reuse
 from ..functions.text import pack_sentences, split_sentences, word_count
 
 
+@reuse
 def chunk_text(c: Column, limit: int = MAX_CHUNK_CHARS) -> Column:
     """Short text is one chunk; longer text is packed from its sentences.
 
@@ -28,6 +29,7 @@ def effective_voice(voice: Column) -> Column:
     return F.when(voice.isin(*VOICES), voice).otherwise(F.lit(DEFAULT_VOICE))
 
 
+@reuse
 def _prefix_sums(xs: Column) -> Column:
     """Exclusive prefix sums of a bigint array (element i = sum of 0..i-1)."""
     init = F.struct(F.array().cast("array<bigint>").alias("acc"), F.lit(0).cast("bigint").alias("s"))
@@ -36,6 +38,11 @@ def _prefix_sums(xs: Column) -> Column:
     return st["acc"]
 
 
+@reuse
+def _chunk_words(chunks: Column) -> Column:
+    return F.transform(chunks, lambda c: word_count(c))
+
+
 def seconds(words: Column) -> Column:
     return words.cast("double") / F.lit(float(WORDS_PER_MINUTE)) * F.lit(60.0)
 
@@ -56,7 +63,7 @@ def explode_chunks(df: DataFrame, key: str, chunks: str = "chunks",
     """
     arr_col = F.col(chunks) if valid is None else F.when(valid, F.col(chunks))
     words = df.select("*", arr_col.alias("_c")).drop(chunks).withColumnRenamed("_c", chunks)
-    words = words.select("*", F.transform(F.col(chunks), lambda c: word_count(c)).alias("_w"))
+    words = words.select("*", _chunk_words(F.col(chunks)).alias("_w"))
     arr = F.arrays_zip(F.col(chunks).alias("chunk"), F.col("_w").alias("w"), _prefix_sums(F.col("_w")).alias("w0"))
     single = F.size(F.col(chunks)) == 1
     out = words.select(F.col(key), *[F.col(k) for k in keep],
