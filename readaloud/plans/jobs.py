@@ -4,8 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..constants import (DEFAULT_VOICE, DOWNLOAD_DEFAULT_NAME, EXTRACT_ERROR, GUEST_CONVERSION_LIMIT,
-                         UNTITLED_POST, VOICES)
+from ..constants import DEFAULT_VOICE, DOWNLOAD_DEFAULT_NAME, GUEST_CONVERSION_LIMIT, UNTITLED_POST, VOICES
 from ..functions import status as S
 from ..functions.text import content_hash
 from ..functions.urls import domain, is_http_url, is_valid_url, matches_url_pattern
@@ -203,8 +202,6 @@ def url_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
                     matches_url_pattern(F.col("url")).alias("valid_pattern"))
 
 
-__all__ = ["EXTRACT_ERROR"]
-
 
 def content_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Status requests by content id, in bulk: found flag, status, or not-found.

@@ -21,7 +21,7 @@ from ..functions.status import content_status
 from ..operators import feeds as FO
 from ..session import ensure_checkpoint_dir
 from ..sources import fixtures as X
-from ..sources.tables import read_table, table_path
+from ..sources.tables import table_path
 
 WATERMARK = "1 hour"
 
@@ -156,5 +156,3 @@ def stream_feed_poll(spark: SparkSession, sf_dir: str) -> DataFrame:
     q.awaitTermination()
     return spark.read.parquet(sink).select("url", "feed_id", "pos", "title", "user_id")
 
-
-__all__ = ["read_table"]
