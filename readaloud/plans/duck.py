@@ -258,10 +258,10 @@ FEEDS = f"""feeds AS (
     (id % 4 <> 0) AS is_active,
     {EPOCH} + to_hours(id) AS created_at,
     CAST(id % 7 + 1 AS BIGINT) AS user_id
-  FROM (SELECT DISTINCT source, CAST(regexp_extract(source, '(\\d+)$', 1) AS BIGINT) AS id FROM documents))"""
+  FROM (SELECT DISTINCT source, TRY_CAST(regexp_extract(source, '(\\d+)$', 1) AS BIGINT) AS id FROM documents))"""
 
 FEED_ENTRIES = """feed_entries AS (
-  SELECT CAST(regexp_extract(source, '(\\d+)$', 1) AS BIGINT) AS feed_id, doc_id AS entry_order,
+  SELECT TRY_CAST(regexp_extract(source, '(\\d+)$', 1) AS BIGINT) AS feed_id, doc_id AS entry_order,
     CASE WHEN doc_id % 97 = 0 THEN '' ELSE md5(text) END AS link,
     substr(text, 1, 40) AS title
   FROM documents)"""

@@ -84,7 +84,7 @@ def submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feed_number(source: Column) -> Column:
-    return F.regexp_extract(source, r"(\d+)$", 1).cast("bigint")
+    return F.regexp_extract(source, r"(\d+)$", 1).try_cast("bigint")
 
 
 def feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
