@@ -47,6 +47,15 @@ def run_available(writer: DataStreamWriter, work: str, fmt: str = "parquet") ->
     return out
 
 
+def write_batch_output(df: DataFrame, sink: str, batch_id: int) -> None:
+    """Idempotent micro-batch write: each batch owns the folder ``batch_id=N``.
+
+    A batch that is re-run after a failure overwrites its own folder instead of
+    appending a second copy; readers see ``batch_id`` as a partition column.
+    """
+    df.write.mode("overwrite").parquet(os.path.join(sink, f"batch_id={batch_id}"))
+
+
 def _event_time(df: DataFrame, col: str = "ts") -> DataFrame:
     """Watermarks need TIMESTAMP; the tables carry TIMESTAMP_NTZ (UTC wall clock)."""
     return df.withColumn(col, F.col(col).cast("timestamp"))
@@ -115,7 +124,7 @@ def stream_latest_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     sink = os.path.join(work, "batches")
 
     def write_batch(df: DataFrame, batch_id: int) -> None:
-        df.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(sink)
+        write_batch_output(df, sink, batch_id)
 
     q = (latest.writeStream.outputMode("update").foreachBatch(write_batch)
          .option("checkpointLocation", os.path.join(work, "checkpoint")).trigger(availableNow=True).start())
@@ -142,14 +151,15 @@ def stream_feed_poll(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def poll(batch: DataFrame, batch_id: int) -> None:
         # the content table as it stands: stored URLs plus what earlier polls ingested
-        try:
-            seen = known.unionByName(spark.read.parquet(sink).select("url"))
+        try:  # earlier batches only: a replayed batch must not see its own partial output
+            earlier = spark.read.parquet(sink).where(F.col("batch_id") < batch_id).select("url")
+            seen = known.unionByName(earlier)
         except AnalysisException:  # no poll has written yet
             seen = known
         entries = X.entries_of(batch)
         due = FO.due_feeds(feeds, X.now_ts()).select(F.col("id").alias("feed_id"))
         top = FO.top_entries(entries.join(due, "feed_id", "left_semi"))
-        FO.new_entries(top, seen, feeds).write.mode("append").parquet(sink)
+        write_batch_output(FO.new_entries(top, seen, feeds), sink, batch_id)
 
     q = (docs.writeStream.foreachBatch(poll).option("checkpointLocation", os.path.join(work, "checkpoint"))
          .trigger(availableNow=True).start())
