@@ -1,7 +1,7 @@
 """Oracle SQL (DuckDB) for the job, request, status and report queries."""
 from __future__ import annotations
 
-from ..constants import DEFAULT_VOICE, GUEST_CONVERSION_LIMIT, VOICES
+from ..constants import DEFAULT_VOICE, DOWNLOAD_DEFAULT_NAME, GUEST_CONVERSION_LIMIT, VOICES
 from . import duck as d
 from .jobs import ADMISSION_LIMIT, BAD_URLS, BASE_URL
 from .pages_sql import _extract_ctes, _speech_ctes
@@ -75,7 +75,7 @@ def content_next_view() -> str:
 def content_downloadable() -> str:
     badge = ("CASE WHEN st = 'completed' THEN 'Ready to Play' WHEN st = 'processing' THEN 'Processing' "
              "WHEN st = 'pending' THEN 'Pending' ELSE 'Error' END")
-    chosen = f"CASE WHEN {truthy('title')} THEN title ELSE {d.q('blog-audio')} END"
+    chosen = f"CASE WHEN {truthy('title')} THEN title ELSE {d.q(DOWNLOAD_DEFAULT_NAME)} END"
     name = f"{secure_filename(chosen)} || '.mp3'"
     return d.with_ctes(d.CONTENT_JOBS, f"c AS (SELECT *, {STATUS} AS st FROM content_jobs)") + (
         f"SELECT id, is_processed AND {truthy('file_path')} AND NOT {truthy('error')} AS downloadable, "
