@@ -50,3 +50,12 @@ def filter_computed(df: DataFrame, cond) -> DataFrame:
     from pyspark.sql import functions as F
     gate = F.explode_outer(F.when(cond, F.array(F.lit(True))))
     return df.select("*", gate.alias("_keep")).where(F.col("_keep")).drop("_keep")
+
+
+def read_stored(spark: SparkSession, path: str, schema) -> DataFrame:
+    """Read a stored application table with its declared schema.
+
+    Columns a file lacks (written before they were added) read as NULL, so
+    old and new versions of a table union without a rewrite.
+    """
+    return spark.read.schema(schema).parquet(path)
