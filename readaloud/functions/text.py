@@ -28,7 +28,15 @@ def collapse_blank_lines(c: Column) -> Column:
 
 
 def redact_emails(c: Column) -> Column:
-    return guarded_replace(c, "@", rf"[\p{{L}}\p{{N}}_.-]+@[\p{{L}}\p{{N}}_.-]+\.{WORD}+", EMAIL_PLACEHOLDER)
+    """E-mail-like tokens become a placeholder.
+
+    A match can only begin where a run of name characters begins (a shorter
+    start inside the run ends at the same place), so the look-behind changes
+    no result; it keeps a long run without ``@`` from being rescanned from
+    every position (quadratic on, say, an embedded base64 blob).
+    """
+    name = r"[\p{L}\p{N}_.-]"
+    return guarded_replace(c, "@", rf"(?<!{name}){name}++@{name}+\.{WORD}+", EMAIL_PLACEHOLDER)
 
 
 def paragraphs(c: Column) -> Column:

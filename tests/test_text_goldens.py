@@ -62,3 +62,15 @@ def test_clean_content_repacks_long_paragraphs(spark):
 def test_clean_content_is_idempotent_on_short_text(spark):
     s = "One. Two three.\n\nFour."
     assert one(spark, T.clean_content, [s]) == [s]
+
+
+def test_redaction_matches_python_rule_and_stays_linear(spark):
+    import re
+    import time
+    pat = re.compile(r"[\w\.-]+@[\w\.-]+\.\w+")
+    vals = ["mail x.y-z@exa-mple.co.uk and a@b.c", "é.x@exa-mple.fr", "a@b", "@@x.y", "x@y.z@w.v",
+            "a" * 100_000 + " x@y.com"]
+    t0 = time.time()
+    got = one(spark, T.redact_emails, vals)
+    assert got == [pat.sub("[EMAIL REMOVED]", v) for v in vals]
+    assert time.time() - t0 < 30   # a quadratic rescan of the long run would take minutes
