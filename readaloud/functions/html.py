@@ -21,10 +21,14 @@ from .regex import let, reuse
 SEP = "\x02"  # stands for one run of markup between two text nodes
 CUT = "\x03"  # marks a cut point before a tag
 
-# One start tag (quote-aware attributes), end tag, comment, declaration or PI.
-_TAG = (r"<(?:[A-Za-z][^\s/>]*(?:\"[^\"]*\"|'[^']*'|[^'\">])*"
-        r"|/[A-Za-z][^>]*|!--.*?--|![^>]*|\?[^>]*)>")
-TAG_RUN = "(?s)(?:" + _TAG + ")+"
+# Attribute text: unquoted runs and quoted values. Runs are matched possessively
+# so a long attribute or an unclosed tag is one loop, not one regex stack frame
+# per character (java.util.regex recurses on repeated alternations).
+ATTRS = "(?:[^'\">]++|\"[^\"]*+\"|'[^']*+')*+"
+# One start tag, end tag, comment, declaration or processing instruction.
+_TAG = (r"<(?:[A-Za-z][^\s/>]*+" + ATTRS +
+        r"|/[A-Za-z][^>]*+|!--.*?--|![^>]*+|\?[^>]*+)>")
+TAG = "(?s)" + _TAG
 
 # Character references: numeric (decimal / hex) and named, ';' optional. Named
 # ones use the HTML5 table; numeric 128-159 follow Windows-1252.
@@ -113,7 +117,9 @@ def drop_elements(html_col: Column, tags=BOILERPLATE_TAGS) -> Column:
     """
     out = html_col
     for t in tags:
-        out = F.regexp_replace(out, rf"(?is)<{t}(?![A-Za-z0-9])[^>]*>.*?</{t}\s*>", "<!---->")
+        # raw-text elements (script, style) run to the end when never closed
+        end = rf"(?:</{t}\s*>|$)" if t in _RAW_TEXT else rf"</{t}\s*>"
+        out = F.regexp_replace(out, rf"(?is)<{t}(?![A-Za-z0-9])[^>]*>.*?{end}", "<!---->")
     return out
 
 
@@ -122,7 +128,8 @@ def html_to_text(html_col: Column) -> Column:
     """Text nodes joined by a newline; raw-text elements contribute nothing."""
     def markup(x):
         s = drop_elements(x, _RAW_TEXT)
-        s = F.regexp_replace(s, TAG_RUN, SEP)
+        # each tag becomes a separator, then a run of separators becomes one
+        s = F.regexp_replace(F.regexp_replace(s, TAG, SEP), f"{SEP}{SEP}+", SEP)
         s = F.regexp_replace(s, f"^{SEP}|{SEP}$", "")
         return F.translate(s, SEP, "\n")
     # text without '<' has no markup: only the character references remain
@@ -173,7 +180,7 @@ def _balanced_take(pieces: Column) -> Column:
 
 def element_inner(html_col: Column, tag: str) -> Column:
     """Inner markup of the first <tag> element, NULL when there is none."""
-    start = rf"(?is)<{tag}(?![A-Za-z0-9])(?:\"[^\"]*\"|'[^']*'|[^'\">])*>"
+    start = rf"(?is)<{tag}(?![A-Za-z0-9])" + ATTRS + ">"
 
     def body(h):
         found = F.regexp_instr(h, F.lit(start)) > 0
@@ -185,7 +192,7 @@ def element_by_id_inner(html_col: Column, id_pattern: str = MAIN_ID_PATTERN) ->
     """Inner markup of the first element whose id contains ``id_pattern`` (any case)."""
     val = rf"(?:\"[^\"]*(?:{id_pattern})[^\"]*\"|'[^']*(?:{id_pattern})[^']*'|[^\s\"'>]*(?:{id_pattern})[^\s>]*)"
     start = (rf"(?is)<([A-Za-z][A-Za-z0-9]*)\s(?:[^>]*?\s)?id\s*=\s*{val}"
-             rf"(?:\"[^\"]*\"|'[^']*'|[^'\">])*>")
+             + ATTRS + ">")
 
     def body(h):
         found = F.regexp_instr(h, F.lit(start)) > 0

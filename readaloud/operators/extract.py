@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import EXTRACT_ERROR
-from ..functions.html import (TAG_RUN, body_html, drop_elements, html_to_text, page_title,
+from ..functions.html import (TAG, body_html, drop_elements, html_to_text, page_title,
                               structural_main_html)
 from ..functions.regex import let
 from ..functions.text import clean_content, collapse_whitespace, strip_ws
@@ -61,7 +61,7 @@ def _block_items(stripped: Column) -> Column:
     """
     def item(b):
         t = strip_ws(collapse_whitespace(html_to_text(b)))
-        anchor = F.regexp_replace(F.array_join(F.regexp_extract_all(b, F.lit(ANCHOR), 1), ""), TAG_RUN, "")
+        anchor = F.regexp_replace(F.array_join(F.regexp_extract_all(b, F.lit(ANCHOR), 1), ""), TAG, "")
         return let(t, lambda tt: F.struct(
             tt.alias("t"),
             ((F.length(tt) >= MIN_BLOCK_CHARS) &

@@ -55,7 +55,8 @@ def decode_entities(x: str) -> str:
 def drop_elements(x: str, tags=BOILERPLATE_TAGS) -> str:
     out = x
     for t in tags:
-        out = f"regexp_replace({out}, {q(rf'(?is)<{t}\b[^>]*>.*?</{t}\s*>')}, '<!---->', 'g')"
+        end = rf"(?:</{t}\s*>|$)" if t in ("script", "style", "template") else rf"</{t}\s*>"
+        out = f"regexp_replace({out}, {q(rf'(?is)<{t}\b[^>]*>.*?' + end)}, '<!---->', 'g')"
     return out
 
 

@@ -9,23 +9,45 @@ from readaloud.operators.extract import structural_text
 
 
 class _Texts(HTMLParser):
-    """Collects text nodes outside script/style, like a text walk with a separator."""
+    """Collects text nodes outside script/style; adjacent data events form one node."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.parts, self.skip = [], 0
+        self.parts, self.buf, self.skip = [], [], 0
+
+    def _flush(self):
+        if self.buf and not self.skip:
+            self.parts.append("".join(self.buf))
+        self.buf = []
 
     def handle_starttag(self, tag, attrs):
+        self._flush()
         if tag in ("script", "style", "template"):
             self.skip += 1
 
+    def handle_startendtag(self, tag, attrs):
+        self._flush()
+
     def handle_endtag(self, tag):
+        self._flush()
         if tag in ("script", "style", "template") and self.skip:
             self.skip -= 1
 
+    def handle_comment(self, data):
+        self._flush()
+
+    def handle_decl(self, decl):
+        self._flush()
+
+    def handle_pi(self, data):
+        self._flush()
+
     def handle_data(self, data):
-        if not self.skip:
-            self.parts.append(data)
+        self.buf.append(data)
+
+    def close(self):
+        super().close()
+        self._flush()
 
 
 def walk_text(html):
@@ -68,3 +90,13 @@ def test_structural_pick_order(spark):
 def test_nested_same_name_element(spark):
     got = one(spark, lambda c: H.element_inner(c, "article"), ["<article>a<article>b</article>c</article>d"])
     assert got == ["a<article>b</article>c"]
+
+
+def test_long_markup_does_not_overflow_the_regex_stack(spark):
+    # a long attribute, an unclosed tag, and a long run of adjacent tags: each used
+    # to recurse once per character / tag inside java.util.regex
+    pages = ['<p title="' + "y" * 100_000 + '">t</p>', "<a " + "x" * 100_000, "<br>" * 50_000 + "end",
+             "<script>" + "z" * 100_000]
+    got = one(spark, H.html_to_text, pages)
+    assert got[0] == "t" and got[2] == "end" and got[3] == ""
+    assert got[1] == walk_text(pages[1])
