@@ -136,18 +136,12 @@ def expand_abbreviations(c: Column) -> Column:
     character before it with a look-behind, which lets the regex engine skip
     quickly to candidate positions.
     """
-    pats = []
+    out = c
     for abbr, spoken in ABBREVIATIONS:
         first, rest = abbr[0], abbr[1:].replace(".", r"\.")
-        pats.append((rf"{first}(?<![\p{{L}}\p{{N}}_]{first}){rest}", spoken))
-    any_abbr = "|".join(p for p, _ in pats)
-
-    def body(x):
-        out = x
-        for pat, spoken in pats:
-            out = F.regexp_replace(out, pat, spoken)
-        return F.when(x.rlike(any_abbr), out).otherwise(x)  # one scan decides if any apply
-    return let(c, body)
+        # each rule runs only on rows that contain its abbreviation at all
+        out = guarded_replace(out, abbr, rf"{first}(?<![\p{{L}}\p{{N}}_]{first}){rest}", spoken)
+    return out
 
 
 def speak_dates(c: Column) -> Column:
