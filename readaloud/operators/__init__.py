@@ -1,0 +1 @@
+"""DataFrame operators: extraction, speech preparation, chunks, language, feeds, jobs, checks."""

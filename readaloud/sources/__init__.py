@@ -1,0 +1 @@
+"""Table reads, derived application tables and sinks."""
