@@ -231,3 +231,19 @@ def user_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     zero = F.lit(0).cast("bigint")
     return j.select("user_id", "username", F.coalesce("n_contents", zero).alias("n_contents"),
                     F.coalesce("n_completed", zero).alias("n_completed"), F.coalesce("n_feeds", zero).alias("n_feeds"))
+
+
+def quota_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests, admitted and rejected per client under each of the three ceilings.
+
+    Web submissions 5 per minute, API submissions 10 per hour and the default
+    100 per day, as tumbling windows; each is one partial aggregate.
+    """
+    from functools import reduce
+
+    from ..constants import RATE_API_SUBMIT, RATE_DEFAULT, RATE_WEB_SUBMIT
+    from ..operators.jobs import window_counts
+    s = X.submissions(spark, sf_dir).select("client", "ts")
+    parts = [window_counts(s, "client", "ts", limit, period).select(F.lit(name).alias("ceiling"), "*")
+             for name, (limit, period) in (("web", RATE_WEB_SUBMIT), ("api", RATE_API_SUBMIT), ("default", RATE_DEFAULT))]
+    return reduce(DataFrame.unionByName, parts)

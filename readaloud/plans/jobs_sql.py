@@ -246,3 +246,15 @@ def user_overview() -> str:
         "SELECT u.id AS user_id, u.username, coalesce(pc.n_contents, 0) AS n_contents, "
         "coalesce(pc.n_completed, 0) AS n_completed, coalesce(pf.n_feeds, 0) AS n_feeds "
         "FROM users u LEFT JOIN pc ON u.id = pc.user_id LEFT JOIN pf ON u.id = pf.user_id")
+
+
+def quota_window_counts() -> str:
+    from ..constants import RATE_API_SUBMIT, RATE_DEFAULT, RATE_WEB_SUBMIT
+    parts = []
+    for name, (limit, period) in (("web", RATE_WEB_SUBMIT), ("api", RATE_API_SUBMIT), ("default", RATE_DEFAULT)):
+        unit = period.split()[1]  # "1 minute" -> minute
+        parts.append(
+            f"SELECT '{name}' AS ceiling, client, date_trunc('{unit}', ts) AS window_start, count(*) AS n_requests, "
+            f"least(count(*), {limit}) AS n_admitted, greatest(count(*) - {limit}, 0) AS n_rejected "
+            f"FROM submissions GROUP BY client, date_trunc('{unit}', ts)")
+    return d.with_ctes(d.SUBMISSIONS) + " UNION ALL ".join(parts)

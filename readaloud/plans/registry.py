@@ -44,6 +44,7 @@ REGISTRY: dict[str, tuple[Builder, Callable[[], str] | None]] = {
     "request_cache_web": (jobs.request_cache_web, jobs_sql.request_cache_web),
     "request_cache_api": (jobs.request_cache_api, jobs_sql.request_cache_api),
     "request_admission": (jobs.request_admission, jobs_sql.request_admission),
+    "quota_window_counts": (jobs.quota_window_counts, jobs_sql.quota_window_counts),
     "guest_quota": (jobs.guest_quota, jobs_sql.guest_quota),
     "user_conversions": (jobs.user_conversions, jobs_sql.user_conversions),
     "voice_resolve": (jobs.voice_resolve, jobs_sql.voice_resolve),
