@@ -32,10 +32,12 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     (smaller tasks even out the uneven cost of long and short texts).
     """
     spark = df.sparkSession
-    target = min_partitions or spark.sparkContext.defaultParallelism * 3
-    if df.rdd.getNumPartitions() >= target:
+    try:
+        target = min_partitions or spark.sparkContext.defaultParallelism * 3
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # no RDD view (e.g. a remote session): leave the scan as it is
         return df
-    return df.repartition(target)
+    return df if splits >= target else df.repartition(target)
 
 
 def filter_computed(df: DataFrame, cond) -> DataFrame:
