@@ -3,10 +3,10 @@ import re
 
 import pytest
 
-import __spark_entry__ as E
 from conftest import SF_SMALL
+from readaloud.plans import registry
 
-QUERIES = E.queries()
+QUERIES = registry.queries()
 BATCH = sorted(n for n in QUERIES if not n.startswith("stream_"))
 
 
