@@ -85,3 +85,8 @@ def constant_array(values: list, kind: str) -> Column:
     """A constant array built from one literal (folded once by the optimizer), not one node per entry."""
     import json
     return F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
+
+
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, for expressions that refer to it inside a lambda."""
+    return F.transform(F.array(value), use)[0]

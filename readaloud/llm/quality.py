@@ -23,35 +23,40 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_RUN, constant_array, space_words, stored, text_or_empty
+from .common import SPACE_RUN, bound, constant_array, space_words, stored, text_or_empty
 
 SYMBOLS = "#*$%&|<>"
 PUNCTUATION = ".,;:!?'\"()-"
 #: One printable character stands for each common word.
 CODES = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz_-"
 MIN_SHARE = 1000
+#: Function words are short; longer words are not candidates for the common-word histogram.
+MAX_LETTERS = 5
 WINDOW = 5
 
 
 def _windows(hashes: Column) -> Column:
     """One hash per window of five consecutive words."""
-    return F.slice(F.transform(hashes, lambda h, i: F.xxhash64(h, *[F.get(hashes, i + k) for k in range(1, WINDOW)])),
-                   F.lit(1), F.greatest(F.size(hashes) - (WINDOW - 1), F.lit(0)))
+    def all_windows(hs: Column) -> Column:
+        return F.slice(F.transform(hs, lambda h, i: F.xxhash64(h, *[F.get(hs, i + k) for k in range(1, WINDOW)])),
+                       F.lit(1), F.greatest(F.size(hs) - (WINDOW - 1), F.lit(0)))
+    return bound(hashes, all_windows)
 
 
 def _repeat_words(windows: Column) -> Column:
     """Words inside windows that occur at least twice: sort windows, mark equal neighbours, add up their cover."""
-    ranked = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-
     def starts(s: Column) -> Column:
-        return F.array_sort(F.filter(F.transform(s, lambda x, k: F.when(
+        return F.sort_array(F.filter(F.transform(s, lambda x, k: F.when(
             (F.get(s, k - 1)["h"] == x["h"]) | (F.get(s, k + 1)["h"] == x["h"]), x["i"])), lambda p: p.isNotNull()))
 
     def cover(p: Column) -> Column:
         return F.aggregate(F.transform(p, lambda x, k: F.least(F.lit(WINDOW), F.coalesce(F.get(p, k + 1) - x, F.lit(WINDOW)))),
                            F.lit(0), lambda a, b: a + b)
-    covered = F.transform(F.transform(F.array(ranked), starts), cover)[0]
-    return F.when(F.size(F.array_distinct(windows)) < F.size(windows), covered).otherwise(0)
+
+    def covered(w: Column) -> Column:
+        ranked = F.sort_array(F.transform(w, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        return F.when(F.size(F.array_distinct(w)) < F.size(w), bound(bound(ranked, starts), cover)).otherwise(0)
+    return bound(windows, covered)
 
 
 def _count_in(marks: Column, chars: str) -> Column:
@@ -59,9 +64,10 @@ def _count_in(marks: Column, chars: str) -> Column:
 
 
 def common_words(docs: DataFrame, k: int = len(CODES)) -> list[int]:
-    """Hashes of the k words found in the largest share of documents, summed over the languages that hold 0.1 % of all."""
+    """Hashes of the k short words found in the largest share of documents, summed over the languages that hold 0.1 % of all."""
+    short = F.filter(F.split(text_or_empty(), SPACE_RUN), lambda w: F.length(w).between(1, MAX_LETTERS))
     words = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.explode(F.array_distinct(
-        F.transform(space_words(text_or_empty()), lambda w: F.xxhash64(w)))).alias("word")).groupBy("lang", "word").count()
+        F.transform(short, lambda w: F.xxhash64(w)))).alias("word")).groupBy("lang", "word").count()
     words = stored(words, "quality-words")
     totals = words.groupBy("lang").agg(F.sum("count").alias("lang_words"))
     corpus = totals.agg(F.sum("lang_words")).collect()[0][0] or 0
@@ -93,7 +99,7 @@ def features(docs: DataFrame, words: list[int]) -> DataFrame:
                       F.split(text, "\n").alias("lines"), space_words(text).alias("words"))
     worded = F.filter("lines", lambda s: s.rlike(r"[^\x20\x09-\x0D]"))
     n_dup = F.when(F.size(F.array_distinct("lines")) < F.size("lines"),
-                   F.transform(F.array(worded), lambda s: F.size(s) - F.size(F.array_distinct(s)))[0]).otherwise(0)
+                   bound(worded, lambda s: F.size(s) - F.size(F.array_distinct(s)))).otherwise(0)
     two = one.select("doc_id", "lang", "n_chars", "wide", "marks", n_dup.cast("bigint").alias("n_dup_lines"),
                      F.size("words").cast("bigint").alias("n_words"),
                      F.length(F.array_join("words", "")).cast("bigint").alias("word_chars"),
