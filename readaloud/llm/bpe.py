@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import shipped
+
 LEAF = 64
 HEAP_FROM = 48
 CACHED_PIECES = 800_000
@@ -177,7 +179,7 @@ def encode_documents(docs: DataFrame, rank_file: str, pattern: str, id_col: str
     def run(batches):
         c = codec(rank_file, pattern)
         return _mapped(batches, lambda t: c.encode(t or ""), pa.binary(), [id_col, "ids"])
-    rows = docs.select(id_col, text_col)
+    rows = shipped(docs.select(id_col, text_col))
     return rows.mapInArrow(run, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, ids binary")
 
 
@@ -198,7 +200,7 @@ def decode_ids(tokens: DataFrame, rank_file: str, pattern: str, id_col: str = "d
                     part = batch.slice(start, len(out))
                     yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.binary())], names)
                     start, size, out = k + 1, 0, []
-    return tokens.select(id_col, "ids").mapInArrow(run, f"`{id_col}` {kind}, ids binary, decoded binary")
+    return shipped(tokens.select(id_col, "ids")).mapInArrow(run, f"`{id_col}` {kind}, ids binary, decoded binary")
 
 
 def round_trip(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:

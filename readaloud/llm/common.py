@@ -6,7 +6,11 @@ lost executor costs a re-read and not a recomputation.
 """
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +42,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shipped(df: DataFrame) -> DataFrame:
+    """``df``, after this package was handed to the executors' Python workers (once per session)."""
+    context = df.sparkSession.sparkContext
+    if not getattr(context, "_readaloud_shipped", False):
+        package = Path(__file__).parents[1]
+        archive = os.path.join(tempfile.mkdtemp(prefix="readaloud-"), "readaloud_package.zip")
+        with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+            for path in sorted(package.rglob("*.py")):
+                out.write(path, path.relative_to(package.parent))
+        context.addPyFile(archive)
+        context._readaloud_shipped = True
+    return df
+
+
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents", *(columns or ("doc_id", "text")))
 

@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import constant_array, folded_words, stored, text_or_empty
+from .common import constant_array, folded_words, row_key, stored, text_or_empty
 
 WINDOW = 13
 #: Windows handled in one pass over the index; bounds the bit set and the broadcast.
@@ -64,15 +64,15 @@ def _runs(words: Column, misses: Column, least: int) -> Column:
 def positional_index(docs: DataFrame, vocabulary: list[int], least: int) -> DataFrame:
     """(row, doc_id, n_words, runs): the postings of the vocabulary, one row per document, in the shared folder."""
     bits, size = _bit_set(vocabulary)
-    words = docs.select("doc_id", folded_words(text_or_empty()).alias("words"))
+    words = docs.select(row_key().alias("key"), "doc_id", folded_words(text_or_empty()).alias("words"))
 
     def missed(w: Column, i: Column) -> Column:
         at = F.pmod(F.xxhash64(w), F.lit(size))
         found = F.getbit(F.get(bits, F.shiftright(at, 5).cast("int")), at.bitwiseAND(F.lit(31)).cast("int"))
         return F.when(found == 1, F.lit(-1)).otherwise(i)
     misses = F.concat(F.array(F.lit(-1)), F.filter(F.transform("words", missed), lambda p: p >= 0), F.array(F.size("words")))
-    marked = words.select("doc_id", "words", misses.alias("misses"))
-    return stored(marked.select(F.monotonically_increasing_id().alias("row"), "doc_id",
+    marked = words.select("key", "doc_id", "words", misses.alias("misses"))
+    return stored(marked.select(F.monotonically_increasing_id().alias("row"), "key", "doc_id",
                                 F.size("words").cast("bigint").alias("n_words"),
                                 _runs(F.col("words"), F.col("misses"), least).alias("runs")), "positional-index")
 
@@ -124,7 +124,7 @@ def proximity_matches(index: DataFrame, windows: DataFrame, slop: int) -> DataFr
 
 def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW, percent: int = 5,
                   block: int = BLOCK) -> DataFrame:
-    """n_words, n_hit, the benchmark items found and the verdict for every row of ``docs``."""
+    """Row key, n_words, n_hit, the benchmark items found and the verdict for every row of ``docs``."""
     docs = docs.select("doc_id", "text")
     per_item = stored(benchmark_windows(bench.select("item_id", "text"), window), "benchmark-windows")
     distinct = stored(per_item.select("words").distinct().select(
@@ -141,7 +141,7 @@ def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW, perce
         vocabulary = [r.h for r in terms.collect()]  # at most `window` words for each window of a block
         least = part.agg(F.min(F.size("words"))).first()[0] or window
         index = positional_index(docs, vocabulary, least)
-        base = base or index.select("row", "doc_id", "n_words")
+        base = base or index.select("row", "key", "doc_id", "n_words")
         found.append(phrase_matches(index, part))
     hits = found[0]
     for more in found[1:]:
@@ -153,7 +153,7 @@ def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW, perce
         .distinct().groupBy("row").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
     per_row = stored(covered.join(which, "row"), "contaminated-rows")
     out = base.join(per_row, "row", "left").select(
-        "row", "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"),
+        "key", "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"))
-    return out.select("row", "doc_id", "n_words", "n_hit", "items",
+    return out.select("key", "doc_id", "n_words", "n_hit", "items",
                       ((F.col("n_hit") > 0) & (100 * F.col("n_hit") >= percent * F.col("n_words"))).alias("contaminated"))

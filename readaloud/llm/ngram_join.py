@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import key_doc_id, row_key, stored
+from .common import key_doc_id, row_key, shipped, stored
 from .components import connected_components
 
 SHINGLE = 5
@@ -129,7 +129,7 @@ def signatures(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(flat)))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), lists], names)
-    return docs.select(row_key().alias("key"), "text").mapInArrow(run, schema)
+    return shipped(docs.select(row_key().alias("key"), "text")).mapInArrow(run, schema)
 
 
 class _Forest:
@@ -216,7 +216,7 @@ def _verified(units: DataFrame, threshold: float) -> DataFrame:
                 rows.append((key, text, bands, weight, block))
         if rows and (out := finish(rows, hashes)) and out[0]:
             yield pa.RecordBatch.from_arrays([pa.array(out[0], kind), pa.array(out[1], pa.int64()), pa.array(out[2], kind)], names)
-    return units.mapInArrow(run, "key decimal(38,0), links bigint, other decimal(38,0)")
+    return shipped(units).mapInArrow(run, "key decimal(38,0), links bigint, other decimal(38,0)")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_RUN, bound, constant_array, space_words, stored, text_or_empty
+from .common import SPACE_RUN, bound, constant_array, row_key, space_words, stored, text_or_empty
 
 SYMBOLS = "#*$%&|<>"
 PUNCTUATION = ".,;:!?'\"()-"
@@ -93,20 +93,20 @@ def features(docs: DataFrame, words: list[int]) -> DataFrame:
     keys, codes, size = _slots(words)
     text = F.col("_text")
     marks = F.array_join(F.regexp_extract_all(text, F.lit(r"([0-9A-Z.,;:!?'\"()\-#*$%&|<>])"), 1), "")
-    base = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), text_or_empty().alias("_text"))
-    one = base.select("doc_id", "lang", F.length(text).alias("n_chars"),
+    base = docs.select(row_key().alias("key"), "doc_id", F.coalesce("lang", F.lit("")).alias("lang"), text_or_empty().alias("_text"))
+    one = base.select("key", "doc_id", "lang", F.length(text).alias("n_chars"),
                       (F.octet_length(text) - F.length(text)).alias("wide"), marks.alias("marks"),
                       F.split(text, "\n").alias("lines"), space_words(text).alias("words"))
     worded = F.filter("lines", lambda s: s.rlike(r"[^\x20\x09-\x0D]"))
     n_dup = F.when(F.size(F.array_distinct("lines")) < F.size("lines"),
                    bound(worded, lambda s: F.size(s) - F.size(F.array_distinct(s)))).otherwise(0)
-    two = one.select("doc_id", "lang", "n_chars", "wide", "marks", n_dup.cast("bigint").alias("n_dup_lines"),
+    two = one.select("key", "doc_id", "lang", "n_chars", "wide", "marks", n_dup.cast("bigint").alias("n_dup_lines"),
                      F.size("words").cast("bigint").alias("n_words"),
                      F.length(F.array_join("words", "")).cast("bigint").alias("word_chars"),
                      F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
     slot = lambda h: F.pmod(h, F.lit(size)).cast("int")
     coded = F.array_join(F.transform(F.filter("hashes", lambda h: F.get(keys, slot(h)) == h), lambda h: F.get(codes, slot(h))), "")
-    three = two.select("doc_id", "lang", "n_chars", "wide", "marks", "n_dup_lines", "n_words", "word_chars",
+    three = two.select("key", "doc_id", "lang", "n_chars", "wide", "marks", "n_dup_lines", "n_words", "word_chars",
                        coded.alias("coded"), _windows(F.col("hashes")).alias("windows"))
     three = three.select("*", _repeat_words(F.col("windows")).cast("bigint").alias("n_repeat_words"))
     n_coded = F.length("coded")
@@ -115,7 +115,7 @@ def features(docs: DataFrame, words: list[int]) -> DataFrame:
     symbols, points = _count_in(F.col("marks"), SYMBOLS), _count_in(F.col("marks"), PUNCTUATION)
     blank = F.col("n_chars") - F.col("word_chars")
     return three.select(
-        "doc_id", "lang", "n_words", "word_chars", symbols.cast("bigint").alias("n_symbols"), "n_dup_lines",
+        "key", "doc_id", "lang", "n_words", "word_chars", symbols.cast("bigint").alias("n_symbols"), "n_dup_lines",
         "n_repeat_words", F.col("n_chars").cast("bigint").alias("n_chars"),
         F.array(*[c.cast("bigint") for c in (
             blank, digits, upper, symbols, points, F.col("wide"),
@@ -140,7 +140,7 @@ def js_distance(p: Column, q: Column) -> Column:
 def quality_rules(docs: DataFrame, max_class_distance: float = 0.3, max_word_distance: float = 0.5,
                   min_chars: int = 200, min_words: int = 100, min_kept_words: int = 10,
                   max_repeat_percent: int = 20) -> DataFrame:
-    """Base measures, distances and the verdict for every row of ``docs`` (doc_id, text, lang)."""
+    """Row key, base measures, distances and the verdict for every row of ``docs`` (doc_id, text, lang)."""
     docs = docs.select("doc_id", "text", "lang")
     words = common_words(docs)
     rows = stored(features(docs, words), "quality-features")
@@ -160,13 +160,13 @@ def quality_rules(docs: DataFrame, max_class_distance: float = 0.3, max_word_dis
         F.coalesce("ref_classes", constant_array([x or 0 for x in pooled.all_classes], "bigint")).alias("ref_classes"),
         F.coalesce("ref_common", constant_array([x or 0 for x in pooled.all_common], "bigint")).alias("ref_common"))
     judged = judged.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "key", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         ((F.col("n_words") < min_kept_words)
          | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))).alias("base_failed"),
         F.when(F.col("n_chars") >= min_chars, js_distance(F.col("classes"), F.col("ref_classes"))).alias("class_distance"),
         F.when(F.col("n_words") >= min_words, js_distance(F.col("common"), F.col("ref_common"))).alias("word_distance"))
     return judged.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+        "key", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & (F.coalesce("class_distance", F.lit(0.0)) <= max_class_distance)
          & (F.coalesce("word_distance", F.lit(0.0)) <= max_word_distance)).alias("kept"),
         F.round("class_distance", 6).alias("class_distance"), F.round("word_distance", 6).alias("word_distance"))

@@ -11,19 +11,30 @@ from ..sources.tables import read_table
 from .bpe import round_trip
 from .common import documents
 from .decontaminate import contamination
+from .line_dedup import dedup_lines
+from .ngram_join import near_duplicates
 from .quality import quality_rules
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(documents(spark, sf_dir, "doc_id", "text", "lang"))
+    return quality_rules(documents(spark, sf_dir, "doc_id", "text", "lang")).drop("key")
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = dedup_lines(documents(spark, sf_dir))
+    return rows.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
 
 
 def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir)).select("doc_id", "copy_id", "class_id", "n_links")
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(documents(spark, sf_dir), read_table(spark, sf_dir, "benchmark", "item_id", "text"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
@@ -32,7 +43,9 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 QUERIES: dict[str, Builder] = {
     "op3_quality_rules": op3_quality_rules,
+    "op7_line_dedup": op7_line_dedup,
     "op8_bpe_round_trip": op8_bpe_round_trip,
+    "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
