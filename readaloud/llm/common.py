@@ -108,3 +108,48 @@ def constant_array(values: list, kind: str) -> Column:
 def bound(value: Column, use) -> Column:
     """``use(value)`` with the value computed once, for expressions that refer to it inside a lambda."""
     return F.transform(F.array(value), use)[0]
+
+
+def running_sum(values: Column, block: int = 256) -> Column:
+    """Prefix sums of an int array. Blocks keep the copying at about n * sqrt(n) for very long arrays."""
+    def prefix(a: Column) -> Column:
+        return F.slice(F.aggregate(a, F.array(F.lit(0)), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + x))),
+                       F.lit(2), F.size(a))
+
+    def blocked(a: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.size(a) - 1, F.lit(block)), lambda i: prefix(F.slice(a, i + 1, block)))
+        return bound(blocks, lambda bs: bound(prefix(F.transform(bs, lambda b: F.element_at(b, -1))), lambda ends: F.flatten(
+            F.transform(bs, lambda b, k: F.transform(b, lambda x: x + F.coalesce(F.get(ends, k - 1), F.lit(0)))))))
+    return bound(values, lambda a: F.when(F.size(a) > block, blocked(a)).otherwise(prefix(a)))
+
+
+def match_spans(text: Column, pattern: str, guard: Column | None = None) -> Column:
+    """All matches of a pattern, leftmost and non-overlapping, as (start, end, match, before, after).
+
+    Positions count code points, the end is exclusive; ``before`` and ``after``
+    are the texts between this match and its neighbours. Matches and
+    the gaps between them come from two scans, which only texts with a match pay for.
+    """
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+
+    def placed(ms: Column, gaps: Column) -> Column:
+        ends = running_sum(F.zip_with(ms, F.slice(gaps, F.lit(1), F.size(ms)), lambda m, g: F.length(m) + F.length(g)))
+        return bound(ends, lambda es: F.transform(ms, lambda m, k: F.struct(
+            (F.get(es, k) - F.length(m)).alias("start"), F.get(es, k).alias("end"), m.alias("match"),
+            F.get(gaps, k).alias("before"), F.get(gaps, k + 1).alias("after"))))
+    spans = bound(found, lambda ms: bound(F.split(text, pattern), lambda gaps: placed(ms, gaps)))
+    has = F.rlike(text, F.lit(pattern)) if guard is None else guard & F.rlike(text, F.lit(pattern))
+    kind = "array<struct<start:int,end:int,match:string,before:string,after:string>>"
+    return F.when(has, spans).otherwise(F.array().cast(kind))
+
+
+def span_string(spans: Column, ranks: list[str]) -> Column:
+    """kind:start:end of (kind, start, end) structs by start, then by the listed order of kinds, comma-joined."""
+    ordered = F.sort_array(F.transform(spans, lambda s: F.struct(
+        s["start"].alias("start"), F.array_position(constant_array(ranks, "string"), s["kind"]).alias("rank"),
+        s["end"].alias("end"), s["kind"].alias("kind"))))
+    return F.array_join(F.transform(ordered, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def kind_spans(spans: Column, kind: str) -> Column:
+    return F.transform(spans, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))

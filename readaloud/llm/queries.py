@@ -13,15 +13,39 @@ from .common import documents
 from .decontaminate import contamination
 from .line_dedup import dedup_lines
 from .ngram_join import near_duplicates
+from .pii import find_personal_data, personal_data_digest
 from .quality import quality_rules
+from .secret_scan import scan_secrets, secret_digest
+from .token_counts import count_tokens
+from .warc import write_and_read
+
+TOKEN_LIMIT = 512
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digest(scan_secrets(documents(spark, sf_dir)))
+
+
+def op2_warc_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = write_and_read(read_table(spark, sf_dir, "pages", "page_id", "url", "html"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir, "doc_id", "text", "lang")).drop("key")
 
 
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data_digest(find_personal_data(documents(spark, sf_dir)))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = count_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+    return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = dedup_lines(documents(spark, sf_dir))
     return rows.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
@@ -42,7 +66,11 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 QUERIES: dict[str, Builder] = {
+    "op1_secret_scan": op1_secret_scan,
+    "op2_warc_writer": op2_warc_writer,
     "op3_quality_rules": op3_quality_rules,
+    "op4_personal_data": op4_personal_data,
+    "op6_token_counts": op6_token_counts,
     "op7_line_dedup": op7_line_dedup,
     "op8_bpe_round_trip": op8_bpe_round_trip,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
