@@ -133,8 +133,9 @@ def js_distance(p: Column, q: Column) -> Column:
             return F.when(x > 0, x * F.log2(2 * x / (x + y))).otherwise(0.0)
         return F.zip_with(p, q, lambda a, b: F.when((a > 0) | (b > 0), part(a / sp, b / sq) + part(b / sq, a / sp))
                           .otherwise(0.0))
-    sp, sq = total(p), total(q)
-    return F.when((sp > 0) & (sq > 0), F.sqrt(F.greatest(F.lit(0.0), total(terms(p, q, sp, sq)) / 2)))
+    # the totals are bound, or the terms' lambda would add them up anew for every bin
+    return bound(total(p), lambda sp: bound(total(q), lambda sq: F.when(
+        (sp > 0) & (sq > 0), F.sqrt(F.greatest(F.lit(0.0), total(terms(p, q, sp, sq)) / 2)))))
 
 
 def quality_rules(docs: DataFrame, max_class_distance: float = 0.3, max_word_distance: float = 0.5,
