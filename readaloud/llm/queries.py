@@ -17,9 +17,15 @@ from .pii import find_personal_data, personal_data_digest
 from .quality import quality_rules
 from .secret_scan import scan_secrets, secret_digest
 from .token_counts import count_tokens
+from .tool_calls import link_calls, turns_as_calls
 from .warc import write_and_read
 
 TOKEN_LIMIT = 512
+#: The schema of the call that every user turn is taken for.
+TOOLS = {"answer": {"required": ["question", "chars", "turn"], "properties": {
+    "question": {"type": "string", "minLength": 1, "maxLength": 1000},
+    "chars": {"type": "integer", "minimum": 1},
+    "turn": {"type": "integer", "minimum": 0}}}}
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
@@ -41,6 +47,13 @@ def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data_digest(find_personal_data(documents(spark, sf_dir)))
 
 
+def op5_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = turns_as_calls(read_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+    rows = link_calls(calls, results, TOOLS)
+    return rows.select("conv_id", "call_id", "turn", "status", "level", "n_results",
+                       F.array_join("errors", "; ").alias("errors"), F.sha2("json", 256).alias("json_sha256"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = count_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
@@ -70,6 +83,7 @@ QUERIES: dict[str, Builder] = {
     "op2_warc_writer": op2_warc_writer,
     "op3_quality_rules": op3_quality_rules,
     "op4_personal_data": op4_personal_data,
+    "op5_tool_call_linking": op5_tool_call_linking,
     "op6_token_counts": op6_token_counts,
     "op7_line_dedup": op7_line_dedup,
     "op8_bpe_round_trip": op8_bpe_round_trip,
@@ -77,4 +91,31 @@ QUERIES: dict[str, Builder] = {
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: User turns as calls, assistant turns as results of the latest user turn before them.
+_OP5_SQL = """
+WITH t AS (SELECT conv_id, turn, role, text,
+                  max(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn
+                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS u,
+                  count(CASE WHEN role = 'user' THEN 1 END) OVER (PARTITION BY conv_id ORDER BY turn
+                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lvl
+           FROM conversations),
+r AS (SELECT conv_id, u, count(*) AS n, arg_min(text, turn) AS content FROM t WHERE role = 'assistant' AND u IS NOT NULL GROUP BY 1, 2)
+SELECT t.conv_id, 'call-' || t.conv_id || '-' || t.turn AS call_id, t.turn,
+       CASE WHEN r.n IS NULL THEN 'unanswered' ELSE 'linked' END AS status, t.lvl AS level, coalesce(r.n, 0) AS n_results,
+       concat_ws('; ', CASE WHEN length(t.text) < 1 THEN 'chars: beyond its minimum' END,
+                 CASE WHEN length(t.text) > 1000 THEN 'question: beyond its maxLength' END,
+                 CASE WHEN length(t.text) < 1 THEN 'question: beyond its minLength' END) AS errors,
+       sha256('{"arguments":' || CAST(json_object('chars', length(t.text), 'question', t.text, 'turn', t.turn) AS VARCHAR)
+              || ',"id":' || CAST(to_json('call-' || t.conv_id || '-' || t.turn) AS VARCHAR) || ',"name":"answer"'
+              || CASE WHEN r.content IS NULL THEN '' ELSE ',"result":' || CAST(to_json(r.content) AS VARCHAR) END || '}') AS json_sha256
+FROM t LEFT JOIN r ON t.conv_id = r.conv_id AND t.turn = r.u WHERE t.role = 'user'
+UNION ALL
+SELECT conv_id, 'call-' || conv_id || '--1', turn, 'orphan', NULL, 1, 'call_id: no such call',
+       sha256('{"id":' || CAST(to_json('call-' || conv_id || '--1') AS VARCHAR)
+              || CASE WHEN text IS NULL THEN '' ELSE ',"result":' || CAST(to_json(text) AS VARCHAR) END || '}')
+FROM t WHERE role = 'assistant' AND u IS NULL
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op5_tool_call_linking": _OP5_SQL,
+}
