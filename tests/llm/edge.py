@@ -34,8 +34,8 @@ def doc_rows(seed=7, n=60):
     texts.append(prose(6000))
     rows = [(i, t, "en" if i % 3 else "fr", "s", len(t)) for i, t in enumerate(texts)]
     rows += [(1000, None, "en", None, None), (1001, "", None, "s", 0), (1002, " \t\n ", "en", "s", 4), (1003, "one", "zz", "s", 3),
-             (None, prose(50), "en", "s", 1), (None, texts[3], "en", "s", 1), (1004, texts[5], "en", "s", 1),
-             (1005, texts[5], "en", "s", 1), (1005, texts[5], "en", "s", 1), (1006, "A\x00b \u0085 c\x1cd " + texts[5], "en", "s", 1)]
+             (None, prose(50), "en", "s", 1), (None, texts[3 % n], "en", "s", 1), (1004, texts[5 % n], "en", "s", 1),
+             (1005, texts[5 % n], "en", "s", 1), (1005, texts[5 % n], "en", "s", 1), (1006, "A\x00b \u0085 c\x1cd " + texts[5 % n], "en", "s", 1)]
     return rows
 
 
