@@ -23,6 +23,7 @@ EXTRACT_ERROR = "Could not extract content from the URL"
 NO_TEXT_ERROR = "No text provided for conversion"
 DOWNLOAD_DEFAULT_NAME = "blog-audio"
 UNTITLED_POST = "Untitled Post"
+RESULT_TITLE = "Blog Post Converted"
 UNNAMED_FEED = "Unnamed Feed"
 AUDIO_DIR = "static/audio/"
 EMAIL_PLACEHOLDER = "[EMAIL REMOVED]"

@@ -1,8 +1,7 @@
 """HTML column functions: title, boilerplate removal, main-element pick, text.
 
 All are Column -> Column compositions of built-in expressions (regexes and
-higher-order array functions), so they stay inside whole-stage codegen and
-need no Python worker. Semantics follow an HTML tree walk that joins text
+higher-order array functions), so they need no Python worker. Semantics follow an HTML tree walk that joins text
 nodes with a newline; the regex forms and their known limits are documented
 per function.
 """
@@ -16,7 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..constants import BOILERPLATE_TAGS, MAIN_ID_PATTERN
-from .regex import let, reuse
+from .regex import let
 
 SEP = "\x02"  # stands for one run of markup between two text nodes
 CUT = "\x03"  # marks a cut point before a tag
@@ -32,7 +31,7 @@ TAG = "(?s)" + _TAG
 
 # Character references: numeric (decimal / hex) and named, ';' optional. Named
 # ones use the HTML5 table; numeric 128-159 follow Windows-1252.
-ENTITY = r"&(?:#[0-9]{1,8}|#[xX][0-9a-fA-F]{1,8}|[A-Za-z][A-Za-z0-9]*);?"
+ENTITY = r"&(?:#[0-9]++|#[xX][0-9a-fA-F]++|[A-Za-z][A-Za-z0-9]*+);?"
 
 # Names looked up in a small table before the full one.
 COMMON_ENTITIES = ("hellip", "mdash", "ndash", "rsquo", "lsquo", "ldquo", "rdquo", "middot", "copy",
@@ -83,9 +82,13 @@ def _common_map() -> Column:
 def _decode_one(e: Column) -> Column:
     """Decode one matched character reference; unknown names stay as written."""
     name = F.regexp_extract(e, r"^&([A-Za-z][A-Za-z0-9]*);?$", 1)
-    hexd = F.regexp_extract(e, r"^&#[xX]([0-9a-fA-F]+);?$", 1)
-    decd = F.regexp_extract(e, r"^&#([0-9]+);?$", 1)
-    cp = F.when(hexd != "", F.conv(hexd, 16, 10).cast("bigint")).otherwise(decd.cast("bigint"))
+    # leading zeros don't count; what is still too long for a code point is invalid
+    hexd = F.regexp_extract(e, r"^&#[xX]0*([0-9a-fA-F]*);?$", 1)
+    decd = F.regexp_extract(e, r"^&#0*([0-9]*);?$", 1)
+    is_hex = F.lower(F.substring(e, 1, 3)) == "&#x"
+    cp = F.when(is_hex, F.when(F.length(hexd) <= 6, F.conv(hexd, 16, 10).cast("bigint"))) \
+        .otherwise(F.when(F.length(decd) <= 7, decd.try_cast("bigint")))
+    cp = F.coalesce(cp, F.lit(0).cast("bigint"))
     valid = (cp > 0) & (cp <= 0x10FFFF) & ~cp.between(0xD800, 0xDFFF)
     as_char = F.decode(F.unhex(F.lpad(F.hex(cp), 8, "0")), "UTF-32")
     numeric = F.coalesce(F.try_element_at(_cp1252_map(), cp.cast("string")),
@@ -95,7 +98,6 @@ def _decode_one(e: Column) -> Column:
     return F.when(name != "", named).otherwise(numeric)
 
 
-@reuse
 def decode_entities(c: Column) -> Column:
     """Single-pass character-reference decoding (``&amp;lt;`` -> ``&lt;``)."""
     def body(x):
@@ -107,27 +109,70 @@ def decode_entities(c: Column) -> Column:
     return let(c, body)
 
 
-@reuse
-def drop_elements(html_col: Column, tags=BOILERPLATE_TAGS) -> Column:
-    """Remove whole elements (start tag .. matching end tag) for each tag.
+#: Start or end tag at the head of a piece of markup.
+_HEAD = r"^</?([A-Za-z][^\s/>]*+)"
+
 
-    The element is replaced by an empty comment so that the text on either
-    side stays two separate text nodes. Limit: a same-name element nested in
-    itself ends at the first inner end tag.
+def drop_raw_text(html_col: Column) -> Column:
+    """Comments and raw-text elements become an empty comment; an unclosed one runs to the end of the document.
+
+    One pass, so that a comment inside a script, or a script inside a
+    comment, belongs to whichever began first.
+    """
+    raw = "|".join(_RAW_TEXT)
+    return F.regexp_replace(
+        html_col, rf"(?is)<!--.*?(?:-->|\z)|<({raw})(?![A-Za-z0-9])[^>]*>.*?(?:</\1\s*>|\z)", "<!---->")
+
+
+def drop_elements(html_col: Column, tags=BOILERPLATE_TAGS) -> Column:
+    """Remove comments, raw-text elements and every element named in ``tags`` with all its content.
+
+    The markup is cut before each tag and walked with a stack of open
+    elements, as a tree builder does: an end tag closes the nearest open
+    element of its name and everything inside that, so nested elements of one
+    name go as a whole and an unclosed one ends with its parent. An end tag
+    without a start is ignored. Each removed element leaves an empty comment, so the text on
+    either side stays two text nodes. Only the bounds of kept runs
+    are collected, not the pieces.
     """
-    out = html_col
-    for t in tags:
-        # raw-text elements (script, style) run to the end when never closed
-        end = rf"(?:</{t}\s*>|$)" if t in _RAW_TEXT else rf"</{t}\s*>"
-        out = F.regexp_replace(out, rf"(?is)<{t}(?![A-Za-z0-9])[^>]*>.*?{end}", "<!---->")
-    return out
+    names = [t for t in tags if t not in _RAW_TEXT]
+    own = rf"(?i)^</(?:{'|'.join(names)})[^>]*>"
+
+    def walk(pieces):
+        def step(s, p):
+            name = F.lower(F.regexp_extract(p, _HEAD, 1))
+            depth = F.array_position(s["open"], name)
+            closes = F.startswith(p, F.lit("</"))
+            alone = name.isin(*_VOID) | p.rlike(r"(?s)^<[^>]*/>")
+            opened = F.when(closes & (depth > 0), F.slice(s["open"], depth.cast("int") + 1, F.size(s["open"]))) \
+                .when(closes | alone, s["open"]).otherwise(F.concat(F.array(name), s["open"]))
+            return let(F.struct(opened.alias("open"), F.size(opened).alias("n"), name.alias("name"),
+                                (closes | alone).alias("flat")), lambda t: F.struct(
+                (s["i"] + 1).alias("i"), t["open"].alias("open"),
+                F.when((s["skip"] > 0) & (t["n"] < s["skip"]), 0)
+                .when((s["skip"] == 0) & ~t["flat"] & t["name"].isin(*names), t["n"]).otherwise(s["skip"]).alias("skip"),
+                F.when((s["skip"] > 0) & (t["n"] < s["skip"]), s["i"] + 1).otherwise(s["at"]).alias("at"),
+                F.when((s["skip"] == 0) & ~t["flat"] & t["name"].isin(*names),
+                       F.concat(s["runs"], F.array(F.struct(s["at"].alias("a"), (s["i"] + 1).alias("b"))))).otherwise(s["runs"]).alias("runs")))
+        start = F.struct(F.lit(1).alias("i"), F.array().cast("array<string>").alias("open"), F.lit(0).alias("skip"),
+                         F.lit(1).alias("at"), F.array().cast("array<struct<a:int,b:int>>").alias("runs"))
+        state = F.aggregate(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(1))), start, step)
+        runs = let(state, lambda s: F.when(s["skip"] == 0, F.concat(s["runs"], F.array(F.struct(
+            s["at"].alias("a"), (F.size(pieces) + 1).alias("b"))))).otherwise(s["runs"]))
+        kept = F.transform(runs, lambda r, k: let(F.array_join(F.slice(pieces, r["a"], r["b"] - r["a"]), ""), lambda t: F.when(
+            k == 0, t).otherwise(F.regexp_replace(t, own, ""))))
+        return F.array_join(kept, "<!---->")
+
+    def removed(x):
+        marked = F.regexp_replace(x, r"(?=</?[A-Za-z])", CUT)
+        return F.when(x.rlike(rf"(?i)<(?:{'|'.join(names)})(?![A-Za-z0-9])"), let(F.split(marked, CUT, -1), walk)).otherwise(x)
+    return let(drop_raw_text(html_col), removed)
 
 
-@reuse
 def html_to_text(html_col: Column) -> Column:
     """Text nodes joined by a newline; raw-text elements contribute nothing."""
     def markup(x):
-        s = drop_elements(x, _RAW_TEXT)
+        s = drop_raw_text(x)
         # each tag becomes a separator, then a run of separators becomes one
         s = F.regexp_replace(F.regexp_replace(s, TAG, SEP), f"{SEP}{SEP}+", SEP)
         s = F.regexp_replace(s, f"^{SEP}|{SEP}$", "")
@@ -136,7 +181,6 @@ def html_to_text(html_col: Column) -> Column:
     return decode_entities(let(html_col, lambda x: F.when(F.instr(x, "<") > 0, markup(x)).otherwise(x)))
 
 
-@reuse
 def page_title(html_col: Column) -> Column:
     """Text of the first <title>; NULL when absent, empty or not a single string."""
     def body(h):
@@ -203,7 +247,6 @@ def element_by_id_inner(html_col: Column, id_pattern: str = MAIN_ID_PATTERN) ->
     return let(html_col, body)
 
 
-@reuse
 def structural_main_html(stripped: Column) -> Column:
     """<article>, else <main>, else the element with a content-like id, else all."""
     return let(stripped, lambda s: F.coalesce(element_inner(s, "article"),
@@ -212,7 +255,6 @@ def structural_main_html(stripped: Column) -> Column:
                                               s))
 
 
-@reuse
 def body_html(html_col: Column) -> Column:
     """Inner markup of <body>, or the whole document when it has none."""
     return let(html_col, lambda h: F.coalesce(element_inner(h, "body"), h))

@@ -36,27 +36,3 @@ def guarded_replace(value, needle: str, pattern: str, replacement: str):
     from pyspark.sql import functions as F
     return let(value, lambda x: F.when(F.instr(x, needle) > 0, F.regexp_replace(x, pattern, replacement))
                .otherwise(x))
-
-
-def reuse(fn):
-    """Build a column expression once per input expression and reuse it.
-
-    Building a large expression from Python costs one JVM round trip per node;
-    the text pipelines are built from the same inputs in many queries, so the
-    finished Column is kept, keyed by the input's rendered expression (the
-    expression is immutable and is resolved again in each plan).
-    """
-    import functools
-
-    cache: dict = {}
-
-    @functools.wraps(fn)
-    def wrapper(col, *args, **kwargs):
-        key = (str(col), args, tuple(sorted(kwargs.items())))
-        hit = cache.get(key)
-        if hit is None:
-            hit = fn(col, *args, **kwargs)
-            if len(cache) < 256:
-                cache[key] = hit
-        return hit
-    return wrapper

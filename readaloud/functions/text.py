@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..constants import (ABBREVIATIONS, EMAIL_PLACEHOLDER, HASH_PREFIX_CHARS,
                          PARAGRAPH_SPLIT_CHARS, WORDS_PER_MINUTE)
 from .html import html_to_text
-from .regex import DIGIT, NOT_AFTER_WORD, NOT_BEFORE_WORD, NWS, WORD, WS, WS_CHARS, guarded_replace, let, reuse
+from .regex import DIGIT, NOT_AFTER_WORD, NOT_BEFORE_WORD, NWS, WORD, WS, WS_CHARS, guarded_replace, let
 
 SENTENCE_BREAK = rf"(?<=[.!?]){WS}+"
 
@@ -30,13 +30,13 @@ def collapse_blank_lines(c: Column) -> Column:
 def redact_emails(c: Column) -> Column:
     """E-mail-like tokens become a placeholder.
 
-    A match can only begin where a run of name characters begins (a shorter
-    start inside the run ends at the same place), so the look-behind changes
-    no result; it keeps a long run without ``@`` from being rescanned from
-    every position (quadratic on, say, an embedded base64 blob).
+    A match can only begin where a run of name characters begins or where the
+    match before it ended (``\\G``): a shorter start inside a run ends at the
+    same place. Long runs without ``@`` are therefore scanned once and not from
+    every position.
     """
     name = r"[\p{L}\p{N}_.-]"
-    return guarded_replace(c, "@", rf"(?<!{name}){name}++@{name}+\.{WORD}+", EMAIL_PLACEHOLDER)
+    return guarded_replace(c, "@", rf"(?:\G|(?<!{name})){name}++@{name}+\.{WORD}+", EMAIL_PLACEHOLDER)
 
 
 def paragraphs(c: Column) -> Column:
@@ -87,7 +87,6 @@ def resplit_long_paragraphs(paras: Column, limit: int = PARAGRAPH_SPLIT_CHARS) -
         .otherwise(F.array(p))))
 
 
-@reuse
 def clean_content(c: Column) -> Column:
     """Blank-line collapse, e-mail redaction, long-paragraph re-packing."""
     def body(x):
@@ -117,7 +116,6 @@ def space_after_punctuation(c: Column) -> Column:
     return F.regexp_replace(c, rf"([.!?]){WS}*", "$1 ")
 
 
-@reuse
 def basic_clean(c: Column) -> Column:
     """Markup to text, URLs removed, whitespace normalised, punctuation spaced."""
     t = html_to_text(c)
@@ -128,7 +126,6 @@ def basic_clean(c: Column) -> Column:
     return strip_ws(t)
 
 
-@reuse
 def expand_abbreviations(c: Column) -> Column:
     """Each abbreviation, not preceded by a word character, becomes its spoken form.
 
@@ -158,7 +155,6 @@ def insert_pauses(c: Column) -> Column:
     return F.regexp_replace(c, "\n\n", ".\n\n")
 
 
-@reuse
 def format_for_speech(c: Column) -> Column:
     return insert_pauses(speak_times(speak_dates(expand_abbreviations(c))))
 
@@ -169,7 +165,6 @@ def prefix_title(title: Column, text: Column) -> Column:
                                 F.concat(s["t"], F.lit(".\n\n"), s["x"])).otherwise(s["x"]))
 
 
-@reuse
 def word_count(c: Column) -> Column:
     """Number of whitespace-separated tokens."""
     return F.coalesce(F.regexp_count(c, F.lit(f"{NWS}+")), F.lit(0)).cast("bigint")

@@ -26,18 +26,17 @@ def body_text(html_col: Column) -> Column:
     return html_to_text(body_html(html_col))
 
 
-def structural_extract(pages: DataFrame, key: str = "page_id") -> DataFrame:
-    """(key, url, title, raw_text, original_text, error) per page.
+def structural_extract(pages: DataFrame, key: str = "page_id", extra: list[str] | None = None) -> DataFrame:
+    """(key, url, title, raw_text, original_text, error) per page, and the columns named in ``extra``.
 
     A NULL page (failed fetch) and a page whose cleaned text is empty both
     become error rows; nothing is dropped.
     """
-    stripped = drop_elements(F.col("html"))
-    out = pages.select(
-        F.col(key), F.col("url"),
-        page_title(stripped).alias("title"),
-        html_to_text(structural_main_html(stripped)).alias("raw_text"),
-    )
+    kept = [key, "url", *(extra or [])]
+    # the stripped markup is a column of its own: title and text share one evaluation
+    out = pages.select(*kept, drop_elements(F.col("html")).alias("_stripped"))
+    out = out.select(*kept, page_title(F.col("_stripped")).alias("title"),
+                     html_to_text(structural_main_html(F.col("_stripped"))).alias("raw_text"))
     out = out.withColumn("original_text", clean_content(F.col("raw_text")))
     return out.withColumn(
         "error", F.when(F.coalesce(F.col("original_text"), F.lit("")) == "", F.lit(EXTRACT_ERROR)))

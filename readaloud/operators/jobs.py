@@ -15,10 +15,13 @@ from ..functions.urls import is_valid_url
 
 
 def first_per_key(df: DataFrame, key: str, order: str, cols: list[str]) -> DataFrame:
-    """One row per ``key``: the row with the lowest ``order`` (``.first()`` by id)."""
-    packed = F.struct(*[F.col(c) for c in cols])
-    return (df.groupBy(key).agg(F.min_by(packed, F.col(order)).alias("_first"))
-            .select(key, *[F.col(f"_first.{c}").alias(c) for c in cols]))
+    """One row per ``key``: the row with the lowest ``order``, a unique id.
+
+    The least id is a hash aggregate (the minimum of a struct would sort every task's rows), and its row is joined back.
+    """
+    low = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(order).alias(order))
+    names = [c for c in cols if c != order]
+    return low.join(df.select(F.col(order), *[c for c in names if c != key]), order).select(key, *cols)
 
 
 def cache_lookup(requests: DataFrame, content: DataFrame, api_rule: bool) -> DataFrame:

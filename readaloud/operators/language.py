@@ -1,6 +1,6 @@
 """Language identification by character-trigram naive Bayes, trained and scored in Spark.
 
-Training counts trigrams of the lower-cased sample of every labelled text
+Training counts trigrams of every labelled text, whole and lower-cased
 (an explode and a partial aggregate); the profile holds, per trigram and
 language, the integer log-weight above that language's unseen-trigram weight.
 Scoring explodes each text's trigrams, joins them with the profile and sums:
@@ -25,8 +25,13 @@ from ..session import ensure_checkpoint_dir
 SCALE = 1000.0
 
 
+def whole(text: Column) -> Column:
+    """Space-padded lower-case text; training reads all of it."""
+    return F.concat(F.lit(" "), F.lower(text), F.lit(" "))
+
+
 def sample(text: Column) -> Column:
-    """Space-padded lower-case prefix the trigrams are taken from."""
+    """Space-padded lower-case prefix that detection reads (a rule of the method)."""
     return F.concat(F.lit(" "), F.lower(F.substring(text, 1, LANGUAGE_SAMPLE_CHARS)), F.lit(" "))
 
 
@@ -39,15 +44,10 @@ def _explode_trigrams(df: DataFrame, key: list[str], text: str) -> DataFrame:
     """(key..., tri) rows. The outer explode plus a filter on its output keeps the
     optimizer from pushing an inferred non-empty filter (and with it the whole
     cleaning expression) below the projection, where it would run twice."""
-    s = df.select(*key, F.explode_outer(trigrams(sample(F.col(text)))).alias("tri"))
+    s = df.select(*key, F.explode_outer(trigrams(whole(F.col(text)))).alias("tri"))
     return s.where(F.col("tri").isNotNull())
 
 
-# A pivoted profile up to this many trigrams is broadcast to the scoring join;
-# a larger one is shuffle-joined (its size is known exactly after training).
-BROADCAST_MAX_TRIGRAMS = 500_000
-
-
 class LanguageModel:
     """Pivoted trigram profile plus the per-language constants.
 
@@ -95,18 +95,18 @@ def detect(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text: str
     """(key, detected) for every row; rows without a trigram get the default language.
 
     score(lang) = n_trigrams * base(lang) + sum of the matched deltas; the
-    best score wins, ties to the greater language code. One pass: every
-    trigram row (a document without any keeps one NULL row) is left-joined to
-    the profile and summed per document as a partial aggregate.
+    best score wins, ties to the greater language code. Trigrams are counted
+    per document before the join (a document without any keeps one NULL row),
+    and columns besides ``key`` and ``text`` come through.
     """
-    tri = docs.select(key, F.explode_outer(trigrams(sample(F.col(text)))).alias("tri"))
-    prof = model.profile
-    if model.n_trigrams <= BROADCAST_MAX_TRIGRAMS:
-        prof = F.broadcast(prof)  # size checked: one row per trigram, known after training
-    sums = tri.join(prof, "tri", "left").groupBy(key).agg(
-        F.count("tri").alias("n_tri"), *[F.sum(_col(k)).alias(_col(k)) for k in model.langs])
+    tri = docs.select(*[c for c in docs.columns if c != text], F.explode_outer(trigrams(sample(F.col(text)))).alias("tri"))
+    kept = [c for c in docs.columns if c not in (key, text)]
+    counted = tri.groupBy(key, *kept, "tri").agg(F.count(F.lit(1)).alias("n"))
+    sums = counted.join(model.profile, "tri", "left").groupBy(key, *kept).agg(
+        F.sum(F.when(F.col("tri").isNotNull(), F.col("n")).otherwise(0)).alias("n_tri"),
+        *[F.sum(F.col("n") * F.col(_col(k))).alias(_col(k)) for k in model.langs])
     scores = F.array(*[F.struct((F.col("n_tri") * F.lit(model.bases[k]) +
                                  F.coalesce(F.col(_col(k)), F.lit(0).cast("bigint"))).alias("score"),
                                 F.lit(k).alias("lang")) for k in model.langs])
     best = F.array_max(scores)["lang"]
-    return sums.select(key, F.when(F.col("n_tri") == 0, F.lit(DEFAULT_LANGUAGE)).otherwise(best).alias("detected"))
+    return sums.select(key, *kept, F.when(F.col("n_tri") == 0, F.lit(DEFAULT_LANGUAGE)).otherwise(best).alias("detected"))

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators.chunks import explode_chunks, reassemble, seconds, synthesis_manifest
 from ..operators.speech import prepare_speech
-from ..sources.fixtures import voice_by
-from ..sources.tables import read_table, spread
+from ..sources.fixtures import first_line, voice_by
+from ..sources.tables import read_table
 
 INJECT_HEAD = "\n \nDr. Li met Mrs. Roy at 12:30 on 01/02/2024, cats, dogs, etc. see https://h.example.com/"
 INJECT_TAIL = " <b>e.g.</b> this vs. that. Pi is 3.14"
@@ -26,11 +26,11 @@ def injected(text: Column, doc_id: Column) -> Column:
 
 def doc_title(text: Column, doc_id: Column) -> Column:
     m = doc_id % 3
-    return F.when(m == 0, F.lit(None).cast("string")).when(m == 1, F.lit("")).otherwise(F.substring(text, 1, 30))
+    return F.when(m == 0, F.lit(None).cast("string")).when(m == 1, F.lit("")).otherwise(first_line(text))
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spread(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+    d = read_table(spark, sf_dir, "documents", "doc_id", "text")
     return d.select("doc_id", injected(F.col("text"), F.col("doc_id")).alias("text"),
                     doc_title(F.col("text"), F.col("doc_id")).alias("title"))
 
@@ -51,10 +51,29 @@ doc_clean_content = _scalar(T.clean_content)
 
 
 def doc_redact_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spread(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+    d = read_table(spark, sf_dir, "documents", "doc_id", "text")
     return d.select("doc_id", T.redact_emails(F.col("text")).alias("text"))
 
 
+#: Addresses next to each other and near misses, with {k} for the document number, and what redaction must leave.
+EDGE_ADDRESSES = (
+    ("u{k}@a.com-bob@b.org", "[EMAIL REMOVED][EMAIL REMOVED]"),
+    ("x{k}, u@a.co;v@b.co end", "x{k}, [EMAIL REMOVED];[EMAIL REMOVED] end"),
+    ("{k}@nodot and @a.b", "{k}@nodot and @a.b"),
+    ("a.b-c_{k}@d.e.f_g@h.i", "[EMAIL REMOVED]@h.i"),
+)
+
+
+def doc_redact_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Redaction of every text with an edge-case address behind it."""
+    d = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    k = F.col("doc_id")
+    edge = F.lit(None).cast("string")
+    for i, (given, _) in enumerate(EDGE_ADDRESSES):
+        edge = F.when(k % len(EDGE_ADDRESSES) == i, F.replace(F.lit(given), F.lit("{k}"), k.cast("string"))).otherwise(edge)
+    return d.select("doc_id", T.redact_emails(F.concat("text", F.lit(" "), edge)).alias("text"))
+
+
 def doc_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paragraph rows after blank-line collapse, redaction and re-packing."""
     d = docs(spark, sf_dir)
@@ -122,13 +141,13 @@ def doc_synthesis_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def content_hash_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hash of url + cleaned text; the URL is the document's feed link."""
-    d = spread(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+    d = read_table(spark, sf_dir, "documents", "doc_id", "text")
     return d.select("doc_id", F.md5("text").alias("url"),
                     T.content_hash(F.md5("text"), T.clean_content(F.col("text"))).alias("content_hash"))
 
 
 def content_hash_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hashes held by more than one row (the unique constraint, as a report)."""
-    h = content_hash_q(spark, sf_dir)
+    h = content_hash_q(spark, sf_dir).where(F.col("content_hash").isNotNull())  # a unique column may hold many nulls
     return (h.groupBy("content_hash").agg(F.count(F.lit(1)).alias("n_rows"), F.min("doc_id").alias("first_doc_id"))
             .where(F.col("n_rows") > 1))

@@ -6,7 +6,7 @@ from .docs import INJECT_HEAD, INJECT_TAIL
 from .pages_sql import _explode, _speech_ctes, manifest_select
 
 DOCS = (f"docs AS (SELECT doc_id, text || {d.q(INJECT_HEAD)} || CAST(doc_id AS VARCHAR) || {d.q(INJECT_TAIL)} AS text, "
-        "CASE WHEN doc_id % 3 = 0 THEN NULL WHEN doc_id % 3 = 1 THEN '' ELSE substr(text, 1, 30) END AS title "
+        "CASE WHEN doc_id % 3 = 0 THEN NULL WHEN doc_id % 3 = 1 THEN '' ELSE string_split(text, chr(10))[1] END AS title "
         "FROM documents)")
 
 
@@ -112,5 +112,12 @@ def content_hash() -> str:
 def content_hash_violations() -> str:
     return d.with_ctes(_hash_cte(), "h2 AS (SELECT doc_id, CASE WHEN c IS NULL OR c = '' THEN NULL "
                        "ELSE md5(url || ':' || substr(c, 1, 1000)) END AS content_hash FROM h)") + (
-        "SELECT content_hash, count(*) AS n_rows, min(doc_id) AS first_doc_id FROM h2 "
+        "SELECT content_hash, count(*) AS n_rows, min(doc_id) AS first_doc_id FROM h2 WHERE content_hash IS NOT NULL "
         "GROUP BY content_hash HAVING count(*) > 1")
+
+
+def doc_redact_edge() -> str:
+    """The expected ends are written out; the rule is only run on the texts themselves."""
+    from .docs import EDGE_ADDRESSES
+    whens = " ".join(f"WHEN {i} THEN replace({d.q(want)}, '{{k}}', CAST(doc_id AS VARCHAR))" for i, (_, want) in enumerate(EDGE_ADDRESSES))
+    return (f"SELECT doc_id, {d.redact_emails('text')} || ' ' || CASE doc_id % {len(EDGE_ADDRESSES)} {whens} END AS text FROM documents")

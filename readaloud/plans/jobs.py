@@ -4,11 +4,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..constants import DEFAULT_VOICE, DOWNLOAD_DEFAULT_NAME, GUEST_CONVERSION_LIMIT, UNTITLED_POST, VOICES
+from ..constants import AUDIO_DIR, DEFAULT_VOICE, DOWNLOAD_DEFAULT_NAME, GUEST_CONVERSION_LIMIT, RESULT_TITLE, VOICES
 from ..functions import status as S
 from ..functions.text import content_hash
 from ..functions.urls import domain, is_http_url, is_valid_url, matches_url_pattern
-from ..operators.chunks import effective_voice, seconds
+from ..operators.chunks import seconds
 from ..operators.jobs import admit, cache_lookup, first_per_key, status_json
 from ..sources import fixtures as X
 from ..sources.tables import filter_computed, read_table
@@ -116,7 +116,8 @@ def result_card(spark: SparkSession, sf_dir: str) -> DataFrame:
     preview = F.when(S.truthy(F.col("processed_text")), F.col("processed_text")).otherwise(F.col("original_text"))
     return j.select(
         "content_id",
-        S.truncate_words(F.coalesce(F.when(S.truthy(F.col("title")), F.col("title")), F.lit(UNTITLED_POST)), 50).alias("title_short"),
+        F.coalesce("title", F.lit(RESULT_TITLE)).alias("heading"),
+        S.truncate_words(F.col("url"), 50).alias("url_short"),
         F.round(dur / 60.0, 1).alias("minutes"),
         F.coalesce(F.col("word_count"), F.lit(0).cast("bigint")).alias("words"),
         S.truncate_words(preview, 500).alias("preview"),
@@ -139,31 +140,33 @@ def output_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 def job_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Run every pending job and return the content table after the run.
 
-    Only pending rows are processed (the pipeline runs on a semi-join of pages
-    with pending ids); other rows keep their stored state. Errors become rows
-    with ``error`` set and ``is_processed`` true; nothing is dropped.
+    A failed extraction changes the error and the flags only. Once the text
+    is extracted, title, texts, hash and word count are committed and stay
+    even if synthesis then fails; file, voice and duration come
+    with success. The stored voice is the requested one.
     """
     c = X.content_jobs(spark, sf_dir)
-    pending = c.where(~F.col("is_processed") & ~F.col("is_processing")).select(F.col("id").alias("content_id"))
-    run = page_jobs(spark, sf_dir).join(pending, "content_id", "left_semi")
-    res = run.select(F.col("content_id").alias("id"), F.col("title").alias("new_title"),
-                     F.col("original_text"), F.col("word_count").alias("new_words"), F.col("error").alias("new_error"),
-                     F.col("url").alias("_u"))
+    pending = c.where(~F.col("is_processed") & ~F.col("is_processing")).select(F.col("id").alias("page_id"))
+    run = page_jobs(spark, sf_dir, pending)
+    res = run.select(F.col("content_id").alias("id"), F.col("title").alias("new_title"), "original_text", "processed_text",
+                     F.col("word_count").alias("new_words"), F.col("error").alias("new_error"), F.lit(True).alias("ran"))
     j = c.join(res, "id", "left")
-    ran = F.col("_u").isNotNull()
-    err = F.when(ran, F.col("new_error")).otherwise(F.col("error"))
+    ran = F.coalesce("ran", F.lit(False))
+    extracted = ran & S.truthy(F.col("original_text"))
     ok = ran & F.col("new_error").isNull()
     out = j.select(
         "id",
-        F.when(ran, F.lit(True)).otherwise(F.col("is_processed")).alias("is_processed"),
-        F.when(ran, F.lit(False)).otherwise(F.col("is_processing")).alias("is_processing"),
-        err.alias("error"),
-        F.when(ok, F.col("new_title")).when(ran, F.col("title")).otherwise(F.col("title")).alias("title"),
-        F.when(ok, F.col("new_words")).when(ran, F.lit(None).cast("bigint")).otherwise(F.col("word_count")).alias("word_count"),
-        F.when(ok, content_hash(F.col("url"), F.col("original_text"))).alias("content_hash"),
-        F.when(ok, F.concat(F.lit("static/audio/"), S.output_name(F.col("url")))).when(ran, F.lit(None).cast("string"))
-         .otherwise(F.col("file_path")).alias("file_path"),
-        F.when(ok, effective_voice(F.col("voice"))).otherwise(F.col("voice")).alias("voice"))
+        (ran | F.col("is_processed")).alias("is_processed"),
+        (~ran & F.col("is_processing")).alias("is_processing"),
+        F.when(ran, F.col("new_error")).otherwise(F.col("error")).alias("error"),
+        F.when(extracted, F.col("new_title")).otherwise(F.col("title")).alias("title"),
+        F.when(extracted, F.col("original_text")).alias("original_text"),
+        F.when(extracted, F.col("processed_text")).alias("processed_text"),
+        F.when(extracted, F.col("new_words")).otherwise(F.col("word_count")).alias("word_count"),
+        F.when(extracted, content_hash(F.col("url"), F.col("original_text"))).alias("content_hash"),
+        F.when(ok, F.concat(F.lit(AUDIO_DIR), S.output_name(F.col("url")))).otherwise(F.col("file_path")).alias("file_path"),
+        F.when(ok, seconds(F.col("new_words"))).otherwise(F.col("duration")).alias("duration"),
+        F.when(ok, S.requested_voice(F.col("voice"))).otherwise(F.col("voice")).alias("voice"))
     return out.select("*", S.content_status(F.col("is_processed"), F.col("is_processing"), F.col("error")).alias("status"))
 
 
@@ -175,11 +178,15 @@ def request_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = (F.when(k % 10 == 0, F.lit("{bad json"))
             .when(k % 9 == 0, F.to_json(F.struct(X.voice_by(k).alias("voice"))))
             .when(k % 7 == 0, F.to_json(F.struct(F.lit("not a url").alias("url"))))
+            .when(k % 11 == 0, F.lit('{"url": null}'))
             .otherwise(F.to_json(F.struct(url.alias("url"), X.voice_by(k).alias("voice")))))
     req = e.select(k.alias("request_id"), body.alias("body"))
-    parsed = req.select("request_id", F.from_json("body", "url string, voice string").alias("j"))
-    p = parsed.select("request_id", F.col("j.url").alias("url"), F.col("j.voice").alias("voice"))
-    msg = (F.when(F.col("url").isNull(), F.lit("URL is required"))
+    parsed = req.select("request_id", F.from_json("body", "url string, voice string").alias("j"),
+                        F.array_contains(F.json_object_keys("body"), F.lit("url")).alias("given"))
+    p = parsed.select("request_id", F.col("j.url").alias("url"), F.col("j.voice").alias("voice"), "given")
+    # a body with a null url names the field, so it is invalid and not missing
+    msg = (F.when(~F.coalesce("given", F.lit(False)), F.lit("URL is required"))
+           .when(F.col("url").isNull(), F.lit("Invalid URL format"))
            .when(~is_valid_url(F.col("url")), F.lit("Invalid URL format")))
     p = p.select("request_id", "url", S.requested_voice(F.col("voice")).alias("voice"), msg.alias("message"))
     first = first_per_key(X.content_log(spark, sf_dir), "url", "id", ["id"])
@@ -236,14 +243,28 @@ def user_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quota_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests, admitted and rejected per client under each of the three ceilings.
 
-    Web submissions 5 per minute, API submissions 10 per hour and the default
-    100 per day, as tumbling windows; each is one partial aggregate.
+    Requests are counted once per client and minute; hours and days are
+    sums of those counts, so the events are scanned and shuffled once.
     """
-    from functools import reduce
-
     from ..constants import RATE_API_SUBMIT, RATE_DEFAULT, RATE_WEB_SUBMIT
+    s = X.submissions(spark, sf_dir).select("client", F.date_trunc("minute", "ts").alias("minute"))
+    per_minute = s.groupBy("client", "minute").agg(F.count(F.lit(1)).alias("n"))
+    ceilings = (("web", RATE_WEB_SUBMIT), ("api", RATE_API_SUBMIT), ("default", RATE_DEFAULT))
+    spread_out = F.explode(F.array(*[F.struct(
+        F.lit(name).alias("ceiling"), F.lit(limit).cast("bigint").alias("limit"),
+        F.date_trunc(period.split()[1], "minute").cast("timestamp_ntz").alias("window_start"))
+        for name, (limit, period) in ceilings])).alias("w")
+    g = per_minute.select("client", "n", spread_out).groupBy("w.ceiling", "client", "w.window_start", "w.limit").agg(
+        F.sum("n").alias("n_requests"))
+    return g.select("ceiling", "client", "window_start", "n_requests", F.least("n_requests", "limit").alias("n_admitted"),
+                    F.greatest(F.col("n_requests") - F.col("limit"), F.lit(0).cast("bigint")).alias("n_rejected"))
+
+
+def quota_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The add-feed ceiling on bursts: a year's requests for one address are taken to fall into one minute."""
+    from ..constants import RATE_ADD_FEED
     from ..operators.jobs import window_counts
-    s = X.submissions(spark, sf_dir).select("client", "ts")
-    parts = [window_counts(s, "client", "ts", limit, period).select(F.lit(name).alias("ceiling"), "*")
-             for name, (limit, period) in (("web", RATE_WEB_SUBMIT), ("api", RATE_API_SUBMIT), ("default", RATE_DEFAULT))]
-    return reduce(DataFrame.unionByName, parts)
+    s = X.submissions(spark, sf_dir).select(F.col("url").alias("client"), F.date_trunc("year", "ts").cast("timestamp_ntz").alias("ts"))
+    limit, period = RATE_ADD_FEED
+    return window_counts(s, "client", "ts", limit, period).select(
+        "client", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n_requests", "n_admitted", "n_rejected")

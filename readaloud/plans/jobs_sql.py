@@ -151,10 +151,9 @@ def _page_run(extra_src: str) -> list[str]:
 
 
 def result_card() -> str:
-    title = f"CASE WHEN {truthy('t0')} THEN t0 ELSE 'Untitled Post' END"
     prev = f"CASE WHEN {truthy('processed_text')} THEN processed_text ELSE o0 END"
     return d.with_ctes(*_page_run("")) + (
-        f"SELECT page_id AS content_id, {truncate_words(title, 50)} AS title_short, "
+        f"SELECT page_id AS content_id, coalesce(t0, 'Blog Post Converted') AS heading, {truncate_words('url', 50)} AS url_short, "
         f"round({d.seconds('word_count')} / 60.0, 1) AS minutes, coalesce(word_count, 0) AS words, "
         f"{truncate_words(prev, 500)} AS preview, {web_path(AUDIO_FILE)} AS web_path FROM ok")
 
@@ -172,21 +171,21 @@ def job_outcomes() -> str:
         f"j AS (SELECT page_id, title, original_text, title AS t0, original_text AS o0, url FROM s5{pend})",
     ] + _speech_ctes("j", "page_id", "t0, o0, url")
     ctes = [d.CONTENT_JOBS] + run + [
-        "r AS (SELECT j.page_id AS id, j.t0 AS new_title, j.o0 AS original_text, p5.word_count AS new_words, "
+        "r AS (SELECT j.page_id AS id, j.t0 AS new_title, j.o0 AS original_text, p5.processed_text, p5.word_count AS new_words, "
         "CASE WHEN coalesce(j.o0, '') = '' THEN 'Could not extract content from the URL' "
         "WHEN coalesce(p5.processed_text, '') = '' THEN 'No text provided for conversion' END AS new_error "
         "FROM j LEFT JOIN p5 ON j.page_id = p5.page_id)",
-        "x AS (SELECT c.*, r.new_title, r.original_text, r.new_words, r.new_error, r.id IS NOT NULL AS ran, "
+        "x AS (SELECT c.*, r.new_title, r.original_text, r.processed_text, r.new_words, r.new_error, r.id IS NOT NULL AS ran, "
+        "r.id IS NOT NULL AND coalesce(r.original_text, '') <> '' AS ext, "
         "r.id IS NOT NULL AND r.new_error IS NULL AS ok FROM content_jobs c LEFT JOIN r ON c.id = r.id)",
-        "y AS (SELECT id, CASE WHEN ran THEN true ELSE is_processed END AS is_processed, "
-        "CASE WHEN ran THEN false ELSE is_processing END AS is_processing, "
-        "CASE WHEN ran THEN new_error ELSE error END AS error, "
-        "CASE WHEN ok THEN new_title ELSE title END AS title, "
-        "CASE WHEN ok THEN new_words WHEN ran THEN NULL ELSE word_count END AS word_count, "
-        "CASE WHEN ok THEN CASE WHEN original_text IS NULL OR original_text = '' THEN NULL "
-        "ELSE md5(url || ':' || substr(original_text, 1, 1000)) END END AS content_hash, "
-        "CASE WHEN ok THEN 'static/audio/' || md5(url) || '.mp3' WHEN ran THEN NULL ELSE file_path END AS file_path, "
-        f"CASE WHEN ok THEN {d.effective_voice('voice')} ELSE voice END AS voice FROM x)",
+        "y AS (SELECT id, ran OR is_processed AS is_processed, NOT ran AND is_processing AS is_processing, "
+        "CASE WHEN ran THEN new_error ELSE error END AS error, CASE WHEN ext THEN new_title ELSE title END AS title, "
+        "CASE WHEN ext THEN original_text END AS original_text, CASE WHEN ext THEN processed_text END AS processed_text, "
+        "CASE WHEN ext THEN new_words ELSE word_count END AS word_count, "
+        "CASE WHEN ext THEN md5(url || ':' || substr(original_text, 1, 1000)) END AS content_hash, "
+        "CASE WHEN ok THEN 'static/audio/' || md5(url) || '.mp3' ELSE file_path END AS file_path, "
+        f"CASE WHEN ok THEN {d.seconds('new_words')} ELSE duration END AS duration, "
+        f"CASE WHEN ok THEN coalesce(voice, {d.q(DEFAULT_VOICE)}) ELSE voice END AS voice FROM x)",
     ]
     return d.with_ctes(*ctes) + f"SELECT *, {STATUS} AS status FROM y"
 
@@ -196,15 +195,17 @@ def request_parse() -> str:
     v = d.voice_by("event_id")
     body = (f"CASE WHEN event_id % 10 = 0 THEN '{{bad json' WHEN event_id % 9 = 0 THEN json_object('voice', {v})::VARCHAR "
             f"WHEN event_id % 7 = 0 THEN json_object('url', 'not a url')::VARCHAR "
+            f"WHEN event_id % 11 = 0 THEN '{{\"url\": null}}' "
             f"ELSE json_object('url', {url}, 'voice', {v})::VARCHAR END")
     ok_json = "json_valid(body)"
     return d.with_ctes(
         d.CONTENT_LOG,
         f"b AS (SELECT event_id AS request_id, {body} AS body FROM events)",
         f"p AS (SELECT request_id, CASE WHEN {ok_json} THEN json_extract_string(body, '$.url') END AS url, "
-        f"CASE WHEN {ok_json} THEN json_extract_string(body, '$.voice') END AS voice FROM b)",
-        f"m AS (SELECT request_id, url, coalesce(voice, {d.q(DEFAULT_VOICE)}) AS voice, "
-        f"CASE WHEN url IS NULL THEN 'URL is required' WHEN NOT {is_valid('url')} THEN 'Invalid URL format' END AS message FROM p)",
+        f"CASE WHEN {ok_json} THEN json_extract_string(body, '$.voice') END AS voice, "
+        f"CASE WHEN {ok_json} THEN list_contains(json_keys(body), 'url') ELSE false END AS given FROM b)",
+        f"m AS (SELECT request_id, url, given, coalesce(voice, {d.q(DEFAULT_VOICE)}) AS voice, "
+        f"CASE WHEN NOT given THEN 'URL is required' WHEN url IS NULL OR NOT {is_valid('url')} THEN 'Invalid URL format' END AS message FROM p)",
         "f AS (SELECT url, min(id) AS id FROM content_log GROUP BY url)",
     ) + ("SELECT m.request_id, CASE WHEN message IS NULL THEN 'ok' ELSE 'error' END AS status, message, m.url, voice, "
          "CASE WHEN message IS NULL THEN f.id END AS content_id FROM m LEFT JOIN f ON m.url = f.url")
@@ -258,3 +259,11 @@ def quota_window_counts() -> str:
             f"least(count(*), {limit}) AS n_admitted, greatest(count(*) - {limit}, 0) AS n_rejected "
             f"FROM submissions GROUP BY client, date_trunc('{unit}', ts)")
     return d.with_ctes(d.SUBMISSIONS) + " UNION ALL ".join(parts)
+
+
+def quota_bursts() -> str:
+    from ..constants import RATE_ADD_FEED
+    n = RATE_ADD_FEED[0]
+    return d.with_ctes(d.SUBMISSIONS) + (
+        f"SELECT url AS client, date_trunc('year', ts) AS window_start, count(*) AS n_requests, least(count(*), {n}) AS n_admitted, "
+        f"greatest(count(*) - {n}, 0) AS n_rejected FROM submissions GROUP BY url, date_trunc('year', ts)")

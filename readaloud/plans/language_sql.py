@@ -10,9 +10,11 @@ def _ctes() -> list[str]:
         f"c2 AS (SELECT doc_id, lang, {d.decode_entities('l')} AS t FROM c1)",
         f"c3 AS (SELECT doc_id, lang, {d.basic_clean_text('t')} AS t FROM c2)",
         "s AS (SELECT doc_id, lang, ' ' || lower(substr(t, 1, 1000)) || ' ' AS s FROM c3 WHERE length(' ' || lower(substr(t, 1, 1000)) || ' ') >= 3)",
+        "w AS (SELECT doc_id, lang, ' ' || lower(t) || ' ' AS s FROM c3 WHERE substr(md5(CAST(doc_id AS VARCHAR)), 1, 1) < '8')",
+        "wi AS (SELECT lang, s, unnest(range(1, greatest(length(s) - 2, 1) + 1)) AS i FROM w WHERE lang IS NOT NULL AND length(s) >= 3)",
         "i AS (SELECT doc_id, lang, s, unnest(range(1, greatest(length(s) - 2, 1) + 1)) AS i FROM s)",
         "tri AS (SELECT doc_id, lang, substr(s, i, 3) AS tri FROM i)",
-        "counts AS (SELECT tri, lang, count(*) AS c FROM tri WHERE lang IS NOT NULL GROUP BY tri, lang)",
+        "counts AS (SELECT substr(s, i, 3) AS tri, lang, count(*) AS c FROM wi GROUP BY ALL)",
         "totals AS (SELECT lang, sum(c) AS total FROM counts GROUP BY lang)",
         "v AS (SELECT count(DISTINCT tri) AS v FROM counts)",
         "bases AS (SELECT lang, total, v, CAST(round(ln(1.0 / CAST(total + v AS DOUBLE)) * 1000.0) AS BIGINT) AS base FROM totals, v)",
@@ -28,10 +30,10 @@ def _ctes() -> list[str]:
 
 
 def language_detect() -> str:
-    return d.with_ctes(*_ctes()) + "SELECT doc_id, lang, detected FROM det"
+    return d.with_ctes(*_ctes()) + "SELECT doc_id, lang, substr(md5(CAST(doc_id AS VARCHAR)), 1, 1) < '8' AS fitted, detected FROM det"
 
 
 def language_accuracy() -> str:
     return d.with_ctes(*_ctes()) + (
-        "SELECT lang, count(*) AS n_docs, CAST(sum(CASE WHEN detected = lang THEN 1 ELSE 0 END) AS BIGINT) AS n_correct "
-        "FROM det GROUP BY lang")
+        "SELECT lang, substr(md5(CAST(doc_id AS VARCHAR)), 1, 1) < '8' AS fitted, count(*) AS n_docs, "
+        "count(CASE WHEN detected = lang THEN 1 END) AS n_correct FROM det GROUP BY ALL")

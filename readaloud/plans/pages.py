@@ -9,16 +9,19 @@ from ..operators.chunks import synthesis_manifest
 from ..operators.extract import body_text, cascade_extract, structural_extract, structural_text
 from ..operators.speech import prepare_speech, with_synthesis_error
 from ..sources.fixtures import voice_by
-from ..sources.tables import read_table, spread
+from ..sources.tables import read_table
 
 
 def _pages(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
-    return spread(read_table(spark, sf_dir, "pages", *cols))
+    return read_table(spark, sf_dir, "pages", *cols)
 
 
-def page_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page through extraction and speech preparation (html dropped early)."""
-    ext = structural_extract(_pages(spark, sf_dir, "page_id", "url", "html"))
+def page_jobs(spark: SparkSession, sf_dir: str, ids: DataFrame | None = None) -> DataFrame:
+    """Pages (those with a ``page_id`` in ``ids``, if given) through extraction and speech preparation."""
+    pages = _pages(spark, sf_dir, "page_id", "url", "html")
+    if ids is not None:  # before the text work, which then runs on these pages only
+        pages = pages.join(ids.select("page_id"), "page_id", "left_semi")
+    ext = structural_extract(pages)
     jobs = ext.select(F.col("page_id").alias("content_id"), "url", "title", "original_text", "error",
                       voice_by(F.col("page_id")).alias("voice"))
     return with_synthesis_error(prepare_speech(jobs))
@@ -53,3 +56,26 @@ def page_body_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_extract_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cascade_extract(_pages(spark, sf_dir, "page_id", "url", "html"))
+
+
+#: Markup whose branches the stored pages don't reach, with {k} for the page number, and the main text it must give.
+EDGE_PAGES = (
+    ("<!-- <nav> --><p>keep {k}</p><nav>x</nav>", "keep {k}"),
+    ("<!-- <article> --><main>M{k}</main><p>out</p>", "M{k}"),
+    ("<nav>a<nav>b</nav>c</nav><p>t{k}</p>", "t{k}"),
+    ("<div><nav>menu</div><p>t{k}</p>", "t{k}"),
+    ('<body><div id="main-content"><div>in {k}</div>x</div><p>out</p></body>', "in {k}\nx"),
+    ("<p>a{k}</p><header><div>h</div></header>b", "a{k}\nb"),
+    ("<article><nav>n<ul><li>q</nav><p>A{k}</p><article>B</article>C</article>D", "A{k}\nB\nC"),
+    ("<p>&#000000065;{k}&#x110000;&#x000000041;</p>", "A{k}\ufffdA"),
+)
+
+
+def page_edge_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page's number set in edge-case markup, followed by the page's own main text."""
+    p = _pages(spark, sf_dir, "page_id", "html")
+    k = F.col("page_id")
+    edge = F.lit(None).cast("string")
+    for i, (markup, _) in enumerate(EDGE_PAGES):
+        edge = F.when(k % len(EDGE_PAGES) == i, F.replace(F.lit(markup), F.lit("{k}"), k.cast("string"))).otherwise(edge)
+    return p.select("page_id", structural_text(edge).alias("edge_text"), structural_text(F.col("html")).alias("main_text"))

@@ -120,3 +120,11 @@ def page_extract_cascade() -> str:
     return d.with_ctes(*ctes) + (
         "SELECT page_id, url, title, method, raw_text, original_text, "
         "CASE WHEN coalesce(original_text, '') = '' THEN 'Could not extract content from the URL' END AS error FROM s7")
+
+
+def page_edge_cases() -> str:
+    """The expected edge texts are written out; no markup is read for them."""
+    from .pages import EDGE_PAGES
+    whens = " ".join(f"WHEN {i} THEN replace({d.q(want)}, '{{k}}', CAST(page_id AS VARCHAR))" for i, (_, want) in enumerate(EDGE_PAGES))
+    return d.with_ctes(*_extract_ctes()[:4]) + (
+        f"SELECT page_id, CASE page_id % {len(EDGE_PAGES)} {whens} END AS edge_text, raw_text AS main_text FROM s4")

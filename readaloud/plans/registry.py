@@ -14,6 +14,7 @@ Builder = Callable[[SparkSession, str], DataFrame]
 # name -> (spark builder, oracle SQL builder or None)
 REGISTRY: dict[str, tuple[Builder, Callable[[], str] | None]] = {
     "page_manifest": (pages.page_manifest, pages_sql.page_manifest),
+    "page_edge_cases": (pages.page_edge_cases, pages_sql.page_edge_cases),
     "page_title": (pages.page_title_q, pages_sql.page_title),
     "page_strip_boilerplate": (pages.page_strip_boilerplate, pages_sql.page_strip_boilerplate),
     "page_main_text": (pages.page_main_text, pages_sql.page_main_text),
@@ -21,6 +22,7 @@ REGISTRY: dict[str, tuple[Builder, Callable[[], str] | None]] = {
     "page_extract_cascade": (pages.page_extract_cascade, pages_sql.page_extract_cascade),
     "doc_collapse_blank_lines": (docs.doc_collapse_blank_lines, docs_sql.doc_collapse_blank_lines),
     "doc_redact_emails": (docs.doc_redact_emails, docs_sql.doc_redact_emails),
+    "doc_redact_edge": (docs.doc_redact_edge, docs_sql.doc_redact_edge),
     "doc_paragraphs": (docs.doc_paragraphs, docs_sql.doc_paragraphs),
     "doc_clean_content": (docs.doc_clean_content, docs_sql.doc_clean_content),
     "content_hash": (docs.content_hash_q, docs_sql.content_hash),
@@ -45,6 +47,7 @@ REGISTRY: dict[str, tuple[Builder, Callable[[], str] | None]] = {
     "request_cache_api": (jobs.request_cache_api, jobs_sql.request_cache_api),
     "request_admission": (jobs.request_admission, jobs_sql.request_admission),
     "quota_window_counts": (jobs.quota_window_counts, jobs_sql.quota_window_counts),
+    "quota_bursts": (jobs.quota_bursts, jobs_sql.quota_bursts),
     "guest_quota": (jobs.guest_quota, jobs_sql.guest_quota),
     "user_conversions": (jobs.user_conversions, jobs_sql.user_conversions),
     "voice_resolve": (jobs.voice_resolve, jobs_sql.voice_resolve),
@@ -74,11 +77,13 @@ REGISTRY: dict[str, tuple[Builder, Callable[[], str] | None]] = {
     "feed_xml_entries": (feeds.feed_xml_entries, None),
     "fk_orphans": (checks.fk_orphans, checks_sql.fk_orphans),
     "length_violations": (checks.length_violations, checks_sql.length_violations),
+    "unique_violations": (checks.unique_violations, checks_sql.unique_violations),
     "null_url": (checks.null_url, checks_sql.null_url),
     "schema_evolve": (checks.schema_evolve, checks_sql.schema_evolve),
     "language_detect": (language.language_detect, language_sql.language_detect),
     "language_accuracy": (language.language_accuracy, language_sql.language_accuracy),
     "stream_dedupe_submissions": (streams.stream_dedupe_submissions, streaming_sql.stream_dedupe_submissions),
+    "stream_convert": (streams.stream_convert, pages_sql.page_manifest),
     "stream_quota_windows": (streams.stream_quota_windows, streaming_sql.stream_quota_windows),
     "stream_latest_status": (streams.stream_latest_status, streaming_sql.stream_latest_status),
     "stream_feed_poll": (streams.stream_feed_poll, streaming_sql.stream_feed_poll),

@@ -118,13 +118,17 @@ def feed_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries_of(read_table(spark, sf_dir, "documents", "doc_id", "source", "text"))
 
 
+def first_line(text: Column) -> Column:
+    return F.substring_index(text, "\n", 1)
+
+
 def entries_of(documents: DataFrame) -> DataFrame:
     """Feed entries from document rows (batch or one streaming micro-batch)."""
     return documents.select(
         feed_number(F.col("source")).alias("feed_id"),
         F.col("doc_id").alias("entry_order"),
         F.when(F.col("doc_id") % 97 == 0, F.lit("")).otherwise(F.md5("text")).alias("link"),
-        F.substring("text", 1, 40).alias("title"),
+        first_line(F.col("text")).alias("title"),
     )
 
 

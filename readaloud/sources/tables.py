@@ -23,23 +23,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> Da
     return df.select(*columns) if columns else df
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Spread CPU-heavy text rows over the cluster when the scan is too coarse.
-
-    A large input already arrives in many splits and is returned unchanged (no
-    shuffle). A small file read as one or two splits would run every regex
-    on one core, so it is round-robin repartitioned to three tasks per core
-    (smaller tasks even out the uneven cost of long and short texts).
-    """
-    spark = df.sparkSession
-    try:
-        target = min_partitions or spark.sparkContext.defaultParallelism * 3
-        splits = df.rdd.getNumPartitions()
-    except Exception:  # no RDD view (e.g. a remote session): leave the scan as it is
-        return df
-    return df if splits >= target else df.repartition(target)
-
-
 def filter_computed(df: DataFrame, cond) -> DataFrame:
     """Keep rows where ``cond`` holds, with ``cond`` evaluated after the projection.
 

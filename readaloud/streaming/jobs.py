@@ -1,10 +1,12 @@
-"""Structured Streaming forms of submission intake, quotas, job status and feed polling.
-
-Every stream reads files, keeps its checkpoint and output under the shared
-checkpoint folder named by the session, and writes through a file sink (or
-``foreachBatch`` into files), so a restarted driver resumes from the
-checkpoint and nothing is gathered on the driver. ``run_available`` drains
-what is available now and returns the written result as a DataFrame.
+"""Structured Streaming forms of submission intake, conversion, quotas, job status and feed polling.
+
+Every stream reads files, a bounded number per micro-batch, and keeps its
+checkpoint and output in one work folder. Given the same folder again, a stream
+resumes from its checkpoint; without one it starts afresh under the shared
+checkpoint folder. What a stream must remember (addresses already emitted,
+feeds already polled) is a table in that folder, written per batch or poll so that a replay
+overwrites its own rows, and results don't depend on how files fall into
+batches.
 """
 from __future__ import annotations
 
@@ -13,7 +15,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.errors import AnalysisException
 from pyspark.sql.streaming import DataStreamWriter
 
 from ..constants import RATE_API_SUBMIT
@@ -21,21 +22,41 @@ from ..functions.status import content_status
 from ..operators import feeds as FO
 from ..session import ensure_checkpoint_dir
 from ..sources import fixtures as X
-from ..sources.tables import table_path
+from ..operators.chunks import synthesis_manifest
+from ..operators.extract import structural_extract
+from ..operators.speech import prepare_speech, with_synthesis_error
+from ..sources.tables import read_table, table_path
 
 WATERMARK = "1 hour"
 
 
-def _workdir(spark: SparkSession, name: str) -> str:
-    base = ensure_checkpoint_dir(spark)
-    return os.path.join(base, "readaloud-streams", f"{name}-{uuid.uuid4().hex}")
+#: Files taken into one micro-batch.
+MAX_FILES = 32
+
+
+def _workdir(spark: SparkSession, name: str, work: str | None = None) -> str:
+    """The caller's work folder, or a new one under the shared checkpoint folder."""
+    return work or os.path.join(ensure_checkpoint_dir(spark), "readaloud-streams", f"{name}-{uuid.uuid4().hex}")
 
 
-def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table file as a streaming source (a glob that matches exactly that file)."""
+def stream_table(spark: SparkSession, sf_dir: str, name: str, max_files: int = MAX_FILES) -> DataFrame:
+    """A table (one file or a folder of files) as a streaming source."""
     path = table_path(sf_dir, name)
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).parquet(path[:-1] + "[" + path[-1] + "]")
+    # a glob that matches exactly this path, be it a file or a folder
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path[:-1] + "[" + path[-1] + "]")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def _drain(df: DataFrame, each, work: str) -> None:
+    """Run ``each(batch, batch_id)`` over everything available now."""
+    q = (df.writeStream.foreachBatch(each).option("checkpointLocation", os.path.join(work, "checkpoint"))
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
 
 
 def run_available(writer: DataStreamWriter, work: str, fmt: str = "parquet") -> str:
@@ -61,34 +82,59 @@ def _event_time(df: DataFrame, col: str = "ts") -> DataFrame:
     return df.withColumn(col, F.col(col).cast("timestamp"))
 
 
-def submissions_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = stream_table(spark, sf_dir, "events")
+def submissions_stream(spark: SparkSession, sf_dir: str, max_files: int = MAX_FILES) -> DataFrame:
+    e = stream_table(spark, sf_dir, "events", max_files)
     k = F.col("event_id")
     s = e.select(k.alias("request_id"), F.col("user_id").alias("client"), X.submission_url(k).alias("url"),
                  X.voice_by(k).alias("voice"), F.col("ts"))
     return _event_time(s)
 
 
-def stream_dedupe_submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """URLs that need a new job: first sighting within the watermark, not already processed.
+def stream_dedupe_submissions(spark: SparkSession, sf_dir: str, work: str | None = None, max_files: int = MAX_FILES) -> DataFrame:
+    """URLs that need a new job: not processed already and not emitted by an earlier batch.
 
-    Deduplication state per URL is dropped once the watermark passes, and the
-    stored-content side is a static table joined per micro-batch.
+    The emitted URLs are the output table itself, joined per batch, so nothing is forgotten and no state is held in memory.
     """
-    work = _workdir(spark, "dedupe")
-    subs = submissions_stream(spark, sf_dir).withWatermark("ts", WATERMARK) \
-        .dropDuplicatesWithinWatermark(["url"])
+    work = _workdir(spark, "dedupe", work)
+    sink = os.path.join(work, "out")
     done = X.content_log(spark, sf_dir).where(F.col("is_processed")).select("url").distinct()
-    new = subs.join(done, "url", "left_anti").select("url")
-    out = run_available(new.writeStream.outputMode("append"), work)
-    return spark.read.parquet(out)
 
+    def fresh(batch: DataFrame, batch_id: int) -> None:
+        new = batch.select("url").distinct().join(done, "url", "left_anti")
+        if _exists(spark, sink):  # earlier batches only: a replayed one must not see its own output
+            earlier = spark.read.schema("url string, batch_id bigint").parquet(sink).where(F.col("batch_id") < batch_id)
+            new = new.join(earlier.select("url"), "url", "left_anti")
+        write_batch_output(new, sink, batch_id)
+    _drain(submissions_stream(spark, sf_dir, max_files), fresh, work)
+    return spark.read.schema("url string, batch_id bigint").parquet(sink).select("url")
+
+
+def stream_convert(spark: SparkSession, sf_dir: str, work: str | None = None, max_files: int = MAX_FILES) -> DataFrame:
+    """Submissions through extraction and speech preparation to the synthesis manifest, as they arrive.
 
-def stream_quota_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requests per client per hour, emitted once each window closes under the watermark."""
+    Each submission is joined to its fetched page; everything after is row-local, so
+    batches are independent and the output is append-only.
+    """
+    work = _workdir(spark, "convert", work)
+    fetched = read_table(spark, sf_dir, "pages", "page_id", "html")
+    k = F.col("page_id")
+    subs = stream_table(spark, sf_dir, "pages", max_files).select("page_id", "url", X.voice_by(k).alias("voice"))
+    jobs = structural_extract(subs.join(fetched, "page_id"), extra=["voice"]).select(
+        k.alias("content_id"), "url", "title", "original_text", "error", "voice")
+    ready = with_synthesis_error(prepare_speech(jobs))
+    manifest = synthesis_manifest(ready, valid=F.col("error").isNull())
+    return spark.read.schema(manifest.schema).parquet(run_available(manifest.writeStream.outputMode("append"), work))
+
+
+def stream_quota_windows(spark: SparkSession, sf_dir: str, work: str | None = None, max_files: int = MAX_FILES) -> DataFrame:
+    """Requests per client per hour, emitted once each window closes under the watermark.
+
+    Windows still open at the end stay in the state. Rows that come more than the watermark late are left out, so
+    files are expected in the order of time, to within an hour.
+    """
     limit, period = RATE_API_SUBMIT
-    work = _workdir(spark, "quota")
-    subs = submissions_stream(spark, sf_dir).withWatermark("ts", WATERMARK)
+    work = _workdir(spark, "quota", work)
+    subs = submissions_stream(spark, sf_dir, max_files).withWatermark("ts", WATERMARK)
     g = subs.groupBy(F.window("ts", period), "client").agg(F.count(F.lit(1)).alias("n_requests"))
     rows = g.select("client", F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"),
                     "n_requests", (F.col("n_requests") > limit).alias("over_limit"))
@@ -113,13 +159,14 @@ def status_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("id", F.col("e.ts").alias("ts"), F.col("e.status").alias("status"))
 
 
-def stream_latest_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stream_latest_status(spark: SparkSession, sf_dir: str, work: str | None = None, max_files: int = MAX_FILES) -> DataFrame:
     """Latest status per job from the transition stream (state: one row per job)."""
-    work = _workdir(spark, "status")
+    work = _workdir(spark, "status", work)
     log_dir = os.path.join(work, "log")
-    status_transitions(spark, sf_dir).write.parquet(log_dir)
+    if not _exists(spark, log_dir):
+        status_transitions(spark, sf_dir).write.parquet(log_dir)
     schema = spark.read.parquet(log_dir).schema
-    src = spark.readStream.schema(schema).parquet(log_dir)
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(log_dir)
     latest = src.groupBy("id").agg(F.max_by("status", "ts").alias("status"), F.max("ts").alias("updated_at"))
     sink = os.path.join(work, "batches")
 
@@ -134,35 +181,46 @@ def stream_latest_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.select("id", F.col("s.status").alias("status"))
 
 
-def stream_feed_poll(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Feed polling as a stream of fetched feed snapshots; each micro-batch runs one refresh.
+ENTRIES = "feed_id bigint, entry_order bigint, link string, title string, batch_id bigint"
+CREATED = "url string, feed_id bigint, pos int, title string, user_id bigint, poll_id bigint"
+CHECKED = "feed_id bigint, checked timestamp_ntz, poll_id bigint"
 
-    Each micro-batch holds whole feed documents (a poll's snapshot), so top-N
-    is taken within the batch; links are checked against the stored content
-    plus everything earlier polls ingested. In production the trigger would be
-    ``processingTime='30 minutes'``; the batch function is the same
-    due-feeds / top-N / anti-join / first-wins job as the batch refresh.
-    """
-    work = _workdir(spark, "feedpoll")
-    sink = os.path.join(work, "out")
-    feeds = X.feeds(spark, sf_dir)
-    known = X.known_content_urls(spark, sf_dir)
-    docs = stream_table(spark, sf_dir, "documents")
-
-    def poll(batch: DataFrame, batch_id: int) -> None:
-        # the content table as it stands: stored URLs plus what earlier polls ingested
-        try:  # earlier batches only: a replayed batch must not see its own partial output
-            earlier = spark.read.parquet(sink).where(F.col("batch_id") < batch_id).select("url")
-            seen = known.unionByName(earlier)
-        except AnalysisException:  # no poll has written yet
-            seen = known
-        entries = X.entries_of(batch)
-        due = FO.due_feeds(feeds, X.now_ts()).select(F.col("id").alias("feed_id"))
-        top = FO.top_entries(entries.join(due, "feed_id", "left_semi"))
-        write_batch_output(FO.new_entries(top, seen, feeds), sink, batch_id)
-
-    q = (docs.writeStream.foreachBatch(poll).option("checkpointLocation", os.path.join(work, "checkpoint"))
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.parquet(sink).select("url", "feed_id", "pos", "title", "user_id")
 
+def land_entries(spark: SparkSession, sf_dir: str, work: str, poll_id: int, max_files: int = MAX_FILES) -> None:
+    """Land the entries that a poll fetched; a snapshot may arrive in any number of batches."""
+    sink = os.path.join(work, f"snapshot-{poll_id}")
+
+    def land(batch: DataFrame, batch_id: int) -> None:
+        write_batch_output(X.entries_of(batch), sink, batch_id)
+    _drain(stream_table(spark, sf_dir, "documents", max_files), land, os.path.join(work, f"landing-{poll_id}"))
+
+
+def refresh_poll(spark: SparkSession, sf_dir: str, work: str, poll_id: int, now) -> None:
+    """One refresh over a whole landed snapshot: due feeds, first entries per feed, new links only.
+
+    Links are checked against the stored content and what earlier polls
+    created, and a feed's last check is the latest of its stored one and the earlier
+    polls'. Rows are written per poll, so a repeated refresh replaces its own.
+    """
+    created, checked = os.path.join(work, "created"), os.path.join(work, "checked")
+    feeds, known = X.feeds(spark, sf_dir), X.known_content_urls(spark, sf_dir)
+    if _exists(spark, created):
+        known = known.unionByName(spark.read.schema(CREATED).parquet(created).where(F.col("poll_id") < poll_id).select("url"))
+    if _exists(spark, checked):
+        last = spark.read.schema(CHECKED).parquet(checked).where(F.col("poll_id") < poll_id).groupBy("feed_id").agg(F.max("checked").alias("_at"))
+        feeds = feeds.join(last.withColumnRenamed("feed_id", "id"), "id", "left").withColumn(
+            "last_checked", F.greatest("last_checked", "_at")).drop("_at")
+    entries = spark.read.schema(ENTRIES).parquet(os.path.join(work, f"snapshot-{poll_id}")).drop("batch_id")
+    due = FO.due_feeds(feeds, now).select(F.col("id").alias("feed_id"))
+    top = FO.top_entries(entries.join(due, "feed_id", "left_semi"))
+    FO.new_entries(top, known, feeds).select("url", "feed_id", "pos", "title", "user_id").write.mode("overwrite").parquet(
+        os.path.join(created, f"poll_id={poll_id}"))
+    due.select("feed_id", now.alias("checked")).write.mode("overwrite").parquet(os.path.join(checked, f"poll_id={poll_id}"))
+
+
+def stream_feed_poll(spark: SparkSession, sf_dir: str, work: str | None = None, max_files: int = MAX_FILES) -> DataFrame:
+    """Feed polling: the fetched snapshot streams in, then one refresh runs over all of it."""
+    work = _workdir(spark, "feedpoll", work)
+    land_entries(spark, sf_dir, work, 0, max_files)
+    refresh_poll(spark, sf_dir, work, 0, X.now_ts())
+    return spark.read.schema(CREATED).parquet(os.path.join(work, "created")).select("url", "feed_id", "pos", "title", "user_id")
