@@ -9,10 +9,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import FEED_ENTRIES_REFRESH, FEED_STALE_MINUTES
+from ..functions.regex import let
 from ..functions.status import feed_status, truthy
 
-FEED_SCHEMA = ("channel struct<title string, description string, lastBuildDate string, "
-               "item array<struct<title string, link string, pubDate string>>>")
+_ENTRY = "title string, link string, pubDate string, date string"
+_ATOM_ENTRY = "title string, link array<struct<_href string, _rel string>>, published string, updated string"
+#: RSS (channel with items), RDF (channel and items side by side) and Atom (entries), in one schema; namespaces are ignored.
+FEED_SCHEMA = (f"channel struct<title string, description string, lastBuildDate string, pubDate string, date string, item array<struct<{_ENTRY}>>>, "
+               f"item array<struct<{_ENTRY}>>, title string, subtitle string, updated string, entry array<struct<{_ATOM_ENTRY}>>")
+#: Names of time zones in mail dates and their minutes from UTC.
+ZONES = {"GMT": 0, "UTC": 0, "UT": 0, "Z": 0, "EST": -300, "EDT": -240, "CST": -360, "CDT": -300, "MST": -420, "MDT": -360, "PST": -480, "PDT": -420}
+MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
 
 
 def due_feeds(feeds: DataFrame, now: Column) -> DataFrame:
@@ -102,24 +109,73 @@ def delete(feeds: DataFrame, content: DataFrame, ids: DataFrame) -> tuple[DataFr
     return kept, c
 
 
-def parse_feed_xml(docs: DataFrame, xml: str = "xml") -> DataFrame:
-    """Feed XML -> channel metadata and entries in document order.
+def parse_feed_documents(docs: DataFrame, xml: str = "xml") -> DataFrame:
+    """Feed XML (RSS, RDF or Atom) -> ``ok``, title, description, update time and the entries in document order.
 
-    A document that does not parse yields one row with every field NULL
-    (``ok`` false), which is how a malformed feed is rejected on add.
+    A document that does not parse, or has neither a channel nor a feed
+    title or entries, gives ``ok`` false and nulls; that is how a malformed feed
+    is rejected on add.
     """
-    p = docs.select("*", F.from_xml(F.col(xml), FEED_SCHEMA).alias("_f"))
-    ok = F.col("_f.channel").isNotNull()
-    ex = p.select(*[c for c in docs.columns if c != xml], ok.alias("ok"),
-                  F.col("_f.channel.title").alias("feed_title"),
-                  F.posexplode_outer(F.when(ok, F.col("_f.channel.item"))).alias("pos", "item"))
-    return ex.select(*[c for c in docs.columns if c != xml], "ok", "feed_title",
-                     F.col("pos").cast("int").alias("pos"), F.col("item.title").alias("title"),
-                     F.col("item.link").alias("link"), F.col("item.pubDate").alias("pub_date"))
+    own = [c for c in docs.columns if c != xml]
+    p = docs.select(*own, F.from_xml(F.col(xml), FEED_SCHEMA, {"ignoreNamespace": "true"}).alias("_f"))
+    rss = F.col("_f.channel").isNotNull()
+    atom = ~rss & (F.col("_f.title").isNotNull() | F.col("_f.entry").isNotNull())
+    items = F.transform(F.coalesce("_f.channel.item", "_f.item", F.array()), lambda x: F.struct(
+        x["title"].alias("title"), x["link"].alias("link"), F.coalesce(x["pubDate"], x["date"]).alias("dated")))
+
+    def page(links: Column) -> Column:
+        """The page an entry links to: its alternate link, else its first."""
+        plain = F.filter(links, lambda k: F.coalesce(k["_rel"], F.lit("alternate")) == "alternate")
+        return F.coalesce(F.get(plain, F.lit(0))["_href"], F.get(links, F.lit(0))["_href"])
+    entries = F.transform(F.coalesce("_f.entry", F.array()), lambda x: F.struct(
+        x["title"].alias("title"), page(x["link"]).alias("link"), F.coalesce(x["published"], x["updated"]).alias("dated")))
+    return p.select(
+        *own, (rss | atom).alias("ok"), F.coalesce("_f.channel.title", "_f.title").alias("feed_title"),
+        F.coalesce("_f.channel.description", "_f.subtitle").alias("feed_description"),
+        F.coalesce("_f.channel.lastBuildDate", "_f.channel.pubDate", "_f.channel.date", "_f.updated").alias("feed_updated"),
+        F.when(rss, items).when(atom, entries).alias("entries"))
+
+
+def parse_feed_xml(docs: DataFrame, xml: str = "xml") -> DataFrame:
+    """One row per entry of every document (one row with nulls for a document without any)."""
+    own = [c for c in docs.columns if c != xml]
+    p = parse_feed_documents(docs, xml)
+    ex = p.select(*own, "ok", "feed_title", F.posexplode_outer("entries").alias("pos", "item"))
+    return ex.select(*own, "ok", "feed_title", F.col("pos").cast("int").alias("pos"), F.col("item.title").alias("title"),
+                     F.col("item.link").alias("link"), F.col("item.dated").alias("pub_date"))
 
 
 def parse_feed_date(s: Column) -> Column:
-    """ISO-8601 or RFC-822 feed date to a timestamp (NULL when neither parses)."""
-    rfc = F.regexp_replace(F.regexp_replace(s, r"^[A-Za-z]{3},\s*", ""), r"\s*(GMT|UTC|Z|[+-]0000)$", "")
-    return F.coalesce(F.try_to_timestamp(s, F.lit("yyyy-MM-dd'T'HH:mm:ss")),
-                      F.try_to_timestamp(rfc, F.lit("dd MMM yyyy HH:mm:ss"))).cast("timestamp_ntz")
+    """A feed date to a UTC timestamp, null when it is none.
+
+    ISO-8601 with optional seconds, fraction and offset, or the mail form with
+    optional weekday, one- or two-digit day and a zone name or offset.
+    """
+    iso = r"^\s*([0-9]{4}-[0-9]{2}-[0-9]{2})[T ]([0-9]{2}:[0-9]{2})(:[0-9]{2})?(?:\.[0-9]+)?\s*(Z|[+-][0-9]{2}:?[0-9]{2})?\s*$"
+    mail = r"^\s*(?:[A-Za-z]{3,9},\s*)?([0-9]{1,2}) ([A-Za-z]{3})[a-z]* ([0-9]{4}) ([0-9]{1,2}:[0-9]{2})(:[0-9]{2})?\s*([A-Z]{1,4}|[+-][0-9]{4})?\s*$"
+
+    def groups(x: Column, pattern: str, n: int) -> Column:
+        return F.array(*[F.regexp_extract(x, pattern, i) for i in range(1, n + 1)])
+
+    def shift(zone: Column) -> Column:
+        """Minutes from UTC of a zone name or offset; null for an unknown name."""
+        named = F.create_map(*[x for k, v in ZONES.items() for x in (F.lit(k), F.lit(v))])
+        digits = F.regexp_replace(zone, "[^0-9]", "")
+        offset = (F.substring(digits, 1, 2).cast("int") * 60 + F.substring(digits, 3, 2).cast("int")) \
+            * F.when(F.startswith(zone, F.lit("-")), -1).otherwise(1)
+        return F.when(zone == "", 0).when(digits != "", offset).otherwise(F.try_element_at(named, zone))
+
+    def utc(text: Column, zone: Column) -> Column:
+        return text.try_cast("timestamp_ntz") - F.make_dt_interval(F.lit(0), F.lit(0), shift(zone))
+
+    def seconds(x: Column) -> Column:
+        return F.when(x != "", x).otherwise(F.lit(":00"))
+
+    def from_iso(g: Column) -> Column:
+        return utc(F.concat(g[0], F.lit(" "), g[1], seconds(g[2])), g[3])
+
+    def from_mail(g: Column) -> Column:
+        month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.initcap(g[1]))
+        return utc(F.concat(g[2], F.lit("-"), F.lpad(month.cast("string"), 2, "0"), F.lit("-"), F.lpad(g[0], 2, "0"), F.lit(" "),
+                            F.lpad(g[3], 5, "0"), seconds(g[4])), g[5])
+    return let(s, lambda x: F.when(x.rlike(iso), let(groups(x, iso, 4), from_iso)).when(x.rlike(mail), let(groups(x, mail, 6), from_mail)))

@@ -1,10 +1,10 @@
 """Feed queries: due feeds, refresh (one / all / on add), metadata, health, listings."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..constants import FEED_ENTRIES_ON_ADD, UNNAMED_FEED, UNTITLED_POST
+from ..constants import FEED_ENTRIES_ON_ADD, PARSE_ERROR, UNNAMED_FEED, UNTITLED_POST
 from ..functions.status import content_status, feed_badge, feed_status, status_badge, truthy
 from ..operators import feeds as O
 from ..sources import fixtures as X
@@ -54,29 +54,74 @@ def feed_refresh_one(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("is_active"), F.coalesce("n_new", F.lit(0).cast("bigint"))).otherwise(F.lit(0).cast("bigint")).alias("n_new"))
 
 
-def feed_add(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Subscribe every source URL not yet subscribed, then ingest its first 5 entries.
+def feed_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(feed_id, xml): the document each feed serves, with its first ten entries.
 
-    Existing subscriptions are the feeds with an even id; requests for them are
-    skipped (the "already in your list" case), the others are added.
+    Even feeds serve Atom and the others RSS; every eleventh document is cut
+    short. Title and update time are missing from some.
     """
+    top = O.top_entries(X.feed_entries(spark, sf_dir))
+    i = F.col("id")
+    own = X.feeds(spark, sf_dir).select("id", "description")
+    updated = F.when(i % 3 != 1, X.epoch_ts() + F.make_dt_interval(i.cast("int")))
+    rss = F.concat(F.lit("<item>"), _element("title", F.col("title")), _element("link", F.col("link")), F.lit("</item>"))
+    atom = F.concat(F.lit("<entry>"), _element("title", F.col("title")), F.when(
+        truthy(F.col("link")), F.concat(F.lit('<link rel="self" href="x"/><link href="'), F.col("link"), F.lit('"/>'))).otherwise(F.lit("")),
+        F.lit("</entry>"))
+    entry = F.when(F.col("feed_id") % 2 == 0, atom).otherwise(rss)
+    bodies = top.groupBy("feed_id").agg(F.array_join(F.transform(  # at most ten entries a feed
+        F.array_sort(F.collect_list(F.struct("pos", entry.alias("x")))), lambda s: s["x"]), "").alias("body"))
+    j = own.join(bodies, own.id == bodies.feed_id, "left")
+    title = _element("title", F.when(i % 4 != 2, F.concat(F.lit("Channel "), i.cast("string"))))
+    body = F.coalesce("body", F.lit(""))
+    mail = F.concat(F.date_format(updated + F.make_dt_interval(F.lit(0), F.lit(2)), "EEE, d MMM yyyy HH:mm:ss"), F.lit(" +0200"))
+    iso = F.concat(F.date_format(updated - F.make_dt_interval(F.lit(0), F.lit(5)), "yyyy-MM-dd'T'HH:mm:ss"), F.lit(".250-05:00"))
+    as_rss = F.concat(F.lit('<rss version="2.0"><channel>'), title, _element("description", F.col("description")),
+                      _element("lastBuildDate", mail), body, F.lit("</channel></rss>"))
+    as_atom = F.concat(F.lit('<feed xmlns="http://www.w3.org/2005/Atom">'), title, _element("subtitle", F.col("description")),
+                       _element("updated", iso), body, F.lit("</feed>"))
+    xml = F.when(i % 2 == 0, as_atom).otherwise(as_rss)
+    return j.select(i.alias("feed_id"), F.when(i % 11 == 5, F.substring(xml, 1, 40)).otherwise(xml).alias("xml"))
+
+
+def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests to add every feed, with what their documents say; those with ``id % 4 = 0`` are subscribed already."""
     feeds = X.feeds(spark, sf_dir)
-    existing = feeds.where(F.col("id") % 2 == 0)
-    requests = feeds.select("id", "url", "user_id")
-    added = requests.join(existing.select("url"), "url", "left_anti")
-    top = O.top_entries(X.feed_entries(spark, sf_dir).join(added.select(F.col("id").alias("feed_id")), "feed_id", "left_semi"),
-                        FEED_ENTRIES_ON_ADD)
-    return O.new_entries(top, X.known_content_urls(spark, sf_dir), added)
+    existing = feeds.where(F.col("id") % 4 == 0).select("url", F.lit(True).alias("held"))
+    parsed = O.parse_feed_documents(feed_snapshots(spark, sf_dir)).withColumnRenamed("feed_id", "id")
+    return feeds.select("id", "url", "user_id").join(existing, "url", "left").join(parsed, "id", "left")
+
+
+def feed_subscribe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feed row each request creates, or why it creates none."""
+    r = _requests(spark, sf_dir)
+    held, ok = F.coalesce("held", F.lit(False)), F.coalesce("ok", F.lit(False))
+    status = F.when(held, "exists").when(~ok, "rejected").otherwise("added")
+    return r.select("id", "url", status.alias("status"), F.when(status == "added", F.col("feed_title")).alias("title"),
+                    F.when(status == "added", F.col("feed_description")).alias("description"), "user_id",
+                    F.when(status == "rejected", F.concat(F.lit(PARSE_ERROR), F.col("url"))).alias("message"))
+
+
+def feed_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that don't parse, among all feed documents of ten entries each."""
+    p = O.parse_feed_documents(feed_xml_documents(spark, sf_dir))
+    return p.where(~F.col("ok")).select("feed_id", "block")
+
+
+def feed_add(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 5 entries of every feed that is added, read from its document."""
+    added = _requests(spark, sf_dir).where(F.col("held").isNull() & F.col("ok"))
+    entries = added.select(F.col("id").alias("feed_id"), F.posexplode("entries").alias("pos", "e")).where(F.col("pos") < FEED_ENTRIES_ON_ADD)
+    top = entries.select("feed_id", F.col("pos").cast("int").alias("pos"), F.col("e.link").alias("link"), F.col("e.title").alias("title"))
+    return O.new_entries(top, X.known_content_urls(spark, sf_dir), X.feeds(spark, sf_dir))
 
 
 def feed_metadata_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feed rows after the due feeds' documents were read; one that doesn't parse keeps its title and update time."""
     feeds = X.feeds(spark, sf_dir)
-    i = F.col("id")
-    refreshed = O.due_feeds(feeds, _now()).select(
-        "id", F.lit(True).alias("_hit"),
-        F.when(i % 4 == 2, F.lit(None).cast("string")).otherwise(F.concat(F.lit("Channel "), i.cast("string"))).alias("new_title"),
-        F.when(i % 3 == 1, F.lit(None).cast("timestamp_ntz"))
-         .otherwise(X.epoch_ts() + F.make_dt_interval(i.cast("int"))).alias("new_updated"))
+    parsed = O.parse_feed_documents(feed_snapshots(spark, sf_dir)).select(
+        F.col("feed_id").alias("id"), F.col("feed_title").alias("new_title"), O.parse_feed_date(F.col("feed_updated")).alias("new_updated"))
+    refreshed = O.due_feeds(feeds, _now()).select("id", F.lit(True).alias("_hit")).join(parsed, "id", "left")
     return O.metadata_upsert(feeds, refreshed, _now())
 
 
@@ -124,34 +169,54 @@ def _xml_escape(c):
                      F.lit(">"), F.lit("&gt;"))
 
 
+def _element(name: str, value) -> Column:
+    """An XML element, left out when the value is null or empty."""
+    return F.when(truthy(value), F.concat(F.lit(f"<{name}>"), _xml_escape(value), F.lit(f"</{name}>"))).otherwise(F.lit(""))
+
+
 def feed_xml_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Feed XML built from documents, ten entries per document (bounded groups).
+    """Feed XML built from documents, ten entries per document (bounded groups), RSS and Atom in turn.
 
     Entries without a link omit the element; every 13th block is cut short
     so that malformed feeds are present.
     """
-    e = X.feed_entries(spark, sf_dir).select("feed_id", "entry_order", "link", "title",
+    e = X.feed_entries(spark, sf_dir).select("feed_id", "entry_order", "link", F.md5("title").alias("title"),
                                              (F.col("entry_order") / 10).cast("bigint").alias("block"))
-    item = F.concat(F.lit("<item><title>"), _xml_escape(F.col("title")), F.lit("</title>"),
-                    F.when(truthy(F.col("link")), F.concat(F.lit("<link>"), F.col("link"), F.lit("</link>"))).otherwise(F.lit("")),
-                    F.lit("</item>"))
-    g = e.groupBy("feed_id", "block").agg(F.array_sort(F.collect_list(F.struct("entry_order", item.alias("x")))).alias("items"))
-    body = F.concat(F.lit("<rss><channel><title>Feed "), F.col("feed_id").cast("string"), F.lit("</title>"),
-                    F.array_join(F.transform("items", lambda s: s["x"]), ""), F.lit("</channel></rss>"))
-    xml = F.when(F.col("block") % 13 == 5, F.substring(body, 1, 60)).otherwise(body)
-    return g.select("feed_id", "block", xml.alias("xml"))
+    dated = X.epoch_ts() + F.make_dt_interval(F.lit(0), F.lit(0), F.col("entry_order").cast("int"))
+    rss = F.concat(F.lit("<item>"), _element("title", F.col("title")), _element("link", F.col("link")),
+                   _element("pubDate", F.concat(F.date_format(dated, "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT"))), F.lit("</item>"))
+    atom = F.concat(F.lit("<entry>"), _element("title", F.col("title")),
+                    F.when(truthy(F.col("link")), F.concat(F.lit('<link href="'), F.col("link"), F.lit('"/>'))).otherwise(F.lit("")),
+                    _element("updated", F.concat(F.date_format(dated, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))), F.lit("</entry>"))
+    is_atom = F.col("block") % 2 == 0
+    g = e.groupBy("feed_id", "block").agg(F.array_sort(F.collect_list(F.struct(
+        "entry_order", F.when(is_atom, atom).otherwise(rss).alias("x")))).alias("items"))
+    body = F.array_join(F.transform("items", lambda s: s["x"]), "")
+    title = _element("title", F.concat(F.lit("Feed "), F.col("feed_id").cast("string")))
+    xml = F.when(is_atom, F.concat(F.lit("<feed>"), title, body, F.lit("</feed>"))).otherwise(
+        F.concat(F.lit("<rss><channel>"), title, body, F.lit("</channel></rss>")))
+    return g.select("feed_id", "block", F.when(F.col("block") % 13 == 5, F.substring(xml, 1, 60)).otherwise(xml).alias("xml"))
 
 
 def feed_xml_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.parse_feed_xml(feed_xml_documents(spark, sf_dir))
+    rows = O.parse_feed_xml(feed_xml_documents(spark, sf_dir))
+    return rows.withColumn("dated", O.parse_feed_date(F.col("pub_date"))).drop("pub_date")
 
 
 def feed_updated_at(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entry dates in both feed formats (and junk) parsed to timestamps."""
-    d = read_table(spark, sf_dir, "documents", "doc_id")
+    """Entry dates in the shapes that feeds use (and junk) parsed to UTC timestamps."""
+    d = read_table(spark, sf_dir, "documents", "doc_id", "source")
     k = F.col("doc_id")
     ts = X.epoch_ts() + F.make_dt_interval(F.lit(0), F.lit(0), k.cast("int"))
-    raw = (F.when(k % 11 == 0, F.lit("not a date"))
-           .when(k % 2 == 0, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"))
-           .otherwise(F.concat(F.date_format(ts, "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT"))))
-    return d.select("doc_id", raw.alias("raw"), O.parse_feed_date(raw).alias("updated"))
+    iso, mail = "yyyy-MM-dd'T'HH:mm:ss", "EEE, dd MMM yyyy HH:mm:ss"
+    shapes = (F.concat(F.date_format(ts, iso), F.lit("Z")),
+              F.concat(F.date_format(ts + F.make_dt_interval(F.lit(0), F.lit(2)), iso), F.lit("+02:00")),
+              F.concat(F.date_format(ts, iso), F.lit(".123Z")),
+              F.concat(F.date_format(ts + F.make_dt_interval(F.lit(0), F.lit(2)), mail), F.lit(" +0200")),
+              F.concat(F.date_format(ts, "EEE, d MMM yyyy HH:mm:ss"), F.lit(" GMT")),
+              F.concat(F.date_format(ts - F.make_dt_interval(F.lit(0), F.lit(5)), mail), F.lit(" EST")),
+              F.date_format(ts, iso), F.lit("not a date"))
+    raw = shapes[-1]
+    for i, shape in enumerate(shapes):
+        raw = F.when(k % len(shapes) == i, shape).otherwise(raw)
+    return d.select("doc_id", "source", O.parse_feed_date(raw).alias("updated"))

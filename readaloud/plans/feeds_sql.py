@@ -58,16 +58,39 @@ def feed_refresh_one() -> str:
 
 
 def feed_add() -> str:
+    """Feeds not held already whose document is whole; texts come from the rule that makes the documents."""
     return d.with_ctes(d.FEEDS, d.FEED_ENTRIES, d.KNOWN_URLS,
-                       "added AS (SELECT id, url, user_id FROM feeds WHERE url NOT IN (SELECT url FROM feeds WHERE id % 2 = 0))",
-                       "fe AS (SELECT * FROM feed_entries WHERE feed_id IN (SELECT id FROM added))",
+                       "added AS (SELECT id, url, user_id FROM feeds WHERE id % 4 <> 0 AND id % 11 <> 5)",
+                       "fe AS (SELECT feed_id, entry_order, link, nullif(trim(title), '') AS title FROM feed_entries "
+                       "WHERE feed_id IN (SELECT id FROM added))",
                        _top("fe", 5), *_new("added")) + "SELECT url, feed_id, pos, title, user_id FROM newc"
 
 
+def feed_subscribe() -> str:
+    return d.with_ctes(d.FEEDS, "r AS (SELECT *, CASE WHEN id % 4 = 0 THEN 'exists' WHEN id % 11 = 5 THEN 'rejected' ELSE 'added' END AS status FROM feeds)") + (
+        "SELECT id, url, status, CASE WHEN status = 'added' AND id % 4 <> 2 THEN 'Channel ' || CAST(id AS VARCHAR) END AS title, "
+        "CASE WHEN status = 'added' THEN description END AS description, user_id, "
+        "CASE WHEN status = 'rejected' THEN 'Could not parse feed: ' || url END AS message FROM r")
+
+
+def feed_rejects() -> str:
+    return d.with_ctes(d.FEED_ENTRIES) + (
+        "SELECT DISTINCT feed_id, entry_order // 10 AS block FROM feed_entries WHERE (entry_order // 10) % 13 = 5")
+
+
+def feed_xml_entries() -> str:
+    """Entries by the rule that makes the documents; no XML is read."""
+    return d.with_ctes(d.FEED_ENTRIES, "e AS (SELECT feed_id, entry_order // 10 AS block, entry_order, link, md5(title) AS title, "
+                       "row_number() OVER (PARTITION BY feed_id, entry_order // 10 ORDER BY entry_order) - 1 AS pos FROM feed_entries)") + (
+        "SELECT feed_id, block, true AS ok, 'Feed ' || CAST(feed_id AS VARCHAR) AS feed_title, CAST(pos AS INTEGER) AS pos, title, "
+        f"nullif(link, '') AS link, {d.EPOCH} + to_minutes(entry_order) AS dated FROM e WHERE block % 13 <> 5 "
+        "UNION ALL SELECT DISTINCT feed_id, block, false, NULL, NULL, NULL, NULL, NULL FROM e WHERE block % 13 = 5")
+
+
 def feed_metadata_upsert() -> str:
     return d.with_ctes(d.FEEDS, DUE,
-                       "r AS (SELECT id, CASE WHEN id % 4 = 2 THEN NULL ELSE 'Channel ' || CAST(id AS VARCHAR) END AS new_title, "
-                       f"CASE WHEN id % 3 = 1 THEN NULL ELSE {d.EPOCH} + to_days(CAST(id AS INTEGER)) END AS new_updated FROM due)") + (
+                       "r AS (SELECT id, CASE WHEN id % 4 <> 2 AND id % 11 <> 5 THEN 'Channel ' || CAST(id AS VARCHAR) END AS new_title, "
+                       f"CASE WHEN id % 3 <> 1 AND id % 11 <> 5 THEN {d.EPOCH} + to_days(CAST(id AS INTEGER)) END AS new_updated FROM due)") + (
         "SELECT f.id, f.url, CASE WHEN r.id IS NOT NULL THEN coalesce(r.new_title, f.title) ELSE f.title END AS title, "
         f"CASE WHEN r.id IS NOT NULL THEN {d.NOW} ELSE f.last_checked END AS last_checked, "
         "CASE WHEN r.id IS NOT NULL THEN coalesce(r.new_updated, f.last_updated) ELSE f.last_updated END AS last_updated, "
@@ -115,9 +138,5 @@ def feed_content_listing() -> str:
 
 
 def feed_updated_at() -> str:
-    ts = f"({d.EPOCH} + to_minutes(doc_id))"
-    raw = (f"CASE WHEN doc_id % 11 = 0 THEN 'not a date' WHEN doc_id % 2 = 0 THEN strftime({ts}, '%Y-%m-%dT%H:%M:%S') "
-           f"ELSE strftime({ts}, '%a, %d %b %Y %H:%M:%S') || ' GMT' END")
-    return d.with_ctes(f"r AS (SELECT doc_id, {raw} AS raw FROM documents)") + (
-        "SELECT doc_id, raw, coalesce(try_strptime(raw, '%Y-%m-%dT%H:%M:%S'), "
-        "try_strptime(raw, '%a, %d %b %Y %H:%M:%S GMT')) AS updated FROM r")
+    """The dates the strings were made from; every eighth string is no date."""
+    return (f"SELECT doc_id, source, CASE WHEN doc_id % 8 <> 7 THEN {d.EPOCH} + to_minutes(doc_id) END AS updated FROM documents")

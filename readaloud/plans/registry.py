@@ -74,7 +74,9 @@ REGISTRY: dict[str, tuple[Builder, Callable[[], str] | None]] = {
     "feed_listing": (feeds.feed_listing, feeds_sql.feed_listing),
     "feed_content_listing": (feeds.feed_content_listing, feeds_sql.feed_content_listing),
     "feed_updated_at": (feeds.feed_updated_at, feeds_sql.feed_updated_at),
-    "feed_xml_entries": (feeds.feed_xml_entries, None),
+    "feed_xml_entries": (feeds.feed_xml_entries, feeds_sql.feed_xml_entries),
+    "feed_rejects": (feeds.feed_rejects, feeds_sql.feed_rejects),
+    "feed_subscribe": (feeds.feed_subscribe, feeds_sql.feed_subscribe),
     "fk_orphans": (checks.fk_orphans, checks_sql.fk_orphans),
     "length_violations": (checks.length_violations, checks_sql.length_violations),
     "unique_violations": (checks.unique_violations, checks_sql.unique_violations),

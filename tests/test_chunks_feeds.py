@@ -110,5 +110,27 @@ def test_feed_xml_goldens(spark):
 
 
 def test_feed_dates(spark):
-    got = one(spark, FO.parse_feed_date, ["2024-01-02T03:04:05", "Tue, 02 Jan 2024 03:04:05 GMT", "junk"])
-    assert [str(g) if g else None for g in got] == ["2024-01-02 03:04:05", "2024-01-02 03:04:05", None]
+    shapes = ["2024-01-02T03:04:05", "2024-01-02T03:04:05Z", "2024-01-02T03:04:05+02:00", "2024-01-02T03:04:05.123Z",
+              "Tue, 02 Jan 2024 03:04:05 +0200", "Tue, 2 Jan 2024 03:04:05 GMT", "Tue, 2 Jan 2024 03:04:05 EST", "2 Jan 2024 3:04 GMT",
+              "2024-01-02 03:04", "Tue, 02 Jan 2024 03:04:05 XYZ", "2024-13-02T03:04:05", "junk", "", None]
+    got = one(spark, FO.parse_feed_date, shapes)
+    day = "2024-01-02 "
+    assert [str(g) if g else None for g in got] == [
+        day + "03:04:05", day + "03:04:05", day + "01:04:05", day + "03:04:05", day + "01:04:05", day + "03:04:05", day + "08:04:05",
+        day + "03:04:00", day + "03:04:00", None, None, None, None, None]
+
+
+def test_atom_and_rdf_feeds(spark):
+    xmls = [
+        '<feed xmlns="http://www.w3.org/2005/Atom"><title type="text">A</title><subtitle>s</subtitle><updated>2024-01-02T03:04:05Z</updated>'
+        '<entry><title>one</title><link rel="self" href="no"/><link href="http://x/1"/><updated>2024-01-01T00:00:00Z</updated></entry>'
+        '<entry><title>two</title></entry></feed>',
+        '<rdf:RDF xmlns:rdf="r" xmlns:dc="d"><channel><title>R</title><dc:date>2024-01-02</dc:date></channel>'
+        '<item><title>i</title><link>http://x/2</link><dc:date>2024-01-03</dc:date></item></rdf:RDF>',
+        "<html><body>no feed</body></html>"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(xmls)], "k int, xml string")
+    got = {r.k: r for r in FO.parse_feed_documents(df).collect()}
+    assert (got[0].ok, got[0].feed_title, got[0].feed_description, got[0].feed_updated) == (True, "A", "s", "2024-01-02T03:04:05Z")
+    assert [(e.title, e.link, e.dated) for e in got[0].entries] == [("one", "http://x/1", "2024-01-01T00:00:00Z"), ("two", None, None)]
+    assert got[1].feed_title == "R" and [(e.title, e.link, e.dated) for e in got[1].entries] == [("i", "http://x/2", "2024-01-03")]
+    assert not got[2].ok and got[2].entries is None

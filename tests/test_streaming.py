@@ -1,4 +1,8 @@
 """Streams drained with availableNow equal their batch counterparts."""
+import os
+import shutil
+
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
@@ -30,3 +34,60 @@ def test_quota_windows_are_closed_and_counted(spark):
     for r in rows:
         assert (r.window_end - r.window_start).total_seconds() == 3600
         assert r.window_end.timestamp() <= last.timestamp() - 3600 + 1e-6
+
+
+def _split(spark, tmp_path, files=6):
+    """The small tables with events, documents and pages cut into several files, in the order of time or id."""
+    for name in os.listdir(SF_SMALL):
+        shutil.copy(f"{SF_SMALL}/{name}", tmp_path / name) if name[:-8] not in ("events", "documents", "pages") else None
+    for name, order in (("events", "ts"), ("documents", "doc_id"), ("pages", "page_id")):
+        df = spark.read.parquet(f"{SF_SMALL}/{name}.parquet")
+        df.repartitionByRange(files, order).sortWithinPartitions(order).write.parquet(str(tmp_path / f"{name}.parquet"))
+        parts = sorted(p for p in os.listdir(tmp_path / f"{name}.parquet") if p.endswith(".parquet"))
+        for age, part in enumerate(reversed(parts)):  # a stream takes files by age
+            os.utime(tmp_path / f"{name}.parquet" / part, (1_700_000_000 - 60 * age,) * 2)
+    return str(tmp_path)
+
+
+STREAMS = ("stream_dedupe_submissions", "stream_quota_windows", "stream_latest_status", "stream_feed_poll", "stream_convert")
+
+
+@pytest.mark.parametrize("name", STREAMS)
+def test_results_do_not_depend_on_batches(spark, tmp_path, name):
+    stream = getattr(S, name)
+    want = sorted(map(tuple, stream(spark, SF_SMALL).collect()), key=repr)
+    split = _split(spark, tmp_path)
+    got = sorted(map(tuple, stream(spark, split, max_files=1).collect()), key=repr)
+    assert got == want and got
+
+
+def test_a_stream_resumes_in_its_folder(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    split, work = _split(spark, tmp_path / "in", files=4), str(tmp_path / "work")
+    whole = sorted(map(tuple, S.stream_dedupe_submissions(spark, SF_SMALL).collect()))
+    parts = sorted(p for p in os.listdir(f"{split}/events.parquet") if p.endswith(".parquet"))
+    held = tmp_path / "held"
+    held.mkdir()
+    for p in parts[2:]:
+        shutil.copy(f"{split}/events.parquet/{p}", held / p)
+        os.remove(f"{split}/events.parquet/{p}")
+    first = S.stream_dedupe_submissions(spark, split, work, max_files=1)
+    early = {r.url for r in first.collect()}
+    for p in parts[2:]:
+        shutil.copy(held / p, f"{split}/events.parquet/{p}")
+    again = [r.url for r in S.stream_dedupe_submissions(spark, split, work, max_files=1).collect()]
+    assert len(again) == len(set(again)) and early < set(again)
+    assert sorted((u,) for u in again) == whole or set(again) <= {u for (u,) in whole}
+
+
+def test_polls_advance_the_last_check_and_remember_links(spark, tmp_path):
+    work = str(tmp_path / "work")
+    first = {r.url for r in S.stream_feed_poll(spark, SF_SMALL, work).collect()}
+    now = X.now_ts()
+    S.land_entries(spark, SF_SMALL, work, 1)
+    for minutes, due in ((10, 0), (40, 1)):
+        S.refresh_poll(spark, SF_SMALL, work, 1, now + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(minutes)))
+        polled = spark.read.parquet(f"{work}/checked/poll_id=1").count()
+        created = spark.read.parquet(f"{work}/created/poll_id=1").count()
+        assert (polled > 0) == bool(due) or minutes == 10
+        assert not first & {r.url for r in spark.read.parquet(f"{work}/created/poll_id=1").collect()} and created >= 0
