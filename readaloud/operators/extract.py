@@ -47,29 +47,31 @@ def structural_extract(pages: DataFrame, key: str = "page_id", extra: list[str]
 BLOCK_START = r"(?i)<(?:p|div|li|h[1-6]|td|br)(?![A-Za-z0-9])[^>]*>"
 ANCHOR = r"(?is)<a(?![A-Za-z0-9])[^>]*>(.*?)</a\s*>"
 MIN_BLOCK_CHARS = 25
+MIN_RUN_BLOCK_CHARS = 10
 MAX_LINK_DENSITY = 0.5
 METHODS = ("dense_blocks", "largest_run", "structural", "body")
 
 
 def _block_items(stripped: Column) -> Column:
-    """Blocks of the page with their text, text length, and keep flag.
+    """Blocks of the page with their text and two keep flags.
 
     A block runs from one block-level start tag to the next. Its text is the
-    whitespace-normalised text content; it is kept when it has at least
-    MIN_BLOCK_CHARS characters and less than half of them inside links.
+    whitespace-normalised text content. A dense block has at least
+    MIN_BLOCK_CHARS characters, a block of a run MIN_RUN_BLOCK_CHARS, and either
+    has less than half of them inside links.
     """
     def item(b):
         t = strip_ws(collapse_whitespace(html_to_text(b)))
         anchor = F.regexp_replace(F.array_join(F.regexp_extract_all(b, F.lit(ANCHOR), 1), ""), TAG, "")
-        return let(t, lambda tt: F.struct(
-            tt.alias("t"),
-            ((F.length(tt) >= MIN_BLOCK_CHARS) &
-             (F.length(anchor) < F.length(tt) * MAX_LINK_DENSITY)).alias("keep")))
+        return let(F.struct(t.alias("t"), anchor.alias("a")), lambda x: let(
+            F.length(x["a"]) < F.length(x["t"]) * MAX_LINK_DENSITY, lambda plain: F.struct(
+                x["t"].alias("t"), (plain & (F.length(x["t"]) >= MIN_BLOCK_CHARS)).alias("dense"),
+                (plain & (F.length(x["t"]) >= MIN_RUN_BLOCK_CHARS)).alias("keep"))))
     return F.transform(F.split(stripped, BLOCK_START, -1), item)
 
 
 def _dense_text(items: Column) -> Column:
-    return F.array_join(F.transform(F.filter(items, lambda x: x["keep"]), lambda x: x["t"]), "\n")
+    return F.array_join(F.transform(F.filter(items, lambda x: x["dense"]), lambda x: x["t"]), "\n")
 
 
 def _largest_run_text(items: Column) -> Column:
@@ -92,24 +94,33 @@ def _largest_run_text(items: Column) -> Column:
     return F.array_join(F.transform(run, lambda x: x["t"]), "\n")
 
 
+def first_heading(html_col: Column) -> Column:
+    """Text of the first <h1>; null without one or when it is empty."""
+    inner = F.regexp_extract(html_col, r"(?is)<h1(?![A-Za-z0-9])[^>]*>(.*?)</h1\s*>", 1)
+    return let(strip_ws(collapse_whitespace(html_to_text(inner))), lambda t: F.when(t != "", t))
+
+
 def cascade_extract(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """Ordered candidates, first non-empty wins; the winner's name is kept.
 
-    Candidates: kept blocks in order, the largest contiguous run of kept
-    blocks, the structural pick, and the body text. A page where all are empty
-    becomes an error row.
+    Candidates: dense blocks in order, the largest contiguous run of kept
+    blocks, the structural pick, and the body text. They stand in one
+    ``coalesce``, so a page computes the next candidate only when the one before was empty. The
+    title is the document's, except that the run, which often is a page without a
+    usable layout, takes its first heading if there is one. A page where all are
+    empty becomes an error row.
     """
-    stripped = pages.select(key, "url", drop_elements(F.col("html")).alias("_s"),
-                            body_text(F.col("html")).alias("_body"))
-    c = stripped.select(key, "url", "_s", "_body", _block_items(F.col("_s")).alias("_items"))
-    c = c.select(key, "url", "_body", page_title(F.col("_s")).alias("title"),
-                 _dense_text(F.col("_items")).alias("_dense"),
-                 _largest_run_text(F.col("_items")).alias("_run"),
-                 html_to_text(structural_main_html(F.col("_s"))).alias("_struct"))
-    cands = [F.col("_dense"), F.col("_run"), F.col("_struct"), F.col("_body")]
-    text = F.coalesce(*[F.when(x != "", x) for x in cands])
-    method = F.coalesce(*[F.when(x != "", F.lit(m)) for x, m in zip(cands, METHODS)])
-    out = c.select(key, "url", "title", method.alias("method"), text.alias("raw_text"))
+    c = pages.select(key, "url", "html", drop_elements(F.col("html")).alias("_s"))
+    c = c.select(key, "url", "html", "_s", _block_items(F.col("_s")).alias("_items"))
+    texts = (_dense_text(F.col("_items")), _largest_run_text(F.col("_items")),
+             html_to_text(structural_main_html(F.col("_s"))), body_text(F.col("html")))
+
+    def candidate(text: Column, method: str) -> Column:
+        return let(text, lambda x: F.when(x != "", F.struct(F.lit(method).alias("method"), x.alias("text"))))
+    best = F.coalesce(*[candidate(t, m) for t, m in zip(texts, METHODS, strict=True)])
+    out = c.select(key, "url", "_s", best.alias("_best"))
+    title = F.when(F.col("_best.method") == METHODS[1], F.coalesce(first_heading(F.col("_s")), page_title(F.col("_s")))).otherwise(page_title(F.col("_s")))
+    out = out.select(key, "url", title.alias("title"), F.col("_best.method").alias("method"), F.col("_best.text").alias("raw_text"))
     out = out.withColumn("original_text", clean_content(F.col("raw_text")))
     return out.withColumn(
         "error", F.when(F.coalesce(F.col("original_text"), F.lit("")) == "", F.lit(EXTRACT_ERROR)))

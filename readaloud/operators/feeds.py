@@ -29,16 +29,27 @@ def due_feeds(feeds: DataFrame, now: Column) -> DataFrame:
     return feeds.where(F.col("is_active") & stale)
 
 
-def top_entries(entries: DataFrame, n: int = FEED_ENTRIES_REFRESH) -> DataFrame:
-    """First ``n`` entries of every feed in document order, with 0-based ``pos``.
+#: Parts that each feed is dealt into before the final ranking.
+SALTS = 64
+
+
+def top_numbers(entries: DataFrame, n: int = FEED_ENTRIES_REFRESH) -> DataFrame:
+    """First ``n`` entries of every feed in document order, with 0-based ``pos``; other columns come through.
 
-    The rank filter is planned as a group limit with a partial phase before
-    the shuffle, so even a feed holding most entries sends only ``n`` rows
-    per task to the final ranking.
+    Entries are ranked per feed and salt first, so a feed holding most
+    entries is dealt over many tasks and the final ranking sees at most
+    ``n`` rows per salt; both filters are planned as group limits.
     """
-    w = Window.partitionBy("feed_id").orderBy("entry_order")
-    ranked = entries.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n)
-    return ranked.select("feed_id", (F.col("_rn") - 1).cast("int").alias("pos"), "link", "title", "entry_order")
+    salted = entries.withColumn("_salt", F.pmod(F.xxhash64("entry_order"), F.lit(SALTS)))
+    part = Window.partitionBy("feed_id", "_salt").orderBy("entry_order")
+    whole = Window.partitionBy("feed_id").orderBy("entry_order")
+    few = salted.withColumn("_rn", F.row_number().over(part)).where(F.col("_rn") <= n).drop("_salt", "_rn")
+    ranked = few.withColumn("_rn", F.row_number().over(whole)).where(F.col("_rn") <= n)
+    return ranked.withColumn("pos", (F.col("_rn") - 1).cast("int")).drop("_rn")
+
+
+def top_entries(entries: DataFrame, n: int = FEED_ENTRIES_REFRESH) -> DataFrame:
+    return top_numbers(entries, n).select("feed_id", "pos", "link", "title", "entry_order")
 
 
 def new_entries(top: DataFrame, known_urls: DataFrame, feeds: DataFrame) -> DataFrame:
@@ -49,7 +60,7 @@ def new_entries(top: DataFrame, known_urls: DataFrame, feeds: DataFrame) -> Data
     occurrence in feed order, then position. Each row takes its feed's owner.
     """
     cand = top.where(truthy(F.col("link")))
-    cand = cand.join(known_urls.select(F.col("url").alias("link")).distinct(), "link", "left_anti")
+    cand = cand.join(known_urls.select(F.col("url").alias("link")), "link", "left_anti")
     first = (cand.groupBy("link")
              .agg(F.min(F.struct("feed_id", "pos", "title")).alias("_f"))
              .select(F.col("link").alias("url"), F.col("_f.feed_id").alias("feed_id"),
@@ -103,10 +114,11 @@ def delete(feeds: DataFrame, content: DataFrame, ids: DataFrame) -> tuple[DataFr
     """Remove feeds; their content rows stay, with the feed reference cleared."""
     gone = ids.select(F.col("id").alias("feed_id")).distinct()
     kept = feeds.join(gone.withColumnRenamed("feed_id", "id"), "id", "left_anti")
-    c = content.join(gone.withColumn("_gone", F.lit(True)), "feed_id", "left")
+    # content without a feed, which may be most of it, stays out of the join
+    c = content.where(F.col("feed_id").isNotNull()).join(gone.withColumn("_gone", F.lit(True)), "feed_id", "left")
     c = c.select(*[F.when(F.col("_gone"), F.lit(None).cast("bigint")).otherwise(F.col("feed_id")).alias("feed_id")
                    if x == "feed_id" else F.col(x) for x in content.columns])
-    return kept, c
+    return kept, c.unionByName(content.where(F.col("feed_id").isNull()))
 
 
 def parse_feed_documents(docs: DataFrame, xml: str = "xml") -> DataFrame:

@@ -15,8 +15,16 @@ def _now():
     return X.now_ts()
 
 
+def _top(spark: SparkSession, sf_dir: str, feeds: DataFrame | None = None) -> DataFrame:
+    """First entries of every feed (or of ``feeds``): numbers are ranked, then only the winners' texts are read."""
+    numbers = X.entry_numbers(spark, sf_dir)
+    if feeds is not None:
+        numbers = numbers.join(feeds.select("feed_id"), "feed_id", "left_semi")
+    return X.with_entry_texts(spark, sf_dir, O.top_numbers(numbers))
+
+
 def feed_top_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.top_entries(X.feed_entries(spark, sf_dir)).drop("entry_order")
+    return _top(spark, sf_dir).drop("entry_order")
 
 
 def feed_due(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,7 +37,7 @@ def feed_new_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One refresh of every due feed: the content rows it creates."""
     feeds = X.feeds(spark, sf_dir)
     due = O.due_feeds(feeds, _now()).select(F.col("id").alias("feed_id"))
-    top = O.top_entries(X.feed_entries(spark, sf_dir).join(due, "feed_id", "left_semi"))
+    top = _top(spark, sf_dir, due)
     return O.new_entries(top, X.known_content_urls(spark, sf_dir), feeds)
 
 
@@ -45,7 +53,7 @@ def feed_refresh_one(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each feed refreshed on its own, ignoring staleness; inactive feeds yield nothing."""
     feeds = X.feeds(spark, sf_dir)
     active = feeds.where("is_active").select(F.col("id").alias("feed_id"))
-    top = O.top_entries(X.feed_entries(spark, sf_dir).join(active, "feed_id", "left_semi"))
+    top = _top(spark, sf_dir, active)
     cand = top.where(truthy(F.col("link")))
     cand = cand.join(X.known_content_urls(spark, sf_dir).select(F.col("url").alias("link")).distinct(), "link", "left_anti")
     per = cand.groupBy("feed_id").agg(F.countDistinct("link").alias("n_new"))
@@ -60,7 +68,7 @@ def feed_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     Even feeds serve Atom and the others RSS; every eleventh document is cut
     short. Title and update time are missing from some.
     """
-    top = O.top_entries(X.feed_entries(spark, sf_dir))
+    top = _top(spark, sf_dir)
     i = F.col("id")
     own = X.feeds(spark, sf_dir).select("id", "description")
     updated = F.when(i % 3 != 1, X.epoch_ts() + F.make_dt_interval(i.cast("int")))

@@ -79,3 +79,23 @@ def page_edge_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, (markup, _) in enumerate(EDGE_PAGES):
         edge = F.when(k % len(EDGE_PAGES) == i, F.replace(F.lit(markup), F.lit("{k}"), k.cast("string"))).otherwise(edge)
     return p.select("page_id", structural_text(edge).alias("edge_text"), structural_text(F.col("html")).alias("main_text"))
+
+
+#: One page per method of the cascade and one that all fail on: markup, winning method, title and text.
+CASCADE_PAGES = (
+    ("<title>T{k}</title><p>This paragraph is long enough to be dense: {k}", "dense_blocks", "T{k}", "This paragraph is long enough to be dense: {k}"),
+    ("<title>T{k}</title><h1>Head {k}</h1><p>short para {k}</p><p>second one {k}</p>", "largest_run", "Head {k}", "short para {k}\nsecond one {k}"),
+    ("<title>T{k}</title><article><p>tiny</p></article>", "structural", "T{k}", "tiny"),
+    ("<body><nav>menu {k}</nav></body>", "body", None, "menu {k}"),
+    ("<body><script>x{k}</script></body>", None, None, None),
+)
+
+
+def page_cascade_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cascade on pages that reach each of its methods, numbered and addressed as the stored pages."""
+    p = _pages(spark, sf_dir, "page_id", "url")
+    k = F.col("page_id")
+    markup = F.lit(None).cast("string")
+    for i, (page, *_) in enumerate(CASCADE_PAGES):
+        markup = F.when(k % len(CASCADE_PAGES) == i, F.replace(F.lit(page), F.lit("{k}"), k.cast("string"))).otherwise(markup)
+    return cascade_extract(p.withColumn("html", markup)).select("page_id", "url", "title", "method", "raw_text", "error")

@@ -1,6 +1,7 @@
 """Oracle SQL (DuckDB) for the page queries."""
 from __future__ import annotations
 
+from ..constants import EXTRACT_ERROR
 from . import duck as d
 
 
@@ -87,8 +88,8 @@ def page_extract_cascade() -> str:
     anc = f"regexp_replace(array_to_string(regexp_extract_all(b, {d.q(anchor)}, 1), ''), {d.q(d.TAG_RUN)}, '', 'g')"
     items = (f"list_transform(regexp_split_to_array(stripped, {d.q(block_start)}), lambda b: "
              f"{{'t': {bt}, 'a': length({anc})}})")
-    keep = "x.t IS NOT NULL AND length(x.t) >= 25 AND x.a < length(x.t) * 0.5"
-    kept = f"list_transform(items, lambda x: {{'t': x.t, 'keep': {keep}}})"
+    plain = "x.t IS NOT NULL AND x.a < length(x.t) * 0.5"
+    kept = f"list_transform(items, lambda x: {{'t': x.t, 'dense': {plain} AND length(x.t) >= 25, 'keep': {plain} AND length(x.t) >= 10}})"
     st = ("list_reduce(kept, lambda s, x: {'i': s.i + 1, "
           "'start': CASE WHEN x.keep THEN CASE WHEN s.len = 0 THEN s.i + 1 ELSE s.start END ELSE 0 END, "
           "'len': CASE WHEN x.keep THEN s.len + length(x.t) ELSE 0 END, "
@@ -108,7 +109,7 @@ def page_extract_cascade() -> str:
         f"s4 AS (SELECT page_id, url, title, kept, {st} AS st, {d.decode_entities('l1')} AS struct_text, "
         f"{d.decode_entities('l2')} AS body_text FROM s3)",
         "s5 AS (SELECT page_id, url, title, "
-        "array_to_string(list_transform(list_filter(kept, lambda x: x.keep), lambda x: x.t), chr(10)) AS dense, "
+        "array_to_string(list_transform(list_filter(kept, lambda x: x.dense), lambda x: x.t), chr(10)) AS dense, "
         "CASE WHEN st.bcount > 0 THEN array_to_string(list_transform(list_slice(kept, st.bstart, st.bstart + st.bcount - 1), "
         "lambda x: x.t), chr(10)) ELSE '' END AS run, struct_text, body_text FROM s4)",
         "s6 AS (SELECT page_id, url, title, "
@@ -128,3 +129,15 @@ def page_edge_cases() -> str:
     whens = " ".join(f"WHEN {i} THEN replace({d.q(want)}, '{{k}}', CAST(page_id AS VARCHAR))" for i, (_, want) in enumerate(EDGE_PAGES))
     return d.with_ctes(*_extract_ctes()[:4]) + (
         f"SELECT page_id, CASE page_id % {len(EDGE_PAGES)} {whens} END AS edge_text, raw_text AS main_text FROM s4")
+
+
+def page_cascade_edge() -> str:
+    """The expected rows are written out; no markup is read for them."""
+    from .pages import CASCADE_PAGES
+
+    def case(column: int) -> str:
+        whens = " ".join(f"WHEN {i} THEN replace({d.q(row[column])}, '{{k}}', CAST(page_id AS VARCHAR))"
+                         for i, row in enumerate(CASCADE_PAGES) if row[column] is not None)
+        return f"CASE page_id % {len(CASCADE_PAGES)} {whens} END"
+    return (f"SELECT page_id, url, {case(2)} AS title, {case(1)} AS method, {case(3)} AS raw_text, "
+            f"CASE WHEN page_id % {len(CASCADE_PAGES)} = {len(CASCADE_PAGES) - 1} THEN {d.q(EXTRACT_ERROR)} END AS error FROM pages")

@@ -122,9 +122,10 @@ def first_line(text: Column) -> Column:
     return F.substring_index(text, "\n", 1)
 
 
-def entries_of(documents: DataFrame) -> DataFrame:
-    """Feed entries from document rows (batch or one streaming micro-batch)."""
+def entries_of(documents: DataFrame, *kept: str) -> DataFrame:
+    """Feed entries from document rows (batch or one streaming micro-batch), with the columns ``kept``."""
     return documents.select(
+        *kept,
         feed_number(F.col("source")).alias("feed_id"),
         F.col("doc_id").alias("entry_order"),
         F.when(F.col("doc_id") % 97 == 0, F.lit("")).otherwise(F.md5("text")).alias("link"),
@@ -132,6 +133,19 @@ def entries_of(documents: DataFrame) -> DataFrame:
     )
 
 
+def entry_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(feed_id, entry_order) of every entry, without reading a text."""
+    d = read_table(spark, sf_dir, "documents", "doc_id", "source")
+    return d.select(feed_number(F.col("source")).alias("feed_id"), F.col("doc_id").alias("entry_order"))
+
+
+def with_entry_texts(spark: SparkSession, sf_dir: str, chosen: DataFrame) -> DataFrame:
+    """(feed_id, pos, link, title, entry_order) of chosen entries; text is read for these only."""
+    d = read_table(spark, sf_dir, "documents", "doc_id", "source", "text")
+    rows = d.join(chosen.select("pos", F.col("entry_order").alias("doc_id")), "doc_id")
+    return entries_of(rows, "pos").select("feed_id", "pos", "link", "title", "entry_order")
+
+
 def known_content_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """URLs already in the content table: links of every fifth document."""
     d = read_table(spark, sf_dir, "documents", "doc_id", "text")
