@@ -22,6 +22,7 @@ GUEST_CONVERSION_LIMIT = 3
 EXTRACT_ERROR = "Could not extract content from the URL"
 NO_TEXT_ERROR = "No text provided for conversion"
 DOWNLOAD_DEFAULT_NAME = "blog-audio"
+SHARE_MAIL = "mailto:?subject=Listen to this blog post&body=I thought you might enjoy listening to this blog post: "
 PARSE_ERROR = "Could not parse feed: "
 UNTITLED_POST = "Untitled Post"
 RESULT_TITLE = "Blog Post Converted"

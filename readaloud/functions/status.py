@@ -1,6 +1,7 @@
 """Status, display and naming column functions."""
 from __future__ import annotations
 
+import json
 import unicodedata
 from functools import lru_cache
 
@@ -59,27 +60,23 @@ def relative_audio_path(path: Column) -> Column:
 
 
 @lru_cache(maxsize=1)
-def _fold_table() -> tuple[str, str]:
-    """Latin letters with marks -> their ASCII base (NFKD, marks dropped).
-
-    Built by rule from the Unicode database for U+00C0..U+024F; letters with
-    no ASCII base are dropped later with every other non-ASCII character.
-    """
-    src, dst = [], []
-    for cp in range(0xC0, 0x250):
-        ch = chr(cp)
-        base = unicodedata.normalize("NFKD", ch).encode("ascii", "ignore").decode("ascii")
-        if len(base) == 1:
-            src.append(ch)
-            dst.append(base)
-    return "".join(src), "".join(dst)
+def _folds() -> str:
+    """Every character beyond ASCII that has an ASCII form (compatibility decomposition, marks dropped), as JSON."""
+    forms = ((chr(cp), unicodedata.normalize("NFKD", chr(cp)).encode("ascii", "ignore").decode("ascii")) for cp in range(0x80, 0x110000))
+    return json.dumps({ch: form for ch, form in forms if form})
+
+
+def _ascii_form(name: Column) -> Column:
+    """Characters beyond ASCII as their ASCII form, which may have several letters, or dropped without one."""
+    table = F.from_json(F.lit(_folds()), "map<string,string>")
+    folded = F.array_join(F.transform(F.split(name, ""), lambda c: F.when(c < "\x80", c).otherwise(
+        F.coalesce(F.try_element_at(table, c), F.lit("")))), "")
+    return F.when(F.octet_length(name) == F.length(name), name).otherwise(folded)
 
 
 def secure_filename(name: Column) -> Column:
     """ASCII-only, whitespace runs to ``_``, only ``[A-Za-z0-9_.-]``, ends stripped of ``._``."""
-    src, dst = _fold_table()
-    s = F.translate(name, src, dst)
-    s = F.regexp_replace(s, r"[^\x00-\x7f]", "")
+    s = _ascii_form(name)
     s = F.translate(s, "/", " ")
     s = F.regexp_replace(F.regexp_replace(s, rf"^{WS}+|{WS}+$", ""), rf"{WS}+", "_")
     s = F.regexp_replace(s, r"[^A-Za-z0-9_.-]", "")

@@ -139,6 +139,12 @@ def feed_error_streak(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("feed_id", "n_polls", "error_count", feed_status(active, F.col("error_count")).alias("status"))
 
 
+def feed_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feeds per status."""
+    f = X.feeds(spark, sf_dir)
+    return f.groupBy(feed_status(F.col("is_active"), F.col("error_count")).alias("status")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def feed_toggle(spark: SparkSession, sf_dir: str) -> DataFrame:
     feeds = X.feeds(spark, sf_dir)
     return O.toggle(feeds, feeds.where(F.col("id") % 3 == 0).select("id"))

@@ -108,6 +108,12 @@ def feed_error_streak() -> str:
         "WHEN coalesce(s.n, 0) > 3 THEN 'error' ELSE 'active' END AS status FROM t LEFT JOIN s ON t.feed_id = s.feed_id")
 
 
+def feed_status_counts() -> str:
+    return d.with_ctes(d.FEEDS) + (
+        "SELECT CASE WHEN NOT is_active THEN 'inactive' WHEN error_count > 3 THEN 'error' ELSE 'active' END AS status, count(*) AS n "
+        "FROM feeds GROUP BY 1")
+
+
 def feed_toggle() -> str:
     return d.with_ctes(d.FEEDS, "x AS (SELECT id, error_count, CASE WHEN id % 3 = 0 THEN NOT is_active ELSE is_active END AS a FROM feeds)") + (
         "SELECT id, a AS is_active, CASE WHEN NOT a THEN 'inactive' WHEN error_count > 3 THEN 'error' ELSE 'active' END AS status FROM x")

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..constants import AUDIO_DIR, DEFAULT_VOICE, DOWNLOAD_DEFAULT_NAME, GUEST_CONVERSION_LIMIT, RESULT_TITLE, VOICES
+from ..constants import AUDIO_DIR, DEFAULT_VOICE, DOWNLOAD_DEFAULT_NAME, GUEST_CONVERSION_LIMIT, RESULT_TITLE, SHARE_MAIL, VOICES
 from ..functions import status as S
 from ..functions.text import content_hash
 from ..functions.urls import domain, is_http_url, is_valid_url, matches_url_pattern
@@ -107,7 +107,8 @@ def share_links(spark: SparkSession, sf_dir: str) -> DataFrame:
         result_url.alias("share_url"),
         F.concat(F.lit("https://twitter.com/intent/tweet?url="), S.url_quote(result_url),
                  F.lit("&text=Check out this audio version of '"), S.url_quote(title_txt), F.lit("'")).alias("twitter"),
-        F.concat(F.lit("https://www.facebook.com/sharer/sharer.php?u="), S.url_quote(result_url)).alias("facebook"))
+        F.concat(F.lit("https://www.facebook.com/sharer/sharer.php?u="), S.url_quote(result_url)).alias("facebook"),
+        F.concat(F.lit(SHARE_MAIL), result_url).alias("email"))
 
 
 def result_card(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,6 +130,13 @@ def status_json_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("id", status_json(c, BASE_URL).alias("json"))
 
 
+def web_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The web page's status document: status, error (null included) and the processed flag."""
+    c = X.content_jobs(spark, sf_dir)
+    doc = F.to_json(F.struct(_status(c).alias("status"), F.col("error"), F.col("is_processed")), {"ignoreNullFields": "false"})
+    return c.select("id", doc.alias("json"))
+
+
 def output_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = X.content_jobs(spark, sf_dir)
     absolute = F.concat(F.lit("/srv/app/static/audio/"), S.output_name(F.col("url")))

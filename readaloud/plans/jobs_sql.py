@@ -140,7 +140,8 @@ def share_links() -> str:
         f"SELECT id, upper(substr({v}, 1, 1)) || lower(substr({v}, 2)) AS voice_label, {res} AS share_url, "
         f"'https://twitter.com/intent/tweet?url=' || {url_quote(res)} || '&text=Check out this audio version of ''' || "
         f"{url_quote(TITLE_OR_NONE)} || '''' AS twitter, "
-        f"'https://www.facebook.com/sharer/sharer.php?u=' || {url_quote(res)} AS facebook FROM content_jobs")
+        f"'https://www.facebook.com/sharer/sharer.php?u=' || {url_quote(res)} AS facebook, "
+        f"'mailto:?subject=Listen to this blog post&body=I thought you might enjoy listening to this blog post: ' || {res} AS email FROM content_jobs")
 
 
 def _page_run(extra_src: str) -> list[str]:
@@ -158,6 +159,11 @@ def result_card() -> str:
         f"{truncate_words(prev, 500)} AS preview, {web_path(AUDIO_FILE)} AS web_path FROM ok")
 
 
+def web_status() -> str:
+    return d.with_ctes(d.CONTENT_JOBS) + (
+        f"SELECT id, json_object('status', {STATUS}, 'error', error, 'is_processed', is_processed)::VARCHAR AS json FROM content_jobs")
+
+
 def output_paths() -> str:
     rel = "'static/audio/' || md5(url) || '.mp3'"
     return d.with_ctes(d.CONTENT_JOBS) + (

@@ -55,6 +55,7 @@ REGISTRY: dict[str, tuple[Builder, Callable[[], str] | None]] = {
     "share_links": (jobs.share_links, jobs_sql.share_links),
     "result_card": (jobs.result_card, jobs_sql.result_card),
     "status_json": (jobs.status_json_q, jobs_sql.status_json),
+    "web_status": (jobs.web_status, jobs_sql.web_status),
     "output_paths": (jobs.output_paths, jobs_sql.output_paths),
     "job_outcomes": (jobs.job_outcomes, jobs_sql.job_outcomes),
     "request_parse": (jobs.request_parse, jobs_sql.request_parse),
@@ -70,6 +71,7 @@ REGISTRY: dict[str, tuple[Builder, Callable[[], str] | None]] = {
     "feed_add": (feeds.feed_add, feeds_sql.feed_add),
     "feed_metadata_upsert": (feeds.feed_metadata_upsert, feeds_sql.feed_metadata_upsert),
     "feed_error_streak": (feeds.feed_error_streak, feeds_sql.feed_error_streak),
+    "feed_status_counts": (feeds.feed_status_counts, feeds_sql.feed_status_counts),
     "feed_toggle": (feeds.feed_toggle, feeds_sql.feed_toggle),
     "feed_delete": (feeds.feed_delete, feeds_sql.feed_delete),
     "feed_listing": (feeds.feed_listing, feeds_sql.feed_listing),

@@ -45,7 +45,8 @@ def test_feed_status(spark):
 
 
 def test_display_helpers(spark):
-    assert one(spark, S.secure_filename, ["My Café: A/B  test.", "../../etc", "   "]) == ["My_Cafe_A_B_test", "etc", ""]
+    assert one(spark, S.secure_filename, ["My Café: A/B  test.", "../../etc", "   ", "Việt Nam ﬁne Ａbc ½ 𝐱 ø中"]) == [
+        "My_Cafe_A_B_test", "etc", "", "Viet_Nam_fine_Abc_12_x"]
     long = "word " * 30
     got = one(spark, lambda c: S.truncate_words(c, 50), [long.strip(), "short"])
     assert got[0].endswith("...") and len(got[0]) <= 50 and got[1] == "short"
