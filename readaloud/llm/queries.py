@@ -116,6 +116,60 @@ SELECT conv_id, 'call-' || conv_id || '--1', turn, 'orphan', NULL, 1, 'call_id:
 FROM t WHERE role = 'assistant' AND u IS NULL
 """
 
+#: SHA-1 in base32: the hex digits as bits, the bits in fives.
+_OP2_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+k AS (SELECT page_id, strlen(h) AS n, sha1(h) AS hex, max(page_id) OVER (PARTITION BY h) AS keeper FROM p),
+b AS (SELECT *, array_to_string(list_transform(range(1, 41), lambda i: substr(
+          '0000000100100011010001010110011110001001101010111100110111101111', 4 * instr('0123456789abcdef', substr(hex, i, 1)) - 3, 4)), '') AS bits FROM k)
+SELECT page_id, n AS payload_bytes, array_to_string(list_transform(range(0, 32), lambda g: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           1 + 16 * CAST(substr(bits, 5 * g + 1, 1) AS INTEGER) + 8 * CAST(substr(bits, 5 * g + 2, 1) AS INTEGER)
+             + 4 * CAST(substr(bits, 5 * g + 3, 1) AS INTEGER) + 2 * CAST(substr(bits, 5 * g + 4, 1) AS INTEGER)
+             + CAST(substr(bits, 5 * g + 5, 1) AS INTEGER), 1)), '') AS payload_digest,
+       CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> keeper THEN keeper END AS refers_to
+FROM b
+"""
+
+_WORDS_SQL = r"""list_filter(regexp_split_to_array({0}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"""
+
+#: All pairs that share a shingle, and their components.
+_OP9_SQL = """
+WITH RECURSIVE d AS (SELECT doc_id, """ + _WORDS_SQL.format("lower(coalesce(text, ''))") + """ AS w FROM documents),
+s AS (SELECT doc_id, unnest(list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1),
+          lambda i: array_to_string(list_slice(w, i, i + 4), ' ')))) AS x FROM d WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS met FROM s a JOIN s b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT u, v, met = nu.n AND met = nv.n AS same FROM c JOIN n nu ON u = nu.doc_id JOIN n nv ON v = nv.doc_id
+      WHERE 9 * met >= 4 * (nu.n + nv.n)),
+r AS (SELECT doc_id AS u, doc_id AS v FROM d UNION SELECT r.u, l.v FROM r JOIN l ON r.v = l.u),
+g AS (SELECT u AS doc_id, min(v) AS class_id FROM r GROUP BY u),
+k AS (SELECT u AS doc_id, count(*) AS n_links, min(CASE WHEN same THEN v END) AS twin FROM l GROUP BY u)
+SELECT g.doc_id, least(g.doc_id, coalesce(twin, g.doc_id)) AS copy_id, class_id, coalesce(n_links, 0) AS n_links
+FROM g LEFT JOIN k ON g.doc_id = k.doc_id
+"""
+
+#: Every window of every text joined to the benchmark's windows.
+_OP10_SQL = """
+WITH b AS (SELECT item_id, """ + _WORDS_SQL.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')") + """ AS w FROM benchmark),
+bw AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, greatest(len(w) - 12, 1) + 1), lambda i: list_slice(w, i, i + 12))) AS win
+       FROM b WHERE len(w) > 0),
+d AS (SELECT doc_id, """ + _WORDS_SQL.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')") + """ AS w FROM documents),
+z AS (SELECT DISTINCT len(win) AS z FROM bw),
+dz AS (SELECT doc_id, w, z, unnest(range(1, len(w) - z + 2)) AS i FROM d, z WHERE len(w) >= z),
+dw AS (SELECT doc_id, i, z, list_slice(w, i, i + z - 1) AS win FROM dz),
+h AS (SELECT doc_id, i, z, item_id FROM dw JOIN bw ON dw.win = bw.win),
+p AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(i, i + z)) AS pos FROM h) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items
+      FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM h) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated
+FROM d LEFT JOIN p ON d.doc_id = p.doc_id LEFT JOIN t ON d.doc_id = t.doc_id
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op2_warc_writer": _OP2_SQL,
     "op5_tool_call_linking": _OP5_SQL,
+    "op9_ngram_jaccard_join": _OP9_SQL,
+    "op10_benchmark_decontamination": _OP10_SQL,
 }
