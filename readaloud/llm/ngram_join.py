@@ -10,10 +10,10 @@
    groups. Every candidate pair lies inside one.
 4. Groups are dealt into blocks of bounded size, and each pair of blocks is one
    unit of work: pairs that share a band are verified on their full shingle
-   sets. Only link counts and a spanning forest of the links leave the unit,
+   sets. Only link counts and one edge per linked member leave the unit,
    never the pairs, so a large group of near copies costs rows in proportion to
    its members and blocks.
-5. The forests' components are the classes; every document gets the class of
+5. The components of those edges are the classes; every document gets the class of
    its set.
 
 Words are runs of letters, digits and characters beyond ASCII, lower-cased.
@@ -43,7 +43,7 @@ THRESHOLD = 0.8
 RECALL = 0.9999
 MAX_HASHES = 128
 #: A block of a candidate group: at most about so many sets and shingles.
-BLOCK_SETS = 512
+BLOCK_SETS = 128
 BLOCK_SHINGLES = 400_000
 CACHED_WORDS = 300_000
 BATCH_ROWS = 2000
@@ -144,19 +144,18 @@ class _Forest:
             i = self.up[i]
         return i
 
-    def union(self, i: int, j: int) -> bool:
+    def union(self, i: int, j: int) -> None:
         i, j = self.find(i), self.find(j)
         self.up[max(i, j)] = min(i, j)
-        return i != j
 
 
 def verify_unit(sets: list[np.ndarray], bands: np.ndarray, weights: np.ndarray, blocks: np.ndarray,
                 threshold: Fraction) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """Weighted link counts of one unit's members and a spanning forest of its links.
+    """Weighted link counts of one unit's members, and each linked member with the first of its part of the unit.
 
     With two blocks only pairs across them are looked at, with one all pairs inside it.
     """
-    n, forest, edges = len(sets), _Forest(len(sets)), []
+    n, forest = len(sets), _Forest(len(sets))
     counts, sizes = np.zeros(n, np.int64), np.array([len(s) for s in sets])
     _, ids = np.unique(np.concatenate(sets), return_inverse=True)
     ends = np.cumsum(sizes)
@@ -179,12 +178,13 @@ def verify_unit(sets: list[np.ndarray], bands: np.ndarray, weights: np.ndarray,
         linked = others[common * bottom >= top * (sizes[i] + sizes[others] - common)]
         counts[i] += weights[linked].sum()
         counts[linked] += weights[i]
-        edges += [(i, j) for j in linked.tolist() if forest.union(i, j)]
-    return counts, edges
+        for j in linked.tolist():
+            forest.union(i, j)
+    return counts, [(i, root) for i in range(n) if (root := forest.find(i)) != i]
 
 
 def _verified(units: DataFrame, threshold: float) -> DataFrame:
-    """(key, links, other): link counts (other null) and forest edges (links 0) of every unit.
+    """(key, links, other): link counts (other null) and edges (links 0) of every unit.
 
     ``units`` is partitioned and sorted by unit; groups are read off the stream
     one at a time, so a task holds one unit, whose size is bounded.
@@ -252,7 +252,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     units = texts.select("component", pairs, "rep", "text", "bands", "weight", "block").select(
         "component", "unit.left", "unit.right", "rep", "text", "bands", "weight", "block")
     n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    units = units.repartition(n_parts, "component", "left", "right").sortWithinPartitions("component", "left", "right")
+    units = units.repartition(n_parts, "component", "left", "right").sortWithinPartitions("component", "left", "right", "rep")
     verified = stored(_verified(units, threshold), "verified")
 
     counts = verified.where("other is null").groupBy("key").agg(F.sum("links").alias("links")).withColumnRenamed("key", "rep")
