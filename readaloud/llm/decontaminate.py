@@ -86,9 +86,10 @@ def postings(index: DataFrame) -> DataFrame:
 
 def _rarest(windows: DataFrame, lists: DataFrame) -> DataFrame:
     """(window, words, at, word): each window's term with the fewest postings; windows with an unseen term go."""
-    counts = lists.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     terms = windows.select("window", F.size("words").alias("len"), F.posexplode("words").alias("at", "word"))
-    counted = terms.join(counts, "word")
+    vocabulary = terms.select("word").distinct()  # at most the words of BLOCK windows, and so are its counts
+    counts = lists.join(F.broadcast(vocabulary), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    counted = terms.join(F.broadcast(counts), "word")
     best = counted.groupBy("window", "len").agg(
         F.count(F.lit(1)).alias("seen"), F.min(F.struct("n", "at")).alias("low")).where("seen = len")
     return windows.join(best, "window").select("window", "words", F.col("low.at").alias("at"),
