@@ -5,9 +5,10 @@
    Both the counting and the choice of the first combine before they shuffle, so an
    identifier that a third of all results carry is one row per task.
 2. Calls are levelled topologically: a call that waits for nothing is level 0,
-   any other is one above the highest it waits for. Every round settles the calls
-   whose predecessors are settled; what never settles lies on or behind a cycle
-   and has no level. There are as many rounds as the longest chain has links.
+   any other is one above the highest it waits for. Chains of calls that wait for one
+   other are followed by pointer doubling, in as many rounds as the longest
+   has binary digits; only calls that wait for several settle in rounds of their own. What never settles lies on or behind a
+   cycle and has no level.
 3. Arguments are parsed and checked against the schema of their tool: known
    names, required names, types and limits (a subset of JSON Schema).
 4. Call and result are written as canonical JSON: keys sorted, no white space.
@@ -76,30 +77,58 @@ def _latest_before(steps: DataFrame, users: DataFrame, span: int = 64) -> DataFr
     return near.join(bins, ["conv_id", "bin"]).select("conv_id", "turn", F.coalesce("near", "far").alias("user_turn")).where("user_turn is not null")
 
 
+def _chain_ends(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(conv_id, call_id, anchor, dist, done): the start of the chain that each call stands on, and how far behind it.
+
+    A chain runs through calls that wait for one other call; it starts at one
+    that waits for none or for several. Pointers double each round, so there are
+    as many rounds as the longest chain has binary digits. What is not done after
+    that follows a cycle.
+    """
+    degree = edges.groupBy("conv_id", "call_id").agg(F.count(F.lit(1)).alias("n"), F.min("needs").alias("needs"))
+    single = F.coalesce("n", F.lit(0)) == 1
+    chains = stored(nodes.select("conv_id", "call_id").join(degree, ["conv_id", "call_id"], "left").select(
+        "conv_id", "call_id", F.when(single, F.col("needs")).otherwise(F.col("call_id")).alias("anchor"),
+        single.cast("bigint").alias("dist"), (~single).alias("done"), F.coalesce("n", F.lit(0)).alias("n")), "call-chains")
+    longest = chains.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    for _ in range(longest.bit_length() + 1):
+        if chains.where("not done").isEmpty():
+            break
+        ahead = chains.select("conv_id", F.col("call_id").alias("anchor"), F.col("anchor").alias("next"),
+                              F.col("dist").alias("more"), F.col("done").alias("ended"))
+        moved = chains.where("not done").join(ahead, ["conv_id", "anchor"]).select(
+            "conv_id", "call_id", F.col("next").alias("anchor"), (F.col("dist") + F.col("more")).alias("dist"),
+            F.col("ended").alias("done"), "n")
+        chains = stored(chains.where("done").unionByName(moved), "call-chains")
+    return chains
+
+
 def topological_levels(calls: DataFrame) -> DataFrame:
     """(conv_id, call_id, level) of every settled call; calls on or behind a cycle are absent."""
-    nodes = stored(calls.where("conv_id is not null and call_id is not null").groupBy("conv_id", "call_id").agg(
+    pair = ["conv_id", "call_id"]
+    nodes = stored(calls.where("conv_id is not null and call_id is not null").groupBy(*pair).agg(
         F.array_distinct(F.flatten(F.collect_list("after"))).alias("after")), "call-nodes")
-    edges = nodes.select("conv_id", "call_id", F.explode("after").alias("needs"))
+    edges = nodes.select(*pair, F.explode("after").alias("needs"))
     known = nodes.select("conv_id", F.col("call_id").alias("needs"))
     edges = stored(edges.join(known, ["conv_id", "needs"]), "call-edges")
-    settled = nodes.join(edges, ["conv_id", "call_id"], "left_anti").select("conv_id", "call_id", F.lit(0).alias("level"))
-    done, level, waiting = [stored(settled, "levels")], 0, edges
-    while True:
-        # edges to the calls settled last are met; a call with none left is one level higher
-        last = done[-1].select("conv_id", F.col("call_id").alias("needs"))
-        touched = waiting.join(last, ["conv_id", "needs"], "left_semi").select("conv_id", "call_id").distinct()
-        waiting = stored(waiting.join(last, ["conv_id", "needs"], "left_anti"), "call-edges")
-        level += 1
-        ready = stored(touched.join(waiting, ["conv_id", "call_id"], "left_anti").select(
-            "conv_id", "call_id", F.lit(level).alias("level")), "levels")
-        if ready.isEmpty():
-            break
-        done.append(ready)
-    levels = done[0]
-    for more in done[1:]:
-        levels = levels.unionByName(more)
-    return levels
+    chains = _chain_ends(nodes, edges)
+    settled = stored(chains.where("n = 0").select(*pair, F.lit(0).cast("bigint").alias("level")), "levels")
+    several = chains.where("n > 1").select(*pair)
+    if not several.isEmpty():  # joins of chains settle in rounds, one per link between such calls
+        ends = chains.select("conv_id", F.col("call_id").alias("needs"), F.when(F.col("done"), F.col("anchor")).alias("anchor"), "dist")
+        waiting = stored(edges.join(several, pair).join(ends, ["conv_id", "needs"]).select(
+            *pair, "anchor", (F.col("dist") + 1).alias("dist")), "call-joins")
+        while True:
+            at = settled.select("conv_id", F.col("call_id").alias("anchor"), "level")
+            ready = waiting.join(at, ["conv_id", "anchor"], "left").groupBy(*pair).agg(
+                F.count(F.lit(1)).alias("all"), F.count("level").alias("met"), F.max(F.col("level") + F.col("dist")).alias("level"))
+            ready = stored(ready.where("met = all").select(*pair, "level"), "levels")
+            if ready.isEmpty():
+                break
+            settled = stored(settled.unionByName(ready), "levels")
+            waiting = stored(waiting.join(ready, pair, "left_anti"), "call-joins")
+    starts = settled.select("conv_id", F.col("call_id").alias("anchor"), F.col("level").alias("base"))
+    return chains.where("done").join(starts, ["conv_id", "anchor"]).select(*pair, (F.col("base") + F.col("dist")).alias("level"))
 
 
 def argument_errors(name: Column, arguments: Column, schemas: dict[str, dict]) -> Column:

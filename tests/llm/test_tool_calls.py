@@ -59,6 +59,15 @@ def test_nulls_repeats_cycles_and_missing_predecessors(spark):
         (None, "a", 1, "orphan", None, 1, ("call_id: no such call",)), (1, None, 1, "orphan", None, 1, ("call_id: no such call",))], key=repr)
 
 
+def test_long_chains_and_joins_of_chains(spark):
+    good = '{"city":"Rom"}'
+    calls = [(1, f"c{i}", i, "get", good, [f"c{i - 1}"] if i else []) for i in range(70)]
+    calls += [(1, "j", 99, "get", good, ["c69", "c3"]), (1, "k", 100, "get", good, ["j"]), (1, "l", 101, "get", good, ["k", "c5"]),
+              (1, "x", 1, "get", good, ["y"]), (1, "y", 1, "get", good, ["x", "c1"]), (1, "z", 1, "get", good, ["x"])]
+    got = {r.call_id: r.level for r in T.topological_levels(spark.createDataFrame(calls, CALLS)).collect()}
+    assert got == {**{f"c{i}": i for i in range(70)}, "j": 70, "k": 71, "l": 72}
+
+
 def test_turns_become_calls(spark):
     turns = [(1, 0, "system", "s"), (1, 1, "assistant", "early"), (1, 2, "user", "q1"), (1, 3, "assistant", "a1"), (1, 4, "assistant", "a1b"),
              (1, 90, "user", "q2"), (1, 300, "user", "q3"), (1, 400, "assistant", "a3"), (None, 0, "user", "q"), (2, None, "user", None), (2, 1, None, "x")]
