@@ -2,16 +2,18 @@
 
 1. Every document becomes the sequence of digests of its lines that hold a
    word (white space at the ends of a line doesn't count).
-2. Lines, and pairs of adjacent lines, are grouped by digest: each names the
-   first document that holds it. A line held by one document only goes no
-   further. The links (later document, first document) are the overlapping
-   pairs; there are at most two per line however many documents share a line,
-   so no line is too frequent to follow. Rare lines name the partners that share
-   most; frequent ones all name the same partner.
+2. At every line, the shortest runs of adjacent lines that start or end there and
+   hold ``min_words`` words are grouped by digest: each names the first document
+   that holds it. A run held by one document only goes no further. The links
+   (later document, first document) are the overlapping pairs; there are at
+   most two per line however many documents share a run, so none is too
+   frequent to follow. Any block shared with any earlier document consists of such runs,
+   so the first holders stand for all earlier documents.
 3. Each pair's digest sequences are aligned by patience diff: common ends
    first, then the longest chain of lines that are unique in both, then the
-   same between the anchors.
-4. Aligned runs of lines with at least ``min_words`` words are common blocks,
+   same between the anchors. What that leaves (repeated or moved passages, gaps without a
+   unique line) is looked up among the earlier text's runs, wherever they stand.
+4. Shared runs of lines with at least ``min_words`` words are common blocks,
    and the later document loses them. The first holder always keeps them.
 
 "Later" is by doc_id (null last), then by a digest of the text. Rows that
@@ -76,19 +78,59 @@ def _longest_chain(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+def shortest_runs(words: list[int], min_words: int) -> set[tuple[int, int]]:
+    """(start, end) of the shortest runs with ``min_words`` words that start or end at each line.
+
+    Every line of a longer run lies in one of them that is wholly inside it.
+    """
+    out: set[tuple[int, int]] = set()
+    end = total = 0
+    for start, n in enumerate(words):
+        while end < len(words) and total < min_words:
+            total += words[end]
+            end += 1
+        if total >= min_words:
+            out.add((start, end))
+        total -= n
+    start = total = 0
+    for end, n in enumerate(words, 1):
+        total += n
+        while total - words[start] >= min_words:
+            total -= words[start]
+            start += 1
+        if total >= min_words:
+            out.add((start, end))
+    return out
+
+
+def _runs_anywhere(first: list, later: list, words: list[int], min_words: int) -> set[int]:
+    """Indexes in ``later`` of the lines in shortest runs that stand anywhere in ``first``."""
+    held: dict[int, set[tuple]] = {}
+    out: set[int] = set()
+    for start, end in shortest_runs(words, min_words):
+        size = end - start  # at most min_words, every line holds a word
+        if size not in held:
+            held[size] = {tuple(first[i:i + size]) for i in range(len(first) - size + 1)}
+        if tuple(later[start:end]) in held[size]:
+            out.update(range(start, end))
+    return out
+
+
 def common_blocks(first: list, later: list, words: list[int], min_words: int) -> list[int]:
-    """Indexes in ``later`` of the lines in aligned runs that hold at least ``min_words`` words."""
-    out: list[int] = []
+    """Indexes in ``later`` of the lines in runs with at least ``min_words`` words that ``first`` holds too."""
+    out: set[int] = set()
     run: list[int] = []
     before = None
     for p, q in [*patience(first, later), (-1, -1)]:
         if before is None or (p, q) != (before[0] + 1, before[1] + 1):
             if sum(words[x] for x in run) >= min_words:
-                out += run
+                out.update(run)
             run = []
         run.append(q)
         before = (p, q)
-    return out
+    if len(out) < len(later):
+        out |= _runs_anywhere(first, later, words, min_words)
+    return sorted(out)
 
 
 def line_table(docs: DataFrame) -> DataFrame:
@@ -102,12 +144,35 @@ def line_table(docs: DataFrame) -> DataFrame:
                        F.col("worded.at").alias("at"))
 
 
-def overlapping_pairs(lines: DataFrame) -> DataFrame:
-    """(key, first): every document with the first holders of its lines and adjacent line pairs."""
-    n = F.size("lines")
-    pairs = F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.unhex(F.md5(F.concat(
-        F.element_at("lines", i), F.element_at("lines", i + 1)))))).otherwise(F.array().cast("array<binary>"))
-    marks = lines.select("key", F.explode(F.array_distinct(F.concat("lines", pairs))).alias("mark"))
+def _run_marks(min_words: int) -> Column:
+    """The digests of a document's shortest runs, as ``shortest_runs`` gives them."""
+    lines, words = F.col("lines"), F.col("words")
+    places = F.sequence(F.lit(1), F.size("lines"))
+
+    def length(ws: Column) -> Column:
+        seen = F.aggregate(ws, F.struct(F.lit(0).alias("n"), F.lit(0).alias("total")), lambda s, x: F.when(
+            s["total"] >= min_words, s).otherwise(F.struct((s["n"] + 1).alias("n"), (s["total"] + x).alias("total"))))
+        return bound(seen, lambda s: F.when(s["total"] >= min_words, s["n"]))
+
+    def digest(run: Column) -> Column:
+        return bound(run, lambda r: F.when(F.size(r) == 1, F.get(r, 0)).when(F.size(r) > 1, F.unhex(F.md5(
+            F.aggregate(r, F.expr("X''"), lambda s, x: F.concat(s, x))))))
+
+    def onward(i: Column) -> Column:
+        return bound(length(F.slice(words, i, F.lit(min_words))), lambda k: digest(F.slice(lines, i, k)))
+
+    def back(i: Column) -> Column:
+        ahead = F.reverse(F.slice(words, F.greatest(F.lit(1), i - min_words + 1), F.least(i, F.lit(min_words))))
+        return bound(length(ahead), lambda k: digest(F.slice(lines, i - k + 1, k)))
+    alone = lambda i: F.get(words, i - 1) >= min_words
+    return F.array_distinct(F.array_compact(F.concat(
+        F.transform(places, lambda i: F.when(alone(i), F.get(lines, i - 1)).otherwise(onward(i))),
+        F.transform(places, lambda i: F.when(~alone(i), back(i))))))
+
+
+def overlapping_pairs(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(key, first): every document with the first holders of its shortest runs."""
+    marks = lines.select("key", F.explode(_run_marks(min_words)).alias("mark"))
     shared = stored(marks.groupBy("mark").agg(F.min("key").alias("first"), F.max("key").alias("last"))
                     .where("first != last").select("mark", "first"), "shared-lines")
     return marks.join(shared, "mark").where("key != first").select("key", "first").distinct()
@@ -115,7 +180,7 @@ def overlapping_pairs(lines: DataFrame) -> DataFrame:
 
 def deleted_lines(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(key, gone): the sorted numbers of the lines that each later document loses."""
-    pairs = stored(overlapping_pairs(lines), "overlapping-pairs")
+    pairs = stored(overlapping_pairs(lines, min_words), "overlapping-pairs")
     both = pairs.join(lines, "key").join(
         lines.select(F.col("key").alias("first"), F.col("lines").alias("first_lines")), "first").select(
         "key", "first_lines", "lines", "words", "at")

@@ -1,6 +1,7 @@
 import collections
 import difflib
 import math
+import random
 import re
 
 from hypothesis import given, settings
@@ -67,5 +68,33 @@ def test_alignment_of_unique_lines_is_the_longest():
     assert len(L.patience(a, b)) == best == 6
 
 
+def every_earlier(rows, least):
+    """Line numbers that each text loses when every run of lines is looked up in every earlier text."""
+    texts = [t.split("\n") for _, t in rows]
+    for n, later in enumerate(texts):
+        gone = set()
+        for s in range(len(later)):
+            for e in range(s + 1, len(later) + 1):
+                if sum(len(x.split()) for x in later[s:e]) >= least and any(
+                        later[s:e] == a[i:i + e - s] for a in texts[:n] for i in range(len(a) - (e - s) + 1)):
+                    gone.update(range(s, e))
+        yield rows[n][0], "\n".join(x for i, x in enumerate(later) if i not in gone), len(gone)
+
+
+def test_repeated_moved_and_piecewise_passages_go(spark):
+    p, q = ["p one a b c d e f", "p two a b c d e f", "p three a b c d e"], ["q one a b c d e f", "q two a b c d e f", "q three a b c d e"]
+    texts = [["x", *p, "y", *p, "z"], ["u", *p, "v"], ["w", *p, "m", *p],  # held twice by the first, by the later one
+             ["k", *q, "l", "middle"], ["middle", "j", *q, "k"],  # q crosses the unique lines
+             ["r a b c d e f g", "s a b c d e f g"], ["s a b c d e f g", "t a b c d e f g"],
+             ["r a b c d e f g", "s a b c d e f g", "t a b c d e f g"], ["0", "r a b c d e f g", "s a b c d e f g", "t a b c d e f g"]]
+    rng = random.Random(3)
+    for _ in range(60):  # few different lines, so that nearly all repeat and cross
+        texts.append([f"{c} " * rng.choice([3, 5, 9]) + "." for c in rng.choices("abcd", k=rng.randint(1, 12))])
+    rows = [(i, "\n".join(t)) for i, t in enumerate(texts)]
+    got = {(r.doc_id, r.text, r.n_removed) for r in L.dedup_lines(edge.frame(spark, [(i, t, "en", "s", 1) for i, t in rows]), 20).collect()}
+    assert got == set(every_earlier(rows, 20))
+    assert {(1, "u\nv", 3), (2, "w\nm", 6), (4, "middle\nj\nk", 3), (8, "0", 3)} <= got
+
+
 def test_empty_table(spark):
     assert L.dedup_lines(edge.frame(spark, [])).collect() == []
