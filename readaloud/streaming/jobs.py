@@ -126,22 +126,29 @@ def stream_convert(spark: SparkSession, sf_dir: str, work: str | None = None, ma
     return spark.read.schema(manifest.schema).parquet(run_available(manifest.writeStream.outputMode("append"), work))
 
 
+QUOTA = "client bigint, window_start timestamp, window_end timestamp, n bigint, last timestamp, batch_id bigint"
+
+
 def stream_quota_windows(spark: SparkSession, sf_dir: str, work: str | None = None, max_files: int = MAX_FILES) -> DataFrame:
-    """Requests per client per hour, emitted once each window closes under the watermark.
+    """Requests per client per hour, for windows that ended ``WATERMARK`` before the latest request of all.
 
-    Windows still open at the end stay in the state. Rows that come more than the watermark late are left out, so
-    files are expected in the order of time, to within an hour.
+    Each batch lands its own counts and they are summed over all batches, so a request counts however late it comes.
     """
     limit, period = RATE_API_SUBMIT
     work = _workdir(spark, "quota", work)
-    subs = submissions_stream(spark, sf_dir, max_files).withWatermark("ts", WATERMARK)
-    g = subs.groupBy(F.window("ts", period), "client").agg(F.count(F.lit(1)).alias("n_requests"))
-    rows = g.select("client", F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"),
-                    "n_requests", (F.col("n_requests") > limit).alias("over_limit"))
-    out = run_available(rows.writeStream.outputMode("append"), work)
-    r = spark.read.parquet(out)
-    return r.select("client", F.col("window_start").cast("timestamp_ntz").alias("window_start"),
-                    F.col("window_end").cast("timestamp_ntz").alias("window_end"), "n_requests", "over_limit")
+    sink = os.path.join(work, "out")
+
+    def land(batch: DataFrame, batch_id: int) -> None:
+        g = batch.groupBy(F.window("ts", period), "client").agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("last"))
+        write_batch_output(g.select("client", F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"),
+                                    "n", "last"), sink, batch_id)
+    _drain(submissions_stream(spark, sf_dir, max_files), land, work)
+    landed = spark.read.schema(QUOTA).parquet(sink)
+    closed = landed.agg(F.expr(f"max(last) - interval {WATERMARK}").alias("closed"))  # one row
+    r = landed.groupBy("client", "window_start", "window_end").agg(F.sum("n").alias("n_requests"))
+    return r.crossJoin(F.broadcast(closed)).where("window_end <= closed").select(
+        "client", F.col("window_start").cast("timestamp_ntz").alias("window_start"),
+        F.col("window_end").cast("timestamp_ntz").alias("window_end"), "n_requests", (F.col("n_requests") > limit).alias("over_limit"))
 
 
 def status_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:

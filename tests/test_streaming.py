@@ -91,3 +91,15 @@ def test_polls_advance_the_last_check_and_remember_links(spark, tmp_path):
         created = spark.read.parquet(f"{work}/created/poll_id=1").count()
         assert (polled > 0) == bool(due) or minutes == 10
         assert not first & {r.url for r in spark.read.parquet(f"{work}/created/poll_id=1").collect()} and created >= 0
+
+
+def test_quota_counts_are_whole_when_files_span_all_times(spark, tmp_path):
+    for name in os.listdir(SF_SMALL):
+        shutil.copy(f"{SF_SMALL}/{name}", tmp_path / name) if name[:-8] != "events" else None
+    spark.read.parquet(f"{SF_SMALL}/events.parquet").repartition(5, F.rand(7)).write.parquet(str(tmp_path / "events.parquet"))
+    want = sorted(map(tuple, S.stream_quota_windows(spark, SF_SMALL).collect()), key=repr)
+    work = str(tmp_path / "work")
+    got = sorted(map(tuple, S.stream_quota_windows(spark, str(tmp_path), work, max_files=1).collect()), key=repr)
+    assert len(os.listdir(f"{work}/out")) >= 5 and got == want and got
+    again = sorted(map(tuple, S.stream_quota_windows(spark, str(tmp_path), work, max_files=1).collect()), key=repr)
+    assert again == got
