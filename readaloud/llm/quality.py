@@ -6,17 +6,16 @@ numbers: the base rules, a histogram of character classes and a histogram of
 the common words. The references are the same histograms summed over all
 documents of a language. A document is kept if it passes the base rules and
 the Jensen-Shannon distances between its histograms and its language's
-references stay under the limits; texts too short for a histogram are not
-judged by it (minimum-length guards).
+references stay under the limits; texts too short for a histogram, and texts of a
+language with under 1,000 words in all, are not judged by it (minimum-length guards).
 
 Everything per document is row-local: the only shuffles are partial
 aggregates (words per language, sums per language), so a source or language
 holding a third of all rows is combined before it moves.
 
-Edge cases: a null text has no words and fails; a null or rare language
-(under 0.1 % of all words, so at most 1,000 references exist) is compared
-with the reference of the whole corpus; rows that repeat are judged
-one by one; an empty table gives an empty result; extra columns are ignored.
+Edge cases: a null text has no words and fails; rows without a language
+are compared with each other; however small its share, a language is compared
+with its own reference only; rows that repeat are judged one by one; an empty table gives an empty result; extra columns are ignored.
 """
 from __future__ import annotations
 
@@ -30,6 +29,8 @@ PUNCTUATION = ".,;:!?'\"()-"
 #: One printable character stands for each common word.
 CODES = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz_-"
 MIN_SHARE = 1000
+#: Words below which a language's histograms say too little to judge a document by.
+MIN_REFERENCE_WORDS = 1000
 #: Function words are short; longer words are not candidates for the common-word histogram.
 MAX_LETTERS = 5
 WINDOW = 5
@@ -140,7 +141,7 @@ def js_distance(p: Column, q: Column) -> Column:
 
 def quality_rules(docs: DataFrame, max_class_distance: float = 0.3, max_word_distance: float = 0.5,
                   min_chars: int = 200, min_words: int = 100, min_kept_words: int = 10,
-                  max_repeat_percent: int = 20) -> DataFrame:
+                  max_repeat_percent: int = 20, min_reference_words: int = MIN_REFERENCE_WORDS) -> DataFrame:
     """Row key, base measures, distances and the verdict for every row of ``docs`` (doc_id, text, lang)."""
     docs = docs.select("doc_id", "text", "lang")
     words = common_words(docs)
@@ -150,16 +151,8 @@ def quality_rules(docs: DataFrame, max_class_distance: float = 0.3, max_word_dis
         F.sum("n_words").alias("ref_words"),
         F.array(*[F.sum(F.get("classes", F.lit(i))) for i in range(7)]).alias("ref_classes"),
         F.array(*[F.sum(F.get("common", F.lit(i))) for i in range(width)]).alias("ref_common"))
-    per_lang = stored(per_lang, "quality-references")
-    whole = per_lang.agg(F.sum("ref_words").alias("all_words"),
-                         F.array(*[F.sum(F.get("ref_classes", F.lit(i))) for i in range(7)]).alias("all_classes"),
-                         F.array(*[F.sum(F.get("ref_common", F.lit(i))) for i in range(width)]).alias("all_common"))
-    pooled = whole.collect()[0]  # one row of sums
-    large = per_lang.where((F.col("ref_words") > 0) & (F.col("ref_words") * MIN_SHARE >= F.lit(pooled.all_words or 0)))
-    judged = rows.join(F.broadcast(large), "lang", "left").select(  # at most MIN_SHARE references
-        rows["*"],
-        F.coalesce("ref_classes", constant_array([x or 0 for x in pooled.all_classes], "bigint")).alias("ref_classes"),
-        F.coalesce("ref_common", constant_array([x or 0 for x in pooled.all_common], "bigint")).alias("ref_common"))
+    references = stored(per_lang.where(F.col("ref_words") >= min_reference_words).drop("ref_words"), "quality-references")
+    judged = rows.join(references, "lang", "left")  # no reference: null distances, no verdict
     judged = judged.select(
         "key", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         ((F.col("n_words") < min_kept_words)

@@ -1,5 +1,6 @@
 import collections
 import math
+import random
 import re
 
 import edge
@@ -32,6 +33,20 @@ def test_divergent_text_is_rejected_and_short_or_clean_text_is_not(spark):
     assert all(got[r[0]].kept for r in rows if r[0] is not None and r[0] < 80 and not got[r[0]].base_failed)
 
 
+def test_a_small_language_is_judged_by_its_own_reference(spark):
+    rng = random.Random(5)
+    text = lambda letters, n: " ".join("".join(rng.choices(letters, k=rng.randint(2, 9))) for _ in range(n))
+    latin = [(i, text("abcdefghijklmnop", 3000), "en", "s", 1) for i in range(700)]
+    greek = [(1000 + i, text("αβγδεζηθικλμνξοπ", 150), "el", "s", 1) for i in range(10)]
+    odd = [(2000, " ".join(f"{i}###$$$%%%" for i in range(150)), "el", "s", 1)]
+    alone = [(3000, text("абвгдежзиклмно", 150), "bg", "s", 1)]  # too few words for a reference
+    assert sum(len(r[1].split()) for r in [*greek, *odd]) * 1000 < sum(len(r[1].split()) for r in latin)
+    got = {r.doc_id: r for r in Q.quality_rules(edge.frame(spark, [*latin, *greek, *odd, *alone])).where("doc_id >= 1000").collect()}
+    assert all(got[r[0]].kept and got[r[0]].class_distance < 0.3 for r in greek)
+    assert not got[2000].kept and got[2000].class_distance > 0.5
+    assert got[3000].kept and got[3000].class_distance is None and got[3000].word_distance is None
+
+
 def test_distance_against_the_formula(spark):
     from pyspark.sql import functions as F
     pairs = [([1, 2, 3], [3, 2, 1]), ([5, 0, 0], [0, 5, 0]), ([2, 2], [4, 4]), ([0, 0], [1, 1])]
