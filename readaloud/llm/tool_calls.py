@@ -106,9 +106,9 @@ def _chain_ends(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def topological_levels(calls: DataFrame) -> DataFrame:
     """(conv_id, call_id, level) of every settled call; calls on or behind a cycle are absent."""
     pair = ["conv_id", "call_id"]
-    nodes = stored(calls.where("conv_id is not null and call_id is not null").groupBy(*pair).agg(
-        F.array_distinct(F.flatten(F.collect_list("after"))).alias("after")), "call-nodes")
-    edges = nodes.select(*pair, F.explode("after").alias("needs"))
+    calls = calls.where("conv_id is not null and call_id is not null")
+    nodes = stored(calls.select(*pair).distinct(), "call-nodes")
+    edges = calls.select(*pair, F.explode("after").alias("needs")).distinct()
     known = nodes.select("conv_id", F.col("call_id").alias("needs"))
     edges = stored(edges.join(known, ["conv_id", "needs"]), "call-edges")
     chains = _chain_ends(nodes, edges)

@@ -68,6 +68,16 @@ def test_long_chains_and_joins_of_chains(spark):
     assert got == {**{f"c{i}": i for i in range(70)}, "j": 70, "k": 71, "l": 72}
 
 
+def test_a_repeated_call_id_is_never_gathered(spark, monkeypatch):
+    plans, stored = [], T.stored
+    monkeypatch.setattr(T, "stored", lambda df, name: plans.append(df._jdf.queryExecution().toString()) or stored(df, name))
+    calls = [(1, f"c{i}", i, "get", "{}", []) for i in range(5)] + [(1, "hot", 9, "get", "{}", [f"c{i % 5}", None]) for i in range(40)]
+    calls += [(1, "hot", 9, "get", "{}", None), (1, "last", 10, "get", "{}", ["hot", "hot"]), (1, "end", 11, "get", "{}", ["last", "c1"])]
+    got = {r.call_id: r.level for r in T.topological_levels(spark.createDataFrame(calls, CALLS)).collect()}
+    assert got == {**{f"c{i}": 0 for i in range(5)}, "hot": 1, "last": 2, "end": 3}
+    assert plans and not any("collect_list" in p for p in plans)
+
+
 def test_turns_become_calls(spark):
     turns = [(1, 0, "system", "s"), (1, 1, "assistant", "early"), (1, 2, "user", "q1"), (1, 3, "assistant", "a1"), (1, 4, "assistant", "a1b"),
              (1, 90, "user", "q2"), (1, 300, "user", "q3"), (1, 400, "assistant", "a3"), (None, 0, "user", "q"), (2, None, "user", None), (2, 1, None, "x")]
