@@ -1,9 +1,9 @@
 """Quality rules with a distribution-divergence verdict, in DataFrame expressions only.
 
 Two passes over the text. The first counts the words of every language over
-the whole corpus and keeps the most common ones; the second turns each document into a few
+the whole corpus, whatever their length, and keeps each language's most common ones; the second turns each document into a few
 numbers: the base rules, a histogram of character classes and a histogram of
-the common words. The references are the same histograms summed over all
+its language's common words. The references are the same histograms summed over all
 documents of a language. A document is kept if it passes the base rules and
 the Jensen-Shannon distances between its histograms and its language's
 references stay under the limits; texts too short for a histogram, and texts of a
@@ -19,20 +19,17 @@ with its own reference only; rows that repeat are judged one by one; an empty ta
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_RUN, bound, constant_array, row_key, space_words, stored, text_or_empty
+from .common import bound, constant_array, row_key, space_words, stored, text_or_empty
 
 SYMBOLS = "#*$%&|<>"
 PUNCTUATION = ".,;:!?'\"()-"
 #: One printable character stands for each common word.
 CODES = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz_-"
-MIN_SHARE = 1000
 #: Words below which a language's histograms say too little to judge a document by.
 MIN_REFERENCE_WORDS = 1000
-#: Function words are short; longer words are not candidates for the common-word histogram.
-MAX_LETTERS = 5
 WINDOW = 5
 
 
@@ -64,54 +61,40 @@ def _count_in(marks: Column, chars: str) -> Column:
     return F.length(marks) - F.length(F.translate(marks, chars, ""))
 
 
-def common_words(docs: DataFrame, k: int = len(CODES)) -> list[int]:
-    """Hashes of the k short words found in the largest share of documents, summed over the languages that hold 0.1 % of all."""
-    short = F.filter(F.split(text_or_empty(), SPACE_RUN), lambda w: F.length(w).between(1, MAX_LETTERS))
-    words = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.explode(F.array_distinct(
-        F.transform(short, lambda w: F.xxhash64(w)))).alias("word")).groupBy("lang", "word").count()
-    words = stored(words, "quality-words")
-    totals = words.groupBy("lang").agg(F.sum("count").alias("lang_words"))
-    corpus = totals.agg(F.sum("lang_words")).collect()[0][0] or 0
-    large = totals.where(F.col("lang_words") * MIN_SHARE >= F.lit(corpus))  # at most MIN_SHARE rows
-    share = (words.join(F.broadcast(large), "lang")
-             .groupBy("word").agg(F.sum(F.round(F.col("count") * 1e9 / F.col("lang_words")).cast("bigint")).alias("share")))
-    return [r.word for r in share.orderBy(F.desc("share"), "word").limit(k).collect()]  # k rows
-
-
-def _slots(hashes: list[int]) -> tuple[Column, Column, int]:
-    """Constant tables from a word hash to its code: the smallest power of two without a clash."""
-    size = 256
-    while len({h % size for h in hashes}) < len(hashes):
-        size *= 2
-    keys, codes = [0] * size, [""] * size
-    for h, c in zip(hashes, CODES, strict=False):
-        keys[h % size], codes[h % size] = h, c
-    return constant_array(keys, "bigint"), constant_array(codes, "string"), size
-
-
-def features(docs: DataFrame, words: list[int]) -> DataFrame:
-    """One narrow row per document: base measures, class histogram and common-word histogram."""
-    keys, codes, size = _slots(words)
+def common_words(docs: DataFrame, k: int = len(CODES)) -> DataFrame:
+    """(lang, common_words): hashes of the k words found in the most documents of each language, commonest first."""
+    hashes = F.transform(space_words(text_or_empty()), lambda w: F.xxhash64(w))
+    words = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.explode(F.array_distinct(hashes)).alias("word"))
+    # each task keeps its k commonest per language before they move
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "word"))
+    top = words.groupBy("lang", "word").count().withColumn("rank", rank).where(F.col("rank") <= k)
+    return top.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("rank", "word"))).alias("top")).select(  # k a language
+        "lang", F.col("top.word").alias("common_words"))
+
+
+def features(docs: DataFrame, words: DataFrame) -> DataFrame:
+    """One narrow row per document: base measures, class histogram and histogram of its language's common words."""
+    codes = constant_array(list(CODES), "string")
     text = F.col("_text")
     marks = F.array_join(F.regexp_extract_all(text, F.lit(r"([0-9A-Z.,;:!?'\"()\-#*$%&|<>])"), 1), "")
     base = docs.select(row_key().alias("key"), "doc_id", F.coalesce("lang", F.lit("")).alias("lang"), text_or_empty().alias("_text"))
-    one = base.select("key", "doc_id", "lang", F.length(text).alias("n_chars"),
+    base = base.join(words, "lang", "left").withColumn("common_words", F.coalesce("common_words", F.array().cast("array<bigint>")))
+    one = base.select("key", "doc_id", "lang", "common_words", F.length(text).alias("n_chars"),
                       (F.octet_length(text) - F.length(text)).alias("wide"), marks.alias("marks"),
                       F.split(text, "\n").alias("lines"), space_words(text).alias("words"))
     worded = F.filter("lines", lambda s: s.rlike(r"[^\x20\x09-\x0D]"))
     n_dup = F.when(F.size(F.array_distinct("lines")) < F.size("lines"),
                    bound(worded, lambda s: F.size(s) - F.size(F.array_distinct(s)))).otherwise(0)
-    two = one.select("key", "doc_id", "lang", "n_chars", "wide", "marks", n_dup.cast("bigint").alias("n_dup_lines"),
+    two = one.select("key", "doc_id", "lang", "common_words", "n_chars", "wide", "marks", n_dup.cast("bigint").alias("n_dup_lines"),
                      F.size("words").cast("bigint").alias("n_words"),
                      F.length(F.array_join("words", "")).cast("bigint").alias("word_chars"),
                      F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
-    slot = lambda h: F.pmod(h, F.lit(size)).cast("int")
-    coded = F.array_join(F.transform(F.filter("hashes", lambda h: F.get(keys, slot(h)) == h), lambda h: F.get(codes, slot(h))), "")
+    coded = F.array_join(F.transform("hashes", lambda h: F.get(codes, F.array_position("common_words", h).cast("int") - 1)), "")
     three = two.select("key", "doc_id", "lang", "n_chars", "wide", "marks", "n_dup_lines", "n_words", "word_chars",
                        coded.alias("coded"), _windows(F.col("hashes")).alias("windows"))
     three = three.select("*", _repeat_words(F.col("windows")).cast("bigint").alias("n_repeat_words"))
     n_coded = F.length("coded")
-    counts = [n_coded - F.length(F.replace(F.col("coded"), F.lit(c), F.lit(""))) for c in CODES[:len(words)]]
+    counts = [n_coded - F.length(F.replace(F.col("coded"), F.lit(c), F.lit(""))) for c in CODES]
     digits, upper = _count_in(F.col("marks"), "0123456789"), _count_in(F.col("marks"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
     symbols, points = _count_in(F.col("marks"), SYMBOLS), _count_in(F.col("marks"), PUNCTUATION)
     blank = F.col("n_chars") - F.col("word_chars")
@@ -144,9 +127,9 @@ def quality_rules(docs: DataFrame, max_class_distance: float = 0.3, max_word_dis
                   max_repeat_percent: int = 20, min_reference_words: int = MIN_REFERENCE_WORDS) -> DataFrame:
     """Row key, base measures, distances and the verdict for every row of ``docs`` (doc_id, text, lang)."""
     docs = docs.select("doc_id", "text", "lang")
-    words = common_words(docs)
+    words = stored(common_words(docs), "quality-words")
     rows = stored(features(docs, words), "quality-features")
-    width = len(words) + 1
+    width = len(CODES) + 1
     per_lang = rows.groupBy("lang").agg(
         F.sum("n_words").alias("ref_words"),
         F.array(*[F.sum(F.get("classes", F.lit(i))) for i in range(7)]).alias("ref_classes"),

@@ -47,6 +47,22 @@ def test_a_small_language_is_judged_by_its_own_reference(spark):
     assert got[3000].kept and got[3000].class_distance is None and got[3000].word_distance is None
 
 
+def test_common_words_are_each_language_s_own_and_of_any_length(spark):
+    rng = random.Random(6)
+    words = {f"l{n}": [f"{'abcdefghij'[i % 10] * (4 + i // 10)}{n:02}" for i in range(80)] for n in range(25)}  # 6 letters and more
+    rows = [(n * 100 + d, " ".join(rng.choices(words[f"l{n}"], weights=range(80, 0, -1), k=200)), f"l{n}", "s", 1) for n in range(25) for d in range(12)]
+    lists = {r.lang: r.common_words for r in Q.common_words(edge.frame(spark, [*rows, (-1, None, None, "s", 1), (-2, "x y y z z z", None, "s", 1)])).collect()}
+    hashed = {r.h: r.w for r in spark.createDataFrame([(w,) for ws in [*words.values(), ["x", "y", "z"]] for w in ws], "w string").selectExpr("w", "xxhash64(w) h").collect()}
+    assert {hashed[h] for h in lists[""]} == {"x", "y", "z"}
+    for lang, own in words.items():
+        held = collections.Counter(w for r in rows if r[2] == lang for w in set(r[1].split()))
+        assert [held[hashed[h]] for h in lists[lang]] == sorted((held[w] for w in own), reverse=True)[:64]
+    odd = [(5000 + n, " ".join(words[f"l{n}"][-1] + f"{i:05}" for i in range(200)), f"l{n}", "s", 1) for n in range(3)]
+    got = {r.doc_id: r for r in Q.quality_rules(edge.frame(spark, rows + odd)).collect()}
+    assert all(got[r[0]].kept for r in rows)
+    assert not any(got[r[0]].kept for r in odd) and all(got[r[0]].word_distance > 0.5 for r in odd)
+
+
 def test_distance_against_the_formula(spark):
     from pyspark.sql import functions as F
     pairs = [([1, 2, 3], [3, 2, 1]), ([5, 0, 0], [0, 5, 0]), ([2, 2], [4, 4]), ([0, 0], [1, 1])]
