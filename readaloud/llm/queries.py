@@ -17,7 +17,7 @@ from .pii import find_personal_data, personal_data_digest
 from .quality import quality_rules
 from .secret_scan import scan_secrets, secret_digest
 from .token_counts import count_tokens
-from .tool_calls import link_calls, turns_as_calls
+from .tool_calls import link_results, turns_as_calls
 from .warc import write_and_read
 
 TOKEN_LIMIT = 512
@@ -49,7 +49,7 @@ def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls, results = turns_as_calls(read_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
-    rows = link_calls(calls, results, TOOLS)
+    rows = link_results(calls, results, TOOLS)
     return rows.select("conv_id", "call_id", "turn", "status", "level", "n_results",
                        F.array_join("errors", "; ").alias("errors"), F.sha2("json", 256).alias("json_sha256"))
 

@@ -3,7 +3,9 @@
 1. Results are reduced to one row per (conversation, call id) - the first
    result and how many there are - and hash-joined to the calls by that pair.
    Both the counting and the choice of the first combine before they shuffle, so an
-   identifier that a third of all results carry is one row per task.
+   identifier that a third of all results carry is one row per task. All further
+   results are joined to the first call of their pair, one row each; pairs that hold
+   1/64 of all results and more are dealt over 64 salts.
 2. Calls are levelled topologically: a call that waits for nothing is level 0,
    any other is one above the highest it waits for. Chains of calls that wait for one
    other are followed by pointer doubling, in as many rounds as the longest
@@ -16,7 +18,7 @@
 Edge cases: a null conversation or call id links to nothing (the call is
 unanswered, the result an orphan) and never enters a join; a result without a call is
 an orphan row; a repeated call id is an error of each call that carries it, and each
-links to the same first result; a predecessor that doesn't exist is an error and is
+links to the same first result, while further results link to the first such call; a predecessor that doesn't exist is an error and is
 not waited for; null or malformed arguments are errors; null texts stay null; empty tables give
 empty results; other columns are ignored.
 """
@@ -31,6 +33,8 @@ from .common import stored
 
 #: JSON Schema types and the way a variant is read as them.
 TYPES = {"string": "string", "integer": "bigint", "number": "double", "boolean": "boolean"}
+#: Parts into which the further results of a hot call id are dealt.
+SALTS = 64
 
 
 def turns_as_calls(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -167,23 +171,51 @@ def argument_errors(name: Column, arguments: Column, schemas: dict[str, dict]) -
 
 
 def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
-    """(conv_id, call_id, turn, status, level, n_results, errors, json) of every call and of every orphan result.
+    """(conv_id, call_id, turn, status, level, n_results, errors, json) of every call, with its first result, and of every orphan result.
 
     ``calls`` has conv_id, call_id, turn, name, arguments (JSON) and after (call ids); ``results`` has conv_id, call_id, turn and content.
     """
+    return _link(calls, results, schemas, every=False).drop("result_turn")
+
+
+def link_results(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
+    """The rows of ``link_calls`` and result_turn, and one such row for every further result of a call."""
+    return _link(calls, results, schemas, every=True)
+
+
+def _further(calls: DataFrame, results: DataFrame, facts: DataFrame) -> DataFrame:
+    """Every result but the first of a call id, with the facts and the first call of that id."""
+    pair = ["conv_id", "call_id"]
+    several = facts.where("n_results > 1")
+    asked = calls.join(several.select(*pair), pair, "left_semi").groupBy(*pair).agg(
+        F.min(F.struct("turn", "name", "arguments")).alias("asked"))
+    total = F.lit(facts.agg(F.sum("n_results")).first()[0] or 0)
+    hot = F.col("n_results") * SALTS >= total
+    salted = several.join(asked, pair).withColumn("salt", F.explode(F.sequence(F.lit(0), F.when(hot, SALTS - 1).otherwise(0))))
+    dealt = results.join(F.broadcast(several.where(hot).select(*pair, F.lit(True).alias("hot"))), pair, "left")  # at most SALTS rows
+    dealt = dealt.select(*pair, F.struct("turn", "content", "id").alias("result"),
+                         F.when(F.col("hot"), F.pmod("id", F.lit(SALTS)).cast("int")).otherwise(0).alias("salt"))
+    return dealt.join(salted, [*pair, "salt"]).where("result.id != first.id").drop("salt", "first").select(
+        "*", "asked.*").drop("asked")
+
+
+def _link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict], every: bool) -> DataFrame:
     calls = stored(calls.select("conv_id", "call_id", "turn", "name", "arguments", "after"), "calls")
-    results = stored(results.select("conv_id", "call_id", "turn", "content"), "results")
+    results = stored(results.select("conv_id", "call_id", "turn", "content", F.monotonically_increasing_id().alias("id")), "results")
     pair = ["conv_id", "call_id"]
     linked = "conv_id is not null and call_id is not null"
     answers = stored(results.where(linked).groupBy(*pair).agg(
-        F.count(F.lit(1)).alias("n_results"), F.min(F.struct("turn", "content")).alias("first")), "answers")
+        F.count(F.lit(1)).alias("n_results"), F.min(F.struct("turn", "content", "id")).alias("first")), "answers")
     repeats = stored(calls.where(linked).groupBy(*pair).agg(F.count(F.lit(1)).alias("n_calls")), "call-ids")
     lost = calls.where(linked).select("conv_id", "call_id", F.explode("after").alias("needs")).join(
         repeats.select("conv_id", F.col("call_id").alias("needs")), ["conv_id", "needs"], "left_anti").select(
         *pair, F.lit(True).alias("lost")).distinct()
     facts = repeats.join(answers, pair, "left").join(topological_levels(calls), pair, "left").join(stored(lost, "lost-predecessors"), pair, "left")
     facts = stored(facts, "call-facts")
-    joined = calls.where(linked).join(facts, pair).unionByName(calls.where(f"not ({linked})"), allowMissingColumns=True)
+    joined = calls.where(linked).join(facts.withColumnRenamed("first", "result"), pair).drop("after")
+    if every:
+        joined = joined.unionByName(_further(calls.where(linked), results.where(linked), facts))
+    joined = joined.unionByName(calls.where(f"not ({linked})").drop("after"), allowMissingColumns=True)
     errors = F.sort_array(F.array_compact(F.concat(
         argument_errors(F.col("name"), F.col("arguments"), schemas),
         F.array(F.when(F.col("n_calls") > 1, F.lit("call_id: repeated")), F.when(F.col("lost"), F.lit("after: no such call")),
@@ -191,13 +223,14 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -
                 F.when(F.col("n_calls").isNotNull() & F.col("level").isNull(), F.lit("after: part of a cycle"))))))
     body = F.to_json(F.struct(
         F.try_parse_json("arguments").alias("arguments"), F.col("call_id").alias("id"), F.col("name").alias("name"),
-        F.col("first.content").alias("result")))
+        F.col("result.content").alias("result")))
     out = joined.select(
         "conv_id", "call_id", "turn", F.when(F.col("n_results").isNull(), "unanswered").otherwise("linked").alias("status"),
         F.col("level").cast("bigint").alias("level"), F.coalesce("n_results", F.lit(0)).cast("bigint").alias("n_results"),
-        errors.alias("errors"), body.alias("json"))
+        errors.alias("errors"), body.alias("json"), F.col("result.turn").alias("result_turn"))
     orphans = results.where(linked).join(repeats, pair, "left_anti").unionByName(results.where(f"not ({linked})")).select(
         "conv_id", "call_id", "turn", F.lit("orphan").alias("status"), F.lit(None).cast("bigint").alias("level"),
         F.lit(1).cast("bigint").alias("n_results"), F.array(F.lit("call_id: no such call")).alias("errors"),
-        F.to_json(F.struct(F.col("call_id").alias("id"), F.col("content").alias("result"))).alias("json"))
+        F.to_json(F.struct(F.col("call_id").alias("id"), F.col("content").alias("result"))).alias("json"),
+        F.col("turn").alias("result_turn"))
     return out.unionByName(orphans)

@@ -78,6 +78,34 @@ def test_a_repeated_call_id_is_never_gathered(spark, monkeypatch):
     assert plans and not any("collect_list" in p for p in plans)
 
 
+def test_every_result_is_a_row(spark):
+    good = '{"city":"Rom"}'
+    calls = [(1, "a", 1, "get", good, []), (1, "b", 2, "none", "{}", ["a"]), (1, "x", 4, "none", "{}", []), (1, "x", 3, "get", good, []),
+             (1, "one", 7, "none", "{}", []), (1, "hot", 8, "get", good, ["b"])]
+    results = [(1, "a", 5, "second"), (1, "a", 4, "first"), (1, "a", 5, "second"), (1, "a", None, None), (1, "x", 9, "r1"), (1, "x", 10, "r2"),
+               (1, "one", 8, "only"), (1, "gone", 1, "o1"), (1, "gone", 2, "o2"), (None, "a", 1, "n")] + [(1, "hot", 20 + i, f"h{i}") for i in range(500)]
+    c, r = spark.createDataFrame(calls, CALLS), spark.createDataFrame(results, RESULTS)
+    rows = T.link_results(c, r, TOOLS).collect()
+    got = sorted(((x.call_id, x.turn, x.status, x.level, x.n_results, x.result_turn, json.loads(x.json).get("result")) for x in rows if x.call_id != "hot"), key=repr)
+    assert got == sorted([
+        ("a", 1, "linked", 0, 4, None, None), ("a", 1, "linked", 0, 4, 4, "first"), ("a", 1, "linked", 0, 4, 5, "second"), ("a", 1, "linked", 0, 4, 5, "second"),
+        ("b", 2, "unanswered", 1, 0, None, None), ("x", 3, "linked", 0, 2, 9, "r1"), ("x", 4, "linked", 0, 2, 9, "r1"), ("x", 3, "linked", 0, 2, 10, "r2"),
+        ("one", 7, "linked", 0, 1, 8, "only"), ("gone", 1, "orphan", None, 1, 1, "o1"), ("gone", 2, "orphan", None, 1, 2, "o2"),
+        ("a", 1, "orphan", None, 1, 1, "n")], key=repr)
+    hot = [x for x in rows if x.call_id == "hot"]
+    assert sorted((x.result_turn, x.json) for x in hot) == [(20 + i, json.dumps({"arguments": {"city": "Rom"}, "id": "hot", "name": "get", "result": f"h{i}"}, separators=(",", ":"))) for i in range(500)]
+    assert {(x.level, x.n_results, tuple(x.errors)) for x in hot} == {(2, 500, ())}
+
+
+def test_the_query_holds_both_answers_to_one_turn(spark, tmp_path):
+    from readaloud.llm import queries
+    turns = [(1, 0, "user", "q"), (1, 1, "assistant", "a"), (1, 2, "assistant", "b"), (1, 3, "user", "r")]
+    spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = queries.op5_tool_call_linking(spark, str(tmp_path)).collect()
+    assert sorted((r.turn, r.status, r.n_results) for r in got) == [(0, "linked", 2), (0, "linked", 2), (3, "unanswered", 0)]
+    assert len({r.json_sha256 for r in got}) == 3
+
+
 def test_turns_become_calls(spark):
     turns = [(1, 0, "system", "s"), (1, 1, "assistant", "early"), (1, 2, "user", "q1"), (1, 3, "assistant", "a1"), (1, 4, "assistant", "a1b"),
              (1, 90, "user", "q2"), (1, 300, "user", "q3"), (1, 400, "assistant", "a3"), (None, 0, "user", "q"), (2, None, "user", None), (2, 1, None, "x")]
