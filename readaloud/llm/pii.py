@@ -3,10 +3,13 @@
 1. Base spans (email, ip, card, phone) are found and validated row by row, together with
    the tokens on either side of each and of every other identifier-like string
    (six digits and more, or an obfuscated address): the candidates.
+   A token is a word with the punctuation that parts it from the instance, glued to it or not
+   (``tel:`` in ``tel:5550121000``, ``(`` and ``)`` in ``(a@b.com)``).
 2. Seeds are the base instances. A pattern is a token to the left or to the right; the bipartite
    graph of patterns and instances is a small edge table next to the corpus.
 3. Rounds of scoring: a pattern's confidence is the trust in its instances
-   divided by how often its token occurs anywhere in the corpus, and a candidate's
+   divided by how often its token occurs anywhere in the corpus on that side of
+   something (instances are cut out and the rest is split alike for both counts), and a candidate's
    confidence is one minus the product of its patterns' doubts. Candidates
    above ``accept`` are trusted in the next round, so new patterns can
    follow from them.
@@ -27,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import kind_spans, match_spans, row_key, space_words, span_string, stored, text_or_empty
+from .common import bound, kind_spans, match_spans, row_key, span_string, stored, text_or_empty
 
 #: The base patterns, written so that long runs are scanned once; matches are those of the plain forms.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -37,8 +40,10 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 CANDIDATE = r"[0-9](?:[\x20().-]?[0-9]){5,}+|[A-Za-z0-9._%+-]++\x20?[\[(](?i:at)[\])]\x20?[A-Za-z0-9.-]++"
 BASE = ["email", "ip", "card", "phone"]
 KINDS = [*BASE, "ctx"]
-#: Code points on either side in which a context token is looked for.
-CONTEXT = 64
+#: What may precede an instance, or any other word: a word with the punctuation behind it, or punctuation alone.
+LEFT = r"(?:[^\x00-\x2C./:-@\[-^`{-\x7F]++[!-,./:-@\[-^`{-~]*+|[!-,./:-@\[-^`{-~]++)"
+#: What may follow: punctuation and the word behind it, or punctuation alone.
+RIGHT = r"(?:[!-,./:-@\[-^`{-~]*+[^\x00-\x2C./:-@\[-^`{-\x7F]++|[!-,./:-@\[-^`{-~]++)"
 ROUNDS = 3
 MIN_SEEDS = 3
 ACCEPT = 0.6
@@ -72,13 +77,48 @@ def base_matches(text: Column) -> dict[str, Column]:
     }
 
 
-def _context(spans: Column, kind: str) -> Column:
-    """(kind, start, end, instance, left, right) of matches; contexts are empty where the text ends."""
+def _instances(spans: Column, kind: str) -> Column:
+    """(kind, start, end, instance) of matches."""
     return F.transform(spans, lambda s: F.struct(
         F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"),
-        F.lower(F.regexp_replace(s["match"], r"[\x20().-]", "")).alias("instance"),
-        F.lower(F.regexp_extract(F.right(s["before"], F.lit(CONTEXT)), r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$", 1)).alias("left"),
-        F.lower(F.regexp_extract(F.left(s["after"], F.lit(CONTEXT)), r"^[\x20\x09-\x0D]*([^\x20\x09-\x0D]+)", 1)).alias("right")))
+        F.lower(F.regexp_replace(s["match"], r"[\x20().-]", "")).alias("instance")))
+
+
+def _gaps(text: Column, spans: Column) -> Column:
+    """What is left of a text between its spans, sorted by start: one more than there are spans."""
+    def between(ss: Column) -> Column:
+        def gap(s: Column, k: Column) -> Column:
+            begin = F.when(k == 0, 0).otherwise(F.array_max(F.slice(ss["end"], F.lit(1), k)))  # spans may overlap
+            return F.when(s["start"] > begin, F.substring(text, begin + 1, s["start"] - begin)).otherwise("")
+        rest = F.substring(text, F.array_max(ss["end"]) + 1, F.length(text))
+        return F.concat(F.transform(ss, gap), F.array(rest))
+    return F.when(F.size(spans) > 0, bound(spans, between)).otherwise(F.array(text))
+
+
+def _tokens(gaps: Column, pattern: str) -> Column:
+    return F.transform(gaps, lambda g: F.regexp_extract_all(F.lower(g), F.lit(pattern), F.lit(0)))
+
+
+def contexts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, kind, start, end, instance, left, right) of the instances, and (side, word, n) of all tokens that stand next to any.
+
+    ``rows`` has key, text and spans (sorted instances); rows that repeat a key are counted by ``n`` but are one in the first result.
+    Each gap is beside one instance on either side, so no token stands next to more instances than it is counted.
+    """
+    split = rows.select("key", "spans", _gaps(F.col("text"), F.col("spans")).alias("gaps")).select(
+        "key", "spans", _tokens(F.col("gaps"), LEFT).alias("l"), _tokens(F.col("gaps"), RIGHT).alias("r"))
+    found = split.where(F.size("spans") > 0)
+    beside = F.transform("spans", lambda s, k: F.struct(
+        s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["instance"].alias("instance"),
+        F.coalesce(F.try_element_at(F.get("l", k), F.lit(-1)), F.lit("")).alias("left"),
+        F.coalesce(F.get(F.get("r", k + 1), 0), F.lit("")).alias("right")))
+    parts = stored(found.dropDuplicates(["key"]).select("key", F.inline(beside)), "personal-data-instances")
+    near = parts.select(F.explode(F.array(F.struct(F.lit("l").alias("side"), F.col("left").alias("word")), F.struct(
+        F.lit("r").alias("side"), F.col("right").alias("word")))).alias("p")).select("p.*").where("word != ''").distinct()
+    hashes = F.concat(*[F.transform(F.flatten(F.col(side)), lambda w: F.xxhash64(F.lit(side), w)) for side in ("l", "r")])  # noqa: B023
+    counts = split.select(F.explode(hashes).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    words = near.select("side", "word", F.xxhash64("side", "word").alias("h")).join(counts, "h").select("side", "word", "n")
+    return parts, stored(words, "context-words")
 
 
 def bootstrap(parts: DataFrame, words: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS,
@@ -86,7 +126,7 @@ def bootstrap(parts: DataFrame, words: DataFrame, rounds: int = ROUNDS, min_seed
     """(instance, confidence) of accepted candidates.
 
     ``parts`` has (kind, instance, left, right), kind ``ctx`` for candidates; ``words``
-    has (word, n), how often a lower-cased token stands in the corpus.
+    has (side, word, n), how often a lower-cased token stands in the corpus on that side of anything.
     """
     sides = F.explode(F.array(F.struct(F.lit("l").alias("side"), F.col("left").alias("word")),
                               F.struct(F.lit("r").alias("side"), F.col("right").alias("word")))).alias("p")
@@ -94,7 +134,7 @@ def bootstrap(parts: DataFrame, words: DataFrame, rounds: int = ROUNDS, min_seed
     edges = edges.groupBy("instance", "side", "word").agg(
         F.max(F.col("kind") != "ctx").alias("seed"), F.count(F.lit(1)).alias("n_edge"))
     seeded = edges.groupBy("side", "word").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= min_seeds).select("side", "word")
-    edges = stored(edges.join(seeded, ["side", "word"]).join(words, "word"), "pattern-edges")
+    edges = stored(edges.join(seeded, ["side", "word"]).join(words, ["side", "word"]), "pattern-edges")
     trusted = edges.groupBy("instance").agg(F.max("seed").alias("seed")).select(
         "instance", F.when(F.col("seed"), 1.0).otherwise(0.0).alias("trust"))
     for _ in range(rounds):
@@ -102,6 +142,7 @@ def bootstrap(parts: DataFrame, words: DataFrame, rounds: int = ROUNDS, min_seed
         patterns = scored.groupBy("side", "word").agg(
             F.sum((F.col("trust") > 0).cast("int")).alias("backers"),
             (F.sum(F.col("trust") * F.col("n_edge")) / F.max("n")).alias("confidence")).where(F.col("backers") >= min_seeds)
+        # a share, never above 1; at 1 the logarithm of the doubt would not be finite
         patterns = stored(patterns.select("side", "word", F.least("confidence", F.lit(0.999999)).alias("confidence")), "pattern-confidence")
         belief = edges.join(patterns, ["side", "word"], "left").groupBy("instance").agg(
             F.max("seed").alias("seed"), F.sum(F.log(1 - F.coalesce("confidence", F.lit(0.0)))).alias("doubt"))
@@ -116,18 +157,15 @@ def find_personal_data(docs: DataFrame, rounds: int = ROUNDS, min_seeds: int = M
     rows = docs.select(row_key().alias("key"), "doc_id", text_or_empty().alias("text"))
     base = base_matches(text)
     shape = text.rlike(r"[0-9](?:[\x20().-]?[0-9]){5}|(?i:[\[(]at[\])])")
-    found = rows.select("key", "doc_id", *[_context(base[k], k).alias(k) for k in BASE],
-                        _context(match_spans(text, CANDIDATE, shape), "ctx").alias("other"))
-    found = found.select("key", "doc_id", F.concat(*BASE).alias("base"), "other")
+    found = rows.select("key", "doc_id", "text", *[_instances(base[k], k).alias(k) for k in BASE],
+                        _instances(match_spans(text, CANDIDATE, shape), "ctx").alias("other"))
+    found = found.select("key", "doc_id", "text", F.concat(*BASE).alias("base"), "other")
     clear = F.filter("other", lambda c: ~F.exists("base", lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"])))
-    found = stored(found.select("key", "doc_id", "base", clear.alias("other")), "personal-data-parts")
-    parts = stored(found.where((F.size("base") > 0) | (F.size("other") > 0)).dropDuplicates(["key"])
-                   .select("key", F.inline(F.concat("base", "other"))), "personal-data-instances")
-    tokens = parts.select(F.explode(F.array("left", "right")).alias("word")).where("word != ''").distinct()
-    counts = docs.select(F.explode(F.transform(space_words(text_or_empty()), lambda w: F.xxhash64(F.lower(w)))).alias("h")) \
-        .groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-    words = tokens.select("word", F.xxhash64("word").alias("h")).join(counts, "h").select("word", "n")
-    accepted = stored(bootstrap(parts, stored(words, "context-words"), rounds, min_seeds, accept), "accepted-instances")
+    found = stored(found.select("key", "doc_id", "base", clear.alias("other"), "text"), "personal-data-parts")
+    ordered = F.sort_array(F.transform(F.concat("base", "other"), lambda s: F.struct(
+        s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["instance"].alias("instance"))))
+    parts, words = contexts(found.select("key", "text", ordered.alias("spans")))
+    accepted = stored(bootstrap(parts, words, rounds, min_seeds, accept), "accepted-instances")
     spans = parts.where("kind = 'ctx'").join(accepted, "instance").select("key", "kind", "start", "end")
     # a document's spans are bounded by its own text
     ctx = spans.groupBy("key").agg(F.collect_list(F.struct("kind", "start", "end")).alias("ctx"))

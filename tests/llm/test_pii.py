@@ -58,6 +58,35 @@ def test_trust_follows_from_discovered_identifiers(spark):
     assert "ctx:10:22" in got[len(seeds) + len(hidden) + len(more)].spans
 
 
+def test_glued_labels_are_patterns_and_marks_are_not(spark):
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    prose = lambda: " ".join(word() for _ in range(9)) + f" ({word()}) {word()}, "
+    seeds = [prose() + f"tel:+1555010{1000 + i} id=4111{'0' * 11}{i} " + prose() for i in range(10)]
+    marks = [prose() + f"(a{i}@b.com) c{i}@d.org, " + prose() for i in range(10)] + ["( ,"] * 4
+    hidden = [prose() + "tel:5550121000 " + prose(), prose() + "x, tel: 5550121001 " + prose()]
+    clean = [prose() + "(7007001234) " + prose(), prose() + "7007005678, " + prose()]
+    texts = seeds + marks + hidden + clean
+    got = scan(spark, texts)
+    ctx = [[s for s in got[i].spans.split(",") if s.startswith("ctx")] for i in range(len(texts))]
+    at = [t.index("5550121") for t in hidden]
+    assert ctx[-4:] == [[f"ctx:{at[0]}:{at[0] + 10}"], [f"ctx:{at[1]}:{at[1] + 10}"], [], []]
+    assert not any(s for t, s in zip(texts, ctx) if t in marks)
+
+
+def test_no_token_is_beside_more_instances_than_it_is_counted(spark, monkeypatch):
+    seen, contexts = [], P.contexts
+    monkeypatch.setattr(P, "contexts", lambda rows: seen.append(contexts(rows)) or seen[-1])
+    texts = ["tel:5550121000", "id=1234567;id=2345678", "(a@b.com) a@b.com, (", "+4111 1111 1111 1111 +4111 1111 1111 1111", "1.2.3.4.1.2.3.4@x.com 1.2.3.4", ""] + [
+        "".join(random.Random(i).choices(["tel:", "a@b.com", "1.2.3.4", " ", "4111 1111 1111 1111", "+1555010999", "9", "(", ",", "x", "1234567"], k=30)) for i in range(200)]
+    scan(spark, texts)
+    parts, words = seen[0]
+    counted = {(r.side, r.word): r.n for r in words.collect()}
+    beside = collections.Counter(x for r in parts.collect() for x in (("l", r.left), ("r", r.right)) if x[1])
+    assert len(beside) > 20 and {("l", "tel:"), ("l", "id="), ("r", ","), ("l", "(")} <= set(beside)
+    assert all(n <= counted[x] for x, n in beside.items())
+
+
 def test_edge_rows(spark):
     rows = [*edge.doc_rows(), (None, "x@y.zz", "en", "s", 1), (7, "x@y.zz", "en", "s", 1), (7, "x@y.zz", "en", "s", 1)]
     got = P.personal_data_digest(P.find_personal_data(edge.frame(spark, rows))).collect()
