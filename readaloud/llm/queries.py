@@ -11,6 +11,7 @@ from ..sources.tables import read_table
 from .bpe import round_trip
 from .common import documents
 from .decontaminate import contamination
+from .divergence_audit import divergence_audit
 from .line_dedup import dedup_lines
 from .ngram_join import near_duplicates
 from .pii import find_personal_data, personal_data_digest
@@ -78,6 +79,10 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op13_source_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence_audit(documents(spark, sf_dir, "lang", "source", "text"))
+
+
 QUERIES: dict[str, Builder] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_warc_writer": op2_warc_writer,
@@ -89,6 +94,7 @@ QUERIES: dict[str, Builder] = {
     "op8_bpe_round_trip": op8_bpe_round_trip,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "op13_source_divergence_audit": op13_source_divergence_audit,
 }
 
 #: User turns as calls, assistant turns as results of the latest user turn before them.
@@ -167,9 +173,43 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM d LEFT JOIN p ON d.doc_id = p.doc_id LEFT JOIN t ON d.doc_id = t.doc_id
 """
 
+#: Every kept term of every group, and all ordered pairs of groups joined on it.
+_OP13_SQL = r"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, list_transform(
+               regexp_extract_all(coalesce(text, ''), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+'),
+               lambda w: translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS w FROM documents),
+u AS (SELECT lang, unnest(list_distinct(w)) AS term FROM d),
+k AS (SELECT lang, term FROM u GROUP BY ALL HAVING count(*) >= 3),
+g AS (SELECT DISTINCT lang, source FROM d),
+o AS (SELECT lang, source, unnest(w) AS term FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM o SEMI JOIN k USING (lang, term) GROUP BY ALL),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+gn AS (SELECT g.lang, g.source, coalesce(sum(n), 0) AS total FROM g LEFT JOIN c ON g.lang = c.lang AND g.source = c.source GROUP BY ALL),
+f AS (SELECT gn.lang, gn.source, k.term, coalesce(c.n, 0) AS n,
+             1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (gn.total + v.v)::HUGEINT AS p
+      FROM gn JOIN k ON gn.lang = k.lang JOIN v ON v.lang = gn.lang LEFT JOIN c ON c.lang = gn.lang AND c.source = gn.source AND c.term = k.term),
+ln AS (SELECT lang, term, sum(n) AS n FROM c GROUP BY ALL),
+lt AS (SELECT lang, sum(n) AS total FROM ln GROUP BY lang),
+q AS (SELECT ln.lang, term, 1 + (1000000000::HUGEINT * (n + 1)::HUGEINT) // (total + v)::HUGEINT AS q
+      FROM ln JOIN lt ON ln.lang = lt.lang JOIN v ON v.lang = ln.lang),
+ps AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+       FROM f a JOIN f b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+          FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN ps ON ps.lang = a.lang AND ps.source = a.source AND ps.item = b.source),
+t AS (SELECT f.lang, source, f.term AS item, CAST((p - q) * (p - q) // q AS BIGINT) AS value
+      FROM f JOIN q ON f.lang = q.lang AND f.term = q.term WHERE n > 0 AND p > q)
+SELECT lang, source, 'pair' AS part, item, value,
+       CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INTEGER) AS rank FROM pairs
+UNION ALL
+SELECT * FROM (SELECT lang, source, 'term' AS part, item, value,
+       CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INTEGER) AS rank FROM t) WHERE rank <= 200
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op2_warc_writer": _OP2_SQL,
     "op5_tool_call_linking": _OP5_SQL,
     "op9_ngram_jaccard_join": _OP9_SQL,
     "op10_benchmark_decontamination": _OP10_SQL,
+    "op13_source_divergence_audit": _OP13_SQL,
 }
