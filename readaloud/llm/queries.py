@@ -20,6 +20,7 @@ from .secret_scan import scan_secrets, secret_digest
 from .token_counts import count_tokens
 from .tool_calls import link_results, turns_as_calls
 from .warc import write_and_read
+from .whitening import whiten
 
 TOKEN_LIMIT = 512
 #: The schema of the call that every user turn is taken for.
@@ -79,6 +80,10 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(read_table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
 def op13_source_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence_audit(documents(spark, sf_dir, "lang", "source", "text"))
 
@@ -94,6 +99,7 @@ QUERIES: dict[str, Builder] = {
     "op8_bpe_round_trip": op8_bpe_round_trip,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "op11_embedding_whitening": op11_embedding_whitening,
     "op13_source_divergence_audit": op13_source_divergence_audit,
 }
 
