@@ -12,6 +12,7 @@ from .bpe import round_trip
 from .common import documents
 from .decontaminate import contamination
 from .divergence_audit import divergence_audit
+from .language_id import language_id
 from .line_dedup import dedup_lines
 from .ngram_join import near_duplicates
 from .pii import find_personal_data, personal_data_digest
@@ -84,6 +85,10 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(read_table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
 
 
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(documents(spark, sf_dir, "doc_id", "text", "lang"))
+
+
 def op13_source_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence_audit(documents(spark, sf_dir, "lang", "source", "text"))
 
@@ -100,6 +105,7 @@ QUERIES: dict[str, Builder] = {
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
     "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_language_id": op12_language_id,
     "op13_source_divergence_audit": op13_source_divergence_audit,
 }
 
