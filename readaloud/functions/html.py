@@ -1,9 +1,15 @@
-"""HTML column functions: title, boilerplate removal, main-element pick, text.
-
-All are Column -> Column compositions of built-in expressions (regexes and
-higher-order array functions), so they need no Python worker. Semantics follow an HTML tree walk that joins text
-nodes with a newline; the regex forms and their known limits are documented
-per function.
+"""HTML column functions: one tokenisation of a page, a labelled tree on it, and what is read from both.
+
+:func:`tokens` cuts a page into an array of (kind, name, text): text, start and end tags, tags that
+stand alone, and gaps (comments, declarations, raw-text elements). It reads each character once and knows quoted
+attribute values, so markup inside an attribute or a script is no markup. :func:`tree` labels the elements
+with the interval of tokens they span and their parent, as a tree builder nests them. Title, boilerplate
+removal, main-element pick and text are all read from these two arrays; positions count tokens from 1 and stay what they
+are when tokens are blanked.
+
+All are Column -> Column compositions of built-in expressions (one regex and
+higher-order array functions), so they need no Python worker. Text
+nodes are joined with a newline.
 """
 from __future__ import annotations
 
@@ -17,17 +23,24 @@ from pyspark.sql import functions as F
 from ..constants import BOILERPLATE_TAGS, MAIN_ID_PATTERN
 from .regex import let
 
-SEP = "\x02"  # stands for one run of markup between two text nodes
-CUT = "\x03"  # marks a cut point before a tag
-
 # Attribute text: unquoted runs and quoted values. Runs are matched possessively
 # so a long attribute or an unclosed tag is one loop, not one regex stack frame
 # per character (java.util.regex recurses on repeated alternations).
 ATTRS = "(?:[^'\">]++|\"[^\"]*+\"|'[^']*+')*+"
+
+# Elements whose content is not text (raw-text elements).
+_RAW_TEXT = ("script", "style", "template")
+_VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link",
+         "meta", "source", "track", "wbr")
+
 # One start tag, end tag, comment, declaration or processing instruction.
-_TAG = (r"<(?:[A-Za-z][^\s/>]*+" + ATTRS +
-        r"|/[A-Za-z][^>]*+|!--.*?--|![^>]*+|\?[^>]*+)>")
-TAG = "(?s)" + _TAG
+TAG = (r"(?s)<(?:[A-Za-z][^\s/>]*+" + ATTRS + r"|/[A-Za-z][^>]*+|!--.*?--|![^>]*+|\?[^>]*+)>")
+
+# A comment, a raw-text element (an unclosed one runs to the end), an end tag, a start tag, a declaration or
+# processing instruction, text, or a '<' that begins none of them: together they match every character once.
+TOKEN = (rf"(?is)<!--.*?(?:-->|\z)|<({'|'.join(_RAW_TEXT)})(?![A-Za-z0-9])[^>]*+>.*?(?:</\1\s*+>|\z)"
+         r"|</[A-Za-z][^>]*+>|<[A-Za-z][^\s/>]*+" + ATTRS + r">|<[!?][^>]*+>|[^<]++|<")
+_HEAD = r"^</?([A-Za-z][^\s/>]*+)"
 
 # Character references: numeric (decimal / hex) and named, ';' optional. Named
 # ones use the HTML5 table; numeric 128-159 follow Windows-1252.
@@ -37,11 +50,6 @@ ENTITY = r"&(?:#[0-9]++|#[xX][0-9a-fA-F]++|[A-Za-z][A-Za-z0-9]*+);?"
 COMMON_ENTITIES = ("hellip", "mdash", "ndash", "rsquo", "lsquo", "ldquo", "rdquo", "middot", "copy",
                    "nbsp", "apos", "quot", "gt", "lt", "amp")
 
-# Elements whose content is not text (raw-text elements).
-_RAW_TEXT = ("script", "style", "template")
-_VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link",
-         "meta", "source", "track", "wbr")
-
 
 @lru_cache(maxsize=1)
 def _entity_pairs() -> tuple[tuple[str, str], ...]:
@@ -109,152 +117,200 @@ def decode_entities(c: Column) -> Column:
     return let(c, body)
 
 
-#: Start or end tag at the head of a piece of markup.
-_HEAD = r"^</?([A-Za-z][^\s/>]*+)"
+#: Tokens labelled at a time: what is copied per token is at most so many labels.
+_CHUNK = 256
 
 
-def drop_raw_text(html_col: Column) -> Column:
-    """Comments and raw-text elements become an empty comment; an unclosed one runs to the end of the document.
+def _token(t: Column) -> Column:
+    name = F.when(F.startswith(t, F.lit("<")), F.lower(F.regexp_extract(t, _HEAD, 1))).otherwise("")
+    return let(name, lambda n: F.struct(
+        F.when(~F.startswith(t, F.lit("<")) | (t == "<"), "text").when(n == "", "gap").when(F.startswith(t, F.lit("</")), "end")
+        .when(n.isin(*_RAW_TEXT), "gap").when(n.isin(*_VOID) | F.endswith(t, F.lit("/>")), "alone").otherwise("start").alias("kind"),
+        n.alias("name"), t.alias("text")))
 
-    One pass, so that a comment inside a script, or a script inside a
-    comment, belongs to whichever began first.
-    """
-    raw = "|".join(_RAW_TEXT)
-    return F.regexp_replace(
-        html_col, rf"(?is)<!--.*?(?:-->|\z)|<({raw})(?![A-Za-z0-9])[^>]*>.*?(?:</\1\s*>|\z)", "<!---->")
 
+def tokens(html_col: Column) -> Column:
+    """The page as an array of (kind, name, text) whose texts, joined, are the page."""
+    return F.transform(F.regexp_extract_all(html_col, F.lit(TOKEN), F.lit(0)), _token)
 
-def drop_elements(html_col: Column, tags=BOILERPLATE_TAGS) -> Column:
-    """Remove comments, raw-text elements and every element named in ``tags`` with all its content.
-
-    The markup is cut before each tag and walked with a stack of open
-    elements, as a tree builder does: an end tag closes the nearest open
-    element of its name and everything inside that, so nested elements of one
-    name go as a whole and an unclosed one ends with its parent. An end tag
-    without a start is ignored. Each removed element leaves an empty comment, so the text on
-    either side stays two text nodes. Only the bounds of kept runs
-    are collected, not the pieces.
+
+#: Start tags that end an open paragraph, and the elements beyond which they don't reach.
+_ENDS_P = ("address", "article", "aside", "blockquote", "div", "dl", "fieldset", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header",
+           "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul")
+_P_SCOPE = ("button", "caption", "table", "td", "th")
+
+
+def tree(toks: Column, implied: bool = False) -> Column:
+    """The elements that can hold something, in document order: token position, position of the token that ends it, name, positions of its parent and grandparent.
+
+    Nesting follows a tree builder: an end tag closes the nearest open element of its name and all inside, one without a
+    start is ignored, what is never closed ends after the last token. An
+    element without content stops where it starts. Position 0 is the document. With ``implied``, a block's start tag ends an
+    open paragraph as in a browser; without it, paragraphs nest as in a lenient tree builder. The stack of open elements is folded over the tokens, in
+    chunks, so that appending a token's label copies a chunk at most.
+    """
+    label = "array<struct<pos:int,opens:boolean,name:string,parent:int,grand:int,closed:array<int>>>"
+    none = F.array().cast("array<int>")
+
+    def state(names, opened, out):
+        return F.struct(names.alias("names"), opened.alias("open"), out.alias("out"))
+
+    def labelled_as(t, out, opened, opens, closed):
+        above = [F.coalesce(F.get(opened, F.lit(i)), F.lit(0)).alias(n) for i, n in enumerate(("parent", "grand"))]
+        return F.concat(out, F.array(F.struct(t["pos"].alias("pos"), F.lit(opens).alias("opens"), t["name"].alias("name"), *above, closed.alias("closed"))))
+
+    def rest(stack, depth):
+        return F.slice(stack, depth + 1, F.size(stack))
+
+    def step(s, t):
+        def start(names, opened, closed):
+            return state(F.concat(F.array(t["name"]), names), F.concat(F.array(t["pos"]), opened), labelled_as(t, s["out"], opened, True, closed))
+
+        def end(depth):
+            # an end tag without a start changes nothing
+            return F.when(depth == 0, s).otherwise(state(
+                rest(s["names"], depth), rest(s["open"], depth), labelled_as(t, s["out"], s["open"], False, F.slice(s["open"], F.lit(1), depth))))
+
+        def begin():
+            if not implied:
+                return start(s["names"], s["open"], none)
+            depth = F.when(t["name"].isin(*_ENDS_P), F.array_position(s["names"], F.lit("p")).cast("int")).otherwise(0)
+            return let(depth, lambda d: F.when(
+                (d > 0) & ~F.arrays_overlap(F.slice(s["names"], F.lit(1), d), F.array(*[F.lit(n) for n in _P_SCOPE])),
+                let(F.struct(rest(s["names"], d).alias("names"), rest(s["open"], d).alias("open")),
+                    lambda r: start(r["names"], r["open"], F.slice(s["open"], F.lit(1), d)))).otherwise(start(s["names"], s["open"], none)))
+        return F.when(t["kind"] == "start", begin()) \
+            .when(t["kind"] == "end", let(F.array_position(s["names"], t["name"]).cast("int"), end)) \
+            .otherwise(state(s["names"], s["open"], labelled_as(t, s["out"], s["open"], True, F.array(t["pos"]))))
+
+    def chunk(tags):
+        def run(s, at):
+            inner = F.aggregate(F.slice(tags, at, _CHUNK), state(s["names"], s["open"], F.array().cast(label)), step)
+            return let(inner, lambda r: F.struct(r["names"].alias("names"), r["open"].alias("open"),
+                                                 F.concat(s["done"], F.array(r["out"])).alias("done")))
+        return run
+
+    def labelled(ts):
+        # only tags that can hold something are folded
+        tags = F.filter(F.transform(ts, lambda t, i: F.struct(t["kind"].alias("kind"), t["name"].alias("name"), (i + 1).alias("pos"))),
+                        lambda t: t["kind"].isin("start", "end") | ((t["kind"] == "alone") & ~t["name"].isin(*_VOID)))
+        start = F.struct(F.array().cast("array<string>").alias("names"), none.alias("open"), F.array().cast(f"array<{label}>").alias("done"))
+        end = let(tags, lambda x: F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(x), F.lit(1)), F.lit(_CHUNK)), start, chunk(x)))
+        return let(end, lambda e: let(F.flatten(e["done"]), lambda ls: nodes(ls, e["open"], F.size(ts) + 1)))
+
+    def nodes(labels, left, last):
+        # every element is closed once: the pairs in order of their starts go with the starts in order
+        closed = F.flatten(F.transform(labels, lambda x: F.transform(x["closed"], lambda p: F.struct(p.alias("pos"), x["pos"].alias("stop")))))
+        stops = F.array_sort(F.concat(closed, F.transform(left, lambda p: F.struct(p.alias("pos"), last.alias("stop")))))
+        return F.zip_with(F.filter(labels, lambda x: x["opens"]), stops, lambda x, y: F.struct(
+            x["pos"].alias("pos"), y["stop"].alias("stop"), x["name"].alias("name"), x["parent"].alias("parent"), x["grand"].alias("grand")))
+    return let(toks, lambda ts: F.when(ts.isNotNull(), labelled(ts)))
+
+
+def _blank(text: str) -> Column:
+    return F.struct(F.lit("gap").alias("kind"), F.lit("").alias("name"), F.lit(text).alias("text"))
+
+
+def without(toks: Column, nodes: Column, tags=BOILERPLATE_TAGS) -> Column:
+    """The tokens with every element named in ``tags`` blanked, as many as before.
+
+    The first token of a removed element, a raw-text element and a comment become an empty comment, so the text on
+    either side stays two text nodes.
     """
     names = [t for t in tags if t not in _RAW_TEXT]
-    own = rf"(?i)^</(?:{'|'.join(names)})[^>]*>"
-
-    def walk(pieces):
-        def step(s, p):
-            name = F.lower(F.regexp_extract(p, _HEAD, 1))
-            depth = F.array_position(s["open"], name)
-            closes = F.startswith(p, F.lit("</"))
-            alone = name.isin(*_VOID) | p.rlike(r"(?s)^<[^>]*/>")
-            opened = F.when(closes & (depth > 0), F.slice(s["open"], depth.cast("int") + 1, F.size(s["open"]))) \
-                .when(closes | alone, s["open"]).otherwise(F.concat(F.array(name), s["open"]))
-            return let(F.struct(opened.alias("open"), F.size(opened).alias("n"), name.alias("name"),
-                                (closes | alone).alias("flat")), lambda t: F.struct(
-                (s["i"] + 1).alias("i"), t["open"].alias("open"),
-                F.when((s["skip"] > 0) & (t["n"] < s["skip"]), 0)
-                .when((s["skip"] == 0) & ~t["flat"] & t["name"].isin(*names), t["n"]).otherwise(s["skip"]).alias("skip"),
-                F.when((s["skip"] > 0) & (t["n"] < s["skip"]), s["i"] + 1).otherwise(s["at"]).alias("at"),
-                F.when((s["skip"] == 0) & ~t["flat"] & t["name"].isin(*names),
-                       F.concat(s["runs"], F.array(F.struct(s["at"].alias("a"), (s["i"] + 1).alias("b"))))).otherwise(s["runs"]).alias("runs")))
-        start = F.struct(F.lit(1).alias("i"), F.array().cast("array<string>").alias("open"), F.lit(0).alias("skip"),
-                         F.lit(1).alias("at"), F.array().cast("array<struct<a:int,b:int>>").alias("runs"))
-        state = F.aggregate(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(1))), start, step)
-        runs = let(state, lambda s: F.when(s["skip"] == 0, F.concat(s["runs"], F.array(F.struct(
-            s["at"].alias("a"), (F.size(pieces) + 1).alias("b"))))).otherwise(s["runs"]))
-        kept = F.transform(runs, lambda r, k: let(F.array_join(F.slice(pieces, r["a"], r["b"] - r["a"]), ""), lambda t: F.when(
-            k == 0, t).otherwise(F.regexp_replace(t, own, ""))))
-        return F.array_join(kept, "<!---->")
-
-    def removed(x):
-        marked = F.regexp_replace(x, r"(?=</?[A-Za-z])", CUT)
-        return F.when(x.rlike(rf"(?i)<(?:{'|'.join(names)})(?![A-Za-z0-9])"), let(F.split(marked, CUT, -1), walk)).otherwise(x)
-    return let(drop_raw_text(html_col), removed)
 
+    def cut(s, n):
+        return F.when(n["pos"] < s["at"], s).otherwise(F.struct(
+            n["last"].alias("at"), F.concat(s["runs"], F.array(F.struct(s["at"].alias("a"), n["pos"].alias("b"), n["last"].alias("c")))).alias("runs")))
 
-def html_to_text(html_col: Column) -> Column:
-    """Text nodes joined by a newline; raw-text elements contribute nothing."""
-    def markup(x):
-        s = drop_raw_text(x)
-        # each tag becomes a separator, then a run of separators becomes one
-        s = F.regexp_replace(F.regexp_replace(s, TAG, SEP), f"{SEP}{SEP}+", SEP)
-        s = F.regexp_replace(s, f"^{SEP}|{SEP}$", "")
-        return F.translate(s, SEP, "\n")
-    # text without '<' has no markup: only the character references remain
-    return decode_entities(let(html_col, lambda x: F.when(F.instr(x, "<") > 0, markup(x)).otherwise(x)))
+    def removed(ts):
+        # an element goes with its own end tag, one that something else ends goes without that token
+        ends = F.transform(F.filter(nodes, lambda n: n["name"].isin(*names) & (n["stop"] > n["pos"])), lambda n: F.struct(
+            n["pos"].alias("pos"), (n["stop"] + F.when(F.get(ts, n["stop"] - 1)["name"] == n["name"], 1).otherwise(0)).alias("last")))
+        start = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<a:int,b:int,c:int>>").alias("runs"))
+        return let(F.aggregate(ends, start, cut), lambda s: F.when(F.size(s["runs"]) == 0, ts).otherwise(F.concat(F.flatten(F.transform(
+            s["runs"], lambda r: F.concat(F.slice(ts, r["a"], r["b"] - r["a"]), F.array(_blank("<!---->")), F.array_repeat(_blank(""), r["c"] - r["b"] - 1)))),
+            F.slice(ts, s["at"], F.size(ts)))))
+    plain = F.transform(toks, lambda t: F.when((t["kind"] == "gap") & ((t["name"] != "") | F.startswith(t["text"], F.lit("<!--"))), _blank("<!---->")).otherwise(t))
+    return let(plain, removed)
 
 
-def page_title(html_col: Column) -> Column:
-    """Text of the first <title>; NULL when absent, empty or not a single string."""
-    def body(h):
-        inner = F.regexp_extract(h, r"(?is)<title(?![A-Za-z0-9])[^>]*>(.*?)</title\s*>", 1)
-        return let(inner, lambda i: F.when(F.regexp_instr(h, F.lit(r"(?i)<title(?![A-Za-z0-9])")) == 0, F.lit(None))
-                   .when((i == "") | (F.instr(i, "<") > 0), F.lit(None))
-                   .otherwise(decode_entities(i)))
-    return let(html_col, body)
+def markup(toks: Column) -> Column:
+    return F.array_join(F.transform(toks, lambda t: t["text"]), "")
 
 
-def _inner_balanced(rest: Column, tag_re: Column | str) -> Column:
-    """Given the markup after an opening tag, return it up to the matching end tag.
+def text_of(toks: Column) -> Column:
+    """Text nodes of a run of tokens, joined by a newline, character references decoded."""
+    def joined(ts):
+        pieces = F.transform(ts, lambda t, i: F.when(t["kind"] != "text", "").when(
+            (i > 0) & (F.get(ts, i - 1)["kind"] != "text"), F.concat(F.lit("\n"), t["text"])).otherwise(t["text"]))
+        # the first text node has no neighbour before it
+        return let(F.array_join(pieces, ""), lambda x: F.when(F.get(ts, F.lit(0))["kind"] != "text", F.substring(x, 2, 2 ** 31 - 1)).otherwise(x))
+    return decode_entities(let(toks, joined))
 
-    A marker is put before every start or end tag of the same name and the
-    markup is cut there; a fold over the pieces tracks nesting depth and
-    records where it returns to zero. Without a matching end tag the element
-    runs to the end of the document.
-    """
-    if isinstance(tag_re, str):
-        pattern = F.lit(f"(?i)(</?(?:{tag_re})(?![A-Za-z0-9]))")
-    else:
-        pattern = F.concat(F.lit("(?i)(</?"), tag_re, F.lit("(?![A-Za-z0-9]))"))
-    marked = F.regexp_replace(rest, pattern, F.lit(CUT + "$1"))
-    return let(F.split(marked, CUT, -1), _balanced_take)
 
+def inner_tokens(toks: Column, node: Column) -> Column:
+    """The tokens between an element's tags."""
+    return F.slice(toks, node["pos"] + 1, F.greatest(node["stop"] - node["pos"] - 1, F.lit(0)))
 
-def _balanced_take(pieces: Column) -> Column:
-    init = F.struct(F.lit(1).alias("d"), F.lit(1).alias("i"), F.lit(0).alias("k"))
 
-    def step(s, p):
-        d = s["d"] + F.when(F.startswith(p, F.lit("</")), -1).otherwise(1)
-        i = s["i"] + 1
-        return F.when(s["k"] > 0, F.struct(s["d"].alias("d"), i.alias("i"), s["k"].alias("k"))) \
-            .otherwise(F.struct(d.alias("d"), i.alias("i"),
-                                F.when(d == 0, i).otherwise(0).alias("k")))
+def first_element(nodes: Column, toks: Column, name: str) -> Column:
+    """The first element of that name that has not been blanked; null without one."""
+    return F.get(F.filter(nodes, lambda n: (n["name"] == name) & (F.get(toks, n["pos"] - 1)["kind"] != "gap")), F.lit(0))
 
-    st = F.aggregate(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(1))), init, step)
-    take = F.when(st["k"] > 0, st["k"] - 1).otherwise(F.size(pieces))
-    return F.array_join(F.slice(pieces, 1, take), "")
 
+def title_of(toks: Column, nodes: Column) -> Column:
+    """Text of the first <title>; NULL when absent, never closed, empty or not a single string."""
+    return let(first_element(nodes, toks, "title"), lambda n: let(inner_tokens(toks, n), lambda ts: F.when(
+        (F.size(ts) == 1) & (F.get(ts, F.lit(0))["kind"] == "text") & (F.get(toks, n["stop"] - 1)["name"] == "title"),
+        decode_entities(F.get(ts, F.lit(0))["text"]))))
+
+
+_ID = (rf"(?is)^<[^>]*?\sid\s*=\s*(?:\"[^\"]*(?:{MAIN_ID_PATTERN})[^\"]*\"|'[^']*(?:{MAIN_ID_PATTERN})[^']*'"
+       rf"|[^\s\"'>]*(?:{MAIN_ID_PATTERN})[^\s>]*)")
+
+
+def main_tokens(toks: Column, nodes: Column) -> Column:
+    """The tokens of <article>, else <main>, else the first element with a content-like id, else all."""
+    by_id = F.get(F.filter(nodes, lambda n: let(F.get(toks, n["pos"] - 1), lambda t: (t["kind"] != "gap") & t["text"].rlike(_ID))), F.lit(0))
+    found = F.coalesce(first_element(nodes, toks, "article"), first_element(nodes, toks, "main"), by_id)
+    return let(found, lambda n: F.when(n.isNotNull(), inner_tokens(toks, n)).otherwise(toks))
+
+
+def body_tokens(toks: Column, nodes: Column) -> Column:
+    """The tokens of <body>, or all when there is none."""
+    return let(first_element(nodes, toks, "body"), lambda n: F.when(n.isNotNull(), inner_tokens(toks, n)).otherwise(toks))
 
-def element_inner(html_col: Column, tag: str) -> Column:
-    """Inner markup of the first <tag> element, NULL when there is none."""
-    start = rf"(?is)<{tag}(?![A-Za-z0-9])" + ATTRS + ">"
 
-    def body(h):
-        found = F.regexp_instr(h, F.lit(start)) > 0
-        return F.when(found, _inner_balanced(F.regexp_extract(h, start + "(.*)$", 1), tag))
-    return let(html_col, body)
+def parsed(html_col: Column) -> Column:
+    """(tokens, nodes) of a page: what a query that reads several things from it keeps as a column."""
+    return let(tokens(html_col), lambda ts: F.struct(ts.alias("tokens"), tree(ts).alias("nodes")))
 
 
-def element_by_id_inner(html_col: Column, id_pattern: str = MAIN_ID_PATTERN) -> Column:
-    """Inner markup of the first element whose id contains ``id_pattern`` (any case)."""
-    val = rf"(?:\"[^\"]*(?:{id_pattern})[^\"]*\"|'[^']*(?:{id_pattern})[^']*'|[^\s\"'>]*(?:{id_pattern})[^\s>]*)"
-    start = (rf"(?is)<([A-Za-z][A-Za-z0-9]*)\s(?:[^>]*?\s)?id\s*=\s*{val}"
-             + ATTRS + ">")
+def cleared(page: Column, tags=BOILERPLATE_TAGS) -> Column:
+    """A parsed page with the boilerplate blanked."""
+    return F.struct(without(page["tokens"], page["nodes"], tags).alias("tokens"), page["nodes"].alias("nodes"))
 
-    def body(h):
-        found = F.regexp_instr(h, F.lit(start)) > 0
-        rest = F.regexp_extract(h, start + "(.*)$", 2)
-        inner = let(F.lower(F.regexp_extract(h, start, 1)),
-                    lambda name: F.when(name.isin(*_VOID), F.lit("")).otherwise(_inner_balanced(rest, name)))
-        return F.when(found, inner)
-    return let(html_col, body)
 
+# --- the same from markup to markup or text ----------------------------------
 
-def structural_main_html(stripped: Column) -> Column:
-    """<article>, else <main>, else the element with a content-like id, else all."""
-    return let(stripped, lambda s: F.coalesce(element_inner(s, "article"),
-                                              element_inner(s, "main"),
-                                              element_by_id_inner(s),
-                                              s))
+def drop_elements(html_col: Column, tags=BOILERPLATE_TAGS) -> Column:
+    """Markup without comments, raw-text elements and the elements named in ``tags``."""
+    return let(parsed(html_col), lambda p: markup(without(p["tokens"], p["nodes"], tags)))
+
+
+def html_to_text(html_col: Column) -> Column:
+    """Text nodes joined by a newline; raw-text elements contribute nothing."""
+    # text without '<' has no markup: only the character references remain
+    return let(html_col, lambda x: F.when(F.instr(x, "<") > 0, text_of(tokens(x))).otherwise(decode_entities(x)))
 
 
-def body_html(html_col: Column) -> Column:
-    """Inner markup of <body>, or the whole document when it has none."""
-    return let(html_col, lambda h: F.coalesce(element_inner(h, "body"), h))
+def page_title(html_col: Column) -> Column:
+    """Text of the first <title>; NULL when absent, empty or not a single string."""
+    return let(parsed(html_col), lambda p: title_of(p["tokens"], p["nodes"]))
+
+
+def element_inner(html_col: Column, tag: str) -> Column:
+    """Inner markup of the first <tag> element, NULL when there is none."""
+    return let(parsed(html_col), lambda p: let(first_element(p["nodes"], p["tokens"], tag), lambda n: F.when(
+        n.isNotNull(), markup(inner_tokens(p["tokens"], n)))))

@@ -11,19 +11,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import EXTRACT_ERROR
-from ..functions.html import (TAG, body_html, drop_elements, html_to_text, page_title,
-                              structural_main_html)
+from ..functions.html import (ATTRS, TAG, body_tokens, cleared, first_element, html_to_text, inner_tokens, main_tokens,
+                              markup, parsed, text_of, title_of)
 from ..functions.regex import let
 from ..functions.text import clean_content, collapse_whitespace, strip_ws
+from .readability import readable_part
+
+
+def _main_text(page: Column) -> Column:
+    return text_of(main_tokens(page["tokens"], page["nodes"]))
 
 
 def structural_text(html_col: Column) -> Column:
-    return html_to_text(structural_main_html(drop_elements(html_col)))
+    return let(parsed(html_col), lambda p: let(cleared(p), lambda c: _main_text(c)))
 
 
 def body_text(html_col: Column) -> Column:
     """All text of <body> with scripts and styles left out, no cleaning."""
-    return html_to_text(body_html(html_col))
+    return let(parsed(html_col), lambda p: text_of(body_tokens(p["tokens"], p["nodes"])))
 
 
 def structural_extract(pages: DataFrame, key: str = "page_id", extra: list[str] | None = None) -> DataFrame:
@@ -33,10 +38,9 @@ def structural_extract(pages: DataFrame, key: str = "page_id", extra: list[str]
     become error rows; nothing is dropped.
     """
     kept = [key, "url", *(extra or [])]
-    # the stripped markup is a column of its own: title and text share one evaluation
-    out = pages.select(*kept, drop_elements(F.col("html")).alias("_stripped"))
-    out = out.select(*kept, page_title(F.col("_stripped")).alias("title"),
-                     html_to_text(structural_main_html(F.col("_stripped"))).alias("raw_text"))
+    # the parsed page is a column of its own: title and text share one evaluation
+    out = pages.select(*kept, let(parsed(F.col("html")), lambda p: cleared(p)).alias("_page"))
+    out = out.select(*kept, title_of(F.col("_page.tokens"), F.col("_page.nodes")).alias("title"), _main_text(F.col("_page")).alias("raw_text"))
     out = out.withColumn("original_text", clean_content(F.col("raw_text")))
     return out.withColumn(
         "error", F.when(F.coalesce(F.col("original_text"), F.lit("")) == "", F.lit(EXTRACT_ERROR)))
@@ -44,12 +48,12 @@ def structural_extract(pages: DataFrame, key: str = "page_id", extra: list[str]
 
 # --- extraction cascade -------------------------------------------------------
 
-BLOCK_START = r"(?i)<(?:p|div|li|h[1-6]|td|br)(?![A-Za-z0-9])[^>]*>"
+BLOCK_START = r"(?i)<(?:p|div|li|h[1-6]|td|br)(?![A-Za-z0-9])" + ATTRS + ">"
 ANCHOR = r"(?is)<a(?![A-Za-z0-9])[^>]*>(.*?)</a\s*>"
 MIN_BLOCK_CHARS = 25
 MIN_RUN_BLOCK_CHARS = 10
 MAX_LINK_DENSITY = 0.5
-METHODS = ("dense_blocks", "largest_run", "structural", "body")
+METHODS = ("dense_blocks", "largest_run", "readability", "structural", "body")
 
 
 def _block_items(stripped: Column) -> Column:
@@ -94,32 +98,35 @@ def _largest_run_text(items: Column) -> Column:
     return F.array_join(F.transform(run, lambda x: x["t"]), "\n")
 
 
-def first_heading(html_col: Column) -> Column:
-    """Text of the first <h1>; null without one or when it is empty."""
-    inner = F.regexp_extract(html_col, r"(?is)<h1(?![A-Za-z0-9])[^>]*>(.*?)</h1\s*>", 1)
-    return let(strip_ws(collapse_whitespace(html_to_text(inner))), lambda t: F.when(t != "", t))
+def first_heading(page: Column) -> Column:
+    """Text of the first <h1> of a parsed page; null without one or when it is empty."""
+    found = first_element(page["nodes"], page["tokens"], "h1")
+    text = let(found, lambda n: F.when(n.isNotNull(), text_of(inner_tokens(page["tokens"], n))))
+    return let(strip_ws(collapse_whitespace(text)), lambda t: F.when(t != "", t))
 
 
 def cascade_extract(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """Ordered candidates, first non-empty wins; the winner's name is kept.
 
     Candidates: dense blocks in order, the largest contiguous run of kept
-    blocks, the structural pick, and the body text. They stand in one
+    blocks, the element that holds the paragraphs, the structural pick, and the body text. They stand in one
     ``coalesce``, so a page computes the next candidate only when the one before was empty. The
     title is the document's, except that the run, which often is a page without a
     usable layout, takes its first heading if there is one. A page where all are
     empty becomes an error row.
     """
-    c = pages.select(key, "url", "html", drop_elements(F.col("html")).alias("_s"))
-    c = c.select(key, "url", "html", "_s", _block_items(F.col("_s")).alias("_items"))
-    texts = (_dense_text(F.col("_items")), _largest_run_text(F.col("_items")),
-             html_to_text(structural_main_html(F.col("_s"))), body_text(F.col("html")))
+    c = pages.select(key, "url", parsed(F.col("html")).alias("_raw"))
+    c = c.select(key, "url", "_raw", cleared(F.col("_raw")).alias("_page"))
+    c = c.select(key, "url", "_raw", "_page", _block_items(markup(F.col("_page.tokens"))).alias("_items"))
+    texts = (_dense_text(F.col("_items")), _largest_run_text(F.col("_items")), F.coalesce(readable_part(F.col("_page.tokens"))["text"], F.lit("")), _main_text(F.col("_page")),
+             text_of(body_tokens(F.col("_raw.tokens"), F.col("_raw.nodes"))))
 
     def candidate(text: Column, method: str) -> Column:
         return let(text, lambda x: F.when(x != "", F.struct(F.lit(method).alias("method"), x.alias("text"))))
     best = F.coalesce(*[candidate(t, m) for t, m in zip(texts, METHODS, strict=True)])
-    out = c.select(key, "url", "_s", best.alias("_best"))
-    title = F.when(F.col("_best.method") == METHODS[1], F.coalesce(first_heading(F.col("_s")), page_title(F.col("_s")))).otherwise(page_title(F.col("_s")))
+    out = c.select(key, "url", "_page", best.alias("_best"))
+    own = title_of(F.col("_page.tokens"), F.col("_page.nodes"))
+    title = F.when(F.col("_best.method") == METHODS[1], F.coalesce(first_heading(F.col("_page")), own)).otherwise(own)
     out = out.select(key, "url", title.alias("title"), F.col("_best.method").alias("method"), F.col("_best.text").alias("raw_text"))
     out = out.withColumn("original_text", clean_content(F.col("raw_text")))
     return out.withColumn(

@@ -4,9 +4,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.html import drop_elements, page_title
+from ..functions.html import cleared, drop_elements, parsed, title_of
+from ..functions.regex import let
 from ..operators.chunks import synthesis_manifest
 from ..operators.extract import body_text, cascade_extract, structural_extract, structural_text
+from ..operators.readability import readable_part
 from ..operators.speech import prepare_speech, with_synthesis_error
 from ..sources.fixtures import voice_by
 from ..sources.tables import read_table
@@ -35,7 +37,7 @@ def page_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_title_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _pages(spark, sf_dir, "page_id", "html")
-    return p.select("page_id", page_title(drop_elements(F.col("html"))).alias("title"))
+    return p.select("page_id", let(parsed(F.col("html")), lambda x: let(cleared(x), lambda y: title_of(y["tokens"], y["nodes"]))).alias("title"))
 
 
 def page_strip_boilerplate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +60,13 @@ def page_extract_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cascade_extract(_pages(spark, sf_dir, "page_id", "url", "html"))
 
 
+def page_readability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The element that holds each page's paragraphs, its score and its text."""
+    p = _pages(spark, sf_dir, "page_id", "html").select("page_id", let(parsed(F.col("html")), lambda x: cleared(x)["tokens"]).alias("tokens"))
+    best = p.select("page_id", readable_part(F.col("tokens")).alias("best"))
+    return best.select("page_id", F.col("best.name").alias("element"), F.round("best.score", 6).alias("score"), F.md5("best.text").alias("text_md5"))
+
+
 #: Markup whose branches the stored pages don't reach, with {k} for the page number, and the main text it must give.
 EDGE_PAGES = (
     ("<!-- <nav> --><p>keep {k}</p><nav>x</nav>", "keep {k}"),
@@ -68,6 +77,12 @@ EDGE_PAGES = (
     ("<p>a{k}</p><header><div>h</div></header>b", "a{k}\nb"),
     ("<article><nav>n<ul><li>q</nav><p>A{k}</p><article>B</article>C</article>D", "A{k}\nB\nC"),
     ("<p>&#000000065;{k}&#x110000;&#x000000041;</p>", "A{k}\ufffdA"),
+    ('<p title="a > b <nav>">t{k}</p><nav>q</nav>', "t{k}"),
+    ("<p>a\x02b\x03c{k}</p>\x03", "a\x02b\x03c{k}\n\x03"),
+    ('<article><a title="</article>">x{k}</a>y</article>z', "x{k}\ny"),
+    ("<div id='content'><img alt='<div>'/>in {k}</div>out", "in {k}"),
+    ("<div><article>A{k}<aside>s</div>B<article>C</article>", "A{k}"),
+    ("a < b{k} <p>c</p>", "a < b{k} \nc"),
 )
 
 
@@ -85,6 +100,11 @@ def page_edge_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 CASCADE_PAGES = (
     ("<title>T{k}</title><p>This paragraph is long enough to be dense: {k}", "dense_blocks", "T{k}", "This paragraph is long enough to be dense: {k}"),
     ("<title>T{k}</title><h1>Head {k}</h1><p>short para {k}</p><p>second one {k}</p>", "largest_run", "Head {k}", "short para {k}\nsecond one {k}"),
+    # paragraphs in pieces too short for a block; the deeper element has more of them, links take the score of the third
+    ("<title>T{k}</title><div><div id='teaser'><p>a b<br>of<br>{k} e<br>f gh i<br>no more</p></div><div id='story'>"
+     "<p>It is<br>{k},<br>then,<br>later,<br>at last,<br>an end.</p><p>Or <br>not<br>{k},<br>who <br>is to<br> know,<br>now.</p></div>"
+     "<table><tr><td><a href=x>one {k}<br>two two<br>three<br>four four</a></td></tr></table></div>",
+     "readability", "T{k}", "It is\n{k},\nthen,\nlater,\nat last,\nan end.\nOr \nnot\n{k},\nwho \nis to\n know,\nnow."),
     ("<title>T{k}</title><article><p>tiny</p></article>", "structural", "T{k}", "tiny"),
     ("<body><nav>menu {k}</nav></body>", "body", None, "menu {k}"),
     ("<body><script>x{k}</script></body>", None, None, None),

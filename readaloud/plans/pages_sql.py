@@ -131,6 +131,24 @@ def page_edge_cases() -> str:
         f"SELECT page_id, CASE page_id % {len(EDGE_PAGES)} {whens} END AS edge_text, raw_text AS main_text FROM s4")
 
 
+def page_readability() -> str:
+    """For pages whose paragraphs are children of one article without links, as the test pages: that article, their scores summed."""
+    text = d.strip_ws(rf"regexp_replace({d.decode_entities('l')}, '\s+', ' ', 'g')")
+    ctes = [
+        f"s1 AS (SELECT page_id, {d.drop_elements('html')} AS stripped FROM pages)",
+        f"s2 AS (SELECT page_id, {d.element_inner('stripped', 'article')} AS main_html FROM s1)",
+        f"s3 AS (SELECT page_id, main_html, {d.markup_to_lines('main_html')} AS lines FROM s2)",
+        f"m AS (SELECT page_id, {d.decode_entities('lines')} AS main_text FROM s3)",
+        "p1 AS (SELECT page_id, string_split(unnest(string_split(main_html, '<p>')[2:]), '</p>')[1] AS piece FROM s2)",
+        f"p2 AS (SELECT page_id, {d.markup_to_lines('piece')} AS l FROM p1)",
+        f"p3 AS (SELECT page_id, {text} AS t FROM p2)",
+        "p4 AS (SELECT page_id, sum(1 + length(t) - length(replace(t, ',', '')) + least(length(t) // 100, 3)) AS score "
+        "FROM p3 WHERE length(t) >= 25 GROUP BY page_id)",
+    ]
+    return d.with_ctes(*ctes) + ("SELECT m.page_id, CASE WHEN score IS NOT NULL THEN 'article' END AS element, CAST(score AS DOUBLE) AS score, "
+                                 "CASE WHEN score IS NOT NULL THEN md5(main_text) END AS text_md5 FROM m LEFT JOIN p4 ON m.page_id = p4.page_id")
+
+
 def page_cascade_edge() -> str:
     """The expected rows are written out; no markup is read for them."""
     from .pages import CASCADE_PAGES

@@ -16,6 +16,7 @@ REGISTRY: dict[str, tuple[Builder, Callable[[], str] | None]] = {
     "page_manifest": (pages.page_manifest, pages_sql.page_manifest),
     "page_edge_cases": (pages.page_edge_cases, pages_sql.page_edge_cases),
     "page_cascade_edge": (pages.page_cascade_edge, pages_sql.page_cascade_edge),
+    "page_readability": (pages.page_readability, pages_sql.page_readability),
     "page_title": (pages.page_title_q, pages_sql.page_title),
     "page_strip_boilerplate": (pages.page_strip_boilerplate, pages_sql.page_strip_boilerplate),
     "page_main_text": (pages.page_main_text, pages_sql.page_main_text),
