@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators.sentences import sentence_model
+from ..operators.sentences import split_sentences as split_learned
 from ..operators.chunks import explode_chunks, reassemble, seconds, synthesis_manifest
 from ..operators.speech import prepare_speech
 from ..sources.fixtures import first_line, voice_by
@@ -151,3 +153,22 @@ def content_hash_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = content_hash_q(spark, sf_dir).where(F.col("content_hash").isNotNull())  # a unique column may hold many nulls
     return (h.groupBy("content_hash").agg(F.count(F.lit(1)).alias("n_rows"), F.min("doc_id").alias("first_doc_id"))
             .where(F.col("n_rows") > 1))
+
+
+def _injected_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    return d.select("doc_id", injected(F.col("text"), F.col("doc_id")).alias("text"))
+
+
+def sentence_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Abbreviations, sentence starters and collocations learned from all documents."""
+    d = _injected_docs(spark, sf_dir)
+    return sentence_model(d).select("kind", "type", "follower", F.round("score", 4).alias("score"))
+
+
+def doc_sentences_learned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences of every document by the model learned from all of them."""
+    d = _injected_docs(spark, sf_dir)
+    out = split_learned(d, sentence_model(d), "doc_id")
+    return out.select("doc_id", F.posexplode("sentences").alias("sentence_index", "s")).select(
+        "doc_id", F.col("sentence_index").cast("bigint"), F.length("s").cast("bigint").alias("n_chars"), F.md5("s").alias("md5"))

@@ -37,6 +37,8 @@ REGISTRY: dict[str, tuple[Builder, Callable[[], str] | None]] = {
     "doc_format_for_speech": (docs.doc_format_for_speech, docs_sql.doc_format_for_speech),
     "doc_word_count": (docs.doc_word_count, docs_sql.doc_word_count),
     "doc_sentences": (docs.doc_sentences, docs_sql.doc_sentences),
+    "sentence_types": (docs.sentence_types, docs_sql.sentence_types),
+    "doc_sentences_learned": (docs.doc_sentences_learned, docs_sql.doc_sentences_learned),
     "doc_chunks": (docs.doc_chunks, docs_sql.doc_chunks),
     "doc_chunk_distribution": (docs.doc_chunk_distribution, docs_sql.doc_chunk_distribution),
     "doc_reassemble": (docs.doc_reassemble, docs_sql.doc_reassemble),
