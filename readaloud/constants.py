@@ -36,6 +36,9 @@ RATE_ADD_FEED = (5, "1 minute")
 RATE_API_SUBMIT = (10, "1 hour")
 RATE_DEFAULT = (100, "1 day")
 
+# A ceiling of our own that binds on the test tables, where no client comes near the others.
+ADMISSION_LIMIT = (5, "1 day")
+
 # Abbreviations spoken in full, applied in this order, case-sensitive.
 ABBREVIATIONS = (
     ("Dr.", "Doctor"),

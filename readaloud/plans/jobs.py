@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..constants import AUDIO_DIR, DEFAULT_VOICE, DOWNLOAD_DEFAULT_NAME, GUEST_CONVERSION_LIMIT, RESULT_TITLE, SHARE_MAIL, VOICES
+from ..constants import ADMISSION_LIMIT, AUDIO_DIR, DEFAULT_VOICE, DOWNLOAD_DEFAULT_NAME, GUEST_CONVERSION_LIMIT, RESULT_TITLE, SHARE_MAIL, VOICES
 from ..functions import status as S
 from ..functions.text import content_hash
 from ..functions.urls import domain, is_http_url, is_valid_url, matches_url_pattern
@@ -15,7 +15,6 @@ from ..sources.tables import filter_computed, read_table
 from .pages import page_jobs
 
 BASE_URL = "http://localhost"
-ADMISSION_LIMIT = (5, "1 day")
 BAD_URLS = ("https://u:p@h:80/p?q#f", "http://a_b.com/", "ftp://f/x", "//h/p", "mailto:a@b",
             "http:///x", "foo", "", "http://", " http://x.com", "http://[::1/x", "HTTPS://UP.example.com")
 

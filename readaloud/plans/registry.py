@@ -92,7 +92,10 @@ REGISTRY: dict[str, tuple[Builder, Callable[[], str] | None]] = {
     "language_accuracy": (language.language_accuracy, language_sql.language_accuracy),
     "stream_dedupe_submissions": (streams.stream_dedupe_submissions, streaming_sql.stream_dedupe_submissions),
     "stream_convert": (streams.stream_convert, pages_sql.page_manifest),
+    "stream_fetch_join": (streams.stream_fetch_join, streaming_sql.stream_fetch_join),
+    "stream_admission": (streams.stream_admission, streaming_sql.stream_admission),
     "stream_quota_windows": (streams.stream_quota_windows, streaming_sql.stream_quota_windows),
+    "stream_attempts": (streams.stream_attempts, streaming_sql.stream_attempts),
     "stream_latest_status": (streams.stream_latest_status, streaming_sql.stream_latest_status),
     "stream_feed_poll": (streams.stream_feed_poll, streaming_sql.stream_feed_poll),
 }

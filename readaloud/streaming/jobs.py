@@ -13,11 +13,11 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
-from ..constants import RATE_API_SUBMIT
+from ..constants import ADMISSION_LIMIT, FIXTURE_EPOCH, RATE_API_SUBMIT, RATE_WEB_SUBMIT
 from ..functions.status import content_status
 from ..operators import feeds as FO
 from ..session import ensure_checkpoint_dir
@@ -25,7 +25,8 @@ from ..sources import fixtures as X
 from ..operators.chunks import synthesis_manifest
 from ..operators.extract import structural_extract
 from ..operators.speech import prepare_speech, with_synthesis_error
-from ..sources.tables import read_table, table_path
+from ..sources.tables import table_path
+from .admission import VERDICT, standing, state_store, verdicts
 
 WATERMARK = "1 hour"
 
@@ -52,11 +53,12 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
 
-def _drain(df: DataFrame, each, work: str) -> None:
-    """Run ``each(batch, batch_id)`` over everything available now."""
+def _drain(df: DataFrame, each, work: str) -> StreamingQuery:
+    """Run ``each(batch, batch_id)`` over everything available now; the ended query tells how it went."""
     q = (df.writeStream.foreachBatch(each).option("checkpointLocation", os.path.join(work, "checkpoint"))
          .trigger(availableNow=True).start())
     q.awaitTermination()
+    return q
 
 
 def run_available(writer: DataStreamWriter, work: str, fmt: str = "parquet") -> str:
@@ -90,42 +92,107 @@ def submissions_stream(spark: SparkSession, sf_dir: str, max_files: int = MAX_FI
     return _event_time(s)
 
 
+#: Folders that the processed addresses are dealt into.
+BUCKETS = 256
+
+
 def stream_dedupe_submissions(spark: SparkSession, sf_dir: str, work: str | None = None, max_files: int = MAX_FILES) -> DataFrame:
     """URLs that need a new job: not processed already and not emitted by an earlier batch.
 
-    The emitted URLs are the output table itself, joined per batch, so nothing is forgotten and no state is held in memory.
+    What was emitted is the state of a stream-wide ``dropDuplicates``, kept on disk by key, so a batch reads its own rows' keys and no
+    earlier output. The addresses processed before the stream began are dealt into bucket folders once; a batch reads
+    those that its new addresses fall into.
     """
     work = _workdir(spark, "dedupe", work)
-    sink = os.path.join(work, "out")
-    done = X.content_log(spark, sf_dir).where(F.col("is_processed")).select("url").distinct()
-
-    def fresh(batch: DataFrame, batch_id: int) -> None:
-        new = batch.select("url").distinct().join(done, "url", "left_anti")
-        if _exists(spark, sink):  # earlier batches only: a replayed one must not see its own output
-            earlier = spark.read.schema("url string, batch_id bigint").parquet(sink).where(F.col("batch_id") < batch_id)
-            new = new.join(earlier.select("url"), "url", "left_anti")
-        write_batch_output(new, sink, batch_id)
-    _drain(submissions_stream(spark, sf_dir, max_files), fresh, work)
+    sink, known, fresh = (os.path.join(work, name) for name in ("out", "known", "fresh"))
+    bucket = F.pmod(F.xxhash64("url"), F.lit(BUCKETS)).cast("int").alias("bucket")
+    if not _exists(spark, os.path.join(known, "_SUCCESS")):
+        done = X.content_log(spark, sf_dir).where(F.col("is_processed")).select("url", bucket).distinct()
+        done.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(known)
+
+    def emit(batch: DataFrame, batch_id: int) -> None:
+        write_batch_output(batch, fresh, batch_id)  # the stateful part runs once
+        new = spark.read.schema("url string, bucket int").parquet(os.path.join(fresh, f"batch_id={batch_id}"))
+        touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # at most BUCKETS numbers
+        old = spark.read.schema("url string, bucket int").parquet(known).where(F.col("bucket").isin(touched))
+        write_batch_output(new.join(old, ["bucket", "url"], "left_anti").select("url"), sink, batch_id)
+    with state_store(spark):
+        _drain(submissions_stream(spark, sf_dir, max_files).select("url", bucket).dropDuplicates(["url"]), emit, work)
     return spark.read.schema("url string, batch_id bigint").parquet(sink).select("url")
 
 
+def _converted(pages: DataFrame) -> DataFrame:
+    """Pages with url, html and voice through extraction and speech preparation."""
+    jobs = structural_extract(pages, extra=["voice"]).select(F.col("page_id").alias("content_id"), "url", "title", "original_text", "error", "voice")
+    return with_synthesis_error(prepare_speech(jobs))
+
+
 def stream_convert(spark: SparkSession, sf_dir: str, work: str | None = None, max_files: int = MAX_FILES) -> DataFrame:
-    """Submissions through extraction and speech preparation to the synthesis manifest, as they arrive.
+    """Fetched pages through extraction and speech preparation to the synthesis manifest, as they arrive.
 
-    Each submission is joined to its fetched page; everything after is row-local, so
-    batches are independent and the output is append-only.
+    A page comes with its markup, so a batch reads its own files alone; everything is row-local and the output append-only.
     """
     work = _workdir(spark, "convert", work)
-    fetched = read_table(spark, sf_dir, "pages", "page_id", "html")
-    k = F.col("page_id")
-    subs = stream_table(spark, sf_dir, "pages", max_files).select("page_id", "url", X.voice_by(k).alias("voice"))
-    jobs = structural_extract(subs.join(fetched, "page_id"), extra=["voice"]).select(
-        k.alias("content_id"), "url", "title", "original_text", "error", "voice")
-    ready = with_synthesis_error(prepare_speech(jobs))
-    manifest = synthesis_manifest(ready, valid=F.col("error").isNull())
+    pages = stream_table(spark, sf_dir, "pages", max_files).select("page_id", "url", "html", X.voice_by(F.col("page_id")).alias("voice"))
+    manifest = synthesis_manifest(_converted(pages), valid=F.col("error").isNull())
     return spark.read.schema(manifest.schema).parquet(run_available(manifest.writeStream.outputMode("append"), work))
 
 
+#: A page that has not come so long after its submission never will.
+FETCH_TIMEOUT = "10 minutes"
+#: How far apart in event time rows may arrive; what both streams hold back for.
+FETCH_LATENESS = "366 days"
+_END = "2999-01-01 00:00:00"
+
+
+def _with_end(spark: SparkSession, rows: DataFrame, key: str, time: str, work: str, side: str) -> DataFrame:
+    """``rows`` and, once :func:`_end_streams` has written it, the row that ends the stream; the watermark counts both.
+
+    The last row has a key, no other's: one without would be filtered before the watermark sees it.
+    """
+    schema = f"{key} bigint, {time} timestamp"
+    end = spark.readStream.schema(schema).parquet(os.path.join(work, "end", side))
+    return rows.unionByName(end, allowMissingColumns=True).withWatermark(time, FETCH_LATENESS)
+
+
+def _end_streams(spark: SparkSession, work: str, sides: dict[str, tuple[str, str]], ended: bool) -> None:
+    for i, (side, (key, time)) in enumerate(sides.items()):
+        row = spark.range(1).select(F.lit(i - 2 ** 62).alias(key), F.lit(_END).cast("timestamp").alias(time)).where(F.lit(ended))
+        row.write.mode("append" if ended else "ignore").parquet(os.path.join(work, "end", side))
+
+
+def stream_fetch_join(spark: SparkSession, sf_dir: str, work: str | None = None, max_files: int = MAX_FILES) -> DataFrame:
+    """Submissions and fetched pages as two streams, joined: a row per submission with its outcome.
+
+    A page counts if it comes within ``FETCH_TIMEOUT`` of its submission. A submission whose page has not come is the
+    outer side of the join: the row that says it could not be extracted. It is issued when the watermarks have passed, at the latest
+    when the streams end, which a last row on either side says; a stream that goes on simply never writes it. Both sides are held for ``FETCH_LATENESS``
+    on disk, so that rows may come in any order; where they come in order a short one holds less.
+    Every tenth page has a second submission whose page never comes.
+    """
+    work = _workdir(spark, "fetch", work)
+    sides = {"submitted": ("submission_id", "ts"), "fetched": ("page_id", "fetched_at")}
+    if not _exists(spark, os.path.join(work, "end")):
+        _end_streams(spark, work, sides, False)
+    k = F.col("page_id")
+    at = F.timestamp_seconds(F.unix_timestamp(F.lit(FIXTURE_EPOCH).cast("timestamp")) + k * 60)
+    pages = stream_table(spark, sf_dir, "pages", max_files)
+    lost = F.when(k % 10 == 0, F.array(k, -1 - k)).otherwise(F.array(k))
+    subs = pages.select(F.explode(lost).alias("submission_id"), "url", X.voice_by(k).alias("voice"), at.alias("ts"))
+    fetched = stream_table(spark, sf_dir, "pages", max_files).select("page_id", "html", (at + F.expr("interval 20 seconds")).alias("fetched_at"))
+    subs, fetched = (_with_end(spark, rows, *sides[side], work, side) for side, rows in (("submitted", subs), ("fetched", fetched)))
+    near = (F.col("submission_id") == k) & (F.col("fetched_at") >= F.col("ts")) & (F.col("fetched_at") <= F.col("ts") + F.expr(f"interval {FETCH_TIMEOUT}"))
+    both = subs.join(fetched, near, "leftOuter").where(F.col("ts") < F.lit(_END).cast("timestamp"))
+    done = _converted(both.select(F.col("submission_id").alias("page_id"), "url", "html", "voice")).select(
+        F.col("content_id").alias("submission_id"), "url", "title", "error", F.length("processed_text").cast("bigint").alias("n_chars"), "word_count")
+    with state_store(spark):
+        for ended in (False, True):
+            if ended:
+                _end_streams(spark, work, sides, True)
+            out = run_available(done.writeStream.outputMode("append"), work)
+    return spark.read.schema(done.schema).parquet(out)
+
+
 QUOTA = "client bigint, window_start timestamp, window_end timestamp, n bigint, last timestamp, batch_id bigint"
 
 
@@ -151,6 +218,22 @@ def stream_quota_windows(spark: SparkSession, sf_dir: str, work: str | None = No
         F.col("window_end").cast("timestamp_ntz").alias("window_end"), "n_requests", (F.col("n_requests") > limit).alias("over_limit"))
 
 
+#: Ceilings that a request is judged under: the day's, which binds on the test tables, and the two of the submission forms.
+CEILINGS = {"admitted": ADMISSION_LIMIT, "admitted_api": RATE_API_SUBMIT, "admitted_web": RATE_WEB_SUBMIT}
+
+
+def stream_admission(spark: SparkSession, sf_dir: str, work: str | None = None, max_files: int = MAX_FILES) -> DataFrame:
+    """A verdict per request under each ceiling, issued as requests arrive and revised where a late one comes first in time."""
+    work = _workdir(spark, "admission", work)
+    sink = os.path.join(work, "out")
+    requests = submissions_stream(spark, sf_dir, max_files).select("client", "request_id", "ts")
+    with state_store(spark):
+        _drain(verdicts(requests, CEILINGS), lambda batch, batch_id: write_batch_output(batch, sink, batch_id), work)
+    landed = spark.read.schema(f"{VERDICT}, batch_id bigint").parquet(sink)
+    ts = F.timestamp_micros("ts").cast("timestamp_ntz")
+    return standing(landed, list(CEILINGS)).select("request_id", "client", ts.alias("ts"), F.date_trunc("day", ts).cast("timestamp_ntz").alias("window_start"), *CEILINGS)
+
+
 def status_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Job state changes derived from the content table: pending, processing, final."""
     c = X.content_jobs(spark, sf_dir)
@@ -188,6 +271,58 @@ def stream_latest_status(spark: SparkSession, sf_dir: str, work: str | None = No
     return last.select("id", F.col("s.status").alias("status"))
 
 
+#: A job's next change within this time belongs to the same attempt.
+ATTEMPT_GAP = "30 minutes"
+
+
+def attempt_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state changes of :func:`status_transitions`, with second attempts that stop in processing and final states that come too early."""
+    t = status_transitions(spark, sf_dir)
+    again = t.where((F.col("id") % 7 == 3) & (F.col("status") != "error")).where(F.col("status").isin("pending", "processing")).select(
+        "id", (F.col("ts") + F.expr("interval 2 hours")).alias("ts"), "status")
+    early = F.when((F.col("id") % 11 == 5) & ~F.col("status").isin("pending", "processing"), F.col("ts") - F.expr("interval 90 seconds")).otherwise(F.col("ts"))
+    return t.withColumn("ts", early).unionByName(again)
+
+
+def attempts(transitions: DataFrame) -> DataFrame:
+    """One row per attempt of a job: a session of changes no further apart than ``ATTEMPT_GAP``, and how it went.
+
+    An attempt is complete when pending, processing and one final state follow in that order, waiting or stuck when it ends
+    in pending or processing, illegal otherwise. Counts and extreme times say so, so a session's
+    changes are never gathered, however many there are.
+    """
+    def when(status: Column) -> dict[str, Column]:
+        own = F.when(status, F.col("ts"))
+        return {"n": F.count(own), "first": F.min(own), "last": F.max(own)}
+    pending, processing = F.col("status") == "pending", F.col("status") == "processing"
+    kinds = {"p": when(pending), "r": when(processing), "f": when(~pending & ~processing)}
+    g = transitions.groupBy("id", F.session_window("ts", ATTEMPT_GAP).alias("w")).agg(
+        F.min("ts").alias("started"), F.max("ts").alias("ended"), F.count(F.lit(1)).alias("n_changes"),
+        *[c.alias(f"{k}_{n}") for k, cs in kinds.items() for n, c in cs.items()])
+    in_order = (F.col("p_n") == 1) & (F.col("r_n") <= 1) & (F.col("f_n") <= 1) & F.coalesce(F.col("r_first") >= F.col("p_last"), F.lit(True)) & \
+        F.coalesce(F.col("f_first") >= F.col("r_last"), F.col("f_n") == 0)
+    outcome = F.when(~in_order, "illegal").when(F.col("f_n") == 1, "complete").when(F.col("r_n") == 1, "stuck").otherwise("waiting")
+    return g.select("id", "started", "ended", "n_changes", outcome.alias("outcome"))
+
+
+def stream_attempts(spark: SparkSession, sf_dir: str, work: str | None = None, max_files: int = MAX_FILES) -> DataFrame:
+    """Attempts of all jobs from the stream of their state changes; an open session is closed by the row that ends the stream."""
+    work = _workdir(spark, "attempts", work)
+    log_dir, sides = os.path.join(work, "log"), {"changes": ("id", "ts")}
+    schema = "id bigint, ts timestamp, status string"
+    if not _exists(spark, log_dir):
+        _event_time(attempt_transitions(spark, sf_dir)).write.parquet(log_dir)
+        _end_streams(spark, work, sides, False)
+    log = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(log_dir)
+    done = attempts(_with_end(spark, log, "id", "ts", work, "changes")).where(F.col("ended") < F.lit(_END).cast("timestamp"))
+    for ended in (False, True):
+        if ended:
+            _end_streams(spark, work, sides, True)
+        out = run_available(done.writeStream.outputMode("append"), work)
+    ntz = [F.col(c).cast("timestamp_ntz").alias(c) for c in ("started", "ended")]
+    return spark.read.schema(done.schema).parquet(out).select("id", *ntz, "n_changes", "outcome")
+
+
 ENTRIES = "feed_id bigint, entry_order bigint, link string, title string, batch_id bigint"
 CREATED = "url string, feed_id bigint, pos int, title string, user_id bigint, poll_id bigint"
 CHECKED = "feed_id bigint, checked timestamp_ntz, poll_id bigint"

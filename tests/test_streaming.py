@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 from readaloud.functions.status import content_status
-from readaloud.plans import feeds
+from readaloud.plans import feeds, jobs
 from readaloud.sources import fixtures as X
 from readaloud.streaming import jobs as S
 
@@ -49,7 +49,8 @@ def _split(spark, tmp_path, files=6):
     return str(tmp_path)
 
 
-STREAMS = ("stream_dedupe_submissions", "stream_quota_windows", "stream_latest_status", "stream_feed_poll", "stream_convert")
+STREAMS = ("stream_dedupe_submissions", "stream_quota_windows", "stream_latest_status", "stream_feed_poll", "stream_convert",
+           "stream_admission", "stream_fetch_join", "stream_attempts")
 
 
 @pytest.mark.parametrize("name", STREAMS)
@@ -103,3 +104,55 @@ def test_quota_counts_are_whole_when_files_span_all_times(spark, tmp_path):
     assert len(os.listdir(f"{work}/out")) >= 5 and got == want and got
     again = sorted(map(tuple, S.stream_quota_windows(spark, str(tmp_path), work, max_files=1).collect()), key=repr)
     assert again == got
+
+
+def _shuffled(spark, tmp_path, name, files=5):
+    """The small tables with one of them in files that each span the whole range."""
+    for n in os.listdir(SF_SMALL):
+        shutil.copy(f"{SF_SMALL}/{n}", tmp_path / n) if n[:-8] != name else None
+    spark.read.parquet(f"{SF_SMALL}/{name}.parquet").repartition(files, F.rand(7)).write.parquet(str(tmp_path / f"{name}.parquet"))
+    return str(tmp_path)
+
+
+def test_admission_equals_the_batch_rule_in_any_order(spark, tmp_path):
+    """Requests that come late but are earlier in time take their place; the verdict they displace is issued again."""
+    want = {r.request_id: r.admitted for r in jobs.request_admission(spark, SF_SMALL).collect()}
+    work = str(tmp_path / "work")
+    (tmp_path / "in").mkdir()
+    got = S.stream_admission(spark, _shuffled(spark, tmp_path / "in", "events"), work, max_files=1).collect()
+    assert {r.request_id: r.admitted for r in got} == want and set(want.values()) == {True, False}
+    issued = spark.read.parquet(f"{work}/out").where("ceiling = 'admitted'")
+    assert issued.count() > len(want)
+
+
+def test_fetch_join_has_a_row_per_submission(spark, tmp_path):
+    got = S.stream_fetch_join(spark, _shuffled(spark, tmp_path, "pages"), max_files=1).collect()
+    pages = {r.content_id for r in S.stream_convert(spark, SF_SMALL).select("content_id").distinct().collect()}
+    n = spark.read.parquet(f"{SF_SMALL}/pages.parquet").count()
+    lost = {r.submission_id for r in got if r.submission_id < 0}
+    assert lost == {-1 - k for k in range(0, n, 10)} and all(r.error and r.n_chars is None for r in got if r.submission_id < 0)
+    assert {r.submission_id for r in got if r.error is None} == pages and len(got) == n + len(lost)
+
+
+def test_attempts_show_every_outcome(spark):
+    rows = [(1, 0, "pending"), (1, 1, "processing"), (1, 2, "completed"), (1, 100, "pending"), (1, 101, "processing"), (2, 0, "pending"),
+            (3, 0, "processing"), (3, 1, "pending"), (4, 0, "pending"), (4, 1, "error"), (4, 2, "processing"), (5, 0, "pending"), (5, 0, "processing"),
+            (5, 1, "completed"), (5, 2, "completed"), (6, 0, "completed")]
+    df = spark.createDataFrame(rows, "id bigint, m int, status string").withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + 60 * F.col("m")))
+    got = sorted((r.id, r.started, r.outcome) for r in S.attempts(df).collect())
+    assert [(i, o) for i, _, o in got] == [(1, "complete"), (1, "stuck"), (2, "waiting"), (3, "illegal"), (4, "illegal"), (5, "illegal"), (6, "illegal")]
+    assert {r.outcome for r in S.stream_attempts(spark, SF_SMALL).collect()} >= {"complete", "stuck", "illegal"}
+
+
+def test_dedupe_reads_each_submission_once(spark, tmp_path, monkeypatch):
+    """Twenty batches: a batch reads its own file and remembers addresses in keyed state, not in earlier output."""
+    ended = []
+    drain = S._drain
+    monkeypatch.setattr(S, "_drain", lambda *a: ended.append(drain(*a)))
+    (tmp_path / "in").mkdir()
+    urls = S.stream_dedupe_submissions(spark, _shuffled(spark, tmp_path / "in", "events", 20), str(tmp_path / "work"), max_files=1)
+    progress = [p for p in ended[0].recentProgress if p["numInputRows"]]
+    n = spark.read.parquet(f"{SF_SMALL}/events.parquet").count()
+    assert len(progress) == 20 and sum(p["numInputRows"] for p in progress) == n
+    assert max(p["numInputRows"] for p in progress) < 2 * n / 20
+    assert urls.count() == urls.distinct().count()
