@@ -121,17 +121,17 @@ def decode_entities(c: Column) -> Column:
 _CHUNK = 256
 
 
-def _token(t: Column) -> Column:
+def _token(t: Column, void: tuple[str, ...]) -> Column:
     name = F.when(F.startswith(t, F.lit("<")), F.lower(F.regexp_extract(t, _HEAD, 1))).otherwise("")
     return let(name, lambda n: F.struct(
         F.when(~F.startswith(t, F.lit("<")) | (t == "<"), "text").when(n == "", "gap").when(F.startswith(t, F.lit("</")), "end")
-        .when(n.isin(*_RAW_TEXT), "gap").when(n.isin(*_VOID) | F.endswith(t, F.lit("/>")), "alone").otherwise("start").alias("kind"),
+        .when(n.isin(*_RAW_TEXT), "gap").when((n.isin(*void) if void else F.lit(False)) | F.endswith(t, F.lit("/>")), "alone").otherwise("start").alias("kind"),
         n.alias("name"), t.alias("text")))
 
 
-def tokens(html_col: Column) -> Column:
-    """The page as an array of (kind, name, text) whose texts, joined, are the page."""
-    return F.transform(F.regexp_extract_all(html_col, F.lit(TOKEN), F.lit(0)), _token)
+def tokens(html_col: Column, void: tuple[str, ...] = _VOID) -> Column:
+    """The page as an array of (kind, name, text) whose texts, joined, are the page; ``void`` names the tags that never hold anything."""
+    return F.transform(F.regexp_extract_all(html_col, F.lit(TOKEN), F.lit(0)), lambda t: _token(t, void))
 
 
 #: Start tags that end an open paragraph, and the elements beyond which they don't reach.
@@ -140,7 +140,7 @@ _ENDS_P = ("address", "article", "aside", "blockquote", "div", "dl", "fieldset",
 _P_SCOPE = ("button", "caption", "table", "td", "th")
 
 
-def tree(toks: Column, implied: bool = False) -> Column:
+def tree(toks: Column, implied: bool = False, void: tuple[str, ...] = _VOID) -> Column:
     """The elements that can hold something, in document order: token position, position of the token that ends it, name, positions of its parent and grandparent.
 
     Nesting follows a tree builder: an end tag closes the nearest open element of its name and all inside, one without a
@@ -193,7 +193,7 @@ def tree(toks: Column, implied: bool = False) -> Column:
     def labelled(ts):
         # only tags that can hold something are folded
         tags = F.filter(F.transform(ts, lambda t, i: F.struct(t["kind"].alias("kind"), t["name"].alias("name"), (i + 1).alias("pos"))),
-                        lambda t: t["kind"].isin("start", "end") | ((t["kind"] == "alone") & ~t["name"].isin(*_VOID)))
+                        lambda t: t["kind"].isin("start", "end") | ((t["kind"] == "alone") & (~t["name"].isin(*void) if void else F.lit(True))))
         start = F.struct(F.array().cast("array<string>").alias("names"), none.alias("open"), F.array().cast(f"array<{label}>").alias("done"))
         end = let(tags, lambda x: F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(x), F.lit(1)), F.lit(_CHUNK)), start, chunk(x)))
         return let(end, lambda e: let(F.flatten(e["done"]), lambda ls: nodes(ls, e["open"], F.size(ts) + 1)))

@@ -44,3 +44,21 @@ def is_http_url(url: Column) -> Column:
 
 def matches_url_pattern(url: Column) -> Column:
     return F.coalesce(url.rlike(r"^https?://.+\..+"), F.lit(False))
+
+
+def form_field(body: Column, name: str) -> Column:
+    """The first value of a field in a form-encoded body: ``+`` is a space, ``%XX`` a byte of UTF-8; NULL when the field is missing.
+
+    A percent sign that begins no such byte stays as it is.
+    """
+    def value(pair):
+        raw = F.regexp_replace(F.regexp_replace(pair, r"^[^=]*=?", ""), r"%(?![0-9A-Fa-f]{2})", "%25")
+        return F.try_url_decode(raw)
+    key = F.lit(name)
+    own = F.filter(F.split(body, "&", -1), lambda p: F.try_url_decode(F.regexp_replace(F.regexp_extract(p, r"^([^=]*)", 1), r"%(?![0-9A-Fa-f]{2})", "%25")) == key)
+    return let(F.get(own, F.lit(0)), lambda p: F.when(p.isNotNull(), value(p)))
+
+
+def is_form(body: Column) -> Column:
+    """Whether every part of a body is ``name=value`` with a name; anything else is a corrupt record."""
+    return F.coalesce(F.forall(F.split(body, "&", -1), lambda p: p.rlike(r"^[^=]+=")), F.lit(False))

@@ -9,16 +9,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import FEED_ENTRIES_REFRESH, FEED_STALE_MINUTES
+from ..functions.html import decode_entities, inner_tokens, text_of, tokens, tree
 from ..functions.regex import let
 from ..functions.status import feed_status, truthy
 
-_ENTRY = "title string, link string, pubDate string, date string"
+_ENTRY = ("title string, link array<struct<_VALUE string, _href string, _rel string>>, guid struct<_VALUE string, _isPermaLink string>, "
+          "pubDate string, date string")
 _ATOM_ENTRY = "title string, link array<struct<_href string, _rel string>>, published string, updated string"
-#: RSS (channel with items), RDF (channel and items side by side) and Atom (entries), in one schema; namespaces are ignored.
+#: RSS (channel with items), RDF (channel and items side by side) and Atom (entries), in one schema; namespaces are ignored,
+#: so an item's own link and an ``atom:link`` beside it are one list.
 FEED_SCHEMA = (f"channel struct<title string, description string, lastBuildDate string, pubDate string, date string, item array<struct<{_ENTRY}>>>, "
                f"item array<struct<{_ENTRY}>>, title string, subtitle string, updated string, entry array<struct<{_ATOM_ENTRY}>>")
 #: Names of time zones in mail dates and their minutes from UTC.
-ZONES = {"GMT": 0, "UTC": 0, "UT": 0, "Z": 0, "EST": -300, "EDT": -240, "CST": -360, "CDT": -300, "MST": -420, "MDT": -360, "PST": -480, "PDT": -420}
+ZONES = {"GMT": 0, "UTC": 0, "UT": 0, "Z": 0, "EST": -300, "EDT": -240, "CST": -360, "CDT": -300, "MST": -420, "MDT": -360, "PST": -480, "PDT": -420,
+         "WET": 0, "WEST": 60, "BST": 60, "CET": 60, "CEST": 120, "EET": 120, "EEST": 180, "MSK": 180, "JST": 540}
 MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
 
 
@@ -61,10 +65,10 @@ def new_entries(top: DataFrame, known_urls: DataFrame, feeds: DataFrame) -> Data
     """
     cand = top.where(truthy(F.col("link")))
     cand = cand.join(known_urls.select(F.col("url").alias("link")), "link", "left_anti")
-    first = (cand.groupBy("link")
-             .agg(F.min(F.struct("feed_id", "pos", "title")).alias("_f"))
-             .select(F.col("link").alias("url"), F.col("_f.feed_id").alias("feed_id"),
-                     F.col("_f.pos").alias("pos"), F.col("_f.title").alias("title")))
+    # the least (feed, position) as one number is a hash aggregate, which the least struct is not; its row is joined back
+    place = (F.col("feed_id").cast("decimal(20,0)") * F.lit(2 ** 31).cast("decimal(11,0)") + F.col("pos")).cast("decimal(32,0)")
+    least = cand.withColumn("_place", place).groupBy("link").agg(F.min("_place").alias("_place"))
+    first = cand.withColumn("_place", place).drop("link").join(least, "_place").select(F.col("link").alias("url"), "feed_id", "pos", "title")
     owners = feeds.select(F.col("id").alias("feed_id"), "user_id")
     return first.join(owners, "feed_id", "left")
 
@@ -87,20 +91,35 @@ def metadata_upsert(feeds: DataFrame, refreshed: DataFrame, now: Column) -> Data
         "is_active")
 
 
-def failure_streak(polls: DataFrame) -> DataFrame:
-    """Consecutive failures since the last success, per feed (the error count).
+def run_summaries(polls: DataFrame) -> DataFrame:
+    """(feed_id, slice, n_polls, trailing, all_failed): what a feed's polls of one day say about its run of failures.
+
+    ``trailing`` counts the failures after the day's last success. One scan and one shuffle, by feed and day, so that a
+    feed polled most of all is dealt over its days. Summaries of different days can be kept, and merged in any order, by
+    :func:`merged_streak`.
+    """
+    newest_first = Window.partitionBy("feed_id", "slice").orderBy(F.desc("ts"), F.desc("poll_id"))
+    rows = polls.select("feed_id", F.date_trunc("day", "ts").alias("slice"), "ts", "poll_id", "ok")
+    since = rows.withColumn("_oks", F.sum(F.col("ok").cast("int")).over(newest_first))
+    return since.groupBy("feed_id", "slice").agg(
+        F.count(F.lit(1)).alias("n_polls"), F.sum(F.when(F.col("_oks") == 0, 1).otherwise(0)).cast("bigint").alias("trailing"),
+        F.every(~F.col("ok")).alias("all_failed"))
+
 
-    Two partial aggregates and a join instead of a window over each feed's
-    full history: the last success per feed, then the failures after it.
+def merged_streak(summaries: DataFrame) -> DataFrame:
+    """Consecutive failures since the last success, per feed, from its days' summaries, however they arrived.
+
+    A day counts if every later day failed altogether: trailing failures add up back to the first success.
     """
-    key = F.struct(F.col("ts"), F.col("poll_id"))
-    last_ok = polls.where(F.col("ok")).groupBy("feed_id").agg(F.max(key).alias("_last_ok"))
-    fails = polls.where(~F.col("ok")).join(last_ok, "feed_id", "left") \
-        .where(F.col("_last_ok").isNull() | (key > F.col("_last_ok")))
-    streak = fails.groupBy("feed_id").agg(F.count(F.lit(1)).alias("error_count"))
-    totals = polls.groupBy("feed_id").agg(F.count(F.lit(1)).alias("n_polls"))
-    return totals.join(streak, "feed_id", "left").select(
-        "feed_id", "n_polls", F.coalesce("error_count", F.lit(0).cast("bigint")).alias("error_count"))
+    later = Window.partitionBy("feed_id").orderBy(F.desc("slice")).rowsBetween(Window.unboundedPreceding, -1)
+    broken = F.coalesce(F.sum(F.when(F.col("all_failed"), 0).otherwise(1)).over(later), F.lit(0))
+    return summaries.withColumn("_broken", broken).groupBy("feed_id").agg(
+        F.sum("n_polls").alias("n_polls"), F.sum(F.when(F.col("_broken") == 0, F.col("trailing")).otherwise(0)).alias("error_count"))
+
+
+def failure_streak(polls: DataFrame) -> DataFrame:
+    """(feed_id, n_polls, error_count): consecutive failures since the last success, per feed, in one scan of the polls."""
+    return merged_streak(run_summaries(polls))
 
 
 def toggle(feeds: DataFrame, ids: DataFrame) -> DataFrame:
@@ -121,6 +140,61 @@ def delete(feeds: DataFrame, content: DataFrame, ids: DataFrame) -> tuple[DataFr
     return kept, c.unionByName(content.where(F.col("feed_id").isNull()))
 
 
+def item_link(links: Column, guid: Column, permanent: Column) -> Column:
+    """The page an item links to: its own link, else an alternate one by address, else a guid that is a permanent link."""
+    own = F.filter(links, lambda k: truthy(k["_VALUE"]))
+    alternate = F.filter(links, lambda k: truthy(k["_href"]) & (F.coalesce(k["_rel"], F.lit("alternate")) == "alternate"))
+    return F.coalesce(F.get(own, F.lit(0))["_VALUE"], F.get(alternate, F.lit(0))["_href"],
+                      F.when(truthy(guid) & (F.coalesce(F.lower(permanent), F.lit("true")) != "false"), guid))
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    found = [F.regexp_extract(tag, rf"(?is)\s{name}\s*=\s*{quoted}", 1) for quoted in ('"([^"]*)"', "'([^']*)'")]
+    return F.nullif(decode_entities(F.concat(*found)), F.lit(""))
+
+
+def loose_entries(xml: Column) -> Column:
+    """The whole items or entries of a document that need not parse: title, link and date of each, in document order.
+
+    Read from tokens and intervals as a page is, so one entry's errors don't reach the others; what breaks off is left out.
+    """
+    def local(n):
+        return F.regexp_replace(n["name"], "^.*:", "")
+
+    def entries(toks, nodes):
+        def entry(item):
+            own = F.filter(nodes, lambda n: n["parent"] == item["pos"])
+
+            def named(name):
+                return lambda n: local(n) == name
+
+            def texts(children, *names):
+                """Texts of the children with those names, in the names' order."""
+                return F.flatten(F.array(*[F.transform(F.filter(children, named(x)), lambda n: F.nullif(
+                    F.trim(text_of(inner_tokens(toks, n))), F.lit(""))) for x in names]))
+
+            def read(children):
+                links = F.transform(F.filter(children, named("link")), lambda n: let(F.get(toks, n["pos"] - 1)["text"], lambda t: F.struct(
+                    F.nullif(F.trim(text_of(inner_tokens(toks, n))), F.lit("")).alias("_VALUE"), _attribute(t, "href").alias("_href"), _attribute(t, "rel").alias("_rel"))))
+                guid = F.get(F.filter(children, named("guid")), F.lit(0))
+                permanent = F.when(guid.isNotNull(), _attribute(F.get(toks, guid["pos"] - 1)["text"], "isPermaLink"))
+                return F.struct(F.get(texts(children, "title"), F.lit(0)).alias("title"),
+                                item_link(links, F.get(texts(children, "guid"), F.lit(0)), permanent).alias("link"),
+                                F.get(texts(children, "pubdate", "published", "date", "updated"), F.lit(0)).alias("dated"))
+            return let(own, read)
+        whole = F.filter(nodes, lambda n: local(n).isin("item", "entry") & (F.get(toks, n["stop"] - 1)["name"] == n["name"]))
+        return F.transform(whole, entry)
+    plain = F.regexp_replace(xml, r"<!\[CDATA\[|\]\]>", "")
+    return let(tokens(plain, void=()), lambda ts: let(tree(ts, void=()), lambda ns: entries(ts, ns)))
+
+
+def read_feed_documents(docs: DataFrame, xml: str = "xml") -> DataFrame:
+    """As :func:`parse_feed_documents`, but a document that doesn't parse gives the entries before its break: how a refresh reads it."""
+    kept = docs.withColumn("_loose", F.col(xml))
+    p = parse_feed_documents(kept, xml)
+    return p.withColumn("entries", F.when(F.col("ok"), F.col("entries")).otherwise(loose_entries(F.col("_loose")))).drop("_loose")
+
+
 def parse_feed_documents(docs: DataFrame, xml: str = "xml") -> DataFrame:
     """Feed XML (RSS, RDF or Atom) -> ``ok``, title, description, update time and the entries in document order.
 
@@ -133,7 +207,8 @@ def parse_feed_documents(docs: DataFrame, xml: str = "xml") -> DataFrame:
     rss = F.col("_f.channel").isNotNull()
     atom = ~rss & (F.col("_f.title").isNotNull() | F.col("_f.entry").isNotNull())
     items = F.transform(F.coalesce("_f.channel.item", "_f.item", F.array()), lambda x: F.struct(
-        x["title"].alias("title"), x["link"].alias("link"), F.coalesce(x["pubDate"], x["date"]).alias("dated")))
+        x["title"].alias("title"), item_link(x["link"], x["guid"]["_VALUE"], x["guid"]["_isPermaLink"]).alias("link"),
+        F.coalesce(x["pubDate"], x["date"]).alias("dated")))
 
     def page(links: Column) -> Column:
         """The page an entry links to: its alternate link, else its first."""
@@ -160,11 +235,12 @@ def parse_feed_xml(docs: DataFrame, xml: str = "xml") -> DataFrame:
 def parse_feed_date(s: Column) -> Column:
     """A feed date to a UTC timestamp, null when it is none.
 
-    ISO-8601 with optional seconds, fraction and offset, or the mail form with
-    optional weekday, one- or two-digit day and a zone name or offset.
+    ISO-8601, also without separators, with optional time, seconds, fraction and offset, or the mail form with
+    optional weekday, one- or two-digit day, two-digit year (from 69 on of the last century) and a zone name or offset.
     """
-    iso = r"^\s*([0-9]{4}-[0-9]{2}-[0-9]{2})[T ]([0-9]{2}:[0-9]{2})(:[0-9]{2})?(?:\.[0-9]+)?\s*(Z|[+-][0-9]{2}:?[0-9]{2})?\s*$"
-    mail = r"^\s*(?:[A-Za-z]{3,9},\s*)?([0-9]{1,2}) ([A-Za-z]{3})[a-z]* ([0-9]{4}) ([0-9]{1,2}:[0-9]{2})(:[0-9]{2})?\s*([A-Z]{1,4}|[+-][0-9]{4})?\s*$"
+    iso = (r"^\s*([0-9]{4})-?([0-9]{2})-?([0-9]{2})(?:[T ]([0-9]{2}):?([0-9]{2})(?::?([0-9]{2}))?(?:\.[0-9]+)?"
+           r"\s*(Z|[+-][0-9]{2}:?[0-9]{2})?)?\s*$")
+    mail = r"^\s*(?:[A-Za-z]{3,9},\s*)?([0-9]{1,2}) ([A-Za-z]{3})[a-z]* ([0-9]{4}|[0-9]{2}) ([0-9]{1,2}:[0-9]{2})(:[0-9]{2})?\s*([A-Z]{1,4}|[+-][0-9]{4})?\s*$"
 
     def groups(x: Column, pattern: str, n: int) -> Column:
         return F.array(*[F.regexp_extract(x, pattern, i) for i in range(1, n + 1)])
@@ -184,10 +260,12 @@ def parse_feed_date(s: Column) -> Column:
         return F.when(x != "", x).otherwise(F.lit(":00"))
 
     def from_iso(g: Column) -> Column:
-        return utc(F.concat(g[0], F.lit(" "), g[1], seconds(g[2])), g[3])
+        clock = [F.when(g[i] != "", g[i]).otherwise("00") for i in (3, 4, 5)]
+        return utc(F.concat(F.concat_ws("-", g[0], g[1], g[2]), F.lit(" "), F.concat_ws(":", *clock)), g[6])
 
     def from_mail(g: Column) -> Column:
         month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.initcap(g[1]))
-        return utc(F.concat(g[2], F.lit("-"), F.lpad(month.cast("string"), 2, "0"), F.lit("-"), F.lpad(g[0], 2, "0"), F.lit(" "),
+        century = F.when(F.length(g[2]) == 4, "").when(g[2] >= "69", "19").otherwise("20")
+        return utc(F.concat(century, g[2], F.lit("-"), F.lpad(month.cast("string"), 2, "0"), F.lit("-"), F.lpad(g[0], 2, "0"), F.lit(" "),
                             F.lpad(g[3], 5, "0"), seconds(g[4])), g[5])
-    return let(s, lambda x: F.when(x.rlike(iso), let(groups(x, iso, 4), from_iso)).when(x.rlike(mail), let(groups(x, mail, 6), from_mail)))
+    return let(s, lambda x: F.when(x.rlike(iso), let(groups(x, iso, 7), from_iso)).when(x.rlike(mail), let(groups(x, mail, 6), from_mail)))

@@ -65,8 +65,13 @@ class LanguageModel:
         self.n_trigrams = n_trigrams
 
 
-def _col(lang: str) -> str:
-    return "d_" + "".join(ch if ch.isalnum() else "_" for ch in lang)
+#: More labels than this would make the profile's columns a plan of their own.
+MAX_LABELS = 400
+
+
+def _col(place: int) -> str:
+    """The delta column of the label in that place of the sorted label set (labels may look alike as column names)."""
+    return f"d_{place}"
 
 
 def train(labelled: DataFrame, text: str = "text", label: str = "lang") -> LanguageModel:
@@ -77,13 +82,15 @@ def train(labelled: DataFrame, text: str = "text", label: str = "lang") -> Langu
     totals = {r["lang"]: r["total"] for r in counts.groupBy("lang").agg(F.sum("c").alias("total")).collect()}
     v = counts.select("tri").distinct().count()
     langs = sorted(totals)
+    if len(langs) > MAX_LABELS:
+        raise ValueError(f"{len(langs)} labels, more than {MAX_LABELS}")
     bases = {lang: int(_round_half_away(math.log(1.0 / (totals[lang] + v)) * SCALE)) for lang in langs}
     total_of = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(totals[k]))])
     base_of = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(bases[k]))])
     w = F.round(F.log((F.col("c") + 1.0) / (F.element_at(total_of, F.col("lang")) + F.lit(v))) * SCALE).cast("bigint")
     deltas = counts.select("tri", "lang", (w - F.element_at(base_of, F.col("lang"))).alias("delta"))
-    profile = (deltas.groupBy("tri").pivot("lang", langs).agg(F.first("delta"))
-               .select("tri", *[F.coalesce(F.col(k), F.lit(0).cast("bigint")).alias(_col(k)) for k in langs]))
+    columns = [F.sum(F.when(F.col("lang") == k, F.col("delta")).otherwise(F.lit(0).cast("bigint"))).alias(_col(i)) for i, k in enumerate(langs)]
+    profile = deltas.groupBy("tri").agg(*(columns or [F.lit(0).alias(_col(0))]))
     return LanguageModel(profile, langs, bases, v)
 
 
@@ -97,16 +104,18 @@ def detect(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text: str
     score(lang) = n_trigrams * base(lang) + sum of the matched deltas; the
     best score wins, ties to the greater language code. Trigrams are counted
     per document before the join (a document without any keeps one NULL row),
-    and columns besides ``key`` and ``text`` come through.
+    and columns besides ``key`` and ``text`` come through. Rows that repeat a key
+    are told apart by a number given in the one scan that reads them.
     """
-    tri = docs.select(*[c for c in docs.columns if c != text], F.explode_outer(trigrams(sample(F.col(text)))).alias("tri"))
+    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
+    tri = numbered.select(*[c for c in numbered.columns if c != text], F.explode_outer(trigrams(sample(F.col(text)))).alias("tri"))
     kept = [c for c in docs.columns if c not in (key, text)]
-    counted = tri.groupBy(key, *kept, "tri").agg(F.count(F.lit(1)).alias("n"))
-    sums = counted.join(model.profile, "tri", "left").groupBy(key, *kept).agg(
+    counted = tri.groupBy("_row", key, *kept, "tri").agg(F.count(F.lit(1)).alias("n"))
+    sums = counted.join(model.profile, "tri", "left").groupBy("_row", key, *kept).agg(
         F.sum(F.when(F.col("tri").isNotNull(), F.col("n")).otherwise(0)).alias("n_tri"),
-        *[F.sum(F.col("n") * F.col(_col(k))).alias(_col(k)) for k in model.langs])
+        *[F.sum(F.col("n") * F.col(_col(i))).alias(_col(i)) for i in range(len(model.langs))])
     scores = F.array(*[F.struct((F.col("n_tri") * F.lit(model.bases[k]) +
-                                 F.coalesce(F.col(_col(k)), F.lit(0).cast("bigint"))).alias("score"),
-                                F.lit(k).alias("lang")) for k in model.langs])
-    best = F.array_max(scores)["lang"]
+                                 F.coalesce(F.col(_col(i)), F.lit(0).cast("bigint"))).alias("score"),
+                                F.lit(k).alias("lang")) for i, k in enumerate(model.langs)])
+    best = F.array_max(scores)["lang"] if model.langs else F.lit(DEFAULT_LANGUAGE)
     return sums.select(key, *kept, F.when(F.col("n_tri") == 0, F.lit(DEFAULT_LANGUAGE)).otherwise(best).alias("detected"))

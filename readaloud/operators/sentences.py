@@ -60,30 +60,28 @@ def sentence_model(texts: DataFrame, text: str = "text") -> DataFrame:
     # one pass over the texts: pairs of a type and its follower, with partial sums
     pairs = rows.groupBy("type", "dot", "ends", "next").agg(F.count("*").alias("n")).transform(_reused)
     types = pairs.groupBy("type").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("dot"), F.col("n")).otherwise(0)).alias("dots"))
-    total = types.agg(F.sum("n").alias("all"), F.sum("dots").alias("all_dots"))  # one row
+    total = types.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("dots"), F.lit(0)).alias("dots")).first()  # one row
+    all_n, all_dots = F.lit(float(total["n"])), F.lit(float(total["dots"]))
     bare = F.length(F.replace("type", F.lit(".")))
-    counted = types.join(F.broadcast(total))
-    ratio = 2 * (_likelihood(F.col("dots"), F.col("n"), F.lit(0.99)) - _likelihood(F.col("dots"), F.col("n"), F.col("all_dots") / F.col("all")))
+    ratio = 2 * (_likelihood(F.col("dots"), F.col("n"), F.lit(0.99)) - _likelihood(F.col("dots"), F.col("n"), all_dots / all_n))
     score = ratio * F.exp(-bare.cast("double")) * (F.length("type") - bare + 1) * F.pow(bare.cast("double"), -(F.col("n") - F.col("dots")).cast("double"))
-    abbreviations = counted.where((F.col("dots") > 0) & (F.col("dots") < F.col("all_dots")) & F.col("type").rlike(_WORD) & (F.col("all_dots") < F.col("all"))) \
+    abbreviations = types.where((F.col("dots") > 0) & (F.col("dots") < all_dots) & F.col("type").rlike(_WORD) & (all_dots < all_n)) \
         .select("type", score.alias("score")).where(F.col("score") >= MIN_ABBREVIATION)
 
     known = abbreviations.select(F.col("type").alias("abbreviation"))
     ends = pairs.where(F.col("ends") & F.col("next").isNotNull()).join(known, F.col("type") == F.col("abbreviation"), "left_anti")
     after = ends.groupBy(F.col("next").alias("type")).agg(F.sum("n").alias("ab"))
-    breaks = ends.agg(F.sum("n").alias("a"))  # one row
-    starters = after.join(types, "type").join(F.broadcast(breaks.crossJoin(total))) \
-        .where((F.col("ab") / F.col("a") > F.col("n") / F.col("all")) & (F.col("a") < F.col("all")) & F.col("type").rlike(_WORD))
-    starters = starters.select("type", _ratio(F.col("a"), F.col("n"), F.col("ab"), F.col("all")).alias("score")).where(F.col("score") >= MIN_STARTER)
+    breaks = F.lit(float(ends.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("a")).first()["a"]))  # one number
+    starters = after.join(types, "type").where((F.col("ab") / breaks > F.col("n") / all_n) & (breaks < all_n) & F.col("type").rlike(_WORD))
+    starters = starters.select("type", _ratio(breaks, F.col("n"), F.col("ab"), all_n).alias("score")).where(F.col("score") >= MIN_STARTER)
 
     # a number or initial with a period, and what follows it
     split = pairs.where(F.col("dot") & F.col("next").rlike(_WORD) & (F.col("type").rlike(_NUMBER) | F.col("type").rlike(r"^\p{L}$"))) \
         .groupBy("type", "next").agg(F.sum("n").alias("ab")).where(F.col("ab") > 1)
     first = types.select("type", F.col("n").alias("a"))
     second = types.select(F.col("type").alias("next"), F.col("n").alias("b"))
-    bound = split.join(first, "type").join(second, "next").join(F.broadcast(total)) \
-        .where((F.col("ab") / F.col("a") > F.col("b") / F.col("all")) & (F.col("a") < F.col("all")))
-    bound = bound.select("type", "next", _ratio(F.col("a"), F.col("b"), F.col("ab"), F.col("all")).alias("score")).where(F.col("score") >= MIN_COLLOCATION)
+    bound = split.join(first, "type").join(second, "next").where((F.col("ab") / F.col("a") > F.col("b") / all_n) & (F.col("a") < all_n))
+    bound = bound.select("type", "next", _ratio(F.col("a"), F.col("b"), F.col("ab"), all_n).alias("score")).where(F.col("score") >= MIN_COLLOCATION)
     none = F.lit(None).cast("string").alias("follower")
     return abbreviations.select(F.lit("abbreviation").alias("kind"), "type", none, "score") \
         .unionByName(starters.select(F.lit("starter").alias("kind"), "type", none, "score")) \

@@ -217,6 +217,37 @@ def feed_xml_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("dated", O.parse_feed_date(F.col("pub_date"))).drop("pub_date")
 
 
+def wild_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(feed_id, xml): first entries of every feed in shapes that feeds come in.
+
+    By ``feed_id % 5``: a link with an ``atom:link`` beside it, a permanent guid alone, a guid that is no link, Atom with prefixes and a link
+    to itself first, and RSS with a bare ``&`` that breaks off in its fourth item.
+    """
+    top = _top(spark, sf_dir)
+    f, k, title = F.col("feed_id"), F.col("feed_id") % 5, _element("title", F.md5("title"))
+    link = F.coalesce("link", F.lit(""))
+    item = F.when(k == 0, F.concat(title, _element("link", link), F.lit('<atom:link href="http://self/" rel="self"/>'))) \
+        .when(k == 1, F.concat(title, _element("guid", link))) \
+        .when(k == 2, F.concat(title, F.lit('<guid isPermaLink="false">'), link, F.lit("</guid>"))) \
+        .when(k == 3, F.concat(F.replace(title, F.lit("title>"), F.lit("atom:title>")), F.lit("<atom:link rel='self' href='http://self/'/><atom:link href='"), link, F.lit("'/>"))) \
+        .otherwise(F.concat(F.lit("<title><![CDATA["), F.md5("title"), F.lit("]]></title><x>a & b</x>"), _element("link", link)))
+    tag = F.when(k == 3, "atom:entry").otherwise("item")
+    entry = F.when((k == 4) & (F.col("pos") == 3), F.lit("<item><title>cut")).otherwise(F.concat(F.lit("<"), tag, F.lit(">"), item, F.lit("</"), tag, F.lit(">")))
+    bodies = top.where((k != 4) | (F.col("pos") <= 3)).groupBy("feed_id").agg(F.array_join(F.transform(  # at most ten entries a feed
+        F.array_sort(F.collect_list(F.struct("pos", entry.alias("x")))), lambda s: s["x"]), "").alias("body"))
+    xml = F.when(k == 3, F.concat(F.lit('<atom:feed xmlns:atom="http://www.w3.org/2005/Atom"><atom:title>T</atom:title>'), "body", F.lit("</atom:feed>"))) \
+        .when(k == 4, F.concat(F.lit("<rss><channel><title>T</title>"), "body")) \
+        .otherwise(F.concat(F.lit('<rss xmlns:atom="http://www.w3.org/2005/Atom"><channel><title>T</title>'), "body", F.lit("</channel></rss>")))
+    return bodies.select(f, xml.alias("xml"))
+
+
+def feed_wild_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a refresh reads from documents in shapes that feeds come in, broken ones included."""
+    p = O.read_feed_documents(wild_documents(spark, sf_dir))
+    return p.select("feed_id", "ok", F.posexplode("entries").alias("pos", "e")).select(
+        "feed_id", "ok", F.col("pos").cast("int").alias("pos"), F.col("e.title").alias("title"), F.col("e.link").alias("link"))
+
+
 def feed_updated_at(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entry dates in the shapes that feeds use (and junk) parsed to UTC timestamps."""
     d = read_table(spark, sf_dir, "documents", "doc_id", "source")
@@ -229,7 +260,9 @@ def feed_updated_at(spark: SparkSession, sf_dir: str) -> DataFrame:
               F.concat(F.date_format(ts + F.make_dt_interval(F.lit(0), F.lit(2)), mail), F.lit(" +0200")),
               F.concat(F.date_format(ts, "EEE, d MMM yyyy HH:mm:ss"), F.lit(" GMT")),
               F.concat(F.date_format(ts - F.make_dt_interval(F.lit(0), F.lit(5)), mail), F.lit(" EST")),
-              F.date_format(ts, iso), F.lit("not a date"))
+              F.date_format(ts, iso), F.lit("not a date"),
+              F.date_format(ts, "yyyyMMdd'T'HHmmss'Z'"), F.concat(F.date_format(ts + F.make_dt_interval(F.lit(0), F.lit(1)), "dd MMM yy HH:mm"), F.lit(" CET")),
+              F.date_format(ts, "yyyy-MM-dd"), F.lit("31 Foo 24 03:04 GMT"))
     raw = shapes[-1]
     for i, shape in enumerate(shapes):
         raw = F.when(k % len(shapes) == i, shape).otherwise(raw)

@@ -144,5 +144,13 @@ def feed_content_listing() -> str:
 
 
 def feed_updated_at() -> str:
-    """The dates the strings were made from; every eighth string is no date."""
-    return (f"SELECT doc_id, source, CASE WHEN doc_id % 8 <> 7 THEN {d.EPOCH} + to_minutes(doc_id) END AS updated FROM documents")
+    """The dates the strings were made from; two of twelve strings are no dates and one names the day alone."""
+    return (f"SELECT doc_id, source, CASE WHEN doc_id % 12 = 10 THEN date_trunc('day', {d.EPOCH} + to_minutes(doc_id)) "
+            f"WHEN doc_id % 12 NOT IN (7, 11) THEN {d.EPOCH} + to_minutes(doc_id) END AS updated FROM documents")
+
+
+def feed_wild_entries() -> str:
+    """Entries by the rule that makes the documents; no XML is read."""
+    return d.with_ctes(d.FEED_ENTRIES, "e AS (SELECT feed_id, link, title, row_number() OVER (PARTITION BY feed_id ORDER BY entry_order) - 1 AS pos FROM feed_entries)") + (
+        "SELECT feed_id, feed_id % 5 <> 4 AS ok, CAST(pos AS INTEGER) AS pos, md5(title) AS title, "
+        "CASE WHEN feed_id % 5 <> 2 THEN nullif(link, '') END AS link FROM e WHERE pos < 10 AND (feed_id % 5 <> 4 OR pos < 3)")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..constants import ADMISSION_LIMIT, AUDIO_DIR, DEFAULT_VOICE, DOWNLOAD_DEFAULT_NAME, GUEST_CONVERSION_LIMIT, RESULT_TITLE, SHARE_MAIL, VOICES
 from ..functions import status as S
 from ..functions.text import content_hash
-from ..functions.urls import domain, is_http_url, is_valid_url, matches_url_pattern
+from ..functions.urls import domain, form_field, is_form, is_http_url, is_valid_url, matches_url_pattern
 from ..operators.chunks import seconds
 from ..operators.jobs import admit, cache_lookup, first_per_key, status_json
 from ..sources import fixtures as X
@@ -202,6 +202,26 @@ def request_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "message", "url", "voice", F.when(F.col("message").isNull(), F.col("id")).alias("content_id"))
 
 
+def request_form(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Form-encoded submissions -> what the form page does with them, and the records that are no form."""
+    e = read_table(spark, sf_dir, "events", "event_id")
+    k = F.col("event_id")
+    url, voice = F.url_encode(X.submission_url(k)), X.voice_by(k)
+    name = F.concat(F.lit("na+me+%26+m%C3%A9+50%+"), k.cast("string"))
+    body = (F.when(k % 10 == 0, F.lit("no form at all"))
+            .when(k % 9 == 0, F.concat(F.lit("voice="), F.coalesce(voice, F.lit(""))))
+            .when(k % 7 == 0, F.lit("url=not+a+url&voice=x"))
+            .when(k % 11 == 0, F.concat(F.lit("url=&url="), url))
+            .when(k % 13 == 0, F.concat(F.lit("url="), url, F.lit("&u%72l=second&note="), name))
+            .otherwise(F.concat(F.lit("note="), name, F.lit("&url="), url, F.lit("&voice="), F.coalesce(voice, F.lit("")), F.lit("&voice=z"))))
+    r = e.select(k.alias("request_id"), body.alias("body"))
+    p = r.select("request_id", is_form(F.col("body")).alias("_form"), form_field(F.col("body"), "url").alias("url"),
+                 form_field(F.col("body"), "voice").alias("voice"), form_field(F.col("body"), "note").alias("note"), "body")
+    status = F.when(~F.col("_form"), "corrupt").when(~S.truthy(F.col("url")) | ~is_valid_url(F.col("url")), "rejected").otherwise("accepted")
+    return p.select("request_id", status.alias("status"), F.when(F.col("_form"), F.col("url")).alias("url"),
+                    F.when(F.col("_form"), S.requested_voice(F.col("voice"))).alias("voice"), "note", F.when(~F.col("_form"), F.col("body")).alias("corrupt_record"))
+
+
 def url_domain_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = read_table(spark, sf_dir, "pages", "url")
     return p.groupBy(domain(F.col("url")).alias("domain")).agg(F.count(F.lit(1)).alias("n_pages"))

@@ -217,6 +217,21 @@ def request_parse() -> str:
          "CASE WHEN message IS NULL THEN f.id END AS content_id FROM m LEFT JOIN f ON m.url = f.url")
 
 
+def request_form() -> str:
+    """The fields by the rule that makes the bodies; no body is read."""
+    url = "'http://h' || CAST(event_id % 1000 AS VARCHAR) || '.example.com/p'"
+    v = d.voice_by("event_id")
+    kind = ("CASE WHEN event_id % 10 = 0 THEN 'corrupt' WHEN event_id % 9 = 0 THEN 'bare' WHEN event_id % 7 = 0 THEN 'bad' "
+            "WHEN event_id % 11 = 0 THEN 'empty' WHEN event_id % 13 = 0 THEN 'twice' ELSE 'full' END")
+    return (f"WITH r AS (SELECT event_id, {kind} AS kind, {url} AS u, {v} AS v FROM events) "
+            "SELECT event_id AS request_id, CASE WHEN kind = 'corrupt' THEN 'corrupt' WHEN kind IN ('twice', 'full') THEN 'accepted' ELSE 'rejected' END AS status, "
+            "CASE kind WHEN 'bad' THEN 'not a url' WHEN 'empty' THEN '' WHEN 'twice' THEN u WHEN 'full' THEN u END AS url, "
+            f"CASE kind WHEN 'corrupt' THEN NULL WHEN 'bad' THEN 'x' WHEN 'bare' THEN coalesce(v, '') WHEN 'full' THEN coalesce(v, '') "
+            f"ELSE {d.q(DEFAULT_VOICE)} END AS voice, "
+            "CASE WHEN kind IN ('twice', 'full') THEN 'na me & mé 50% ' || CAST(event_id AS VARCHAR) END AS note, "
+            "CASE WHEN kind = 'corrupt' THEN 'no form at all' END AS corrupt_record FROM r")
+
+
 def url_domain_counts() -> str:
     return f"SELECT {netloc('url')} AS domain, count(*) AS n_pages FROM pages GROUP BY 1"
 

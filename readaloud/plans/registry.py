@@ -17,6 +17,7 @@ REGISTRY: dict[str, tuple[Builder, Callable[[], str] | None]] = {
     "page_edge_cases": (pages.page_edge_cases, pages_sql.page_edge_cases),
     "page_cascade_edge": (pages.page_cascade_edge, pages_sql.page_cascade_edge),
     "page_readability": (pages.page_readability, pages_sql.page_readability),
+    "page_manifest_counts": (pages.page_manifest_counts, pages_sql.page_manifest_counts),
     "page_title": (pages.page_title_q, pages_sql.page_title),
     "page_strip_boilerplate": (pages.page_strip_boilerplate, pages_sql.page_strip_boilerplate),
     "page_main_text": (pages.page_main_text, pages_sql.page_main_text),
@@ -61,6 +62,7 @@ REGISTRY: dict[str, tuple[Builder, Callable[[], str] | None]] = {
     "web_status": (jobs.web_status, jobs_sql.web_status),
     "output_paths": (jobs.output_paths, jobs_sql.output_paths),
     "job_outcomes": (jobs.job_outcomes, jobs_sql.job_outcomes),
+    "request_form": (jobs.request_form, jobs_sql.request_form),
     "request_parse": (jobs.request_parse, jobs_sql.request_parse),
     "url_domain_counts": (jobs.url_domain_counts, jobs_sql.url_domain_counts),
     "url_validate": (jobs.url_validate, jobs_sql.url_validate),
@@ -79,6 +81,7 @@ REGISTRY: dict[str, tuple[Builder, Callable[[], str] | None]] = {
     "feed_delete": (feeds.feed_delete, feeds_sql.feed_delete),
     "feed_listing": (feeds.feed_listing, feeds_sql.feed_listing),
     "feed_content_listing": (feeds.feed_content_listing, feeds_sql.feed_content_listing),
+    "feed_wild_entries": (feeds.feed_wild_entries, feeds_sql.feed_wild_entries),
     "feed_updated_at": (feeds.feed_updated_at, feeds_sql.feed_updated_at),
     "feed_xml_entries": (feeds.feed_xml_entries, feeds_sql.feed_xml_entries),
     "feed_rejects": (feeds.feed_rejects, feeds_sql.feed_rejects),

@@ -1,4 +1,5 @@
 """Chunking invariants, timeline, reassembly, feed rules and XML parsing."""
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -6,7 +7,9 @@ from pyspark.sql import functions as F
 from conftest import SF_MID, SF_SMALL, one
 from readaloud.functions import text as T
 from readaloud.operators import feeds as FO
+from readaloud.functions.urls import form_field, is_form
 from readaloud.operators.chunks import chunk_text
+from readaloud.operators.language import detect, train
 from readaloud.plans import docs, feeds
 from readaloud.sources import fixtures as X
 
@@ -134,3 +137,59 @@ def test_atom_and_rdf_feeds(spark):
     assert [(e.title, e.link, e.dated) for e in got[0].entries] == [("one", "http://x/1", "2024-01-01T00:00:00Z"), ("two", None, None)]
     assert got[1].feed_title == "R" and [(e.title, e.link, e.dated) for e in got[1].entries] == [("i", "http://x/2", "2024-01-03")]
     assert not got[2].ok and got[2].entries is None
+
+
+def test_streak_from_days_that_arrive_in_any_order(spark):
+    """Summaries of single days, the late ones last, merge to what the whole history gives."""
+    rng = random.Random(8)
+    rows = [(f, f"2024-01-{rng.randint(1, 9):02d} {rng.randint(0, 23):02d}:00:00", i, rng.random() < (0.2, 0.9, 0.0)[f % 3]) for i in range(600) for f in (i % 7,)]
+    df = spark.createDataFrame(rows, "feed_id long, ts string, poll_id long, ok boolean").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    want = {}
+    for f in range(7):
+        own = sorted((r for r in rows if r[0] == f), key=lambda r: (r[1], r[2]), reverse=True)
+        want[f] = (len(own), next((i for i, r in enumerate(own) if r[3]), len(own)))
+    parts = [FO.run_summaries(df.where(F.dayofmonth("ts").isin(*days))) for days in ((2, 4, 6, 8), (1, 9), (3, 5, 7))]
+    kept = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    for got in (FO.merged_streak(kept), FO.failure_streak(df)):
+        assert {r.feed_id: (r.n_polls, r.error_count) for r in got.collect()} == want
+
+
+def test_wild_feed_documents(spark):
+    ns = 'xmlns:atom="http://www.w3.org/2005/Atom"'
+    xmls = [
+        f'<rss {ns}><channel><title>T</title><item><title>a</title><link>http://x/1</link><atom:link href="http://x/self" rel="self"/></item></channel></rss>',
+        "<rss><channel><title>T</title><item><guid>http://x/2</guid></item><item><guid isPermaLink='false'>7</guid></item></channel></rss>",
+        f'<rss {ns}><channel><title>T</title><item><title>c</title><atom:link href="http://x/3"/></item></channel></rss>',
+        "<rss><channel><title>T</title><item><title>d &amp; e</title><link>http://x/4</link><pubDate>2024-01-02</pubDate></item>"
+        "<item><title>A & <b>f</title><link>http://x/5?a=1&amp;b=2</link></item><item><title>cut</ti",
+        "<a:feed><a:entry><a:title><![CDATA[g <i>]]></a:title><a:link rel='self' href='no'/><a:link href='http://x/6'/><a:updated>now</a:updated></a:entry><oops",
+        "no xml", "", None]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(xmls)], "k int, xml string")
+    got = {r.k: r for r in FO.read_feed_documents(df).collect()}
+    links = {k: [e.link for e in r.entries or []] for k, r in got.items()}
+    assert links == {0: ["http://x/1"], 1: ["http://x/2", None], 2: ["http://x/3"], 3: ["http://x/4", "http://x/5?a=1&b=2"], 4: ["http://x/6"], 5: [], 6: [], 7: []}
+    assert [got[k].ok for k in range(5)] == [True, True, True, False, False]
+    assert [(e.title, e.dated) for e in got[3].entries][0] == ("d & e", "2024-01-02")
+    # an add goes by the strict reading alone
+    assert [r.entries is None for r in FO.parse_feed_documents(df).orderBy("k").collect()][3:5] == [True, True]
+
+
+def test_more_feed_dates(spark):
+    shapes = ["2024-01-02", "20240102T030405Z", "20240102", "02 Jan 24 03:04 GMT", "Tue, 02 Jan 2024 04:04:05 CET", "02 Jan 99 03:04 GMT", "2024-1-2"]
+    assert [str(g) if g else None for g in one(spark, FO.parse_feed_date, shapes)] == [
+        "2024-01-02 00:00:00", "2024-01-02 03:04:05", "2024-01-02 00:00:00", "2024-01-02 03:04:00", "2024-01-02 03:04:05", "1999-01-02 03:04:00", None]
+
+
+def test_form_fields(spark):
+    bodies = ["url=http%3A%2F%2Fx%2F%3Fa%3D1&voice=a+b", "voice=x", "url=&url=y", "u%72l=1", "url=100%&b=%zz", "url=a=b", "junk", "", None, "=x", "url=%E4%B8%AD"]
+    assert one(spark, lambda c: form_field(c, "url"), bodies) == ["http://x/?a=1", None, "", "1", "100%", "a=b", None, None, None, None, "中"]
+    assert one(spark, is_form, bodies) == [True] * 6 + [False] * 4 + [True]
+
+
+def test_labels_that_look_alike_and_repeated_rows(spark):
+    rows = [(1, "kalo milo kalo", "a-b"), (2, "schung erung", "a_b"), (3, "kalo milo", "a-b"), (4, "erung schung", "a_b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = train(df)
+    asked = spark.createDataFrame([(1, "kalo"), (1, "kalo"), (1, "schung"), (None, "erung"), (5, None)], "doc_id long, text string")
+    got = sorted(((r.doc_id or 0, r.detected) for r in detect(asked, model).collect()))
+    assert got == [(0, "a_b"), (1, "a-b"), (1, "a-b"), (1, "a_b"), (5, "en")]

@@ -44,13 +44,13 @@ def test_page_text_has_no_exchange_and_no_recomputed_filter(spark):
 
 @pytest.mark.parametrize("name,table,scans", [
     ("length_violations", "pages", 1), ("length_violations", "documents", 2),  # content rows, and the feeds' sources
-    ("quota_window_counts", "events", 1), ("page_manifest", "pages", 1), ("language_detect", "documents", 1)])
+    ("quota_window_counts", "events", 1), ("feed_error_streak", "events", 1), ("page_extract_cascade", "pages", 1), ("page_manifest", "pages", 1), ("language_detect", "documents", 1)])
 def test_tables_are_scanned_no_more_than_needed(spark, name, table, scans):
     p = _plan(QUERIES[name](spark, SF_SMALL))
     assert len(re.findall(rf"FileScan parquet [^\n]*{table}\.parquet", p)) == scans
 
 
-@pytest.mark.parametrize("name", ["request_cache_web", "request_cache_api", "request_parse", "quota_window_counts"])
+@pytest.mark.parametrize("name", ["request_cache_web", "request_cache_api", "request_parse", "quota_window_counts", "feed_new_entries"])
 def test_first_rows_and_counts_are_hash_aggregates(spark, name):
     assert "SortAggregate" not in _plan(QUERIES[name](spark, SF_SMALL))
 
