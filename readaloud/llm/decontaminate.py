@@ -3,7 +3,8 @@
 The benchmark's windows (13 consecutive words; a shorter item is one window)
 are the test queries, taken in blocks of bounded size. Per block:
 
-1. Every document becomes a row of positional postings, kept as runs: a
+1. Every document becomes a row of positional postings, kept as runs (the
+   words, and the number that names the row in every block, are written once before): a
    position is stored if it lies in a stretch of words, at least as long as a
    window, whose word hashes are all in a bit set of the block's vocabulary. The
    bit set has no false negatives, so no occurrence is lost, and what it lets
@@ -61,19 +62,24 @@ def _runs(words: Column, misses: Column, least: int) -> Column:
                        lambda s: F.struct(s["start"].alias("start"), F.slice(words, s["start"] + 1, s["n"]).alias("words")))
 
 
-def positional_index(docs: DataFrame, vocabulary: list[int], least: int) -> DataFrame:
-    """(row, doc_id, n_words, runs): the postings of the vocabulary, one row per document, in the shared folder."""
-    bits, size = _bit_set(vocabulary)
+def numbered_words(docs: DataFrame) -> DataFrame:
+    """(row, key, doc_id, n_words, words), written once: a row number that is read back doesn't depend on how a scan is split."""
     words = docs.select(row_key().alias("key"), "doc_id", folded_words(text_or_empty()).alias("words"))
+    return stored(words.select(F.monotonically_increasing_id().alias("row"), "key", "doc_id", F.size("words").cast("bigint").alias("n_words"), "words"),
+                  "decontamination-words")
+
+
+def positional_index(words: DataFrame, vocabulary: list[int], least: int) -> DataFrame:
+    """(row, key, doc_id, n_words, runs): the postings of the vocabulary, one row per document of :func:`numbered_words`, in the shared folder."""
+    bits, size = _bit_set(vocabulary)
 
     def missed(w: Column, i: Column) -> Column:
         at = F.pmod(F.xxhash64(w), F.lit(size))
         found = F.getbit(F.get(bits, F.shiftright(at, 5).cast("int")), at.bitwiseAND(F.lit(31)).cast("int"))
         return F.when(found == 1, F.lit(-1)).otherwise(i)
     misses = F.concat(F.array(F.lit(-1)), F.filter(F.transform("words", missed), lambda p: p >= 0), F.array(F.size("words")))
-    marked = words.select("key", "doc_id", "words", misses.alias("misses"))
-    return stored(marked.select(F.monotonically_increasing_id().alias("row"), "key", "doc_id",
-                                F.size("words").cast("bigint").alias("n_words"),
+    marked = words.select("row", "key", "doc_id", "n_words", "words", misses.alias("misses"))
+    return stored(marked.select("row", "key", "doc_id", "n_words",
                                 _runs(F.col("words"), F.col("misses"), least).alias("runs")), "positional-index")
 
 
@@ -126,23 +132,20 @@ def proximity_matches(index: DataFrame, windows: DataFrame, slop: int) -> DataFr
 def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW, percent: int = 5,
                   block: int = BLOCK) -> DataFrame:
     """Row key, n_words, n_hit, the benchmark items found and the verdict for every row of ``docs``."""
-    docs = docs.select("doc_id", "text")
     per_item = stored(benchmark_windows(bench.select("item_id", "text"), window), "benchmark-windows")
     distinct = stored(per_item.select("words").distinct().select(
         F.monotonically_increasing_id().alias("window"), "words"), "distinct-windows")
     items = per_item.join(distinct, "words").select("window", "item_id")
     n = distinct.count()
     n_blocks = max(1, -(-n // block))
-    if n_blocks > 1:  # the row numbers of every block's index must name the same documents
-        docs = stored(docs, "decontamination-input")
-    found, base = [], None
+    words = numbered_words(docs)
+    found = []
     for k in range(n_blocks):
         part = distinct.where(F.pmod(F.xxhash64("window"), F.lit(n_blocks)) == k)
         terms = part.select(F.explode("words").alias("w")).distinct().select(F.xxhash64("w").alias("h"))
         vocabulary = [r.h for r in terms.collect()]  # at most `window` words for each window of a block
         least = part.agg(F.min(F.size("words"))).first()[0] or window
-        index = positional_index(docs, vocabulary, least)
-        base = base or index.select("row", "key", "doc_id", "n_words")
+        index = positional_index(words, vocabulary, least)
         found.append(phrase_matches(index, part))
     hits = found[0]
     for more in found[1:]:
@@ -153,6 +156,7 @@ def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW, perce
     which = hits.select("window", "row").distinct().join(items, "window").select("row", F.col("item_id").cast("string").alias("item_id")) \
         .distinct().groupBy("row").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
     per_row = stored(covered.join(which, "row"), "contaminated-rows")
+    base = words.select("row", "key", "doc_id", "n_words")
     out = base.join(per_row, "row", "left").select(
         "key", "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"))

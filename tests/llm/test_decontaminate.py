@@ -44,6 +44,29 @@ def test_hits_against_plain_python(spark, block):
     assert sum(n for k, n in got.items() if k[4]) > 3
 
 
+def test_blocks_agree_when_scans_are_split_anew(spark, monkeypatch, tmp_path):
+    """Every block scans with another number of partitions, as when executors come and go; no document takes another's hits."""
+    rows = edge.doc_rows()
+    bench = [r for r in bench_rows(rows) if r[0] is not None]
+    edge.frame(spark, rows, clash=False).repartition(12).write.parquet(str(tmp_path / "docs"))
+    index, counts = D.positional_index, iter([16, 2, 9, 1, 5, 3] * 20)
+
+    def split_anew(*args):
+        n = next(counts)
+        spark.conf.set("spark.sql.files.minPartitionNum", str(n))
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(4096 * n))
+        return index(*args)
+    monkeypatch.setattr(D, "positional_index", split_anew)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        got = collections.Counter((r.doc_id, r.n_words, r.n_hit, tuple(r["items"]), r.contaminated) for r in D.contamination(
+            spark.read.parquet(str(tmp_path / "docs")), spark.createDataFrame(bench, BENCH), block=20).collect())
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == brute(rows, bench)
+
+
 def test_rows_of_one_long_window_class(spark):
     rows = edge.doc_rows()
     bench = [r for r in bench_rows(rows) if r[1] and len(edge.words(r[1])) >= 13]
@@ -55,7 +78,7 @@ def test_rows_of_one_long_window_class(spark):
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "zero alpha x beta gamma end"), (2, "alpha beta gamma"), (3, "gamma alpha beta"), (4, "alpha beta"),
                                   (5, "alpha x y z beta gamma")], "doc_id bigint, text string")
-    index = D.positional_index(docs, _hashes(spark, ["alpha", "beta", "gamma"]), 1)
+    index = D.positional_index(D.numbered_words(docs), _hashes(spark, ["alpha", "beta", "gamma"]), 1)
     windows = spark.createDataFrame([(0, ["alpha", "beta", "gamma"])], "window bigint, words array<string>")
     ids = {r.row: r.doc_id for r in index.collect()}
     near = {s: {ids[r.row] for r in D.proximity_matches(index, windows, s).collect()} for s in (0, 1, 2, 3)}
