@@ -1,22 +1,31 @@
 """Language identification: train on one half of the labelled documents, score every document."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import basic_clean
-from ..operators.language import detect, train
+from ..operators.language import LanguageModel, detect, train
 from ..sources.tables import read_table
 
 
+def _fitted(doc_id: Column) -> Column:
+    return F.substring(F.md5(doc_id.cast("string")), 1, 1) < "8"
+
+
+def trained_on_documents(spark: SparkSession, sf_dir: str) -> LanguageModel:
+    """The model of the documents' training half."""
+    d = read_table(spark, sf_dir, "documents", "doc_id", "text", "lang").where(_fitted(F.col("doc_id")))
+    return train(d.select("lang", basic_clean(F.col("text")).alias("text")))
+
+
 def language_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detected language of every document, its label, and whether the model was fitted on it.
 
     The training half is picked by a digest of the document number.
     """
     d = read_table(spark, sf_dir, "documents", "doc_id", "text", "lang")
-    fitted = F.substring(F.md5(F.col("doc_id").cast("string")), 1, 1) < "8"
-    clean = d.select("doc_id", "lang", fitted.alias("fitted"), basic_clean(F.col("text")).alias("text"))
+    clean = d.select("doc_id", "lang", _fitted(F.col("doc_id")).alias("fitted"), basic_clean(F.col("text")).alias("text"))
     return detect(clean, train(clean.where("fitted")))
 
 

@@ -11,12 +11,14 @@ from ..functions.html import cleared, drop_elements, parsed, title_of
 from ..functions.regex import let
 from ..operators.chunks import synthesis_manifest
 from ..operators.extract import body_text, cascade_extract, structural_extract, structural_text
+from ..operators.language import detect
 from ..operators.readability import readable_part
 from ..operators.speech import prepare_speech, with_synthesis_error
 from ..session import ensure_checkpoint_dir
 from ..sources.fixtures import voice_by
 from ..sources.sinks import write_observed_manifest
 from ..sources.tables import read_table
+from .language import trained_on_documents
 
 
 def _pages(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
@@ -40,6 +42,19 @@ def page_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return synthesis_manifest(jobs, valid=F.col("error").isNull())
 
 
+def page_manifest_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest with the language of each page's text, by the model trained on the labelled documents.
+
+    The prepared text feeds both the manifest and the detection, so it is computed once and kept in the shared checkpoint folder.
+    """
+    ext = structural_extract(_pages(spark, sf_dir, "page_id", "url", "html"))
+    jobs = ext.select(F.col("page_id").alias("content_id"), "url", "title", "original_text", "error", voice_by(F.col("page_id")).alias("voice"))
+    ready = with_synthesis_error(prepare_speech(jobs, keep_clean=True)).checkpoint()
+    spoken = detect(ready.select("content_id", "clean_text"), trained_on_documents(spark, sf_dir), key="content_id", text="clean_text")
+    manifest = synthesis_manifest(ready, valid=F.col("error").isNull())
+    return manifest.join(spoken.withColumnRenamed("detected", "lang"), "content_id").select("content_id", "chunk_index", "lang", "voice_effective", "n_chars", "est_seconds")
+
+
 def page_manifest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What writing the manifest counted: jobs, rejects by reason, rows and characters. Every ninth page comes without markup."""
     pages = _pages(spark, sf_dir, "page_id", "url", "html").withColumn("html", F.when(F.col("page_id") % 9 != 0, F.col("html")).otherwise("<nav>n</nav>"))

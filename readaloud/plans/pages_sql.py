@@ -58,6 +58,24 @@ def page_manifest() -> str:
     return d.with_ctes(*ctes) + manifest_select("page_id")
 
 
+def page_manifest_lang() -> str:
+    """The manifest joined to the best-scoring language of the first characters of each page's clean text."""
+    from .language_sql import _ctes
+    ctes = _ctes() + _extract_ctes() + [f"j AS (SELECT page_id, title, original_text, {d.voice_by('page_id')} AS voice FROM s5)"] + \
+        _speech_ctes("j", "page_id", "voice") + ["p6 AS (SELECT * FROM p5 WHERE processed_text <> '')"] + _explode("p6", "page_id", "voice") + [
+        "l1 AS (SELECT page_id, ' ' || lower(substr(clean_text, 1, 1000)) || ' ' AS s FROM p3)",
+        "l2 AS (SELECT page_id, s, unnest(range(1, greatest(length(s) - 2, 1) + 1)) AS i FROM l1 WHERE length(s) >= 3)",
+        "l3 AS (SELECT page_id, substr(s, i, 3) AS tri FROM l2)",
+        "l4 AS (SELECT page_id, p.lang, sum(delta) AS s FROM l3 JOIN profile p ON l3.tri = p.tri GROUP BY ALL)",
+        "l5 AS (SELECT page_id, count(*) AS n_tri FROM l3 GROUP BY page_id)",
+        "l6 AS (SELECT l5.page_id, b.lang, n_tri * base + coalesce(l4.s, 0) AS score FROM l5 CROSS JOIN bases b "
+        "LEFT JOIN l4 ON l4.page_id = l5.page_id AND l4.lang = b.lang)",
+        "l7 AS (SELECT page_id, arg_max(lang, (score, lang)) AS lang FROM l6 GROUP BY page_id)",
+        f"m AS ({manifest_select('page_id')})"]
+    return d.with_ctes(*ctes) + ("SELECT content_id, chunk_index, coalesce(l7.lang, 'en') AS lang, voice_effective, n_chars, est_seconds "
+                                 "FROM m LEFT JOIN l7 ON l7.page_id = content_id")
+
+
 def page_manifest_counts() -> str:
     """A separate aggregate over the manifest of the pages with markup; the others give no content."""
     rows = page_manifest().replace("FROM pages)", "FROM pages WHERE page_id % 9 <> 0)", 1)

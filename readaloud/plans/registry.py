@@ -17,6 +17,7 @@ REGISTRY: dict[str, tuple[Builder, Callable[[], str] | None]] = {
     "page_edge_cases": (pages.page_edge_cases, pages_sql.page_edge_cases),
     "page_cascade_edge": (pages.page_cascade_edge, pages_sql.page_cascade_edge),
     "page_readability": (pages.page_readability, pages_sql.page_readability),
+    "page_manifest_lang": (pages.page_manifest_lang, pages_sql.page_manifest_lang),
     "page_manifest_counts": (pages.page_manifest_counts, pages_sql.page_manifest_counts),
     "page_title": (pages.page_title_q, pages_sql.page_title),
     "page_strip_boilerplate": (pages.page_strip_boilerplate, pages_sql.page_strip_boilerplate),
