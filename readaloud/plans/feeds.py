@@ -49,6 +49,12 @@ def feed_refresh_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return due.join(new, "feed_id", "left").select("feed_id", F.coalesce("n_new", F.lit(0).cast("bigint")).alias("n_new"))
 
 
+def feed_refresh_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a refresh of all feeds reports at its end: feeds refreshed, those with anything new, new items in all."""
+    return feed_refresh_all(spark, sf_dir).agg(F.count(F.lit(1)).alias("n_feeds"), F.count(F.when(F.col("n_new") > 0, 1)).alias("n_with_new"),
+                                               F.coalesce(F.sum("n_new"), F.lit(0).cast("bigint")).alias("n_new"))
+
+
 def feed_refresh_one(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each feed refreshed on its own, ignoring staleness; inactive feeds yield nothing."""
     feeds = X.feeds(spark, sf_dir)

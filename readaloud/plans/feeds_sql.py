@@ -47,6 +47,10 @@ def feed_refresh_all() -> str:
         "SELECT due.id AS feed_id, coalesce(cnt.n, 0) AS n_new FROM due LEFT JOIN cnt ON due.id = cnt.feed_id")
 
 
+def feed_refresh_totals() -> str:
+    return f"SELECT count(*) AS n_feeds, count(CASE WHEN n_new > 0 THEN 1 END) AS n_with_new, CAST(coalesce(sum(n_new), 0) AS BIGINT) AS n_new FROM ({feed_refresh_all()})"
+
+
 def feed_refresh_one() -> str:
     return d.with_ctes(d.FEEDS, d.FEED_ENTRIES, d.KNOWN_URLS,
                        "fe AS (SELECT * FROM feed_entries WHERE feed_id IN (SELECT id FROM feeds WHERE is_active))",

@@ -73,6 +73,7 @@ REGISTRY: dict[str, tuple[Builder, Callable[[], str] | None]] = {
     "feed_due": (feeds.feed_due, feeds_sql.feed_due),
     "feed_new_entries": (feeds.feed_new_entries, feeds_sql.feed_new_entries),
     "feed_refresh_all": (feeds.feed_refresh_all, feeds_sql.feed_refresh_all),
+    "feed_refresh_totals": (feeds.feed_refresh_totals, feeds_sql.feed_refresh_totals),
     "feed_refresh_one": (feeds.feed_refresh_one, feeds_sql.feed_refresh_one),
     "feed_add": (feeds.feed_add, feeds_sql.feed_add),
     "feed_metadata_upsert": (feeds.feed_metadata_upsert, feeds_sql.feed_metadata_upsert),

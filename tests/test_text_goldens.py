@@ -64,15 +64,12 @@ def test_clean_content_is_idempotent_on_short_text(spark):
     assert one(spark, T.clean_content, [s]) == [s]
 
 
-def test_redaction_matches_python_rule_and_stays_linear(spark):
-    import re
+def test_redaction_goldens_and_long_runs(spark):
     import time
-    pat = re.compile(r"[\w\.-]+@[\w\.-]+\.\w+")
     vals = ["mail x.y-z@exa-mple.co.uk and a@b.c", "é.x@exa-mple.fr", "a@b", "@@x.y", "x@y.z@w.v"]
     blob = "a" * 100_000
     t0 = time.time()
     got = one(spark, T.redact_emails, vals + [blob + " x@y.com"])
     elapsed = time.time() - t0
-    # (the Python rule itself rescans the long run quadratically, so that row is written out)
-    assert got == [pat.sub("[EMAIL REMOVED]", v) for v in vals] + [blob + " [EMAIL REMOVED]"]
+    assert got == ["mail [EMAIL REMOVED] and [EMAIL REMOVED]", "[EMAIL REMOVED]", "a@b", "@@x.y", "[EMAIL REMOVED]@w.v", blob + " [EMAIL REMOVED]"]
     assert elapsed < 30   # a quadratic rescan of the long run would take minutes
