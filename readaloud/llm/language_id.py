@@ -37,6 +37,8 @@ RIDGE = 1e-4
 SAMPLE_ROWS = 1024
 SAMPLE_CHARS = 20_000
 LANGUAGES = 256
+#: Parts of a label that are ranked on their own.
+PARTS = 64
 UNKNOWN = "und"
 LETTER = r"\p{L}"
 
@@ -184,8 +186,11 @@ def sample(rows: DataFrame) -> list[tuple[str, str]]:
     share = max(4, SAMPLE_ROWS // len(common))
     named = usable.where(F.col("lang").isin(common)).select("lang", "text", F.xxhash64("text").alias("digest"))
     # digests first: copies of a text are one candidate, and texts are fetched for the sample alone
+    # ranked within parts of a label first, so that a label of most rows is dealt over tasks and the last ranking sees few of them
+    part = F.row_number().over(Window.partitionBy("lang", "part").orderBy("digest"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy("digest"))
-    chosen = named.select("lang", "digest").distinct().withColumn("place", place).where(F.col("place") <= share).select("lang", "digest")
+    parts = named.select("lang", "digest").distinct().withColumn("part", F.pmod("digest", F.lit(PARTS))).withColumn("place", part).where(F.col("place") <= share)
+    chosen = parts.withColumn("place", place).where(F.col("place") <= share).select("lang", "digest")
     # at most SAMPLE_ROWS (or 4 a label) rows of two columns
     texts = named.join(F.broadcast(chosen), ["lang", "digest"]).groupBy("lang", "digest").agg(F.min(F.substring("text", 1, SAMPLE_CHARS)).alias("text"))
     return [(r["lang"], r["text"]) for r in texts.collect()]
