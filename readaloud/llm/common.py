@@ -110,19 +110,59 @@ def bound(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def running_sum(values: Column, block: int = 256) -> Column:
-    """Prefix sums of an int array. Blocks keep the copying at about n * sqrt(n) for very long arrays."""
+def running(values: Column, zero: Column, join, block: int = 256) -> Column:
+    """Prefix folds of an array by an associative ``join``. Blocks keep the copying at about n * sqrt(n) for very long arrays."""
     def prefix(a: Column) -> Column:
-        return F.slice(F.aggregate(a, F.array(F.lit(0)), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + x))),
+        return F.slice(F.aggregate(a, F.array(zero), lambda s, x: F.concat(s, F.array(join(F.element_at(s, -1), x)))),
                        F.lit(2), F.size(a))
 
     def blocked(a: Column) -> Column:
         blocks = F.transform(F.sequence(F.lit(0), F.size(a) - 1, F.lit(block)), lambda i: prefix(F.slice(a, i + 1, block)))
         return bound(blocks, lambda bs: bound(prefix(F.transform(bs, lambda b: F.element_at(b, -1))), lambda ends: F.flatten(
-            F.transform(bs, lambda b, k: F.transform(b, lambda x: x + F.coalesce(F.get(ends, k - 1), F.lit(0)))))))
+            F.transform(bs, lambda b, k: F.transform(b, lambda x: join(F.coalesce(F.get(ends, k - 1), zero), x))))))
     return bound(values, lambda a: F.when(F.size(a) > block, blocked(a)).otherwise(prefix(a)))
 
 
+def running_sum(values: Column) -> Column:
+    """Prefix sums of an int array."""
+    return running(values, F.lit(0), lambda a, b: a + b)
+
+
+def running_max(values: Column) -> Column:
+    """Prefix maxima of an array of ints that are not negative."""
+    return running(values, F.lit(0), F.greatest)
+
+
+def clear_of(candidates: Column, base: Column, *fields: str) -> Column:
+    """The candidate spans that overlap no base span, as structs of ``fields``, by end.
+
+    Base spans (at their start) and candidates (at their end) are put in one order;
+    a candidate overlaps one if the farthest end of the base spans before it lies beyond its start.
+    """
+    def event(s: Column, at: str, is_base: bool) -> Column:
+        return F.struct(s[at].alias("at"), F.lit(is_base).alias("is_base"), *[s[f].alias(f) for f in fields])
+    events = F.sort_array(F.concat(F.transform(base, lambda s: event(s, "start", True)), F.transform(candidates, lambda s: event(s, "end", False))))
+    kept = bound(events, lambda es: bound(running_max(F.transform(es, lambda e: F.when(e["is_base"], e["end"]).otherwise(0))), lambda far: F.filter(
+        F.transform(es, lambda e, k: F.when(~e["is_base"] & (F.get(far, k) <= e["start"]), F.struct(*[e[f].alias(f) for f in fields]))),
+        lambda e: e.isNotNull())))
+    return F.when((F.size(base) > 0) & (F.size(candidates) > 0), kept).otherwise(
+        F.transform(candidates, lambda s: F.struct(*[s[f].alias(f) for f in fields])))
+
+
+def pieces(text: Column, places: Column, block: int = 4096) -> Column:
+    """The substrings of ``text`` at (start, n), counted in code points from 0: the text is cut into blocks once, so that no piece is looked for from its beginning."""
+    def piece(blocks: Column, p: Column) -> Column:
+        first, last = F.floor(p["start"] / block).cast("int"), F.floor((p["start"] + p["n"] - 1) / block).cast("int")
+
+        def part(j: Column) -> Column:
+            low = F.greatest(p["start"] - j * block, F.lit(0))
+            return F.substring(F.get(blocks, j), low + 1, F.least(p["start"] + p["n"] - j * block, F.lit(block)) - low)
+        return F.when(p["n"] <= 0, "").when(first == last, part(first)).otherwise(
+            F.array_join(F.transform(F.sequence(first, last), part), ""))
+    cut = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{block}}}"), F.lit(0))
+    return bound(cut, lambda blocks: F.transform(places, lambda p: piece(blocks, p)))
+
+
 def match_spans(text: Column, pattern: str, guard: Column | None = None) -> Column:
     """All matches of a pattern, leftmost and non-overlapping, as (start, end, match, before, after).
 

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import kind_spans, match_spans, row_key, span_string, stored, text_or_empty
+from .common import clear_of, kind_spans, match_spans, row_key, span_string, stored, text_or_empty
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
@@ -78,7 +78,7 @@ def scan_secrets(docs: DataFrame, reach: int = REACH) -> DataFrame:
     strong = strong_spans(text)
     found = rows.select("key", "doc_id", *[strong[k].alias(k) for k in BASE], weak_spans(text).alias("weak"), "text")
     found = found.select("key", "doc_id", *BASE, F.concat(*BASE).alias("base"), "weak", "text")
-    clear = F.filter("weak", lambda w: ~F.exists("base", lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"])))
+    clear = clear_of(F.col("weak"), F.col("base"), "kind", "start", "end")
     found = found.select("key", "doc_id", *BASE, "base", clear.alias("weak"), "text")
     breaks = F.when(F.size("weak") > 0, F.transform(match_spans(text, BREAK), lambda s: s["start"])).otherwise(F.array().cast("array<int>"))
     found = stored(found.select("key", "doc_id", *BASE, "base", "weak", breaks.alias("breaks")), "secret-parts")
