@@ -12,7 +12,7 @@
    something (instances are cut out and the rest is split alike for both counts), and a candidate's
    confidence is one minus the product of its patterns' doubts. Candidates
    above ``accept`` are trusted in the next round, so new patterns can
-   follow from them.
+   follow from them. Confidences rise from round to round, and the rounds end when none rises by more than ``settled``.
 4. Candidates with accepted instances are reported as ``ctx`` spans.
 
 A token that also stands before ordinary words has a low confidence, which
@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound, kind_spans, match_spans, row_key, span_string, stored, text_or_empty
+from .common import bound, clear_of, kind_spans, match_spans, pieces, row_key, running_max, span_string, stored, text_or_empty
 
 #: The base patterns, written so that long runs are scanned once; matches are those of the plain forms.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -44,9 +44,10 @@ KINDS = [*BASE, "ctx"]
 LEFT = r"(?:[^\x00-\x2C./:-@\[-^`{-\x7F]++[!-,./:-@\[-^`{-~]*+|[!-,./:-@\[-^`{-~]++)"
 #: What may follow: punctuation and the word behind it, or punctuation alone.
 RIGHT = r"(?:[!-,./:-@\[-^`{-~]*+[^\x00-\x2C./:-@\[-^`{-\x7F]++|[!-,./:-@\[-^`{-~]++)"
-ROUNDS = 3
 MIN_SEEDS = 3
 ACCEPT = 0.6
+#: Rounds end when no candidate's confidence rises by more than this. Confidences only ever rise, so they do end.
+SETTLED = 0.0001
 
 
 def _digits(match: Column) -> Column:
@@ -86,13 +87,14 @@ def _instances(spans: Column, kind: str) -> Column:
 
 def _gaps(text: Column, spans: Column) -> Column:
     """What is left of a text between its spans, sorted by start: one more than there are spans."""
-    def between(ss: Column) -> Column:
+    def places(ss: Column, far: Column) -> Column:
         def gap(s: Column, k: Column) -> Column:
-            begin = F.when(k == 0, 0).otherwise(F.array_max(F.slice(ss["end"], F.lit(1), k)))  # spans may overlap
-            return F.when(s["start"] > begin, F.substring(text, begin + 1, s["start"] - begin)).otherwise("")
-        rest = F.substring(text, F.array_max(ss["end"]) + 1, F.length(text))
-        return F.concat(F.transform(ss, gap), F.array(rest))
-    return F.when(F.size(spans) > 0, bound(spans, between)).otherwise(F.array(text))
+            begin = F.coalesce(F.get(far, k - 1), F.lit(0))  # spans may overlap
+            return F.struct(begin.alias("start"), (s["start"] - begin).alias("n"))
+        end = F.element_at(far, -1)
+        return F.concat(F.transform(ss, gap), F.array(F.struct(end.alias("start"), (F.length(text) - end).alias("n"))))
+    between = bound(spans, lambda ss: bound(running_max(ss["end"]), lambda far: bound(places(ss, far), lambda ps: pieces(text, ps))))
+    return F.when(F.size(spans) > 0, between).otherwise(F.array(text))
 
 
 def _tokens(gaps: Column, pattern: str) -> Column:
@@ -121,8 +123,8 @@ def contexts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return parts, stored(words, "context-words")
 
 
-def bootstrap(parts: DataFrame, words: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS,
-              accept: float = ACCEPT) -> DataFrame:
+def bootstrap(parts: DataFrame, words: DataFrame, min_seeds: int = MIN_SEEDS, accept: float = ACCEPT,
+              settled: float = SETTLED) -> DataFrame:
     """(instance, confidence) of accepted candidates.
 
     ``parts`` has (kind, instance, left, right), kind ``ctx`` for candidates; ``words``
@@ -135,23 +137,26 @@ def bootstrap(parts: DataFrame, words: DataFrame, rounds: int = ROUNDS, min_seed
         F.max(F.col("kind") != "ctx").alias("seed"), F.count(F.lit(1)).alias("n_edge"))
     seeded = edges.groupBy("side", "word").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= min_seeds).select("side", "word")
     edges = stored(edges.join(seeded, ["side", "word"]).join(words, ["side", "word"]), "pattern-edges")
-    trusted = edges.groupBy("instance").agg(F.max("seed").alias("seed")).select(
-        "instance", F.when(F.col("seed"), 1.0).otherwise(0.0).alias("trust"))
-    for _ in range(rounds):
-        scored = edges.join(stored(trusted, "instance-trust"), "instance")
+    trusted = stored(edges.groupBy("instance").agg(F.max("seed").alias("seed")).select(
+        "instance", "seed", F.when(F.col("seed"), 1.0).otherwise(0.0).alias("trust")), "instance-trust")
+    while True:
+        scored = edges.join(trusted.select("instance", "trust"), "instance")
         patterns = scored.groupBy("side", "word").agg(
             F.sum((F.col("trust") > 0).cast("int")).alias("backers"),
             (F.sum(F.col("trust") * F.col("n_edge")) / F.max("n")).alias("confidence")).where(F.col("backers") >= min_seeds)
         # a share, never above 1; at 1 the logarithm of the doubt would not be finite
         patterns = stored(patterns.select("side", "word", F.least("confidence", F.lit(0.999999)).alias("confidence")), "pattern-confidence")
-        belief = edges.join(patterns, ["side", "word"], "left").groupBy("instance").agg(
-            F.max("seed").alias("seed"), F.sum(F.log(1 - F.coalesce("confidence", F.lit(0.0)))).alias("doubt"))
+        belief = scored.join(patterns, ["side", "word"], "left").groupBy("instance").agg(
+            F.max("seed").alias("seed"), F.max("trust").alias("before"),
+            F.sum(F.log(1 - F.coalesce("confidence", F.lit(0.0)))).alias("doubt"))
         confidence = F.round(1 - F.exp("doubt"), 9)
-        trusted = belief.select("instance", "seed", F.when(F.col("seed"), 1.0).when(confidence >= accept, confidence).otherwise(0.0).alias("trust"))
-    return trusted.where(~F.col("seed") & (F.col("trust") > 0)).select("instance", F.col("trust").alias("confidence"))
+        trust = F.when(F.col("seed"), 1.0).when(confidence >= accept, confidence).otherwise(0.0)
+        trusted = stored(belief.select("instance", "seed", "before", trust.alias("trust")), "instance-trust")
+        if (trusted.agg(F.max(F.col("trust") - F.col("before"))).first()[0] or 0.0) <= settled:
+            return trusted.where(~F.col("seed") & (F.col("trust") > 0)).select("instance", F.col("trust").alias("confidence"))
 
 
-def find_personal_data(docs: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS, accept: float = ACCEPT) -> DataFrame:
+def find_personal_data(docs: DataFrame, min_seeds: int = MIN_SEEDS, accept: float = ACCEPT, settled: float = SETTLED) -> DataFrame:
     """(doc_id, email, ip, card, phone, ctx): spans (kind, start, end) of every row."""
     text = F.col("text")
     rows = docs.select(row_key().alias("key"), "doc_id", text_or_empty().alias("text"))
@@ -160,12 +165,12 @@ def find_personal_data(docs: DataFrame, rounds: int = ROUNDS, min_seeds: int = M
     found = rows.select("key", "doc_id", "text", *[_instances(base[k], k).alias(k) for k in BASE],
                         _instances(match_spans(text, CANDIDATE, shape), "ctx").alias("other"))
     found = found.select("key", "doc_id", "text", F.concat(*BASE).alias("base"), "other")
-    clear = F.filter("other", lambda c: ~F.exists("base", lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"])))
+    clear = clear_of(F.col("other"), F.col("base"), "kind", "start", "end", "instance")
     found = stored(found.select("key", "doc_id", "base", clear.alias("other"), "text"), "personal-data-parts")
     ordered = F.sort_array(F.transform(F.concat("base", "other"), lambda s: F.struct(
         s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["instance"].alias("instance"))))
     parts, words = contexts(found.select("key", "text", ordered.alias("spans")))
-    accepted = stored(bootstrap(parts, words, rounds, min_seeds, accept), "accepted-instances")
+    accepted = stored(bootstrap(parts, words, min_seeds, accept, settled), "accepted-instances")
     spans = parts.where("kind = 'ctx'").join(accepted, "instance").select("key", "kind", "start", "end")
     # a document's spans are bounded by its own text
     ctx = spans.groupBy("key").agg(F.collect_list(F.struct("kind", "start", "end")).alias("ctx"))

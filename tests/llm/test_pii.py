@@ -1,8 +1,12 @@
 import collections
 import random
+import time
+
+from pyspark.sql import functions as F
 
 import edge
 import spans
+from readaloud.llm import common as C
 from readaloud.llm import pii as P
 
 
@@ -87,6 +91,66 @@ def test_no_token_is_beside_more_instances_than_it_is_counted(spark, monkeypatch
     assert all(n <= counted[x] for x, n in beside.items())
 
 
+def test_a_megabyte_of_numbers(spark):
+    """Spans that overlap and gaps are found without comparing spans pairwise."""
+    rng = random.Random(15)
+    kinds = [lambda: f"{rng.randint(0, 10 ** 7)}", lambda: "4111 1111 1111 1111", lambda: f"+1 555 {rng.randint(1000000, 9999999)}", lambda: "10.0.0.7",
+             lambda: f"ref {rng.randint(10 ** 6, 10 ** 8)}", lambda: "(a@b.com)"]
+    text = ", ".join(rng.choice(kinds)() for _ in range(90_000))
+    assert len(text) > 10 ** 6
+    begin = time.monotonic()
+    got = scan(spark, [text, "é" + text])
+    assert time.monotonic() - begin < 120
+    for i, t in enumerate([text, "é" + text]):
+        assert (got[i].n_email, got[i].n_ip, got[i].n_card, got[i].n_phone, got[i].base_sha256) == spans.digest(t, spans.personal, P.BASE)[:5]
+
+
+def test_candidates_clear_of_base_spans_and_gaps_between(spark):
+    rng = random.Random(16)
+    rows, want = [], []
+    for i in range(60):
+        n = rng.choice([0, 1, 5, 300, 900])
+        text = "".join(rng.choice("ab é中😀1\n") for _ in range(rng.choice([0, 7, 4096, 4097, 20_000])))
+        some = lambda k: sorted({(s, s + rng.randint(1, 9)) for s in (rng.randint(0, max(0, len(text) - 9)) for _ in range(k))}) if len(text) > 9 else []  # noqa: E731, B023
+        base, other = some(n), some(rng.choice([0, 3, 400]))
+        rows.append((i, text, base, other))
+        merged = sorted(base + other)
+        begins = [max((e for _, e in merged[:k]), default=0) for k in range(len(merged) + 1)]
+        gaps = [text[b:max(b, s)] for b, (s, _) in zip(begins, merged)] + [text[begins[-1]:]]
+        clear = sorted((s, e) for s, e in other if not any(bs < e and s < be for bs, be in base))
+        want.append((clear, gaps))
+    kind = "array<struct<start:int,end:int>>"
+    df = spark.createDataFrame(rows, f"i int, text string, base {kind}, other {kind}")
+    got = df.select("i", F.sort_array(C.clear_of(F.col("other"), F.col("base"), "start", "end")).alias("clear"),
+                    P._gaps(F.col("text"), F.sort_array(F.concat("base", "other"))).alias("gaps")).orderBy("i").collect()
+    assert [([tuple(x) for x in r.clear], r.gaps) for r in got] == want
+
+
+def test_planted_identifiers_are_found_and_plain_numbers_left(spark):
+    """Recall over ``spans`` of numbers behind labels that seeds have, and precision over numbers in prose."""
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    prose = lambda: " ".join(word() for _ in range(12))
+    labels = ["phone:", "tel", "mobile=", "call me at", "Fax", "<tel>"]
+    seeds = [f"{prose()} {labels[i % 6]} +1 555 01{i % 10} {1000 + i} {prose()}" for i in range(120)]
+    hidden = [f"{prose()} {labels[i % 6]} 555-02{i % 10}-{2000 + i} {prose()}" for i in range(60)]
+    plain = [f"{prose()} {word()} {7_000_000 + i} {prose()}" for i in range(60)]
+    got = scan(spark, seeds + hidden + plain)
+    ctx = [[s for s in got[i].spans.split(",") if s.startswith("ctx")] for i in range(240)]
+    caught = sum(f"ctx:{t.index('555-02')}:{t.index('555-02') + 12}" in c for t, c in zip(hidden, ctx[120:180]))
+    assert caught >= 54 and not any(ctx[180:])
+
+
+def test_rounds_go_on_until_nothing_rises(spark):
+    """Each group of numbers gives the next label away: a chain longer than any fixed number of rounds."""
+    labels = [f"lab-{c}" for c in "abcdefgh"]
+    texts = [f"aa {labels[0]} +1555010{1000 + i} zz{i}" for i in range(30)]
+    for k in range(7):
+        texts += [f"aa {labels[k]} 7{k}0010{i} zz" for i in range(3)] + [f"bb {labels[k + 1]} 7{k}0010{i} yy{n}" for i in range(3) for n in range(10)]
+    got = scan(spark, texts + [f"cc {labels[7]} 99887766 xx"])
+    assert got[len(texts)].spans == "ctx:9:17"
+
+
 def test_edge_rows(spark):
     rows = [*edge.doc_rows(), (None, "x@y.zz", "en", "s", 1), (7, "x@y.zz", "en", "s", 1), (7, "x@y.zz", "en", "s", 1)]
     got = P.personal_data_digest(P.find_personal_data(edge.frame(spark, rows))).collect()
