@@ -16,9 +16,11 @@ are the test queries, taken in blocks of bounded size. Per block:
    candidates by an equi-join on (row, position, word), never by term alone,
    so a frequent word costs nothing beyond its own postings.
 
-``proximity_matches`` uses the same index without run pruning: a window
-matches near a candidate start if each of its terms has a posting within
-``slop`` of its place.
+With ``slop`` there are proximity matches too: a window matches near a start if
+each of its terms stands within ``slop`` of its place. They need not lie in such a
+stretch, so their candidates come from the words as written, by the
+term that is rarest there, and carry the positions around them. ``proximity_matches``
+is the same by joins, on an index that keeps every posting and with the rarest term at its very place.
 
 Edge cases: null and empty texts have no words (not contaminated) and items
 without words have no window; equal windows of several items count for each; rows that repeat are
@@ -27,6 +29,8 @@ the id and text columns are read, so clashing names don't matter.
 """
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,6 +59,16 @@ def _bit_set(vocabulary: list[int]) -> tuple[Column, int]:
     return constant_array(cells, "bigint"), size
 
 
+def _in_set(vocabulary: list[int]):
+    """A predicate: whether a word's hash may be in the vocabulary."""
+    bits, size = _bit_set(vocabulary)
+
+    def hit(w: Column) -> Column:
+        at = F.pmod(F.xxhash64(w), F.lit(size))
+        return F.getbit(F.get(bits, F.shiftright(at, 5).cast("int")), at.bitwiseAND(F.lit(31)).cast("int")) == 1
+    return hit
+
+
 def _runs(words: Column, misses: Column, least: int) -> Column:
     """Stretches of at least ``least`` consecutive positions between misses, as (start, words)."""
     spans = F.transform(misses, lambda p, k: F.struct((p + 1).alias("start"), (F.get(misses, k + 1) - p - 1).alias("n")))
@@ -71,12 +85,10 @@ def numbered_words(docs: DataFrame) -> DataFrame:
 
 def positional_index(words: DataFrame, vocabulary: list[int], least: int) -> DataFrame:
     """(row, key, doc_id, n_words, runs): the postings of the vocabulary, one row per document of :func:`numbered_words`, in the shared folder."""
-    bits, size = _bit_set(vocabulary)
+    hit = _in_set(vocabulary)
 
     def missed(w: Column, i: Column) -> Column:
-        at = F.pmod(F.xxhash64(w), F.lit(size))
-        found = F.getbit(F.get(bits, F.shiftright(at, 5).cast("int")), at.bitwiseAND(F.lit(31)).cast("int"))
-        return F.when(found == 1, F.lit(-1)).otherwise(i)
+        return F.when(hit(w), F.lit(-1)).otherwise(i)
     misses = F.concat(F.array(F.lit(-1)), F.filter(F.transform("words", missed), lambda p: p >= 0), F.array(F.size("words")))
     marked = words.select("row", "key", "doc_id", "n_words", "words", misses.alias("misses"))
     return stored(marked.select("row", "key", "doc_id", "n_words",
@@ -116,7 +128,7 @@ def phrase_matches(index: DataFrame, windows: DataFrame) -> DataFrame:
 
 
 def proximity_matches(index: DataFrame, windows: DataFrame, slop: int) -> DataFrame:
-    """(window, row, start): rarest-term candidates with every term within ``slop`` positions of its place."""
+    """(window, row, start): rarest-term candidates of an index that keeps every posting (``least`` 1), with every term within ``slop`` positions of its place."""
     lists = postings(index)
     rare = stored(_rarest(windows, lists), "rarest-terms")
     candidates = lists.join(F.broadcast(rare), "word").select(  # a block has at most BLOCK windows
@@ -129,9 +141,43 @@ def proximity_matches(index: DataFrame, windows: DataFrame, slop: int) -> DataFr
     return met.groupBy("window", "row", "start", "len").count().where("count = len").select("window", "row", "start")
 
 
+def near_matches(words: DataFrame, windows: DataFrame, slop: int) -> DataFrame:
+    """(window, row): the rows of :func:`numbered_words` that hold every word of a window within ``slop`` positions of its place from some start.
+
+    A window's rarest term in the whole corpus names the candidates, which carry the positions around them, so that
+    the other terms' offset-adjusted places are met where the candidate stands: nothing is shuffled for each.
+    """
+    terms = stored(windows.select("window", F.size("words").alias("len"), F.posexplode("words").alias("at", "word")), "window-terms")
+    vocabulary = [r.h for r in terms.select("word").distinct().select(F.xxhash64("word").alias("h")).collect()]  # bounded by the block
+    counts = words.select(F.explode(F.filter("words", _in_set(vocabulary))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    best = terms.join(counts, "word").groupBy("window", "len").agg(
+        F.count(F.lit(1)).alias("seen"), F.min(F.struct("n", "at", "word")).alias("low")).where("seen = len")
+    rare = stored(windows.join(best, "window").select("window", F.col("words").alias("terms"), "low.at", "low.word"), "rarest-terms")
+    bounds = rare.agg(F.max(F.size("terms")).alias("width")).first()
+    around = (bounds.width or 1) - 1 + slop  # how far a window reaches to either side of any of its terms
+    anchors = [r.h for r in rare.select("word").distinct().select(F.xxhash64("word").alias("h")).collect()]  # bounded by the block
+    hit = _in_set(anchors)
+    low = lambda p: F.greatest(p - around, F.lit(0))
+    places = F.filter(F.transform("words", lambda w, p: F.when(hit(w), p)), lambda p: p.isNotNull())
+    found = words.select("row", F.inline(F.transform(places, lambda p: F.struct(
+        F.get("words", p).alias("word"), (p - low(p)).alias("pos"), F.slice("words", low(p) + 1, p - low(p) + around + 1).alias("near")))))
+    candidates = found.join(F.broadcast(rare), "word")  # a block has at most BLOCK windows
+
+    def near_place(start: Column, i: Column) -> Column:
+        first = F.greatest(start + i - slop, F.lit(0))
+        return F.array_contains(F.slice("near", first + 1, F.greatest(start + i + slop - first + 1, F.lit(0))), F.get("terms", i))
+    starts = F.sequence(F.col("pos") - F.col("at") - slop, F.col("pos") - F.col("at") + slop)
+    order = F.sequence(F.lit(0), F.size("terms") - 1)
+    return candidates.where(F.exists(starts, lambda start: F.forall(order, lambda i: near_place(start, i)))).select("window", "row").distinct()
+
+
 def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW, percent: int = 5,
-                  block: int = BLOCK) -> DataFrame:
-    """Row key, n_words, n_hit, the benchmark items found and the verdict for every row of ``docs``."""
+                  block: int = BLOCK, slop: int | None = None) -> DataFrame:
+    """Row key, n_words, n_hit, the benchmark items found and the verdict for every row of ``docs``.
+
+    With ``slop``, also ``near_items``: the items of which a window's words all stand within so many
+    positions of their places. They don't change the verdict.
+    """
     per_item = stored(benchmark_windows(bench.select("item_id", "text"), window), "benchmark-windows")
     distinct = stored(per_item.select("words").distinct().select(
         F.monotonically_increasing_id().alias("window"), "words"), "distinct-windows")
@@ -139,7 +185,7 @@ def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW, perce
     n = distinct.count()
     n_blocks = max(1, -(-n // block))
     words = numbered_words(docs)
-    found = []
+    found, near = [], []
     for k in range(n_blocks):
         part = distinct.where(F.pmod(F.xxhash64("window"), F.lit(n_blocks)) == k)
         terms = part.select(F.explode("words").alias("w")).distinct().select(F.xxhash64("w").alias("h"))
@@ -147,18 +193,24 @@ def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW, perce
         least = part.agg(F.min(F.size("words"))).first()[0] or window
         index = positional_index(words, vocabulary, least)
         found.append(phrase_matches(index, part))
-    hits = found[0]
-    for more in found[1:]:
-        hits = hits.unionByName(more)
-    hits = stored(hits, "phrase-matches")
+        if slop is not None:
+            near.append(near_matches(words, part, slop))
+    hits = stored(reduce(DataFrame.unionByName, found), "phrase-matches")
     covered = hits.select("row", F.explode(F.sequence("start", F.col("start") + F.col("len") - 1)).alias("pos")).distinct() \
         .groupBy("row").agg(F.count(F.lit(1)).alias("n_hit"))
-    which = hits.select("window", "row").distinct().join(items, "window").select("row", F.col("item_id").cast("string").alias("item_id")) \
-        .distinct().groupBy("row").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
-    per_row = stored(covered.join(which, "row"), "contaminated-rows")
+
+    def items_of(matches: DataFrame, name: str) -> DataFrame:
+        named = matches.select("window", "row").distinct().join(items, "window").select("row", F.col("item_id").cast("string").alias("item_id"))
+        return named.distinct().groupBy("row").agg(F.array_sort(F.collect_set("item_id")).alias(name))
+    per_row = covered.join(items_of(hits, "items"), "row")
+    if slop is not None:
+        # every exact match is a near one too
+        per_row = items_of(stored(reduce(DataFrame.unionByName, near), "proximity-matches"), "near_items").join(per_row, "row", "left")
+    per_row = stored(per_row, "contaminated-rows")
     base = words.select("row", "key", "doc_id", "n_words")
+    lists = ["items"] if slop is None else ["items", "near_items"]
     out = base.join(per_row, "row", "left").select(
         "key", "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"),
-        F.coalesce("items", F.array().cast("array<string>")).alias("items"))
-    return out.select("key", "doc_id", "n_words", "n_hit", "items",
+        *[F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in lists])
+    return out.select("key", "doc_id", "n_words", "n_hit", *lists,
                       ((F.col("n_hit") > 0) & (100 * F.col("n_hit") >= percent * F.col("n_words"))).alias("contaminated"))

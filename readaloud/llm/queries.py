@@ -24,6 +24,8 @@ from .warc import write_and_read
 from .whitening import whiten
 
 TOKEN_LIMIT = 512
+#: How far from its place a word of a benchmark window may stand in a proximity match.
+SLOP = 2
 #: The schema of the call that every user turn is taken for.
 TOOLS = {"answer": {"required": ["question", "chars", "turn"], "properties": {
     "question": {"type": "string", "minLength": 1, "maxLength": 1000},
@@ -76,9 +78,10 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = contamination(documents(spark, sf_dir), read_table(spark, sf_dir, "benchmark", "item_id", "text"))
+    found = contamination(documents(spark, sf_dir), read_table(spark, sf_dir, "benchmark", "item_id", "text"), slop=SLOP)
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
-                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated",
+                        F.size("near_items").cast("bigint").alias("n_near_items"))
 
 
 def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,10 +182,21 @@ dw AS (SELECT doc_id, i, z, list_slice(w, i, i + z - 1) AS win FROM dz),
 h AS (SELECT doc_id, i, z, item_id FROM dw JOIN bw ON dw.win = bw.win),
 p AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(i, i + z)) AS pos FROM h) GROUP BY doc_id),
 t AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items
-      FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM h) GROUP BY doc_id)
+      FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM h) GROUP BY doc_id),
+wt AS (SELECT win, len(win) AS z, unnest(win) AS word, unnest(range(0, len(win))) AS place FROM (SELECT DISTINCT win FROM bw)),
+dp AS (SELECT doc_id, unnest(w) AS word, unnest(range(0, len(w))) AS pos FROM d),
+fr AS (SELECT word, count(*) AS n FROM dp GROUP BY word),
+ra AS (SELECT win, min(z) AS z, arg_min(word, (n, place)) AS word, arg_min(place, (n, place)) AS place
+       FROM wt JOIN fr USING (word) GROUP BY win HAVING count(*) = min(z)),
+st AS (SELECT DISTINCT dp.doc_id, win, dp.pos - place + s.s AS start FROM ra JOIN dp ON ra.word = dp.word, (SELECT unnest(range(-2, 3)) AS s) s),
+nr AS (SELECT DISTINCT st.doc_id, win FROM st JOIN d ON st.doc_id = d.doc_id
+       WHERE len(list_filter(range(1, len(win) + 1), lambda i: list_contains(
+           list_slice(w, greatest(start + i - 2, 1), greatest(start + i + 2, 0)), win[i]))) = len(win)),
+ni AS (SELECT doc_id, count(DISTINCT item_id) AS n_near_items FROM nr JOIN bw ON nr.win = bw.win GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated
-FROM d LEFT JOIN p ON d.doc_id = p.doc_id LEFT JOIN t ON d.doc_id = t.doc_id
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated,
+       coalesce(n_near_items, 0) AS n_near_items
+FROM d LEFT JOIN p ON d.doc_id = p.doc_id LEFT JOIN t ON d.doc_id = t.doc_id LEFT JOIN ni ON d.doc_id = ni.doc_id
 """
 
 #: Every kept term of every group, and all ordered pairs of groups joined on it.

@@ -87,6 +87,42 @@ def test_proximity(spark):
     assert near[1] == near[2] == {1, 2} and near[3] == {1, 2, 3, 5}
 
 
+def near_brute(docs, bench, slop, window=13):
+    """(doc_id, items): every start of every window in every text tried."""
+    wins = collections.defaultdict(set)
+    for item, text in bench:
+        w = edge.words(text)
+        for k in range(max(1, len(w) - window + 1) if w else 0):
+            wins[tuple(w[k:k + window])].add(str(item))
+    out = collections.Counter()
+    for r in docs:
+        at = collections.defaultdict(list)
+        for p, x in enumerate(edge.words(r[1])):
+            at[x].append(p)
+        items = set()
+        for win, named in wins.items():
+            fits = [{p - i + d for p in at[x] for d in range(-slop, slop + 1)} for i, x in enumerate(win)]
+            if set.intersection(*fits):
+                items |= named
+        out[(r[0], tuple(sorted(items)))] += 1
+    return out
+
+
+@pytest.mark.parametrize("block", [20_000, 9])
+def test_proximity_against_plain_python(spark, block):
+    rows = edge.doc_rows()
+    bench = [r for r in bench_rows(rows) if r[0] is not None]
+    some = edge.words(rows[60][1])
+    moved = some[:200] + ["inserted", "inserted"] + some[200:]
+    rows += [(2000, " ".join(moved[196:212]), "en", "s", 1), (2001, " ".join(some[190:197] + some[198:206]), "en", "s", 1), (2002, "x " * 40, "en", "s", 1)]
+    bench += [(20, " ".join(some[194:207])), (21, " ".join(some[196:209])), (22, "x x x x"), (23, "the of x1 never-seen-word")]
+    got = collections.Counter((r.doc_id, tuple(r["near_items"])) for r in D.contamination(
+        edge.frame(spark, rows), spark.createDataFrame(bench, BENCH), block=block, slop=2).collect())
+    assert got == near_brute(rows, bench, 2)
+    by_id = dict(got)
+    assert (2000, ("21",)) in by_id and any(k[0] == 2002 and "22" in k[1] for k in by_id)
+
+
 def _hashes(spark, words):
     from pyspark.sql import functions as F
     df = spark.createDataFrame([(w,) for w in words], "w string")
