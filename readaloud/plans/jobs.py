@@ -1,7 +1,10 @@
 """Job, request, quota, status and report queries."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import os
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import ADMISSION_LIMIT, AUDIO_DIR, DEFAULT_VOICE, DOWNLOAD_DEFAULT_NAME, GUEST_CONVERSION_LIMIT, RESULT_TITLE, SHARE_MAIL, VOICES
@@ -10,7 +13,10 @@ from ..functions.text import content_hash
 from ..functions.urls import domain, form_field, is_form, is_http_url, is_valid_url, matches_url_pattern
 from ..operators.chunks import seconds
 from ..operators.jobs import admit, cache_lookup, first_per_key, status_json
+from ..schemas import CONTENT
+from ..session import ensure_checkpoint_dir
 from ..sources import fixtures as X
+from ..sources.store import current, read_versions, write_version
 from ..sources.tables import filter_computed, read_table
 from .pages import page_jobs
 
@@ -153,8 +159,16 @@ def job_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     with success. The stored voice is the requested one.
     """
     c = X.content_jobs(spark, sf_dir)
-    pending = c.where(~F.col("is_processed") & ~F.col("is_processing")).select(F.col("id").alias("page_id"))
-    run = page_jobs(spark, sf_dir, pending)
+    return _outcomes(spark, sf_dir, c, c.where(_waits()))
+
+
+def _waits() -> Column:
+    return ~F.col("is_processed") & ~F.col("is_processing")
+
+
+def _outcomes(spark: SparkSession, sf_dir: str, c: DataFrame, to_run: DataFrame) -> DataFrame:
+    """The content rows ``c`` after the jobs ``to_run`` (some of them) have run."""
+    run = page_jobs(spark, sf_dir, to_run.select(F.col("id").alias("page_id")))
     res = run.select(F.col("content_id").alias("id"), F.col("title").alias("new_title"), "original_text", "processed_text",
                      F.col("word_count").alias("new_words"), F.col("error").alias("new_error"), F.lit(True).alias("ran"))
     j = c.join(res, "id", "left")
@@ -177,6 +191,41 @@ def job_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("*", S.content_status(F.col("is_processed"), F.col("is_processing"), F.col("error")).alias("status"))
 
 
+def _stored_content(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of a content table to which rows were added and whose waiting jobs were marked, a version per write.
+
+    Version 0 holds the rows of no feed, as written before the feed column existed; version 1
+    adds the entries of feeds; version 2 marks every waiting job as taken.
+    """
+    path = os.path.join(ensure_checkpoint_dir(spark), "readaloud-content", uuid.uuid4().hex)
+    c = X.content_jobs(spark, sf_dir)
+    write_version(c.where(F.col("feed_id").isNull()).drop("feed_id"), path, 0)
+    write_version(c.where(F.col("feed_id").isNotNull()), path, 1)
+    waiting = current(spark, path, CONTENT, upto=1).where(_waits()).drop("version")
+    write_version(waiting.withColumn("is_processing", F.lit(True)), path, 2)
+    return path
+
+
+def content_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The processing marks: a stored row for every job that was taken, beside the waiting row it replaces."""
+    rows = read_versions(spark, _stored_content(spark, sf_dir), CONTENT)
+    marks = rows.where("version = 2").select("id", "url", "version", "is_processed", "is_processing", "error", _status(rows).alias("status"))
+    before = rows.where("version < 2").select("id", F.col("version").alias("replaces"), _status(rows).alias("status_before"))
+    return marks.join(before, "id")
+
+
+def content_current(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored content table after the marked jobs have run: the latest version of every row."""
+    path = _stored_content(spark, sf_dir)
+    taken = current(spark, path, CONTENT, upto=2).where("version = 2").drop("version")
+    ran = _outcomes(spark, sf_dir, taken.drop("original_text", "processed_text"), taken).drop("status")
+    kept = [n for n in taken.columns if n not in ran.columns]
+    write_version(taken.select("id", *kept).join(ran, "id"), path, 3)
+    rows = current(spark, path, CONTENT)
+    return rows.select("id", "url", "feed_id", "user_id", "version", "is_processed", "is_processing", "error", "title", "original_text",
+                       "processed_text", "word_count", "content_hash", "file_path", "duration", "voice", _status(rows).alias("status"))
+
+
 def request_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON request bodies -> accepted request or error message, with the URL lookup."""
     e = read_table(spark, sf_dir, "events", "event_id")

@@ -196,6 +196,20 @@ def job_outcomes() -> str:
     return d.with_ctes(*ctes) + f"SELECT *, {STATUS} AS status FROM y"
 
 
+def content_marks() -> str:
+    return d.with_ctes(d.CONTENT_JOBS) + (
+        "SELECT id, url, 2 AS version, is_processed, true AS is_processing, error, 'processing' AS status, "
+        "CASE WHEN feed_id IS NULL THEN 0 ELSE 1 END AS replaces, 'pending' AS status_before "
+        "FROM content_jobs WHERE NOT is_processed AND NOT is_processing")
+
+
+def content_current() -> str:
+    before = d.with_ctes(d.CONTENT_JOBS) + (
+        "SELECT id, url, feed_id, user_id, CASE WHEN NOT is_processed AND NOT is_processing THEN 3 "
+        "WHEN feed_id IS NULL THEN 0 ELSE 1 END AS version FROM content_jobs")
+    return f"SELECT b.*, o.* EXCLUDE (id) FROM ({before}) b JOIN ({job_outcomes()}) o ON b.id = o.id"
+
+
 def request_parse() -> str:
     url = "'http://h' || CAST(event_id % 1000 AS VARCHAR) || '.example.com/p'"
     v = d.voice_by("event_id")

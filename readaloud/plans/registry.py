@@ -63,6 +63,8 @@ REGISTRY: dict[str, tuple[Builder, Callable[[], str] | None]] = {
     "web_status": (jobs.web_status, jobs_sql.web_status),
     "output_paths": (jobs.output_paths, jobs_sql.output_paths),
     "job_outcomes": (jobs.job_outcomes, jobs_sql.job_outcomes),
+    "content_marks": (jobs.content_marks, jobs_sql.content_marks),
+    "content_current": (jobs.content_current, jobs_sql.content_current),
     "request_form": (jobs.request_form, jobs_sql.request_form),
     "request_parse": (jobs.request_parse, jobs_sql.request_parse),
     "url_domain_counts": (jobs.url_domain_counts, jobs_sql.url_domain_counts),
