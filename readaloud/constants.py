@@ -27,6 +27,11 @@ PARSE_ERROR = "Could not parse feed: "
 UNTITLED_POST = "Untitled Post"
 RESULT_TITLE = "Blog Post Converted"
 UNNAMED_FEED = "Unnamed Feed"
+URL_MISSING = "URL is required"
+URL_INVALID = "Invalid URL format"
+# Labels of a content row's status, then of a feed's; the last one stands for every other status.
+BADGES = {"completed": "Ready to Play", "processing": "Processing", "pending": "Pending", "error": "Error"}
+FEED_BADGES = {"active": "Active", "error": "Error", "inactive": "Inactive"}
 AUDIO_DIR = "static/audio/"
 EMAIL_PLACEHOLDER = "[EMAIL REMOVED]"
 

@@ -8,7 +8,7 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..constants import AUDIO_DIR, DEFAULT_VOICE, FEED_ERROR_THRESHOLD
+from ..constants import AUDIO_DIR, BADGES, DEFAULT_VOICE, FEED_BADGES, FEED_ERROR_THRESHOLD
 from .regex import WS, let
 
 
@@ -30,17 +30,18 @@ def feed_status(is_active: Column, error_count: Column) -> Column:
             .otherwise(F.lit("active")))
 
 
+def _label(status: Column, labels: dict[str, str]) -> Column:
+    """The label of a status; the last label is that of every other one."""
+    *known, (_, rest) = labels.items()
+    return F.coalesce(*[F.when(status == name, F.lit(label)) for name, label in known], F.lit(rest))
+
+
 def status_badge(status: Column) -> Column:
-    return (F.when(status == "completed", F.lit("Ready to Play"))
-            .when(status == "processing", F.lit("Processing"))
-            .when(status == "pending", F.lit("Pending"))
-            .otherwise(F.lit("Error")))
+    return _label(status, BADGES)
 
 
 def feed_badge(status: Column) -> Column:
-    return (F.when(status == "active", F.lit("Active"))
-            .when(status == "error", F.lit("Error"))
-            .otherwise(F.lit("Inactive")))
+    return _label(status, FEED_BADGES)
 
 
 def web_path(file_path: Column) -> Column:

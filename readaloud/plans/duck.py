@@ -18,6 +18,11 @@ def q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+def label(status: str, labels: dict[str, str]) -> str:
+    *known, (_, rest) = labels.items()
+    return "CASE " + " ".join(f"WHEN {status} = {q(name)} THEN {q(text)}" for name, text in known) + f" ELSE {q(rest)} END"
+
+
 TAG_RUN = (r"(?s)(?:<(?:[A-Za-z][^\s/>]*(?:" + '"[^"]*"' + r"|'[^']*'|[^'" + '"' + r">])*"
            r"|/[A-Za-z][^>]*|!--.*?--|![^>]*|\?[^>]*)>)+")
 ENTITY = r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);?"

@@ -1,6 +1,7 @@
 """Oracle SQL (DuckDB) for the feed queries."""
 from __future__ import annotations
 
+from ..constants import BADGES, FEED_BADGES
 from . import duck as d
 from .jobs_sql import STATUS, truthy
 
@@ -133,13 +134,12 @@ def feed_listing() -> str:
     st = "CASE WHEN NOT is_active THEN 'inactive' WHEN error_count > 3 THEN 'error' ELSE 'active' END"
     return d.with_ctes(d.FEEDS, f"x AS (SELECT *, {st} AS st FROM feeds)") + (
         f"SELECT id, CASE WHEN {truthy('title')} THEN title ELSE 'Unnamed Feed' END AS display_title, url, "
-        "CASE WHEN st = 'active' THEN 'Active' WHEN st = 'error' THEN 'Error' ELSE 'Inactive' END AS badge, "
+        f"{d.label('st', FEED_BADGES)} AS badge, "
         "coalesce(strftime(last_checked, '%Y-%m-%d %H:%M'), 'Never') AS checked FROM x")
 
 
 def feed_content_listing() -> str:
-    badge = ("CASE WHEN st = 'completed' THEN 'Ready to Play' WHEN st = 'processing' THEN 'Processing' "
-             "WHEN st = 'pending' THEN 'Pending' ELSE 'Error' END")
+    badge = d.label("st", BADGES)
     return d.with_ctes(d.CONTENT_JOBS, d.FEEDS,
                        f"c AS (SELECT *, {STATUS} AS st FROM content_jobs WHERE feed_id IS NOT NULL)") + (
         f"SELECT c.id, CASE WHEN {truthy('c.title')} THEN c.title ELSE 'Untitled Post' END AS display_title, c.feed_id, "

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..constants import ADMISSION_LIMIT, AUDIO_DIR, DEFAULT_VOICE, DOWNLOAD_DEFAULT_NAME, GUEST_CONVERSION_LIMIT, RESULT_TITLE, SHARE_MAIL, VOICES
+from ..constants import ADMISSION_LIMIT, AUDIO_DIR, DEFAULT_VOICE, DOWNLOAD_DEFAULT_NAME, GUEST_CONVERSION_LIMIT, RESULT_TITLE, SHARE_MAIL, URL_INVALID, URL_MISSING, VOICES
 from ..functions import status as S
 from ..functions.text import content_hash
 from ..functions.urls import domain, form_field, is_form, is_http_url, is_valid_url, matches_url_pattern
@@ -241,9 +241,9 @@ def request_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.array_contains(F.json_object_keys("body"), F.lit("url")).alias("given"))
     p = parsed.select("request_id", F.col("j.url").alias("url"), F.col("j.voice").alias("voice"), "given")
     # a body with a null url names the field, so it is invalid and not missing
-    msg = (F.when(~F.coalesce("given", F.lit(False)), F.lit("URL is required"))
-           .when(F.col("url").isNull(), F.lit("Invalid URL format"))
-           .when(~is_valid_url(F.col("url")), F.lit("Invalid URL format")))
+    msg = (F.when(~F.coalesce("given", F.lit(False)), F.lit(URL_MISSING))
+           .when(F.col("url").isNull(), F.lit(URL_INVALID))
+           .when(~is_valid_url(F.col("url")), F.lit(URL_INVALID)))
     p = p.select("request_id", "url", S.requested_voice(F.col("voice")).alias("voice"), msg.alias("message"))
     first = first_per_key(X.content_log(spark, sf_dir), "url", "id", ["id"])
     j = p.join(first, "url", "left")

@@ -1,7 +1,7 @@
 """Oracle SQL (DuckDB) for the job, request, status and report queries."""
 from __future__ import annotations
 
-from ..constants import DEFAULT_VOICE, DOWNLOAD_DEFAULT_NAME, GUEST_CONVERSION_LIMIT, VOICES
+from ..constants import BADGES, DEFAULT_VOICE, DOWNLOAD_DEFAULT_NAME, GUEST_CONVERSION_LIMIT, URL_INVALID, URL_MISSING, VOICES
 from . import duck as d
 from .jobs import ADMISSION_LIMIT, BAD_URLS, BASE_URL
 from .pages_sql import _extract_ctes, _speech_ctes
@@ -73,8 +73,7 @@ def content_next_view() -> str:
 
 
 def content_downloadable() -> str:
-    badge = ("CASE WHEN st = 'completed' THEN 'Ready to Play' WHEN st = 'processing' THEN 'Processing' "
-             "WHEN st = 'pending' THEN 'Pending' ELSE 'Error' END")
+    badge = d.label("st", BADGES)
     chosen = f"CASE WHEN {truthy('title')} THEN title ELSE {d.q(DOWNLOAD_DEFAULT_NAME)} END"
     name = f"{secure_filename(chosen)} || '.mp3'"
     return d.with_ctes(d.CONTENT_JOBS, f"c AS (SELECT *, {STATUS} AS st FROM content_jobs)") + (
@@ -225,7 +224,7 @@ def request_parse() -> str:
         f"CASE WHEN {ok_json} THEN json_extract_string(body, '$.voice') END AS voice, "
         f"CASE WHEN {ok_json} THEN list_contains(json_keys(body), 'url') ELSE false END AS given FROM b)",
         f"m AS (SELECT request_id, url, given, coalesce(voice, {d.q(DEFAULT_VOICE)}) AS voice, "
-        f"CASE WHEN NOT given THEN 'URL is required' WHEN url IS NULL OR NOT {is_valid('url')} THEN 'Invalid URL format' END AS message FROM p)",
+        f"CASE WHEN NOT given THEN {d.q(URL_MISSING)} WHEN url IS NULL OR NOT {is_valid('url')} THEN {d.q(URL_INVALID)} END AS message FROM p)",
         "f AS (SELECT url, min(id) AS id FROM content_log GROUP BY url)",
     ) + ("SELECT m.request_id, CASE WHEN message IS NULL THEN 'ok' ELSE 'error' END AS status, message, m.url, voice, "
          "CASE WHEN message IS NULL THEN f.id END AS content_id FROM m LEFT JOIN f ON m.url = f.url")
