@@ -39,6 +39,20 @@ def _tokens(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, rf"{WS}+", -1), one), lambda t: t["type"] != "")
 
 
+def _ends(word: Column) -> Column:
+    return F.endswith(word, F.lit(".")) | F.endswith(word, F.lit("!")) | F.endswith(word, F.lit("?"))
+
+
+def _type(word: Column) -> Column:
+    """Lower case, without the last mark that may end a sentence."""
+    return F.lower(F.when(_ends(word), F.left(word, F.length(word) - 1)).otherwise(word))
+
+
+def _words(text: Column) -> Column:
+    """The words that have a type; trimming and the test are all that is done per array element, the rest per row."""
+    return F.filter(F.transform(F.split(text, rf"{WS}+", -1), lambda w: F.btrim(w, F.lit(_OUTER))), lambda w: ~w.isin("", ".", "!", "?"))
+
+
 def _xlny(x: Column, y: Column) -> Column:
     return F.when(x == 0, F.lit(0.0)).otherwise(x * F.ln(y))
 
@@ -55,10 +69,13 @@ def _ratio(a: Column, b: Column, ab: Column, n: Column) -> Column:
 
 def sentence_model(texts: DataFrame, text: str = "text") -> DataFrame:
     """(kind, type, follower, score) learned from a column of texts; kind is abbreviation, starter or collocation."""
-    rows = texts.select(_tokens(F.col(text)).alias("ts")).select(F.explode(F.transform("ts", lambda t, i: F.struct(
-        t["type"].alias("type"), t["dot"].alias("dot"), t["ends"].alias("ends"), F.get("ts", i + 1)["type"].alias("next")))).alias("t")).select("t.*")
-    # one pass over the texts: pairs of a type and its follower, with partial sums
-    pairs = rows.groupBy("type", "dot", "ends", "next").agg(F.count("*").alias("n")).transform(_reused)
+    # an outer explode: a plain one has the words computed a second time to see whether there are any
+    words = texts.select(F.explode_outer(let(_words(F.col(text)), lambda ws: F.transform(ws, lambda w, i: F.struct(
+        w.alias("word"), F.get(ws, i + 1).alias("next"))))).alias("t")).where(F.col("t").isNotNull()).select("t.*")
+    # one pass over the texts, with partial sums; only what stands after a possible end is ever asked for, so only there the pair is kept
+    ends = _ends(F.col("word"))
+    pairs = words.groupBy(_type(F.col("word")).alias("type"), F.endswith("word", F.lit(".")).alias("dot"), ends.alias("ends"),
+                          F.when(ends, _type(F.col("next"))).alias("next")).agg(F.count("*").alias("n")).transform(_reused)
     types = pairs.groupBy("type").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("dot"), F.col("n")).otherwise(0)).alias("dots"))
     total = types.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("dots"), F.lit(0)).alias("dots")).first()  # one row
     all_n, all_dots = F.lit(float(total["n"])), F.lit(float(total["dots"]))

@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from readaloud.operators import sentences
 from readaloud.operators.sentences import sentence_model, split_sentences
 
 
@@ -62,3 +63,13 @@ def test_sentences_keep_every_character(spark, model):
     rows = spark.createDataFrame(list(enumerate(prose(9, 60))), "id int, text string")
     for r in split_sentences(rows, model, "id").where(F.size("sentences") > 0).collect():
         assert " ".join(r.sentences) == r.text
+
+
+def test_pairs_are_kept_only_after_a_possible_end(spark, monkeypatch):
+    """What is counted grows with the words and the sentence ends, not with every two words that stand together."""
+    counted, reused = [], sentences._reused
+    monkeypatch.setattr(sentences, "_reused", lambda df: counted.append(reused(df)) or counted[-1])
+    sentence_model(spark.createDataFrame([(" ".join(f"w{i} w{j}" for i in range(40) for j in range(40)) + ". Then w1! w2? ...",)], "text string")).collect()
+    assert {(r.type, r.dot, r.ends, r.next, r.n) for r in counted[0].where("ends").collect()} == {
+        ("w39", True, True, "then", 1), ("w1", False, True, "w2", 1), ("w2", False, True, "..", 1), ("..", True, True, None, 1)}
+    assert counted[0].count() == 40 + 1 + 4
