@@ -9,7 +9,7 @@ a whole corpus, by likelihood ratios per type (Kiss and Strunk, 2006):
 
 A break of the plain rule is taken back after an abbreviation, unless a capitalised starter follows, and inside a
 collocation. Counting is hash aggregation with partial sums; splitting is row-local, with the model as literals up to
-``MAX_LITERALS`` entries and by joins on the types a row needs beyond that.
+``MAX_LITERALS`` entries and by joins on the types around each break beyond that.
 """
 from __future__ import annotations
 
@@ -24,21 +24,14 @@ MIN_STARTER = 30.0
 MIN_COLLOCATION = 7.88
 #: A model of more entries is joined instead of written into the plan.
 MAX_LITERALS = 1000
+#: Up to so many entries (about 10 MB) the join sends the model to every task; beyond that both sides are shuffled by type.
+MAX_BROADCAST = 100_000
 
 _OUTER = "\"'()[]{}«»“”‘’*"
 _WORD = r"^\p{L}[\p{L}.]*$"
 _NUMBER = r"^\p{Nd}+$"
 
 
-def _tokens(text: Column) -> Column:
-    """(type, dot, ends, upper) of the words: ``type`` is lower-case without its last period, ``ends`` a mark that may end a sentence."""
-    def one(w):
-        return let(F.btrim(w, F.lit(_OUTER)), lambda x: F.struct(
-            F.lower(F.regexp_replace(x, r"[.!?]$", "")).alias("type"), F.endswith(x, F.lit(".")).alias("dot"),
-            x.rlike("[.!?]$").alias("ends"), x.rlike(r"^\p{Lu}").alias("upper")))
-    return F.filter(F.transform(F.split(text, rf"{WS}+", -1), one), lambda t: t["type"] != "")
-
-
 def _ends(word: Column) -> Column:
     return F.endswith(word, F.lit(".")) | F.endswith(word, F.lit("!")) | F.endswith(word, F.lit("?"))
 
@@ -110,16 +103,32 @@ def _reused(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def _splits(text: Column, is_abbreviation, is_starter, is_pair) -> Column:
-    """Sentences of a text; the three tests take a type, a type, and a type and its follower."""
+def _last_word(piece: Column) -> Column:
+    return F.btrim(F.element_at(F.split(piece, rf"{WS}+", -1), -1), F.lit(_OUTER))
+
+
+def _first_word(piece: Column) -> Column:
+    return F.btrim(F.element_at(F.split(piece, rf"{WS}+", 2), 1), F.lit(_OUTER))
+
+
+def _breaks(pieces: Column) -> Column:
+    """(place, left, right, capital) of the breaks after a period: its piece's place, the types on either side, and the right word's first letter."""
+    def at(i):
+        return let(F.struct(_last_word(F.get(pieces, i - 1)).alias("l"), _first_word(F.get(pieces, i)).alias("r")), lambda x: F.struct(
+            i.alias("place"), F.lower(F.regexp_replace(x["l"], r"\.$", "")).alias("left"), _type(x["r"]).alias("right"),
+            x["r"].rlike(r"^\p{Lu}").alias("capital")))
+    after = F.filter(F.sequence(F.lit(0), F.size(pieces) - 1), lambda i: (i > 0) & F.endswith(F.get(pieces, i - 1), F.lit(".")))
+    return F.filter(F.transform(after, at), lambda x: x["left"] != "")
+
+
+def _glues(left, right, capital, is_abbreviation, is_starter, is_pair) -> Column:
+    return (is_abbreviation(left) & ~(capital & is_starter(right))) | is_pair(left, right)
+
+
+def _joined(text: Column, glued) -> Column:
+    """Sentences of a text; ``glued`` gives the places among the pieces of the plain rule whose break is taken back."""
     def joined(pieces, gaps):
-        def glued(i):
-            left = let(F.btrim(F.element_at(F.split(F.get(pieces, i - 1), rf"{WS}+", -1), -1), F.lit(_OUTER)), lambda w: F.when(
-                F.endswith(w, F.lit(".")), F.lower(F.regexp_replace(w, r"\.$", ""))).otherwise(""))
-            right = F.btrim(F.get(F.split(F.get(pieces, i), rf"{WS}+", -1), F.lit(0)), F.lit(_OUTER))
-            return let(F.struct(left.alias("l"), right.alias("r")), lambda x: (x["l"] != "") & let(F.lower(F.regexp_replace(x["r"], r"[.!?]$", "")), lambda r: (
-                (is_abbreviation(x["l"]) & ~(x["r"].rlike(r"^\p{Lu}") & is_starter(r))) | is_pair(x["l"], r))))
-        starts = F.filter(F.sequence(F.lit(0), F.size(pieces) - 1), lambda i: (i == 0) | ~glued(i))
+        starts = F.array_except(F.sequence(F.lit(0), F.size(pieces) - 1), glued(pieces))
         spaced = F.transform(pieces, lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.get(gaps, i - 1), p)))
         return let(F.struct(starts.alias("s"), spaced.alias("p")), lambda x: F.transform(x["s"], lambda at, k: F.concat(
             F.get(pieces, at), F.array_join(F.slice(x["p"], at + 2, F.coalesce(F.get(x["s"], k + 1), F.size(pieces)) - at - 1), ""))))
@@ -131,7 +140,7 @@ def split_sentences(rows: DataFrame, model: DataFrame, key: str, text: str = "te
     """``rows`` with ``sentences``, an array of strings; null texts give null.
 
     ``key`` names the rows (rows that share one, or have none, are still split each by its own text). A small model is written
-    into the plan; a large one is joined by the types before and after each break, so that no task holds it.
+    into the plan; a large one is joined by the types before and after each break.
     """
     model = model.checkpoint()
     entries = model.limit(max_literals + 1).collect()
@@ -141,18 +150,19 @@ def split_sentences(rows: DataFrame, model: DataFrame, key: str, text: str = "te
         def among(values: list) -> Column:
             return lambda x: x.isin(*values) if values else F.lit(False)
         pairs = among([f"{e['type']} {e['follower']}" for e in by["collocation"]])
-        return rows.withColumn("sentences", _splits(F.col(text), among([e["type"] for e in by["abbreviation"]]), among([e["type"] for e in by["starter"]]),
-                                                    lambda a, b: pairs(F.concat_ws(" ", a, b))))
-    # what a row could ask for: every type in it, and every pair of neighbours
-    ts = _tokens(F.col(text))
-    asked = rows.select(F.col(key).alias("_key"), let(ts, lambda x: F.array_distinct(F.flatten(F.transform(x, lambda t, i: F.array(
-        F.struct(F.lit("abbreviation").alias("kind"), t["type"].alias("entry")), F.struct(F.lit("starter").alias("kind"), t["type"].alias("entry")),
-        F.struct(F.lit("collocation").alias("kind"), F.concat_ws(" ", t["type"], F.get(x, i + 1)["type"]).alias("entry"))))))).alias("a"))
-    known = model.select("kind", F.concat_ws(" ", "type", "follower").alias("entry"))
-    held = asked.select("_key", F.inline("a")).join(known, ["kind", "entry"]).groupBy("_key").agg(
-        *[F.collect_set(F.when(F.col("kind") == k, F.col("entry"))).alias(f"_{k}") for k in ("abbreviation", "starter", "collocation")])
-    joined = rows.join(held, F.col(key).eqNullSafe(F.col("_key")), "left")
-    has = {k: F.coalesce(F.col(f"_{k}"), F.array().cast("array<string>")) for k in ("abbreviation", "starter", "collocation")}
-    split = _splits(F.col(text), lambda x: F.array_contains(has["abbreviation"], x), lambda x: F.array_contains(has["starter"], x),
-                    lambda a, b: F.array_contains(has["collocation"], F.concat_ws(" ", a, b)))
-    return joined.withColumn("sentences", split).drop("_key", *[f"_{k}" for k in has])
+        tests = among([e["type"] for e in by["abbreviation"]]), among([e["type"] for e in by["starter"]]), lambda a, b: pairs(F.concat_ws(" ", a, b))
+        return rows.withColumn("sentences", _joined(F.col(text), lambda ps: F.transform(F.filter(
+            _breaks(ps), lambda x: _glues(x["left"], x["right"], x["capital"], *tests)), lambda x: x["place"])))
+    # each break asks for its own types; the answers come back to a row as the places of its breaks that are taken back
+    small = F.broadcast if model.count() <= MAX_BROADCAST else lambda df: df
+    lefts = small(model.where("kind <> 'starter'").groupBy(F.col("type").alias("left")).agg(F.max(F.col("kind") == "abbreviation").alias("_abbreviation")))
+    starters = small(model.where("kind = 'starter'").select(F.col("type").alias("right"), F.lit(True).alias("_starter")))
+    collocations = small(model.where("kind = 'collocation'").select(F.col("type").alias("left"), F.col("follower").alias("right"), F.lit(True).alias("_pair")))
+    digest = F.sha2(F.col(text), 256)  # rows of one key and one text have the same breaks
+    asked = rows.select(F.col(key).alias("_key"), digest.alias("_digest"), F.inline_outer(let(F.split(F.col(text), SENTENCE_BREAK, -1), _breaks)))
+    asked = asked.where(F.col("place").isNotNull()).join(lefts, "left").join(starters, "right", "left").join(collocations, ["left", "right"], "left")
+    glued = asked.where(_glues(F.col("left"), F.col("right"), F.col("capital"), lambda x: F.col("_abbreviation"), lambda x: F.col("_starter").isNotNull(),
+                               lambda a, b: F.col("_pair").isNotNull())).groupBy("_key", "_digest").agg(F.collect_set("place").alias("_glued"))
+    joined = rows.join(glued, F.col(key).eqNullSafe(F.col("_key")) & (digest == F.col("_digest")), "left")
+    split = _joined(F.col(text), lambda ps: F.coalesce(F.col("_glued"), F.array().cast("array<int>")))
+    return joined.withColumn("sentences", split).drop("_key", "_digest", "_glued")

@@ -170,5 +170,5 @@ def doc_sentences_learned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences of every document by the model learned from all of them."""
     d = _injected_docs(spark, sf_dir)
     out = split_learned(d, sentence_model(d), "doc_id")
-    return out.select("doc_id", F.posexplode("sentences").alias("sentence_index", "s")).select(
-        "doc_id", F.col("sentence_index").cast("bigint"), F.length("s").cast("bigint").alias("n_chars"), F.md5("s").alias("md5"))
+    out = out.select("doc_id", F.posexplode_outer("sentences").alias("sentence_index", "s")).where(F.col("sentence_index").isNotNull())
+    return out.select("doc_id", F.col("sentence_index").cast("bigint"), F.length("s").cast("bigint").alias("n_chars"), F.md5("s").alias("md5"))

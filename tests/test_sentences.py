@@ -1,5 +1,6 @@
 """The learned splitter: what it learns, what it takes back, and both ways of applying a model."""
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -73,3 +74,13 @@ def test_pairs_are_kept_only_after_a_possible_end(spark, monkeypatch):
     assert {(r.type, r.dot, r.ends, r.next, r.n) for r in counted[0].where("ends").collect()} == {
         ("w39", True, True, "then", 1), ("w1", False, True, "w2", 1), ("w2", False, True, "..", 1), ("..", True, True, None, 1)}
     assert counted[0].count() == 40 + 1 + 4
+
+
+def test_a_long_text_is_joined_in_linear_time(spark, model):
+    """The joined form compares no word of a text with all others."""
+    text = " ".join(f"Word{i} and other{i} came to Dr. Who{i}. They left{i}." for i in range(6000))
+    rows = spark.createDataFrame([(1, text)], "id int, text string")
+    started = time.monotonic()
+    got = split_sentences(rows, model, "id", max_literals=0).first().sentences
+    assert time.monotonic() - started < 60
+    assert got == [s for i in range(6000) for s in (f"Word{i} and other{i} came to Dr. Who{i}.", f"They left{i}.")]
