@@ -8,9 +8,10 @@ Scoring explodes each text's trigrams, joins them with the profile and sums:
 (thousandths of a natural log), so sums are exact and order-independent.
 
 The profile is an aggregate whose size is bounded by the trigram alphabet, not
-by the corpus; the join is left to adaptive execution, which broadcasts it
-once the profile stage has run and its measured size is under the broadcast
-threshold, and keeps a shuffle join otherwise.
+by the corpus, and known after training. Up to ``MAX_BROADCAST_BYTES`` it is sent
+to every task: a document's trigrams are then looked up and summed where the
+document was read, and one row per document is shuffled. A larger profile is joined
+by trigram, with the trigrams of a document counted first.
 """
 from __future__ import annotations
 
@@ -64,6 +65,12 @@ class LanguageModel:
         self.bases = bases
         self.n_trigrams = n_trigrams
 
+    def is_small(self) -> bool:
+        return self.n_trigrams * (64 + 8 * len(self.langs)) <= MAX_BROADCAST_BYTES
+
+
+#: A larger profile (a trigram and a number per label in each row) is not sent to every task.
+MAX_BROADCAST_BYTES = 32 * 1024 * 1024
 
 #: More labels than this would make the profile's columns a plan of their own.
 MAX_LABELS = 400
@@ -102,16 +109,19 @@ def detect(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text: str
     """(key, detected) for every row; rows without a trigram get the default language.
 
     score(lang) = n_trigrams * base(lang) + sum of the matched deltas; the
-    best score wins, ties to the greater language code. Trigrams are counted
-    per document before the join (a document without any keeps one NULL row),
+    best score wins, ties to the greater language code. Before a shuffle join trigrams
+    are counted per document; a document without any keeps one NULL row,
     and columns besides ``key`` and ``text`` come through. Rows that repeat a key
     are told apart by a number given in the one scan that reads them.
     """
     numbered = docs.withColumn("_row", F.monotonically_increasing_id())
     tri = numbered.select(*[c for c in numbered.columns if c != text], F.explode_outer(trigrams(sample(F.col(text)))).alias("tri"))
     kept = [c for c in docs.columns if c not in (key, text)]
-    counted = tri.groupBy("_row", key, *kept, "tri").agg(F.count(F.lit(1)).alias("n"))
-    sums = counted.join(model.profile, "tri", "left").groupBy("_row", key, *kept).agg(
+    if model.is_small():
+        hits = tri.withColumn("n", F.lit(1)).join(F.broadcast(model.profile), "tri", "left")
+    else:
+        hits = tri.groupBy("_row", key, *kept, "tri").agg(F.count(F.lit(1)).alias("n")).join(model.profile, "tri", "left")
+    sums = hits.groupBy("_row", key, *kept).agg(
         F.sum(F.when(F.col("tri").isNotNull(), F.col("n")).otherwise(0)).alias("n_tri"),
         *[F.sum(F.col("n") * F.col(_col(i))).alias(_col(i)) for i in range(len(model.langs))])
     scores = F.array(*[F.struct((F.col("n_tri") * F.lit(model.bases[k]) +
