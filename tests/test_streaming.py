@@ -9,6 +9,7 @@ from conftest import SF_SMALL
 from readaloud.functions.status import content_status
 from readaloud.plans import feeds, jobs
 from readaloud.sources import fixtures as X
+from readaloud.streaming import admission
 from readaloud.streaming import jobs as S
 
 
@@ -156,3 +157,27 @@ def test_dedupe_reads_each_submission_once(spark, tmp_path, monkeypatch):
     assert len(progress) == 20 and sum(p["numInputRows"] for p in progress) == n
     assert max(p["numInputRows"] for p in progress) < 2 * n / 20
     assert urls.count() == urls.distinct().count()
+
+
+def test_admission_state_is_an_entry_per_bucket_and_day(spark, tmp_path, monkeypatch):
+    """The store holds a row per bucket's day, however many clients and requests there are; verdicts are the same."""
+    want = sorted(map(tuple, S.stream_admission(spark, SF_SMALL).collect()))
+    ended, drain = [], S._drain
+    monkeypatch.setattr(S, "_drain", lambda *a: ended.append(drain(*a)))
+    monkeypatch.setattr(admission, "CLIENT_BUCKETS", 2)
+    (tmp_path / "in").mkdir()
+    got = S.stream_admission(spark, _shuffled(spark, tmp_path / "in", "events", 2), str(tmp_path / "work"), max_files=1)
+    assert sorted(map(tuple, got.collect())) == want
+    days = len({r[3] for r in want})
+    held = spark.read.format("statestore").option("stateVarName", "kept").load(str(tmp_path / "work" / "checkpoint"))
+    assert 0 < held.count() <= 2 * days < len({(r[1], r[3]) for r in want})
+
+
+def test_admission_of_requests_without_client(spark, tmp_path):
+    rows = [(None, i, 10 * i) for i in range(7)] + [(c, 100 * c + i, 10 * i) for c in (1, 2, 3) for i in range(c * 2)]
+    df = spark.createDataFrame(rows, "client bigint, request_id bigint, s int").withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("s")))
+    df.select("client", "request_id", "ts").coalesce(1).write.parquet(str(tmp_path / "in"))
+    requests, found = spark.readStream.schema("client bigint, request_id bigint, ts timestamp").parquet(str(tmp_path / "in")), []
+    with admission.state_store(spark):
+        S._drain(admission.verdicts(requests, {"admitted": (5, "1 day")}), lambda batch, i: found.extend(batch.where("admitted").collect()), str(tmp_path / "work"))
+    assert sorted((r.client or 0, r.request_id) for r in found) == sorted((c or 0, k) for c, k, s in rows if s < 50)
