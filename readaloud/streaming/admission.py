@@ -54,7 +54,7 @@ class _Admission(StatefulProcessor):
             places.sort()
         verdicts: dict[tuple[int | None, int, int, int], bool] = {}
         for frame in rows:
-            clients = [None] * len(frame) if bucket is None else frame["client"].tolist()
+            clients = [None] * len(frame) if pd.isna(bucket) else frame["client"].tolist()  # a null key may come as NaN
             for client, ts, request in zip(clients, frame["us"].tolist(), frame["request_id"].tolist(), strict=True):
                 for c, (_, limit, width) in enumerate(self.ceilings):
                     places = held.setdefault((client, c, ts // width), [])
