@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
-from ..constants import ADMISSION_LIMIT, FIXTURE_EPOCH, RATE_API_SUBMIT, RATE_WEB_SUBMIT
+from ..constants import ADMISSION_LIMIT, EXTRACT_ERROR, FIXTURE_EPOCH, RATE_API_SUBMIT, RATE_WEB_SUBMIT
 from ..functions.status import content_status
 from ..operators import feeds as FO
 from ..session import ensure_checkpoint_dir
@@ -167,7 +167,8 @@ def stream_fetch_join(spark: SparkSession, sf_dir: str, work: str | None = None,
     A page counts if it comes within ``FETCH_TIMEOUT`` of its submission. A submission whose page has not come is the
     outer side of the join: the row that says it could not be extracted. It is issued when the watermarks have passed, at the latest
     when the streams end, which a last row on either side says; a stream that goes on simply never writes it. Both sides are held for ``FETCH_LATENESS``
-    on disk, so that rows may come in any order; where they come in order a short one holds less.
+    on disk, so that rows may come in any order; where they come in order a short one holds less. A page is converted as it
+    arrives, once for all its submissions, so what is held is its outcome and not its markup.
     Every tenth page has a second submission whose page never comes.
     """
     work = _workdir(spark, "fetch", work)
@@ -178,13 +179,15 @@ def stream_fetch_join(spark: SparkSession, sf_dir: str, work: str | None = None,
     at = F.timestamp_seconds(F.unix_timestamp(F.lit(FIXTURE_EPOCH).cast("timestamp")) + k * 60)
     pages = stream_table(spark, sf_dir, "pages", max_files)
     lost = F.when(k % 10 == 0, F.array(k, -1 - k)).otherwise(F.array(k))
-    subs = pages.select(F.explode(lost).alias("submission_id"), "url", X.voice_by(k).alias("voice"), at.alias("ts"))
-    fetched = stream_table(spark, sf_dir, "pages", max_files).select("page_id", "html", (at + F.expr("interval 20 seconds")).alias("fetched_at"))
+    subs = pages.select(F.explode(lost).alias("submission_id"), "url", at.alias("ts"))
+    arrived = stream_table(spark, sf_dir, "pages", max_files).select("page_id", "url", "html", X.voice_by(k).alias("voice"))
+    fetched = _converted(arrived).select(F.col("content_id").alias("page_id"), "title", "error", F.length("processed_text").cast("bigint").alias("n_chars"),
+                                         "word_count").withColumn("fetched_at", at + F.expr("interval 20 seconds"))
     subs, fetched = (_with_end(spark, rows, *sides[side], work, side) for side, rows in (("submitted", subs), ("fetched", fetched)))
     near = (F.col("submission_id") == k) & (F.col("fetched_at") >= F.col("ts")) & (F.col("fetched_at") <= F.col("ts") + F.expr(f"interval {FETCH_TIMEOUT}"))
     both = subs.join(fetched, near, "leftOuter").where(F.col("ts") < F.lit(_END).cast("timestamp"))
-    done = _converted(both.select(F.col("submission_id").alias("page_id"), "url", "html", "voice")).select(
-        F.col("content_id").alias("submission_id"), "url", "title", "error", F.length("processed_text").cast("bigint").alias("n_chars"), "word_count")
+    missed = F.when(F.col("page_id").isNull(), F.lit(EXTRACT_ERROR))  # no page has come
+    done = both.select("submission_id", "url", "title", F.coalesce(missed, "error").alias("error"), "n_chars", "word_count")
     with state_store(spark):
         for ended in (False, True):
             if ended:

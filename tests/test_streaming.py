@@ -181,3 +181,11 @@ def test_admission_of_requests_without_client(spark, tmp_path):
     with admission.state_store(spark):
         S._drain(admission.verdicts(requests, {"admitted": (5, "1 day")}), lambda batch, i: found.extend(batch.where("admitted").collect()), str(tmp_path / "work"))
     assert sorted((r.client or 0, r.request_id) for r in found) == sorted((c or 0, k) for c, k, s in rows if s < 50)
+
+
+def test_fetch_join_converts_before_it_holds(spark, monkeypatch):
+    """What the join holds is a page's outcome, not its markup."""
+    before, converted = [], S._converted
+    monkeypatch.setattr(S, "_converted", lambda pages: before.append(pages._jdf.queryExecution().logical().toString()) or converted(pages))
+    S.stream_fetch_join(spark, SF_SMALL)
+    assert len(before) == 1 and "Join" not in before[0]
