@@ -34,5 +34,5 @@ def guarded_replace(value, needle: str, pattern: str, replacement: str):
     unchanged; rows without it skip the regex scan (a plain substring search).
     """
     from pyspark.sql import functions as F
-    return let(value, lambda x: F.when(F.instr(x, needle) > 0, F.regexp_replace(x, pattern, replacement))
+    return let(value, lambda x: F.when(F.contains(x, F.lit(needle)), F.regexp_replace(x, pattern, replacement))
                .otherwise(x))

@@ -50,18 +50,19 @@ def pack_sentences(sentences: Column, limit: int, strict: bool, skip_empty: bool
     below ``limit`` (``strict``) or at most ``limit`` (not strict); the chunk
     text carries a trailing space while open and is stripped when closed. With
     ``skip_empty`` an empty current chunk is never emitted, so a sentence
-    longer than the limit becomes a chunk of its own.
+    longer than the limit becomes a chunk of its own. The open chunk's length is carried
+    along: counting its characters anew would cost a chunk per sentence.
     """
-    init = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("cur"))
+    init = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("cur"), F.lit(0).alias("n"))
 
     def step(s, x):
-        size = F.length(s["cur"]) + F.length(x)
+        size = s["n"] + F.length(x)
         fits = size < limit if strict else size <= limit
         closed = F.array_append(s["out"], strip_ws(s["cur"]))
         if skip_empty:
             closed = F.when(s["cur"] == "", s["out"]).otherwise(closed)
-        return F.when(fits, F.struct(s["out"].alias("out"), F.concat(s["cur"], x, F.lit(" ")).alias("cur"))) \
-            .otherwise(F.struct(closed.alias("out"), F.concat(x, F.lit(" ")).alias("cur")))
+        return F.when(fits, F.struct(s["out"].alias("out"), F.concat(s["cur"], x, F.lit(" ")).alias("cur"), (size + 1).alias("n"))) \
+            .otherwise(F.struct(closed.alias("out"), F.concat(x, F.lit(" ")).alias("cur"), (F.length(x) + 1).alias("n")))
 
     def finish(s):
         return F.when(s["cur"] != "", F.array_append(s["out"], strip_ws(s["cur"]))).otherwise(s["out"])
@@ -129,15 +130,14 @@ def basic_clean(c: Column) -> Column:
 def expand_abbreviations(c: Column) -> Column:
     """Each abbreviation, not preceded by a word character, becomes its spoken form.
 
-    The pattern starts with the abbreviation's first letter and checks the
-    character before it with a look-behind, which lets the regex engine skip
-    quickly to candidate positions.
+    The pattern starts with the abbreviation itself, which the regex engine compares
+    without trying anything else, and then looks back at the character before it.
     """
     out = c
     for abbr, spoken in ABBREVIATIONS:
-        first, rest = abbr[0], abbr[1:].replace(".", r"\.")
+        literal = abbr.replace(".", r"\.")
         # each rule runs only on rows that contain its abbreviation at all
-        out = guarded_replace(out, abbr, rf"{first}(?<![\p{{L}}\p{{N}}_]{first}){rest}", spoken)
+        out = guarded_replace(out, abbr, rf"{literal}(?<![\p{{L}}\p{{N}}_]{literal})", spoken)
     return out
 
 

@@ -1,5 +1,8 @@
 """Golden rows for the text rules (FIXTURES.md section 4.1)."""
+import re
+
 from conftest import one
+from pyspark.sql import functions as F
 
 from readaloud.functions import text as T
 
@@ -73,3 +76,17 @@ def test_redaction_goldens_and_long_runs(spark):
     elapsed = time.time() - t0
     assert got == ["mail [EMAIL REMOVED] and [EMAIL REMOVED]", "[EMAIL REMOVED]", "a@b", "@@x.y", "[EMAIL REMOVED]@w.v", blob + " [EMAIL REMOVED]"]
     assert elapsed < 30   # a quadratic rescan of the long run would take minutes
+
+
+def test_packing_carries_the_open_chunk_s_length(spark):
+    """No step counts the characters of the chunk that is open; lengths are characters, not bytes."""
+    df = spark.createDataFrame([(["é" * 3, "ab", "", "c" * 9, "d"],)], "s array<string>")
+    packed = df.select(T.pack_sentences(F.col("s"), 7, strict=False, skip_empty=True).alias("c"))
+    assert packed.first().c == ["ééé ab", "c" * 9, "d"]
+    plan = packed._jdf.queryExecution().analyzed().toString()
+    assert "aggregate(" in plan and not re.search(r"length\(lambda [^ ()]*\.cur\)|length\([^()]*\.cur\)", plan)
+
+
+def test_abbreviations_next_to_each_other_and_inside_words(spark):
+    assert one(spark, T.expand_abbreviations, ["Dr.Dr. xDr. éDr. (Dr.", "etc.etc. e.g.i.e. 1e.g.", "Mrs.Mr.", None]) == [
+        "DoctorDoctor xDr. éDr. (Doctor", "etceteraetcetera for examplei.e. 1e.g.", "MissesMister", None]
